@@ -113,7 +113,7 @@ def res_partner(t: StarTables) -> DataFrame:
         "c_custkey+1 id", "c_name name", "false supplier", "c_nationkey%2=0 is_company",
         "case when c_custkey%10=9 then concat('8 ',cast(c_custkey-1 as string),'-1') "
         "else concat('8-',cast(c_custkey as string),' 1') end ruc",
-        "cast(c_custkey%100 as string) dv",
+        "case when c_custkey%70=3 then '100' else cast(c_custkey%100 as string) end dv",
         "case when c_custkey%14=0 then null else 1 end country_id",
         "c_nationkey+1 province_id", "c_nationkey*10+1+c_custkey%2 district_id",
         "(c_nationkey*10+1+c_custkey%2)*10+1+c_custkey%3 sector_id",
@@ -126,7 +126,7 @@ def res_partner(t: StarTables) -> DataFrame:
         "case when c_custkey%8=0 then null else concat('2',cast(c_custkey as string)) end phone",
         "case when c_custkey%6=0 then '' else concat('6',cast(c_custkey as string)) end mobile",
         "case when c_custkey%2=0 then 'natural' end partner_type",
-        "case when c_custkey%3=0 then 'local' end partner_nationality",
+        "case when c_custkey%3=0 then 'local' when c_custkey%50=1 then 'nacional' end partner_nationality",
         "case when c_custkey%12=0 then null "
         "else date'1940-02-29' + cast((c_custkey*37)%29000 as int) end birth_date")
     suppliers = t.raw("supplier").selectExpr(
