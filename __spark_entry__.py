@@ -40,24 +40,12 @@ def _load_tables(t: StarTables) -> DataFrame:
 
 
 def _write_report(t: StarTables) -> DataFrame:
-    """The annex written by date, and read back from the files."""
+    """The annex written by month, and read back from the files."""
     path = new_path(t.spark, "report")
-    lines = reports.annex72_lines(t)
-    write_report(lines, path, "account_invoice_date")
+    lines = reports.annex72_lines(t).withColumn("report_month", F.trunc("account_invoice_date", "month"))
+    write_report(lines, path, "report_month")
     return t.spark.read.schema(lines.schema).parquet(path).select(
-        "account_invoice_date", "id", "account_invoice_line_price", "partner_concept_code")
-
-
-def _commission_lines(t: StarTables) -> DataFrame:
-    return reports.commission_lines(t, commissions.commission_assign(t))
-
-
-def _commission_pivot(t: StarTables, grain: str) -> DataFrame:
-    return summaries.commission_pivot(t, _commission_lines(t), grain)
-
-
-def _rules_in_use(t: StarTables) -> DataFrame:
-    return commissions.commission_rules_in_use(t, commissions.commission_assign(t))
+        "report_month", "account_invoice_date", "id", "account_invoice_line_price", "partner_concept_code")
 
 
 def _number_rows(t: StarTables) -> DataFrame:
@@ -98,7 +86,7 @@ def queries() -> dict[str, Query]:
         "write_report": _on(_write_report),
         # report views
         "annex72_lines": _on(reports.annex72_lines),
-        "commission_lines": _on(_commission_lines),
+        "commission_lines": _on(reports.commission_lines),
         "orders_to_cancel": _on(orders.orders_to_cancel, as_of=CANCEL_DAY),
         "orders_to_cancel_catch_up": _on(orders.orders_to_cancel, as_of=CANCEL_DAY, catch_up=True),
         "cash_movements": _on(reports.cash_movements),
@@ -109,8 +97,8 @@ def queries() -> dict[str, Query]:
         "print_pending_lines": _on(reports.print_pending_lines),
         # pivots and totals
         "annex72_pivot": _on(summaries.annex72_pivot),
-        "commission_pivot": _on(_commission_pivot, grain="month"),
-        "commission_pivot_week": _on(_commission_pivot, grain="week"),
+        "commission_pivot": _on(summaries.commission_pivot, grain="month"),
+        "commission_pivot_week": _on(summaries.commission_pivot, grain="week"),
         "cash_report": _on(summaries.cash_report, **REPORT),
         "cash_movements_detail": _on(summaries.cash_movements_detail, **REPORT),
         "cash_range_check": _on(summaries.cash_range_check),
@@ -118,7 +106,7 @@ def queries() -> dict[str, Query]:
         "category_ancestors": _on(commissions.category_ancestors),
         "commission_assign": _on(commissions.commission_assign),
         "commission_rule_conflicts": _on(commissions.commission_rule_conflicts),
-        "commission_rules_in_use": _on(_rules_in_use),
+        "commission_rules_in_use": _on(commissions.commission_rules_in_use),
         # credit orders and payments
         "order_first_payment": _on(orders.order_first_payment),
         "order_deadlines": _on(orders.order_deadlines),

@@ -272,7 +272,9 @@ PENDING = "print_status='pending' and printer_id is not null and documents_type_
 
 QUERIES = {
     "load_tables": _count_tables(),
-    "write_report": "select account_invoice_date, id, account_invoice_line_price, partner_concept_code from lines_72",
+    "write_report": """
+select cast(date_trunc('month',account_invoice_date) as date) report_month, account_invoice_date, id, account_invoice_line_price, partner_concept_code
+from lines_72""",
     "annex72_lines": "select * from lines_72",
     "commission_lines": "select * from lines_commission",
     "orders_to_cancel": f"select id from due where canceled_at={AS_OF} order by id",

@@ -91,10 +91,16 @@ def commission_assign(t: Tables) -> DataFrame:
                 *[F.when(hit, new[name]).otherwise(kept[name]).alias(name) for name in new]))
 
 
-def commission_rules_in_use(t: Tables, assigned: DataFrame) -> DataFrame:
+def assigned_lines(t: Tables) -> DataFrame:
+    """The lines with their commission: as stored, or assigned when the table has none."""
+    lines = t["account_invoice_line"]
+    return lines if "commission_id" in lines.columns else commission_assign(t)
+
+
+def commission_rules_in_use(t: Tables) -> DataFrame:
     """Rules that lines refer to, with the number of lines: they cannot be deleted."""
     used = (
-        assigned.filter(F.col("commission_id").isNotNull()).groupBy("commission_id")
+        assigned_lines(t).filter(F.col("commission_id").isNotNull()).groupBy("commission_id")
         .agg(F.count("*").alias("line_count")))
     return t["commission_rule"].join(used, F.col("id") == F.col("commission_id")).select(
         "id", "category_id", "payment_term_id", "percentage", "line_count")

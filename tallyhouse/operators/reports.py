@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.columns import MONEY, MONEY_SUM, small_number
+from tallyhouse.operators.commissions import assigned_lines
 from tallyhouse.operators.fiscal import fiscal_filenames
 from tallyhouse.plans.numbering import number_rows
 from tallyhouse.session import stage
@@ -66,13 +67,10 @@ def annex72_lines(t: Tables) -> DataFrame:
             F.col("create_date").alias("account_invoice_create_date")))
 
 
-def commission_lines(t: Tables, assigned: DataFrame) -> DataFrame:
-    """Lines of paid invoices that carry a commission.
-
-    `assigned` is the line table with its commission columns (`commission_assign`).
-    Refunds and supplier bills count as well, with a positive sign.
-    """
-    lines = assigned.filter(F.col("commission_id").isNotNull()).select(
+def commission_lines(t: Tables) -> DataFrame:
+    """Lines of paid invoices that carry a commission. Refunds and supplier bills count
+    as well, with a positive sign."""
+    lines = assigned_lines(t).filter(F.col("commission_id").isNotNull()).select(
         F.col("id").alias("line_id"), "invoice_id", F.col("name").alias("line_name"), "product_id", "quantity",
         "price_unit", "price_subtotal", "price_total", "discount", "commission_id", "commission_percentage",
         "commission_total")
@@ -158,8 +156,9 @@ def cash_movement_rows(t: Tables) -> DataFrame:
 
 def cash_movements(t: Tables) -> DataFrame:
     """Cash movements by partner name and amount; reversals and outbound payments are negative."""
-    return cash_movement_rows(t).drop("move_id").orderBy(
-        F.col("partner_name").asc_nulls_last(), "amount_total")
+    # The ids settle ties, and let the sort divide many equal amounts of one partner.
+    return cash_movement_rows(t).orderBy(
+        F.col("partner_name").asc_nulls_last(), "amount_total", "id", "move_id").drop("move_id")
 
 
 def cash_payments(t: Tables) -> DataFrame:

@@ -39,14 +39,14 @@ def annex72_pivot(t: Tables) -> DataFrame:
     return pivot.withColumn("account_invoice_line_price", F.col("account_invoice_line_price").cast(MONEY_SUM))
 
 
-def commission_pivot(t: Tables, lines: DataFrame, grain: str = "month") -> DataFrame:
+def commission_pivot(t: Tables, grain: str = "month") -> DataFrame:
     """Totals and commissions by invoice date (bucketed by `grain`) and vendor, with
-    subtotals. `lines` is the result of `commission_lines`."""
+    subtotals."""
     if grain not in GRAINS:
         raise ValueError(f"grain must be one of {GRAINS}")
     bucket = F.col("invoice_date") if grain == "day" else F.trunc("invoice_date", grain)
-    pivot = _pivot(lines.withColumn("invoice_date", bucket), ["invoice_date", "vendor_name"],
-                   ["total", "commission_total"])
+    lines = reports.commission_lines(t).withColumn("invoice_date", bucket)
+    pivot = _pivot(lines, ["invoice_date", "vendor_name"], ["total", "commission_total"])
     return pivot.select("invoice_date", "vendor_name", "level", F.col("total").cast(MONEY_SUM).alias("total"),
                         F.col("commission_total").cast("decimal(32,6)").alias("commission_total"))
 

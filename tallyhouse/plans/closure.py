@@ -19,10 +19,8 @@ def ancestor_closure(nodes: DataFrame, id_col: str = "id", parent_col: str = "pa
     reach = nodes.select(F.col(id_col).alias("node"), F.col(id_col).alias("ancestor"), F.lit(0).alias("depth"))
     jump = stage(nodes.filter(F.col(parent_col).isNotNull())
                  .select(F.col(id_col).alias("node"), F.col(parent_col).alias("up")), "jump")
-    step, total = 1, None
-    while not jump.isEmpty():
-        if total is None:
-            total = nodes.count()
+    step, total = 1, nodes.count()
+    while jump.count() > 0:
         if step > total:
             raise ValueError("the tree has a cycle")
         higher = (

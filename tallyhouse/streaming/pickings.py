@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.operators.status import latest_open
 from tallyhouse.schemas import schema_of
+from tallyhouse.session import new_path
 
 STAMP_SCHEMA = "id BIGINT, stamp_number STRING, stamped_on TIMESTAMP_NTZ, stamp_invoice_id BIGINT"
 
@@ -23,8 +24,14 @@ def stamp_pickings_stream(spark: SparkSession, changes_dir: str, pickings_path:
     """
 
     def apply(changes: DataFrame, batch_id: int) -> None:
+        # Read back by the outer session: it knows the size of the stamps, and AQE,
+        # which streams run without, can split a hot origin of the pickings.
+        path = new_path(spark, "stamps")
+        winners = latest_open(changes)
+        winners.write.parquet(path)
+        stamps = spark.read.schema(winners.schema).parquet(path)
         pickings = spark.read.schema(schema_of("stock_picking")).parquet(pickings_path)
-        (pickings.join(latest_open(changes), F.col("origin") == F.col("stamp_origin"))
+        (pickings.join(stamps, F.col("origin") == F.col("stamp_origin"))
          .select("id", "stamp_number", "stamped_on", "stamp_invoice_id")
          .write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}"))
 
