@@ -68,10 +68,9 @@ def certificate_numbers(t: Tables, existing: DataFrame | None = None) -> DataFra
     if existing is None:
         sequence = F.col("_rank")
     else:
-        parts = F.split("number", "/")
+        year, used = (F.split_part("number", F.lit("/"), F.lit(n)) for n in (2, 3))
         last = (
-            existing.select(F.element_at(parts, 2).try_cast("int").alias("_year"),
-                            F.element_at(parts, 3).try_cast("bigint").alias("_used"))
+            existing.select(year.try_cast("int").alias("_year"), used.try_cast("bigint").alias("_used"))
             .groupBy("_year").agg(F.max("_used").alias("_used")))
         ranked = ranked.join(last, F.col("year") == F.col("_year"), "left")
         sequence = F.col("_rank") + F.coalesce("_used", F.lit(0))

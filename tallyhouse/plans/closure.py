@@ -12,23 +12,24 @@ def ancestor_closure(nodes: DataFrame, id_col: str = "id", parent_col: str = "pa
     """All (node, ancestor, depth) pairs, the node itself at depth 0.
 
     Doubles the reach on each round: `jump` links a node to its ancestor 2^k steps
-    up, `reach` holds all ancestors less than 2^k steps up. A tree of depth d takes
-    log2(d) rounds, with no limit on levels or rows. Each round is written out, so
-    the plan does not grow. A cycle never runs out of jumps and is reported.
+    up, and every pair found so far gives one more by a jump from its ancestor. A
+    tree of depth d takes log2(d) rounds and as many joins, with no limit on levels or
+    rows. The jumps are written out, so a round does not repeat the earlier ones. A
+    cycle never runs out of jumps and is reported.
     """
-    reach = nodes.select(F.col(id_col).alias("node"), F.col(id_col).alias("ancestor"), F.lit(0).alias("depth"))
-    jump = stage(nodes.filter(F.col(parent_col).isNotNull())
-                 .select(F.col(id_col).alias("node"), F.col(parent_col).alias("up")), "jump")
+    pairs = nodes.select(F.col(id_col).alias("node"), F.col(id_col).alias("ancestor"), F.lit(0).alias("depth"))
+    jump = nodes.filter(F.col(parent_col).isNotNull()).select(
+        F.col(id_col).alias("_from"), F.col(parent_col).alias("_to"))
     step, total = 1, nodes.count()
     while jump.count() > 0:
         if step > total:
             raise ValueError("the tree has a cycle")
-        higher = (
-            jump.join(reach.select(F.col("node").alias("up"), "ancestor", "depth"), "up")
-            .select("node", "ancestor", (F.col("depth") + step).alias("depth")))
-        reach = stage(reach.unionByName(higher), "reach")
-        jump = stage(
-            jump.join(jump.select(F.col("node").alias("up"), F.col("up").alias("_next")), "up")
-            .select("node", F.col("_next").alias("up")), "jump")
+        here = F.struct("ancestor", "depth")
+        higher = F.when(F.col("_to").isNotNull(), F.struct(
+            F.col("_to").alias("ancestor"), (F.col("depth") + step).alias("depth")))
+        pairs = pairs.join(jump, F.col("ancestor") == F.col("_from"), "left").select(
+            "node", F.inline(F.array_compact(F.array(here, higher))))
+        again = jump.select(F.col("_from").alias("_middle"), F.col("_to").alias("_end"))
+        jump = stage(jump.join(again, F.col("_to") == F.col("_middle")).select("_from", F.col("_end").alias("_to")), "jump")
         step *= 2
-    return reach
+    return pairs
