@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.columns import percent_of
+from tallyhouse.operators.products import product_attributes
 from tallyhouse.plans.closure import ancestor_closure
 from tallyhouse.session import stage
 
@@ -66,8 +67,6 @@ def commission_assign(t: Tables) -> DataFrame:
     lines = t["account_invoice_line"]
     invoices = t["account_invoice"].filter((F.col("state") == "paid") & F.col("payment_term_id").isNotNull()).select(
         F.col("id").alias("_inv"), F.col("payment_term_id").alias("_term"))
-    products = t["product_product"].select(F.col("id").alias("_pp"), F.col("product_tmpl_id").alias("_tmpl"))
-    templates = t["product_template"].select(F.col("id").alias("_pt"), F.col("categ_id").alias("_categ"))
     kept = {
         "commission_id": F.lit(None).cast("int"),
         "commission_percentage": F.lit(0).cast("decimal(5,2)"),
@@ -83,8 +82,7 @@ def commission_assign(t: Tables) -> DataFrame:
     return (
         lines
         .join(invoices, F.col("invoice_id") == F.col("_inv"), "left")
-        .join(products, F.col("product_id") == F.col("_pp"), "left")
-        .join(templates, F.col("_tmpl") == F.col("_pt"), "left")
+        .join(product_attributes(t, _categ="categ_id"), F.col("product_id") == F.col("product_key"), "left")
         .join(_nearest_rules(t), (F.col("_categ") == F.col("rule_category_id")) & (F.col("_term") == F.col("rule_term_id")),
               "left")
         .select(*[c for c in lines.columns if c not in new],

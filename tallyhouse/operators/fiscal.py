@@ -136,17 +136,18 @@ def _partner_address(t: Tables) -> DataFrame:
                 ("s_name", "sector"), ("c_name", "country"))]))
 
 
-def document_details(t: Tables, discount: str = "lines") -> DataFrame:
-    """What is printed for each invoice, one row per invoice.
+def document_details(t: Tables, discount: str = "lines", only: DataFrame | None = None) -> DataFrame:
+    """What is printed for each invoice, one row per invoice, or for the invoices in
+    `only`.
 
     `discount='lines'` takes the sum over the lines, `'invoice'` the amount stored on
     the invoice. An invoice with several taxes shows the lowest tax id and their number.
     """
     if discount not in ("lines", "invoice"):
         raise ValueError("discount must be 'lines' or 'invoice'")
-    invoices = t["account_invoice"].select(
+    invoices = (t["account_invoice"] if only is None else only).select(
         F.col("id").alias("invoice_id"), F.col("type").alias("invoice_type"), "partner_id", "amount_total",
-        "amount_untaxed", "amount_tax", "amount_discount", "number")
+        "amount_untaxed", "amount_tax", "amount_discount", "number", F.col("write_uid").alias("user_id"))
     if discount == "lines":
         totals = invoice_discount_total(t).select(
             F.col("invoice_id").alias("dt_invoice"), F.col("discount_total").alias("_discount"))
@@ -180,25 +181,22 @@ def document_details(t: Tables, discount: str = "lines") -> DataFrame:
             "refund_type", "refund_note", "parent_invoice_filename_assigned", "parent_invoice_fiscal_printer_serial",
             F.coalesce("parent_invoice_fiscal_invoice_number", zero).cast("bigint")
             .alias("parent_invoice_fiscal_invoice_number"),
-            "refund_date", "refund_time"))
+            "refund_date", "refund_time", "user_id"))
 
 
 def fiscal_documents(t: Tables, discount: str = "lines") -> DataFrame:
     """The new documents: one per eligible invoice, pending, with its file names."""
-    eligible = fiscal_eligibility(t).filter(F.col("eligibility") == "ok").select(F.col("id").alias("ok_id"))
-    editors = t["account_invoice"].select(F.col("id").alias("ed_id"), F.col("write_uid").alias("user_id"))
-    details = document_details(t, discount)
+    eligible = fiscal_eligibility(t).filter(F.col("eligibility") == "ok").select(F.col("id").alias("_ok"))
+    invoices = t["account_invoice"].join(eligible, F.col("id") == F.col("_ok"), "left_semi")
+    details = document_details(t, discount, invoices)
     assembled = (
-        eligible
-        .join(editors, F.col("ok_id") == F.col("ed_id"))
-        .join(details, F.col("ok_id") == F.col("invoice_id"))
-        .join(_user_printers(t), F.col("user_id") == F.col("printer_user_id"))
+        details.join(_user_printers(t), F.col("user_id") == F.col("printer_user_id"))
         .select(
-            *details.columns, "user_id", F.col("user_printer_id").alias("printer_id"),
+            *details.columns, F.col("user_printer_id").alias("printer_id"),
             F.col("user_printer_serial").alias("printer_serial_number"),
             F.lit("account_invoice").alias("documents_type_printed"), F.lit("pending").alias("print_status"),
-            F.lit(0).cast("bigint").alias("fiscal_invoice_number"), F.col("ok_id").alias("id")))
-    return fiscal_filenames({**t, "fiscal_document": assembled}, keep_all=True).drop("id")
+            F.lit(0).cast("bigint").alias("fiscal_invoice_number")))
+    return fiscal_filenames({**t, "fiscal_document": assembled}, keep_all=True)
 
 
 def fiscal_filenames(t: Tables, keep_all: bool = False) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.columns import MONEY, as_date, percent_of
+from tallyhouse.operators.products import product_attributes
 
 Tables = Mapping[str, DataFrame]
 
@@ -22,46 +23,66 @@ def _credit_terms(t: Tables) -> DataFrame:
         F.col("id").alias("_credit_term"))
 
 
+def _to_invoice() -> Column:
+    return (F.col("state") == "sale") & (F.col("invoice_status") == "to invoice")
+
+
 def _payable(t: Tables, orders: DataFrame) -> DataFrame:
     """Confirmed orders still to invoice, on a credit term."""
-    return orders.filter((F.col("state") == "sale") & (F.col("invoice_status") == "to invoice")).join(
+    return orders.filter(_to_invoice()).join(
         _credit_terms(t), F.col("payment_term_id") == F.col("_credit_term"), "left_semi")
 
 
+def _flagged(t: Tables) -> DataFrame:
+    """All orders, with whether they are payable."""
+    return t["sale_order"].join(
+        _credit_terms(t), F.col("payment_term_id") == F.col("_credit_term"), "left").withColumn(
+        "_payable", F.coalesce(_to_invoice() & F.col("_credit_term").isNotNull(), F.lit(False)))
+
+
+def _first_payments(t: Tables) -> DataFrame:
+    first = F.min(F.struct("payment_date", "id")).alias("_first")
+    return t["account_payment"].filter(F.col("sale_order_id").isNotNull()).groupBy(
+        F.col("sale_order_id").alias("_paid_order")).agg(first)
+
+
 def order_first_payment(t: Tables) -> DataFrame:
     """The first payment of each payable order, by date and id."""
-    first = (
-        t["account_payment"].filter(F.col("sale_order_id").isNotNull())
-        .groupBy(F.col("sale_order_id").alias("order_id"))
-        .agg(F.min(F.struct("payment_date", "id")).alias("_first")))
     return (
-        _payable(t, t["sale_order"]).select("id")
-        .join(first, F.col("id") == F.col("order_id"))
+        _payable(t, t["sale_order"]).select(F.col("id").alias("order_id"))
+        .join(_first_payments(t), F.col("order_id") == F.col("_paid_order"))
         .select("order_id", F.col("_first.id").alias("payment_id"), F.col("_first.payment_date").alias("first_payment_date")))
 
 
-def order_deadlines(t: Tables) -> DataFrame:
-    """The order table with first payment, cancellation and notice dates."""
+DATES = ("first_payment_date", "canceled_at", "notified_at")
+
+
+def _dated(t: Tables) -> DataFrame:
+    """The orders with their dates and whether they can be paid on, in one pass."""
     orders = t["sale_order"]
-    first = order_first_payment(t).select(F.col("order_id").alias("_order"), F.col("first_payment_date").alias("_first"))
+    paid = _flagged(t).join(_first_payments(t), F.col("id") == F.col("_paid_order"), "left").withColumn(
+        "_day", F.when(F.col("_payable"), F.col("_first.payment_date")))
 
     def updated(name: str, value: Column) -> Column:
         old = F.col(name) if name in orders.columns else F.lit(None).cast("date")
         return F.coalesce(value, old).alias(name)
 
-    names = ("first_payment_date", "canceled_at", "notified_at")
-    return orders.join(first, F.col("id") == F.col("_order"), "left").select(
-        *[c for c in orders.columns if c not in names],
-        updated("first_payment_date", F.col("_first")),
-        updated("canceled_at", F.date_add("_first", CANCEL_AFTER_DAYS)),
-        updated("notified_at", F.date_add("_first", NOTIFY_AFTER_DAYS)))
+    return paid.select(
+        *[c for c in orders.columns if c not in DATES],
+        updated("first_payment_date", F.col("_day")),
+        updated("canceled_at", F.date_add("_day", CANCEL_AFTER_DAYS)),
+        updated("notified_at", F.date_add("_day", NOTIFY_AFTER_DAYS)), "_payable")
 
 
-def _due(t: Tables, as_of: dt.date, catch_up: bool) -> DataFrame:
-    orders = t["sale_order"] if "canceled_at" in t["sale_order"].columns else order_deadlines(t)
+def order_deadlines(t: Tables) -> DataFrame:
+    """The order table with first payment, cancellation and notice dates."""
+    return _dated(t).drop("_payable")
+
+
+def _due(as_of: dt.date, catch_up: bool) -> Column:
     run_day = as_date(as_of)
-    due = F.col("canceled_at") <= run_day if catch_up else F.col("canceled_at") == run_day
-    return _payable(t, orders.filter(due)).select("id")
+    on_time = F.col("canceled_at") <= run_day if catch_up else F.col("canceled_at") == run_day
+    return F.col("_payable") & F.coalesce(on_time, F.lit(False))
 
 
 def orders_to_cancel(t: Tables, as_of: dt.date, catch_up: bool = False) -> DataFrame:
@@ -70,16 +91,16 @@ def orders_to_cancel(t: Tables, as_of: dt.date, catch_up: bool = False) -> DataF
     `catch_up=True` also takes earlier dates, for a scheduler that missed a day. The
     dates are read from the orders, or computed when the table has none.
     """
-    return _due(t, as_of, catch_up).orderBy("id")
+    orders = _flagged(t) if "canceled_at" in t["sale_order"].columns else _dated(t)
+    return orders.filter(_due(as_of, catch_up)).select("id").orderBy("id")
 
 
 def cancel_orders(t: Tables, as_of: dt.date, catch_up: bool = False) -> DataFrame:
     """The order table after cancelling the orders that are due."""
-    hits = _due(t, as_of, catch_up).select(F.col("id").alias("_hit"))
-    orders = t["sale_order"]
-    return orders.join(hits, F.col("id") == F.col("_hit"), "left").select(
-        *[F.when(F.col("_hit").isNotNull(), "cancel").otherwise(F.col("state")).alias("state") if c == "state" else F.col(c)
-          for c in orders.columns])
+    state = F.when(_due(as_of, catch_up), "cancel").otherwise(F.col("state"))
+    columns = t["sale_order"].columns
+    orders = _flagged(t) if "canceled_at" in columns else _dated(t)
+    return orders.withColumn("state", state).select(*columns)
 
 
 def payable_orders(t: Tables, partner_id: int | None = None) -> DataFrame:
@@ -110,10 +131,8 @@ def order_line_amounts(t: Tables) -> DataFrame:
 
 def price_floor_violations(t: Tables) -> DataFrame:
     """Order lines priced below the product's list price."""
-    products = t["product_product"].select(F.col("id").alias("_pp"), "product_tmpl_id")
-    templates = t["product_template"].select(F.col("id").alias("_pt"), "list_price")
+    products = product_attributes(t, list_price="list_price")
     return (
-        t["sale_order_line"].join(products, F.col("product_id") == F.col("_pp"))
-        .join(templates, F.col("product_tmpl_id") == F.col("_pt"))
+        t["sale_order_line"].join(products, F.col("product_id") == F.col("product_key"))
         .filter(F.col("price_unit") < F.col("list_price"))
         .select("id", "order_id", "product_id", "price_unit", "list_price", F.lit("below_list_price").alias("reason")))

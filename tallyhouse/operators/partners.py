@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.columns import EMAIL_PATTERN, as_date, is_blank, plain_ruc, whole_years
+from tallyhouse.operators.products import product_attributes
 from tallyhouse.plans.joins import left_join_nullable
 
 Tables = Mapping[str, DataFrame]
@@ -170,12 +171,9 @@ def invoice_warranty_notes(t: Tables) -> DataFrame:
     it has them. Each brand counts once per invoice; the texts are in order."""
     brands = t["product_brand"].filter("support_warranty_info <> ''").select(
         F.col("id").alias("brand_id"), F.col("support_warranty_info").alias("_text"))
-    products = t["product_product"].select(F.col("id").alias("_pp"), "product_tmpl_id")
-    templates = t["product_template"].select(F.col("id").alias("_pt"), "product_brand_id")
     texts = (
         t["account_invoice_line"].select("invoice_id", "product_id")
-        .join(products, F.col("product_id") == F.col("_pp"))
-        .join(templates, F.col("product_tmpl_id") == F.col("_pt"))
+        .join(product_attributes(t, product_brand_id="product_brand_id"), F.col("product_id") == F.col("product_key"))
         .select("invoice_id", "product_brand_id").distinct()
         .join(brands, F.col("product_brand_id") == F.col("brand_id"))
         .groupBy(F.col("invoice_id").alias("_invoice"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.schemas import ALLOWED, MAX_LENGTH
@@ -13,16 +13,21 @@ from tallyhouse.schemas import ALLOWED, MAX_LENGTH
 Tables = Mapping[str, DataFrame]
 
 
+def _violation(column: str, test: Column, reason: str) -> Column:
+    return F.when(test, F.struct(
+        F.lit(column).alias("column_name"), F.col(column).cast("string").alias("value"), F.lit(reason).alias("reason")))
+
+
 def declaration_violations(t: Tables) -> DataFrame:
-    """Values outside their selection or longer than declared, with the row's id."""
-    tests = {(table, column): (~F.col(column).isin(*values), "not_allowed")
-             for (table, column), values in ALLOWED.items()}
-    tests |= {(table, column): (F.length(column) > limit, "too_long")
-              for (table, column), limit in MAX_LENGTH.items()}
+    """Values outside their selection or longer than declared, with the row's id. Each
+    table is read once for all its columns."""
+    checks: dict[str, list[Column]] = {}
+    for (table, column), allowed in ALLOWED.items():
+        checks.setdefault(table, []).append(_violation(column, ~F.col(column).isin(*allowed), "not_allowed"))
+    for (table, column), limit in MAX_LENGTH.items():
+        checks.setdefault(table, []).append(_violation(column, F.length(column) > limit, "too_long"))
     found = [
-        t[table].filter(test).select(
-            F.lit(table).alias("table_name"), F.lit(column).alias("column_name"),
-            F.col("id").cast("bigint").alias("id"), F.col(column).cast("string").alias("value"),
-            F.lit(reason).alias("reason"))
-        for (table, column), (test, reason) in tests.items()]
+        t[table].select(F.lit(table).alias("table_name"), F.col("id").cast("bigint").alias("id"),
+                        F.inline(F.array_compact(F.array(*tests))))
+        for table, tests in checks.items()]
     return reduce(DataFrame.unionByName, found)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tallyhouse.functions.columns import MONEY, MONEY_SUM, small_number
 from tallyhouse.operators.commissions import assigned_lines
 from tallyhouse.operators.fiscal import fiscal_filenames
+from tallyhouse.operators.products import product_attributes
 from tallyhouse.plans.numbering import number_rows
 from tallyhouse.session import stage
 
@@ -75,8 +76,7 @@ def commission_lines(t: Tables) -> DataFrame:
         "price_unit", "price_subtotal", "price_total", "discount", "commission_id", "commission_percentage",
         "commission_total")
     rules = t["commission_rule"].select(F.col("id").alias("rule_id"))
-    products = t["product_product"].select(F.col("id").alias("pp_id"), "product_tmpl_id")
-    templates = t["product_template"].select(F.col("id").alias("pt_id"), "categ_id")
+    products = product_attributes(t, categ_id="categ_id")
     categories = t["product_category"].select(F.col("id").alias("cat_id"), F.col("name").alias("cat_name"))
     invoices = t["account_invoice"].filter(F.col("state") == "paid").select(
         F.col("id").alias("inv_id"), "user_id", "payment_term_id", "number", "state", "date_invoice")
@@ -89,8 +89,7 @@ def commission_lines(t: Tables) -> DataFrame:
         lines
         .join(rules, F.col("commission_id") == F.col("rule_id"))
         .join(invoices, F.col("invoice_id") == F.col("inv_id"))
-        .join(products, F.col("product_id") == F.col("pp_id"))
-        .join(templates, F.col("product_tmpl_id") == F.col("pt_id"))
+        .join(products, F.col("product_id") == F.col("product_key"))
         .join(categories, F.col("categ_id") == F.col("cat_id"))
         .join(vendors, F.col("user_id") == F.col("ru_id"))
         .join(terms, F.col("payment_term_id") == F.col("apt_id"))
@@ -272,9 +271,7 @@ def print_pending_lines(t: Tables) -> DataFrame:
         F.col("id").alias("line_id"), "invoice_id", F.col("name").alias("line_name"), "product_id", "price_unit",
         "quantity")
     invoices = t["account_invoice"].select(F.col("id").alias("ai_id"))
-    products = t["product_product"].select(
-        F.col("id").alias("pp_id"), "product_tmpl_id", F.col("default_code").alias("product_code_2"))
-    templates = t["product_template"].select(F.col("id").alias("pt_id"), F.col("default_code").alias("product_code"))
+    products = product_attributes(t, product_code="default_code")
     users = t["res_users"].select(F.col("id").alias("ru_id"), F.col("login").alias("user_login"))
     line_taxes = t["account_invoice_line_tax"].select(
         "invoice_line_id", F.col("tax_id").alias("line_tax_id"))
@@ -284,13 +281,13 @@ def print_pending_lines(t: Tables) -> DataFrame:
         .join(invoices, F.col("fd_invoice_id") == F.col("ai_id"), "left_semi")
         .join(users, F.col("write_uid") == F.col("ru_id"))
         .join(lines, F.col("fd_invoice_id") == F.col("invoice_id"))
-        .join(products, F.col("product_id") == F.col("pp_id"))
-        .join(templates, F.col("product_tmpl_id") == F.col("pt_id"))
+        .join(products, F.col("product_id") == F.col("product_key"))
         .join(line_taxes, F.col("line_id") == F.col("invoice_line_id"), "left")
         .join(taxes, F.col("line_tax_id") == F.col("at_id"), "left")
         .select(
             "create_date", "line_tax_id",
-            F.col("line_id").alias("id"), F.col("fd_id").alias("fiscal_document_id"), "product_code", "product_code_2",
+            F.col("line_id").alias("id"), F.col("fd_id").alias("fiscal_document_id"), "product_code",
+            F.col("variant_code").alias("product_code_2"),
             F.replace("line_name", F.lit("\n"), F.lit("")).alias("product_name"),
             F.col("price_unit").alias("product_price"), "quantity", F.lit("UNIDADES").alias("unit_type"),
             F.lit(2).alias("group_type"), "tax_percentage", "master_filename_assigned", "lines_filename_assigned",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.columns import MONEY, day_month_year, two_decimals, zero_padded
@@ -17,17 +17,25 @@ NUMBER_PREFIX = "CRET"
 NUMBER_WIDTH = 4
 
 
+def _last_held(t: Tables) -> DataFrame:
+    """Amount of the last withholding tax line of each invoice, by tax id."""
+    kinds = t["account_tax"].filter("is_withholding_tax").select(F.col("id").alias("_tax"))
+    return (
+        t["account_invoice_tax"].join(kinds, F.col("tax_id") == F.col("_tax"), "left_semi")
+        .groupBy(F.col("invoice_id").alias("_held_of"))
+        .agg(F.max(F.struct("tax_id", "amount")).getField("amount").alias("_held")))
+
+
+def _withheld() -> Column:
+    """Tax held on supplier bills; nothing elsewhere."""
+    return F.when(F.col("type") == "in_invoice", F.coalesce("_held", F.lit(0))).otherwise(0).cast(MONEY)
+
+
 def withholding_amounts(t: Tables) -> DataFrame:
     """Withholding tax of each invoice: on supplier bills the amount of the last
     withholding tax line, by tax id, and 0 elsewhere."""
-    kinds = t["account_tax"].filter("is_withholding_tax").select(F.col("id").alias("_tax"))
-    held = (
-        t["account_invoice_tax"].join(kinds, F.col("tax_id") == F.col("_tax"), "left_semi")
-        .groupBy(F.col("invoice_id").alias("_held"))
-        .agg(F.max(F.struct("tax_id", "amount")).getField("amount").alias("_amount")))
-    amount = F.when(F.col("type") == "in_invoice", F.coalesce("_amount", F.lit(0))).otherwise(0).cast(MONEY)
-    return t["account_invoice"].select("id", "type").join(held, F.col("id") == F.col("_held"), "left").select(
-        "id", "type", amount.alias("withholding_tax"))
+    return t["account_invoice"].select("id", "type").join(
+        _last_held(t), F.col("id") == F.col("_held_of"), "left").select("id", "type", _withheld().alias("withholding_tax"))
 
 
 def certificate_flags(t: Tables) -> DataFrame:
@@ -48,11 +56,10 @@ def withholding_eligible(t: Tables, supplier_id: int | None = None) -> DataFrame
     invoices = t["account_invoice"].filter(F.col("state").isin("open", "paid"))
     if supplier_id is not None:
         invoices = invoices.filter(F.col("partner_id") == supplier_id)
-    amounts = withholding_amounts({**t, "account_invoice": invoices}).filter("withholding_tax < 0").select(
-        F.col("id").alias("_id"), "withholding_tax")
     return (
-        invoices.select("id", "number", "partner_id", "state")
-        .join(amounts, F.col("id") == F.col("_id"))
+        invoices.select("id", "type", "number", "partner_id", "state")
+        .join(_last_held(t), F.col("id") == F.col("_held_of"))
+        .withColumn("withholding_tax", _withheld()).filter("withholding_tax < 0")
         .join(_approved(t), F.col("id") == F.col("_approved"), "left_anti")
         .select("id", "number", "partner_id", "state", "withholding_tax"))
 
@@ -92,11 +99,10 @@ def withholding_certificates(t: Tables, existing: DataFrame | None = None) -> Da
         F.col("id").alias("su_id"), F.col("name").alias("supplier_name"), F.col("ruc").alias("supplier_ruc"),
         F.col("dv").alias("supplier_dv"))
     invoices = t["account_invoice"].select(
-        F.col("id").alias("ai_id"), F.col("partner_id").alias("supplier_id"), F.col("number").alias("invoice_number"),
-        "amount_untaxed")
+        F.col("id").alias("ai_id"), "type", F.col("partner_id").alias("supplier_id"),
+        F.col("number").alias("invoice_number"), "amount_untaxed")
     taxes = t["account_tax"].select(
         F.col("id").alias("at_id"), F.col("description").alias("tax_description"), F.col("amount").alias("rate"))
-    amounts = withholding_amounts(t).select(F.col("id").alias("wa_id"), "withholding_tax")
     zero = F.lit("0").cast(MONEY)
     return (
         t["withholding_certificate"]
@@ -104,7 +110,7 @@ def withholding_certificates(t: Tables, existing: DataFrame | None = None) -> Da
         .join(companies, F.col("company_id") == F.col("co_id"), "left")
         .join(taxes, F.col("account_tax_id") == F.col("at_id"), "left")
         .join(invoices, F.col("invoice_id") == F.col("ai_id"), "left")
-        .join(amounts, F.col("invoice_id") == F.col("wa_id"), "left")
+        .join(_last_held(t), F.col("invoice_id") == F.col("_held_of"), "left")
         .join(owners, F.col("co_partner_id") == F.col("ow_id"), "left")
         .join(suppliers, F.col("supplier_id") == F.col("su_id"), "left")
         .select(
@@ -113,10 +119,10 @@ def withholding_certificates(t: Tables, existing: DataFrame | None = None) -> Da
             F.coalesce("rate", zero).cast("decimal(6,2)").alias("withholding_percentage"),
             "invoice_id", "invoice_number",
             F.coalesce("amount_untaxed", zero).cast(MONEY).alias("invoice_subtotal"),
-            F.coalesce("withholding_tax", zero).cast(MONEY).alias("withholding_amount"),
+            _withheld().alias("withholding_amount"),
             two_decimals(F.coalesce("amount_untaxed", zero)).alias("invoice_subtotal_formatted"),
             F.concat(two_decimals(-F.coalesce("rate", zero)), F.lit(" %")).alias("withholding_percentage_formatted"),
-            two_decimals(-F.coalesce("withholding_tax", zero)).alias("withholding_amount_formatted"),
+            two_decimals(-_withheld()).alias("withholding_amount_formatted"),
             day_month_year(F.col("create_date")).alias("create_date_formatted"), "comments"))
 
 

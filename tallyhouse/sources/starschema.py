@@ -375,7 +375,7 @@ def document_core(t: StarTables) -> DataFrame:
 def fiscal_document(t: StarTables) -> DataFrame:
     core = t["document_core"]
     details = fiscal.document_details({**_needed(t, fiscal.DETAIL_TABLES), "fiscal_document": core})
-    return stage(core.join(details.drop("number", "invoice_type", "tax_count"), "invoice_id"), "document")
+    return stage(core.join(details.drop("number", "invoice_type", "tax_count", "user_id"), "invoice_id"), "document")
 
 
 def _needed(t: StarTables, names: tuple[str, ...]) -> dict[str, DataFrame]:
