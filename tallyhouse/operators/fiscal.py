@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.columns import MONEY_SUM, is_blank, percent_of, zero_padded
-from tallyhouse.plans.joins import left_join_nullable
+from tallyhouse.plans.joins import skewed_join
 
 Tables = Mapping[str, DataFrame]
 
@@ -43,7 +43,7 @@ def fiscal_eligibility(t: Tables) -> DataFrame:
     parents = documents.select(F.col("doc_invoice_id").alias("parent_of"), F.col("doc_number").alias("parent_number"))
     invoices = t["account_invoice"].select("id", "type", "amount_total", "write_uid", "refund_invoice_id")
     # Only refunds have a parent, so most of the keys are NULL.
-    joined = left_join_nullable(
+    joined = skewed_join(
         invoices
         .join(_user_printers(t), F.col("write_uid") == F.col("printer_user_id"), "left")
         .join(documents, F.col("id") == F.col("doc_invoice_id"), "left"),
@@ -92,15 +92,15 @@ def refund_links(t: Tables) -> DataFrame:
     refunds = t["account_invoice"].filter(F.col("type") == "out_refund").select(
         F.col("id").alias("invoice_id"), F.col("refund_invoice_id").alias("parent_invoice_id"),
         F.col("name").alias("refund_name"))
-    last = _last_document(t).select("doc_id")
     printers = t["fiscal_printer"].select(F.col("id").alias("fp_id"), F.col("serial").alias("fp_serial"))
+    # The last document of each invoice, like `_last_document`.
     documents = (
-        fiscal_filenames(t, keep_all=True).join(last, F.col("id") == F.col("doc_id"), "left_semi")
+        fiscal_filenames(t, keep_all=True).filter(F.col("invoice_id").isNotNull())
         .join(printers, F.col("printer_id") == F.col("fp_id"), "left")
-        .select(F.col("invoice_id").alias("parent_of"),
-                F.col("master_filename_assigned").alias("parent_invoice_filename_assigned"),
-                F.col("fp_serial").alias("parent_invoice_fiscal_printer_serial"),
-                F.col("fiscal_invoice_number").alias("parent_invoice_fiscal_invoice_number")))
+        .groupBy(F.col("invoice_id").alias("parent_of"))
+        .agg(F.max_by("master_filename_assigned", "id").alias("parent_invoice_filename_assigned"),
+             F.max_by("fp_serial", "id").alias("parent_invoice_fiscal_printer_serial"),
+             F.max_by("fiscal_invoice_number", "id").alias("parent_invoice_fiscal_invoice_number")))
     reasons = (
         t["account_invoice_refund"].filter(F.col("description").isNotNull())
         .groupBy(F.col("description").alias("refund_note"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions.columns import EMAIL_PATTERN, as_date, is_blank, plain_ruc, whole_years
 from tallyhouse.operators.products import product_attributes
-from tallyhouse.plans.joins import left_join_nullable
+from tallyhouse.plans.joins import skewed_join
 
 Tables = Mapping[str, DataFrame]
 
@@ -24,7 +24,8 @@ def ruc_duplicates(t: Tables) -> DataFrame:
     """Partners whose RUC another partner holds too, however it is spelled."""
     plain = ruc_normalized(t).filter("ruc_normalized <> ''")
     shared = plain.groupBy(F.col("ruc_normalized").alias("_ruc")).agg(F.count("*").alias("holders")).filter("holders > 1")
-    return plain.join(shared, F.col("ruc_normalized") == F.col("_ruc")).select("id", "ruc", "ruc_normalized", "holders")
+    return skewed_join(plain, shared, "ruc_normalized", "_ruc", spread_by="id", how="inner").select(
+        "id", "ruc", "ruc_normalized", "holders")
 
 
 def email_invalid(t: Tables) -> DataFrame:
@@ -148,7 +149,7 @@ def _with_delivery(t: Tables, records: DataFrame) -> DataFrame:
     sectors = t["res_partner"].filter("sector_id is not null").select(F.col("id").alias("_partner"), "sector_id")
     return (
         records.join(sectors, F.col("partner_id") == F.col("_partner"), "left")
-        .transform(left_join_nullable, _delivery_infos(t), "sector_id", "info_sector_id", spread_by="id"))
+        .transform(skewed_join, _delivery_infos(t), "sector_id", "info_sector_id", spread_by="id"))
 
 
 def order_delivery_notes(t: Tables) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.plans.joins import left_join_nullable
+from tallyhouse.plans.joins import skewed_join
 from tallyhouse.plans.numbering import carry_forward
 
 Tables = Mapping[str, DataFrame]
@@ -94,7 +94,7 @@ def latest_open(changes: DataFrame) -> DataFrame:
 def stamp_pickings(t: Tables) -> DataFrame:
     """The picking table with the number of the open invoice of the same origin."""
     stamps = latest_open(t["account_invoice"])
-    joined = left_join_nullable(t["stock_picking"], stamps, "origin", "stamp_origin", spread_by="id")
+    joined = skewed_join(t["stock_picking"], stamps, "origin", "stamp_origin", spread_by="id")
     return joined.select(
         "id", "origin",
         F.when(F.col("stamp_origin").isNotNull(), F.col("stamp_number")).otherwise(F.col("factura")).alias("factura"))

@@ -1,23 +1,29 @@
-"""Join shapes for keys that are often NULL."""
+"""Join for a left side with hot or missing keys."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def left_join_nullable(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
-                       spread_by: str, pieces: int = 256) -> DataFrame:
-    """Left join whose left key is NULL on many rows.
+def skewed_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, spread_by: str,
+                how: str = "left", pieces: int = 256) -> DataFrame:
+    """The join of `left_key` and `right_key`, for a left side that is uneven.
 
-    All NULL keys hash to one partition, which then holds every row that cannot
-    match. A second key, 0 for real keys and a hash of `spread_by` for NULLs, deals
-    those rows out over `pieces` partitions. The result is that of the plain join.
+    Rows with a NULL key would all hash to one partition. A second join key, 0 for
+    real keys and a hash of `spread_by` for NULLs, deals them out over `pieces`.
+
+    AQE splits the partition of a hot key only if both inputs come straight from a
+    shuffle. An aggregated right side does not: it is partitioned by its key already.
+    With the second key it is shuffled for the join, as the small side it is.
     """
-    dealt = left.withColumn(
-        "_deal", F.when(F.col(left_key).isNull(), F.pmod(F.hash(spread_by), F.lit(pieces))).otherwise(F.lit(0)))
-    # Always 0, but computed from the key, so that it stays a join key.
-    other = right.withColumn("_deal_r", F.pmod(F.hash(right_key), F.lit(1)))
+    # 0 for every real key, but computed from it, so that the optimizer keeps it as a key.
+    def zero(key: str) -> Column:
+        return F.pmod(F.hash(key), F.lit(1))
+
+    dealt = left.withColumn("_deal", F.when(
+        F.col(left_key).isNull(), F.pmod(F.hash(spread_by), F.lit(pieces))).otherwise(zero(left_key)))
+    other = right.withColumn("_deal_r", zero(right_key))
     return (
-        dealt.join(other, (F.col(left_key) == F.col(right_key)) & (F.col("_deal") == F.col("_deal_r")), "left")
+        dealt.join(other, (F.col(left_key) == F.col(right_key)) & (F.col("_deal") == F.col("_deal_r")), how)
         .drop("_deal", "_deal_r"))

@@ -3,7 +3,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyhouse.plans.closure import ancestor_closure
-from tallyhouse.plans.joins import left_join_nullable
+from tallyhouse.plans.joins import skewed_join
 from tallyhouse.plans.numbering import PART, carry_forward, number_rows, number_within, ordered_stage
 
 
@@ -60,9 +60,9 @@ def test_carry_forward_matches_window(skewed, exclusive):
     assert carried.count() == 20_000
 
 
-def test_left_join_nullable_is_a_left_join(spark, skewed):
+def test_skewed_join_is_a_left_join(spark, skewed):
     right = spark.range(400).selectExpr("id k", "id*2 payload")
-    salted = left_join_nullable(skewed, right, "g", "k", spread_by="id")
+    salted = skewed_join(skewed, right, "g", "k", spread_by="id")
     plain = skewed.join(right, F.col("g") == F.col("k"), "left")
     assert salted.columns == plain.columns
     assert salted.exceptAll(plain).count() == 0 and plain.exceptAll(salted).count() == 0
@@ -73,7 +73,7 @@ def test_null_keys_are_spread(spark):
     try:
         left = spark.range(4000).selectExpr("id", "cast(null as bigint) g")
         right = spark.range(10_000).selectExpr("id k")
-        joined = left_join_nullable(left, right, "g", "k", spread_by="id")
+        joined = skewed_join(left, right, "g", "k", spread_by="id")
         sizes = joined.groupBy(F.spark_partition_id()).count().collect()
         assert max(r["count"] for r in sizes) < 4000
     finally:
