@@ -81,9 +81,6 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
-        # sources and sinks
-        "load_tables": _on(_load_tables),
-        "write_report": _on(_write_report),
         # report views
         "annex72_lines": _on(reports.annex72_lines),
         "commission_lines": _on(reports.commission_lines),
@@ -171,6 +168,9 @@ def queries() -> dict[str, Query]:
         "stamp_pickings": _on(status.stamp_pickings),
         "stamp_pickings_stream": _on(_stamp_stream),
         "number_rows": _on(_number_rows),
+        # sources and sinks
+        "load_tables": _on(_load_tables),
+        "write_report": _on(_write_report),
     }
 
 
