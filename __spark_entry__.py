@@ -145,6 +145,7 @@ def queries() -> dict[str, Query]:
         "address_children_provinces": _on(partners.address_children, level="province"),
         "address_children_sectors": _on(partners.address_children, level="sector", parent_id=12),
         "address_mismatches": _on(partners.address_mismatches),
+        "default_country": _on(partners.default_country),
         "zone_conflicts": _on(partners.zone_conflicts),
         "order_delivery_notes": _on(partners.order_delivery_notes),
         "invoice_delivery_notes": _on(partners.invoice_delivery_notes),

@@ -57,28 +57,27 @@ from assigned l join commission_rule r on r.id=l.commission_id join product_prod
 join product_template pt on pt.id=pp.product_tmpl_id join product_category pc on pc.id=pt.categ_id
 join account_invoice i on i.id=l.invoice_id and i.state='paid' join res_users u on u.id=i.user_id
 join res_partner p on p.id=u.partner_id join account_payment_term t on t.id=i.payment_term_id""",
+    "signed_moves": """
+select id move_id, name, date date_invoice, store_id, partner_id, journal_id, amount, case when coalesce(contains(ref,'Inversa'),false) then -1 else 1 end sign
+from account_move""",
     "movements": """
-select ap.id, case when ap.communication is null then 'ABONO' else ap.communication end invoice_number, rp.name partner_name,
- aj.name journal_name, am.date date_invoice, am.store_id, ap.payment_type,
- cast(case when am.ref like '%Inversa%' or ap.payment_type='outbound' then -round(am.amount,2) else round(am.amount,2) end as decimal(15,2)) amount_total,
- am.id move_id
-from account_move am left join account_payment ap on ap.move_name=am.name left join res_store rs on rs.id=ap.store_id
-left join res_partner rp on rp.id=am.partner_id left join account_journal aj on aj.id=am.journal_id
-where am.amount<>0 and aj.type in ('bank','cash')""",
+select p.id, coalesce(p.communication,'ABONO') invoice_number, c.name partner_name, j.name journal_name, m.date_invoice, m.store_id, p.payment_type,
+ cast(round(m.amount,2) * least(m.sign, case when p.payment_type='outbound' then -1 else 1 end) as decimal(15,2)) amount_total, m.move_id
+from signed_moves m join (select id, name from account_journal where type in ('bank','cash')) j on j.id=m.journal_id
+left join account_payment p on p.move_name=m.name left join res_partner c on c.id=m.partner_id where m.amount<>0""",
     "pays": """
-select ap.id, aj.id payment_journal_id, aj.name journal_name,
- cast(sum(case when am.ref like '%Inversa%' then -round(am.amount,2) else round(am.amount,2) end) as decimal(28,2)) subtotal,
- cast(sum(case when am.ref like '%Inversa%' then -round(am.amount*aj.x_porcentaje_comision,2) else round(am.amount*aj.x_porcentaje_comision,2) end) as decimal(28,2)) percentage_amount,
- cast(sum(case when am.ref like '%Inversa%' then -round(am.amount-am.amount*aj.x_porcentaje_comision,2) else round(am.amount-am.amount*aj.x_porcentaje_comision,2) end) as decimal(28,2)) payment_amount,
- am.store_id, am.date date_invoice
-from account_move am left join account_payment ap on ap.move_name=am.name left join account_journal aj on aj.id=am.journal_id
-where aj.at_least_one_outbound=false group by ap.id, aj.id, aj.name, am.store_id, am.date""",
+select p.id, j.id payment_journal_id, j.name journal_name, cast(sum(m.sign*round(m.amount,2)) as decimal(28,2)) subtotal,
+ cast(sum(m.sign*round(m.amount*j.x_porcentaje_comision,2)) as decimal(28,2)) percentage_amount,
+ cast(sum(m.sign*round(m.amount*(1-j.x_porcentaje_comision),2)) as decimal(28,2)) payment_amount, m.store_id, m.date_invoice
+from signed_moves m join account_journal j on j.id=m.journal_id and not j.at_least_one_outbound
+left join account_payment p on p.move_name=m.name group by all""",
     "taxed": """
-select ai.id, ait.tax_id, ai.write_uid, ru.store_id, ai.number invoice_number, ai.date_invoice, t.description tax_description,
- ait.amount tax_amount, ai.amount_tax invoice_amount_tax, rs.name store_name
-from account_invoice ai join account_invoice_tax ait on ait.invoice_id=ai.id join account_tax t on t.id=ait.tax_id
-join res_partner rp on rp.id=ai.partner_id join res_users ru on ru.id=ai.write_uid join res_store rs on rs.id=ru.store_id
-where ai.state='paid' and ai.type='out_invoice'""",
+select i.id, x.tax_id, i.write_uid, e.store_id, i.number invoice_number, i.date_invoice, x.description tax_description, x.amount tax_amount,
+ i.amount_tax invoice_amount_tax, e.store_name
+from account_invoice i
+join (select y.invoice_id, y.tax_id, y.amount, t.description from account_invoice_tax y join account_tax t on t.id=y.tax_id) x on x.invoice_id=i.id
+join (select u.id, u.store_id, s.name store_name from res_users u join res_store s on s.id=u.store_id) e on e.id=i.write_uid
+where i.type='out_invoice' and i.state='paid' and i.partner_id in (select id from res_partner)""",
     "first_paid": """
 select o.id order_id, q.id payment_id, q.payment_date first_payment_date
 from sale_order o join account_payment_term t on t.id=o.payment_term_id and t.payment_term_type='credit_payment'
@@ -422,6 +421,7 @@ from sector s left join province p on p.id=s.province_id left join district d on
     "address_mismatches": """
 select 'district' as level, c.id, p.id parent_id, c.country_id, p.country_id parent_country_id from district c join province p on p.id=c.province_id where c.country_id<>p.country_id
 union all select 'sector', c.id, p.id, c.country_id, p.country_id from sector c join district p on p.id=c.district_id where c.country_id<>p.country_id""",
+    "default_country": "select min(id) id from res_country where code='PA' having count(*)>0",
     "zone_conflicts": """
 select r.sector_id, s.name, count(distinct r.zone_id) zones from delivery_zone_sector r join sector s on s.id=r.sector_id group by 1,2 having count(distinct r.zone_id)>1""",
     "order_delivery_notes": _with_notes("sale_order", "concat(coalesce(r.note,''),coalesce(f.info,'')) note"),

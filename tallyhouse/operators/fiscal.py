@@ -50,7 +50,7 @@ def fiscal_eligibility(t: Tables) -> DataFrame:
         parents, "refund_invoice_id", "parent_of", spread_by="id")
     has_document = F.col("doc_id").isNotNull()
     status = (
-        F.when((F.col("amount_total") <= 0) & (F.col("type") == "out_invoice"), "total_not_positive")
+        F.when((F.coalesce("amount_total", F.lit(0)) <= 0) & (F.col("type") == "out_invoice"), "total_not_positive")
         .when(has_document & F.col("doc_status").isin("pending", "in_progress"), "printing_in_progress")
         .when(has_document & (F.col("doc_status") == "completed") & (F.col("doc_number") > 0), "printing_completed")
         .when(has_document, "noop")

@@ -125,6 +125,12 @@ def address_mismatches(t: Tables) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def default_country(t: Tables) -> DataFrame:
+    """The country new partners and zones start with."""
+    # Fixed value: the code of Panama.
+    return t["res_country"].filter(F.col("code") == "PA").select("id").orderBy("id").limit(1)
+
+
 def zone_conflicts(t: Tables) -> DataFrame:
     """Sectors that belong to more than one delivery zone."""
     names = t["sector"].select("id", "name")

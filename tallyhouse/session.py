@@ -18,6 +18,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
 
 def get_spark(app: str = "tallyhouse", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -32,6 +34,11 @@ def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session that somebody else built."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    context = spark.sparkContext
+    # AQE merges shuffle partitions that turn out small but never adds any, so a
+    # cluster starts wide. An explicit setting of the session stays.
+    if not context.master.startswith("local") and spark.conf.get(INITIAL_PARTITIONS, None) is None:
+        spark.conf.set(INITIAL_PARTITIONS, str(max(200, 4 * context.defaultParallelism)))
     return spark
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,19 +20,21 @@ def conform(df: DataFrame, schema: StructType) -> DataFrame:
 
 
 def load_tables(spark: SparkSession, directory: str, fmt: str = "parquet",
-                names: Iterable[str] | None = None, **options: str) -> dict[str, DataFrame]:
+                names: Iterable[str] | None = None, folders: Mapping[str, str] | None = None,
+                **options: str) -> dict[str, DataFrame]:
     """Business tables from `<directory>/<table>` (parquet, orc, csv or json).
 
-    Parquet and orc bring their own types and are cast to the fixed schema; text
+    `folders` maps a table to its folder where the two are named differently. Parquet and orc bring their own types and are cast to the fixed schema; text
     formats are read with it. No data is read until a result is asked for.
     """
     tables = {}
     for name in names or DDL:
         reader = spark.read.format(fmt).options(**options)
+        path = f"{directory}/{(folders or {}).get(name, name)}"
         if fmt in ("csv", "json"):
-            tables[name] = reader.schema(schema_of(name)).load(f"{directory}/{name}")
+            tables[name] = reader.schema(schema_of(name)).load(path)
         else:
-            tables[name] = conform(reader.load(f"{directory}/{name}"), schema_of(name))
+            tables[name] = conform(reader.load(path), schema_of(name))
     return tables
 
 
@@ -46,9 +48,11 @@ def jdbc_options(url: str, table: str, key: str = "id", lower: int = 0, upper: i
     return options
 
 
-def load_jdbc(spark: SparkSession, name: str, **jdbc: str | int) -> DataFrame:
-    """One business table from a relational database. Needs the driver's jar."""
-    return conform(spark.read.format("jdbc").options(**jdbc_options(table=name, **jdbc)).load(), schema_of(name))
+def load_jdbc(spark: SparkSession, name: str, source: str | None = None, **jdbc: str | int) -> DataFrame:
+    """One business table from the relation `source` of a database; by default that of
+    its own name. Needs the driver's jar."""
+    options = jdbc_options(table=source or name, **jdbc)
+    return conform(spark.read.format("jdbc").options(**options).load(), schema_of(name))
 
 
 def write_report(df: DataFrame, path: str, partition_by: str | None = None) -> None:

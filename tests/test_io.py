@@ -30,6 +30,12 @@ def test_missing_columns_are_null(spark, tmp_path):
     assert loaded.filter("ruc is null and name = 'x'").count() == 3
 
 
+def test_folder_of_another_name(spark, tmp_path):
+    table(spark, "commission_rule", {"id": 1, "percentage": D("2.50")}).write.parquet(f"{tmp_path}/rules_v2")
+    loaded = load_tables(spark, str(tmp_path), names=["commission_rule"], folders={"commission_rule": "rules_v2"})
+    assert values(loaded["commission_rule"], "id", "percentage") == [(1, D("2.50"))]
+
+
 def test_report_has_a_folder_per_value(spark, tmp_path):
     path = str(tmp_path / "report")
     rows = spark.range(100).selectExpr("id", "date_add(date'2020-01-01', cast(id%3 as int)) day")
