@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.columns import percent_of
@@ -46,7 +46,7 @@ def _valid_rules(t: Tables) -> DataFrame:
         .agg(F.min("id").alias("rule_id"), F.min_by("percentage", "id").alias("percentage")))
 
 
-def _nearest_rules(t: Tables) -> DataFrame:
+def nearest_rules(t: Tables) -> DataFrame:
     """The rule of each category and term: its own, or that of the nearest ancestor.
     Written out so that its real size decides how the lines meet it."""
     rules = _valid_rules(t).withColumnRenamed("category_id", "ancestor_id")
@@ -57,6 +57,11 @@ def _nearest_rules(t: Tables) -> DataFrame:
         "rules")
 
 
+def commission_total() -> Column:
+    """The rule's percentage of a line's subtotal."""
+    return percent_of(F.col("price_subtotal"), F.col("rule_percentage")).cast("decimal(22,6)")
+
+
 def commission_assign(t: Tables) -> DataFrame:
     """The line table with its commission columns.
 
@@ -77,13 +82,13 @@ def commission_assign(t: Tables) -> DataFrame:
     new = {
         "commission_id": F.col("rule_id"),
         "commission_percentage": F.col("rule_percentage"),
-        "commission_total": percent_of(F.col("price_subtotal"), F.col("rule_percentage")).cast("decimal(22,6)"),
+        "commission_total": commission_total(),
     }
     return (
         lines
         .join(invoices, F.col("invoice_id") == F.col("_inv"), "left")
         .join(product_attributes(t, _categ="categ_id"), F.col("product_id") == F.col("product_key"), "left")
-        .join(_nearest_rules(t), (F.col("_categ") == F.col("rule_category_id")) & (F.col("_term") == F.col("rule_term_id")),
+        .join(nearest_rules(t), (F.col("_categ") == F.col("rule_category_id")) & (F.col("_term") == F.col("rule_term_id")),
               "left")
         .select(*[c for c in lines.columns if c not in new],
                 *[F.when(hit, new[name]).otherwise(kept[name]).alias(name) for name in new]))

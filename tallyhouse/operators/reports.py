@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.columns import MONEY, MONEY_SUM, small_number
-from tallyhouse.operators.commissions import assigned_lines
+from tallyhouse.operators.commissions import commission_total, nearest_rules
 from tallyhouse.operators.fiscal import fiscal_filenames
 from tallyhouse.operators.products import product_attributes
 from tallyhouse.plans.numbering import number_rows
@@ -70,52 +70,52 @@ def annex72_lines(t: Tables) -> DataFrame:
 
 def commission_lines(t: Tables) -> DataFrame:
     """Lines of paid invoices that carry a commission. Refunds and supplier bills count
-    as well, with a positive sign."""
-    lines = assigned_lines(t).filter(F.col("commission_id").isNotNull()).select(
-        F.col("id").alias("line_id"), "invoice_id", F.col("name").alias("line_name"), "product_id", "quantity",
-        "price_unit", "price_subtotal", "price_total", "discount", "commission_id", "commission_percentage",
-        "commission_total")
-    rules = t["commission_rule"].select(F.col("id").alias("rule_id"))
-    products = product_attributes(t, categ_id="categ_id")
-    categories = t["product_category"].select(F.col("id").alias("cat_id"), F.col("name").alias("cat_name"))
+    as well, with a positive sign.
+
+    Lines without commission columns get their rule here, on the way: the same as
+    `commission_assign` first, but the lines meet invoices and products only once.
+    """
+    lines = t["account_invoice_line"]
+    stored = "commission_id" in lines.columns
+    if stored:
+        lines = lines.filter(F.col("commission_id").isNotNull())
     invoices = t["account_invoice"].filter(F.col("state") == "paid").select(
-        F.col("id").alias("inv_id"), "user_id", "payment_term_id", "number", "state", "date_invoice")
+        F.col("id").alias("inv_id"), "user_id", "payment_term_id", F.col("number").alias("invoice_number"),
+        F.col("state").alias("invoice_state"), F.col("date_invoice").alias("invoice_date"))
+    sold = (
+        lines.withColumnsRenamed({"id": "line_id", "name": "product_name"})
+        .join(invoices, F.col("invoice_id") == F.col("inv_id"))
+        .join(product_attributes(t, category_id="categ_id"), F.col("product_id") == F.col("product_key")))
+    if not stored:
+        same_rule = (F.col("category_id") == F.col("rule_category_id")) & (
+            F.col("payment_term_id") == F.col("rule_term_id"))
+        sold = sold.join(nearest_rules(t), same_rule).withColumns({
+            "commission_id": F.col("rule_id"), "commission_percentage": F.col("rule_percentage"),
+            "commission_total": commission_total()})
+    rules = t["commission_rule"].select(F.col("id").alias("_rule"))
+    categories = t["product_category"].select(F.col("id").alias("cat_id"), F.col("name").alias("category_name"))
     users = t["res_users"].select(F.col("id").alias("ru_id"), F.col("partner_id").alias("ru_partner_id"))
-    partners = t["res_partner"].select(F.col("id").alias("rp_id"), F.col("name").alias("rp_name"))
+    partners = t["res_partner"].select(F.col("id").alias("rp_id"), F.col("name").alias("vendor_name"))
     # Written out so that its real size decides how the lines meet it.
     vendors = stage(users.join(partners, F.col("ru_partner_id") == F.col("rp_id")), "vendors")
-    terms = t["account_payment_term"].select(F.col("id").alias("apt_id"), F.col("name").alias("apt_name"))
+    terms = t["account_payment_term"].select(F.col("id").alias("apt_id"), F.col("name").alias("payment_term_name"))
     return (
-        lines
-        .join(rules, F.col("commission_id") == F.col("rule_id"))
-        .join(invoices, F.col("invoice_id") == F.col("inv_id"))
-        .join(products, F.col("product_id") == F.col("product_key"))
-        .join(categories, F.col("categ_id") == F.col("cat_id"))
+        sold
+        .join(rules, F.col("commission_id") == F.col("_rule"), "left_semi")
+        .join(categories, F.col("category_id") == F.col("cat_id"))
         .join(vendors, F.col("user_id") == F.col("ru_id"))
         .join(terms, F.col("payment_term_id") == F.col("apt_id"))
         .select(
             F.col("line_id").alias("id"),
             F.col("line_id").alias("account_invoice_line_id"),
-            "invoice_id",
-            "product_id",
-            "commission_id",
-            F.col("categ_id").alias("category_id"),
+            "invoice_id", "product_id", "commission_id", "category_id",
             F.col("user_id").alias("vendor_id"),
-            "payment_term_id",
-            F.col("line_name").alias("product_name"),
-            F.col("cat_name").alias("category_name"),
-            F.col("number").alias("invoice_number"),
-            F.col("rp_name").alias("vendor_name"),
-            F.col("apt_name").alias("payment_term_name"),
-            F.col("state").alias("invoice_state"),
-            F.col("date_invoice").alias("invoice_date"),
-            "quantity",
+            "payment_term_id", "product_name", "category_name", "invoice_number", "vendor_name", "payment_term_name",
+            "invoice_state", "invoice_date", "quantity",
             F.col("price_unit").alias("product_price_unit"),
             F.col("price_subtotal").alias("subtotal"),
             F.col("price_total").alias("total"),
-            "discount",
-            "commission_percentage",
-            "commission_total"))
+            "discount", "commission_percentage", "commission_total"))
 
 
 def _reversal() -> Column:

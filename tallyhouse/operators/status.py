@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.plans.joins import skewed_join
 from tallyhouse.plans.numbering import carry_forward
+from tallyhouse.session import stage
 
 Tables = Mapping[str, DataFrame]
 
@@ -40,11 +41,12 @@ def credit_note_effects(t: Tables) -> DataFrame:
     log = t["credit_note_log"]
     opens = F.col("action").isin("request", "reject")
     request = F.when(F.col("action") == "request", F.struct("reason", "happened_on"))
-    steps = carry_forward(log, ["invoice_id"], ["id"], {
+    # Written out: the records, their approvals and their closings all read it.
+    steps = stage(carry_forward(log, ["invoice_id"], ["id"], {
         "record_id": F.when(opens, F.col("id")),
         "_request": request,
         "_earlier": F.when(opens, F.col("id")),
-    }, exclusive=("_earlier",))
+    }, exclusive=("_earlier",)), "steps")
     approvals = (
         steps.filter((F.col("action") == "approve") & F.col("record_id").isNotNull())
         .groupBy(F.col("record_id").alias("_approved")).agg(F.max_by("happened_on", "id").alias("approved_on")))

@@ -4,8 +4,9 @@ import datetime as dt
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import functions as F
 
-from tallyhouse.operators import commissions, fiscal, orders, partners, quality, status, stock, withholding
+from tallyhouse.operators import commissions, fiscal, orders, partners, quality, reports, status, stock, withholding
 from tests.builders import table, tables, values
 
 DAY = dt.date(2020, 5, 1)
@@ -54,6 +55,18 @@ def test_stored_commission_is_kept_without_a_rule(spark, sales):
     assert rows == [(1, 1), (2, 2), (3, 77), (4, 77), (5, 77), (6, 2)]
 
 
+def test_report_reads_stored_commissions_or_assigns_them(spark, sales):
+    t = {**sales, **tables(
+        spark, res_users=[{"id": 1, "partner_id": 1}], res_partner=[{"id": 1, "name": "V"}],
+        account_payment_term=[{"id": 1, "name": "T1"}, {"id": 2, "name": "T2"}])}
+    t["account_invoice"] = t["account_invoice"].withColumn("user_id", F.lit(1))
+    columns = ("id", "commission_id", "commission_total", "vendor_name", "payment_term_name", "category_id")
+    assigned = values(reports.commission_lines(t), *columns)
+    stored = {**t, "account_invoice_line": commissions.commission_assign(t)}
+    assert assigned == values(reports.commission_lines(stored), *columns)
+    assert assigned == [(1, 1, D("0.250250"), "V", "T1", 3), (2, 2, D("0.400400"), "V", "T2", 3), (6, 2, D("0.400400"), "V", "T2", 2)]
+
+
 def test_rule_conflicts_and_use(sales):
     assert values(commissions.commission_rule_conflicts(sales), "id", "reason") == [
         (2, "duplicate"), (3, "duplicate"), (4, "percentage_not_positive")]
