@@ -38,11 +38,13 @@ from supplier""",
     "res_store": "select r_regionkey+1 id, concat('Store ',r_name) as name from region",
     "res_users": """
 select n_nationkey+1 id, n_nationkey+1 partner_id, concat('u',cast(n_nationkey as varchar)) login, n_regionkey+1 store_id from nation""",
-    "res_company": "select * from (values (1,'Company 1',1),(2,'Company 2',2)) t(id,name,partner_id)",
+    "res_company": """
+select r_regionkey+1 id, concat('Company ',cast(r_regionkey+1 as varchar)) as name, r_regionkey+1 partner_id from region where r_regionkey<2""",
     "product_category": """
-select id,name,parent_id from (values (1,'All',null),(2,'ECONOMY',1),(3,'LARGE',1),(4,'MEDIUM',1),(5,'PROMO',1),(6,'SMALL',1),(7,'STANDARD',1)) t(id,name,parent_id)
-union all select c*100+b, concat('leaf',cast(c*100+b as varchar)), c
-from (values (2),(3),(4),(5),(6),(7)) a(c) cross join (values (0),(1),(2),(3),(4)) x(b)""",
+select distinct 1 id, 'All' as name, cast(null as int) parent_id from part
+union all select distinct case substr(p_type,1,1) when 'E' then 2 when 'L' then 3 when 'M' then 4 when 'P' then 5 else case when p_type like 'SM%' then 6 else 7 end end, p_type, 1 from part
+union all select distinct (case substr(p_type,1,1) when 'E' then 2 when 'L' then 3 when 'M' then 4 when 'P' then 5 else case when p_type like 'SM%' then 6 else 7 end end)*100+p_size%5,
+ concat('leaf',cast((case substr(p_type,1,1) when 'E' then 2 when 'L' then 3 when 'M' then 4 when 'P' then 5 else case when p_type like 'SM%' then 6 else 7 end end)*100+p_size%5 as varchar)), case substr(p_type,1,1) when 'E' then 2 when 'L' then 3 when 'M' then 4 when 'P' then 5 else case when p_type like 'SM%' then 6 else 7 end end from part""",
     "product_template": """
 select p_partkey id, p_name as name, concat('P',cast(p_partkey as varchar)) default_code,
  (case substr(p_type,1,1) when 'E' then 2 when 'L' then 3 when 'M' then 4 when 'P' then 5 else case when p_type like 'SM%' then 6 else 7 end end)*100+p_size%5 categ_id,
@@ -66,8 +68,9 @@ select o_orderkey id, case when o_orderkey%50=0 then null else concat('SO',cast(
 select * from (values (1,'1-URGENT','cash_payment'),(2,'2-HIGH','cash_payment'),(3,'3-MEDIUM','credit_payment'),
  (4,'4-NOT SPECIFIED','credit_payment'),(5,'5-LOW','credit_payment')) t(id,name,payment_term_type)""",
     "commission_rule": """
-select id, cast(percentage as decimal(5,2)) percentage, category_id, payment_term_id
-from (values (1,2.50,1,1),(2,3.00,1,3),(3,4.25,2,1),(4,5.00,3,2),(5,1.75,200,3),(6,6.10,301,2),(7,2.00,4,4),(8,0.00,5,5),(9,3.00,1,3)) t(id,percentage,category_id,payment_term_id)""",
+select (c.id*10+t)*10+k id, cast((c.id*13+t*7+k)%21*0.25 as decimal(5,2)) percentage, c.id category_id, t payment_term_id
+from product_category c cross join (values (1),(2),(3),(4),(5)) a(t) cross join (values (1),(2)) b(k)
+where (c.id=1 and t in (1,3) or c.id between 2 and 99 and (c.id*7+t)%3=0 or c.id>99 and (c.id+t)%5=0) and (k=1 or (c.id+t)%4=0)""",
     "account_journal": """
 select * from (values (1,'CSH1','Efectivo','cash',true,0.0000),(2,'BNK1','Banco','bank',false,0.0150),(3,'TC-V','Visa','bank',false,0.0325),
  (4,'TD-C','Clave','bank',false,0.0200),(5,'MISC','Varios','general',false,null),(6,'CSH12','Caja 2','cash',false,0.0000)) t(id,code,name,type,at_least_one_outbound,x_porcentaje_comision)""",
@@ -79,7 +82,7 @@ select * from (values (1,'001','Concepto A',1),(2,'12','Concepto B',2),(3,'7','C
     "account_account": """
 select id, concat('acct',cast(id as varchar)) as name, case when id%3=0 then null else id%5+1 end partner_concept_id,
  case when id%13=0 then 3 else cast(id%2+1 as int) end company_id, case when id%4=0 then 'payable' else 'other' end internal_type, id%7=0 deprecated
-from (select p_partkey+1 id from part where p_partkey<40) x""",
+from (select distinct p_partkey%40+1 id from part) x""",
     "fiscal_printer": """
 select n_nationkey+1 id, concat('SER',cast(n_nationkey as varchar)) serial, n_nationkey+1 employee_id, n_nationkey%2=0 merge_invoices_orders
 from nation where n_nationkey%6<>5""",
@@ -160,7 +163,7 @@ from (select o_orderkey*10+k id, o_orderkey invoice_id,
   case when k=1 then 'request' when k=2 then case when o_orderkey%2=0 then 'approve' else 'reject' end when k=3 then 'reject'
    when k=4 then case when o_orderkey%4<2 then 'request' else 'reject' end else 'approve' end as action,
   o_orderdate+to_days(k) happened_on
- from orders cross join (values (1),(2),(3),(4),(5)) t(k) where o_orderkey%3=0 and k<=o_orderkey%5+1) b""",
+ from orders cross join (values (1),(2),(3),(4),(5)) t(k) where k<=o_orderkey%5+1) b""",
     "withholding_certificate": """
 select i.id, i.id invoice_id, t.tax_id account_tax_id, i.date_invoice+15 certificated_on, i.create_date,
  case when i.id%4=0 then 'draft' else 'approved' end state, i.id%2+1 company_id, case when i.id%5=0 then 'Contabilidad' end comments

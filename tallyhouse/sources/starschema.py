@@ -4,8 +4,8 @@ Test and benchmark input: the same columns an ERP database would deliver, comput
 from `region nation customer supplier part orders lineitem`. Tables are built on
 first use. Those an ERP stores but that need a shuffle to derive here (line ids,
 invoice totals, invoice taxes, printed documents) are written once per session to
-the shared folder and read from there. So are two small tables filtered out of a
-large one, whose size the optimizer could not tell otherwise.
+the shared folder and read from there. So are small tables taken from a large one,
+whose size the optimizer could not tell otherwise.
 """
 
 from __future__ import annotations
@@ -152,26 +152,32 @@ def res_users(t: StarTables) -> DataFrame:
 
 @_table
 def res_company(t: StarTables) -> DataFrame:
-    return t.fixed("id, name, partner_id", "(1,'Company 1',1),(2,'Company 2',2)")
+    return t.raw("region").filter("r_regionkey<2").selectExpr(
+        "r_regionkey+1 id", "concat('Company ',cast(r_regionkey+1 as string)) name", "r_regionkey+1 partner_id")
 
 
 # --- products and stock -----------------------------------------------------
 
+# A part's type as a category; its size picks a category below that.
+TYPE_CATEGORY = ("(case substr(p_type,1,1) when 'E' then 2 when 'L' then 3 when 'M' then 4 when 'P' then 5 "
+                 "else case when p_type like 'SM%' then 6 else 7 end end)")
+
+
 @_table
 def product_category(t: StarTables) -> DataFrame:
-    tops = t.fixed("id, name, parent_id", "(1,'All',null),(2,'ECONOMY',1),(3,'LARGE',1),(4,'MEDIUM',1),"
-                                          "(5,'PROMO',1),(6,'SMALL',1),(7,'STANDARD',1)")
-    leaves = tops.filter("id>1").selectExpr("id c", "explode(array(0,1,2,3,4)) b").selectExpr(
-        "c*100+b id", "concat('leaf',cast(c*100+b as string)) name", "c parent_id")
-    return tops.union(leaves)
+    kinds = t.raw("part").selectExpr(f"{TYPE_CATEGORY} c", "p_type", "p_size%5 b").distinct()
+    levels = kinds.selectExpr(
+        "inline(array(named_struct('id',1,'name','All','parent_id',cast(null as int)),"
+        "named_struct('id',c,'name',p_type,'parent_id',1),"
+        "named_struct('id',c*100+b,'name',concat('leaf',cast(c*100+b as string)),'parent_id',c)))")
+    return stage(levels.distinct(), "category")
 
 
 @_table
 def product_template(t: StarTables) -> DataFrame:
     return t.raw("part").selectExpr(
         "p_partkey id", "p_name name", "concat('P',cast(p_partkey as string)) default_code",
-        "(case substr(p_type,1,1) when 'E' then 2 when 'L' then 3 when 'M' then 4 when 'P' then 5 "
-        "else case when p_type like 'SM%' then 6 else 7 end end)*100+p_size%5 categ_id",
+        f"{TYPE_CATEGORY}*100+p_size%5 categ_id",
         "cast(substr(p_brand,7) as int) product_brand_id", "cast(p_retailprice as decimal(15,2)) list_price")
 
 
@@ -228,9 +234,13 @@ def account_payment_term(t: StarTables) -> DataFrame:
 
 @_table
 def commission_rule(t: StarTables) -> DataFrame:
-    return t.fixed("id, percentage, category_id, payment_term_id",
-                   "(1,2.50,1,1),(2,3.00,1,3),(3,4.25,2,1),(4,5.00,3,2),(5,1.75,200,3),(6,6.10,301,2),"
-                   "(7,2.00,4,4),(8,0.00,5,5),(9,3.00,1,3)")
+    """Rules on all levels of the category tree; some repeated, some of 0 percent."""
+    return t["product_category"].selectExpr("id category_id", "explode(array(1,2,3,4,5)) payment_term_id").filter(
+        "category_id=1 and payment_term_id in (1,3) or category_id between 2 and 99 and (category_id*7+payment_term_id)%3=0 "
+        "or category_id>99 and (category_id+payment_term_id)%5=0").selectExpr(
+        "*", "explode(case when (category_id+payment_term_id)%4=0 then array(1,2) else array(1) end) k").selectExpr(
+        "(category_id*10+payment_term_id)*10+k id",
+        "cast((category_id*13+payment_term_id*7+k)%21*0.25 as decimal(5,2)) percentage", "category_id", "payment_term_id")
 
 
 @_table
@@ -256,7 +266,7 @@ def partner_concept(t: StarTables) -> DataFrame:
 
 @_table
 def account_account(t: StarTables) -> DataFrame:
-    return stage(t.raw("part").filter("p_partkey<40").selectExpr("p_partkey+1 id").selectExpr(
+    return stage(t.raw("part").selectExpr("p_partkey%40+1 id").distinct().selectExpr(
         "id", "concat('acct',cast(id as string)) name", "case when id%3=0 then null else id%5+1 end partner_concept_id",
         "case when id%13=0 then 3 else id%2+1 end company_id",
         "case when id%4=0 then 'payable' else 'other' end internal_type", "id%7=0 deprecated"), "account")
@@ -448,9 +458,9 @@ def credit_note_request(t: StarTables) -> DataFrame:
 
 @_table
 def credit_note_log(t: StarTables) -> DataFrame:
-    """What happened to the requests of every third order: request, then by the
-    order's key approvals and rejections."""
-    return t.raw("orders").filter("o_orderkey%3=0").selectExpr(
+    """What happened to the requests for each order: request, then by the order's key
+    approvals and rejections."""
+    return t.raw("orders").selectExpr(
         "*", "explode(slice(array(1,2,3,4,5),1,cast(o_orderkey%5+1 as int))) k").selectExpr(
         "o_orderkey*10+k id", "o_orderkey invoice_id",
         "case when k=1 then 'request' when k=2 then case when o_orderkey%2=0 then 'approve' else 'reject' end "
