@@ -20,6 +20,12 @@ from tallyhouse.sources.starschema import StarTables, star_tables
 from tallyhouse.sources.tables import write_report
 from tallyhouse.streaming.pickings import stamp_pickings_stream, stamped_pickings
 
+try:  # a subpackage of its own, which may be absent
+    import corpus_pipeline
+    from tallyhouse.llm import queries as llm
+except ImportError:
+    corpus_pipeline = llm = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 # The run day at which orders fall due in the test data, and one cash report.
@@ -80,7 +86,9 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    more = {**llm.QUERIES, "pipeline": corpus_pipeline.run} if llm else {}
     return {
+        **more,
         # report views
         "annex72_lines": _on(reports.annex72_lines),
         "commission_lines": _on(reports.commission_lines),
@@ -176,4 +184,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return build_oracle()
+    if not llm:
+        return build_oracle()
+    more = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {**build_oracle(), **llm.ORACLE, **more}

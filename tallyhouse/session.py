@@ -21,6 +21,12 @@ RUNTIME_CONF = {
 INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 
+def one_machine(spark: SparkSession) -> bool:
+    """Whether driver and tasks share a machine's folders: `local` and `local[n]`, not `local-cluster[...]`."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def get_spark(app: str = "tallyhouse", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -37,7 +43,7 @@ def tune(spark: SparkSession) -> SparkSession:
     context = spark.sparkContext
     # AQE merges shuffle partitions that turn out small but never adds any, so a
     # cluster starts wide. An explicit setting of the session stays.
-    if not context.master.startswith("local") and spark.conf.get(INITIAL_PARTITIONS, None) is None:
+    if not one_machine(spark) and spark.conf.get(INITIAL_PARTITIONS, None) is None:
         spark.conf.set(INITIAL_PARTITIONS, str(max(200, 4 * context.defaultParallelism)))
     return spark
 
@@ -54,7 +60,7 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir():
         return context.getCheckpointDir().rstrip("/")
-    if not context.master.startswith("local"):
+    if not one_machine(spark):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="tallyhouse-"))
     return context.getCheckpointDir().rstrip("/")
