@@ -18,6 +18,7 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+SPARK_DEFAULT_PARTITIONS = "200"
 INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 
@@ -43,7 +44,8 @@ def tune(spark: SparkSession) -> SparkSession:
     context = spark.sparkContext
     # AQE merges shuffle partitions that turn out small but never adds any, so a
     # cluster starts wide. An explicit setting of the session stays.
-    if not one_machine(spark) and spark.conf.get(INITIAL_PARTITIONS, None) is None:
+    given = spark.conf.get(INITIAL_PARTITIONS, None) or spark.conf.get("spark.sql.shuffle.partitions") != SPARK_DEFAULT_PARTITIONS
+    if not one_machine(spark) and not given:
         spark.conf.set(INITIAL_PARTITIONS, str(max(200, 4 * context.defaultParallelism)))
     return spark
 
