@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tallyhouse.llm.columns import text_or_empty
 from tallyhouse.llm.mixing import pareto_mix
+from tallyhouse.llm.ship import ship
 from tallyhouse.llm.sharding import shard_rows
+from tallyhouse.llm.tokens import token_files
 from tallyhouse.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,17 +19,23 @@ SHARDS = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(tune(spark))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(tune(spark), sf_dir, "documents").select("doc_id", "text", "source")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return pareto_mix(docs, keep_text=False).select(
         "doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 def op2_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(tune(spark), sf_dir, "documents").select(
+    docs = table(spark, sf_dir, "documents").select(
         "doc_id",
         (F.octet_length(text_or_empty("text")) + 1).cast("long").alias("size"),
         F.crc32(text_or_empty("text").cast("binary")).alias("text_crc32"),
@@ -37,9 +45,15 @@ def op2_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), "row_number")
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files(docs, tokenizer_path()).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES: dict[str, Query] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_feistel_shards": op2_feistel_shards,
+    "op9_token_files": op9_token_files,
 }
 
 ORACLE: dict[str, str] = {}
