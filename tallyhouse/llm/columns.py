@@ -32,3 +32,13 @@ def free_name(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def ascii_lower(text: str) -> Column:
+    """The text with A-Z, and no other letter, in lower case; NULL is empty."""
+    return F.translate(text_or_empty(text), UPPER, LOWER)
+
+
+def plain_words(text: str) -> Column:
+    """The lower-cased runs of digits, ASCII letters and characters beyond ASCII."""
+    return F.array_remove(F.split(ascii_lower(text), NOT_WORD), "")

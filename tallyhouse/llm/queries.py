@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.columns import text_or_empty
+from tallyhouse.llm.decontamination import contamination
 from tallyhouse.llm.mixing import pareto_mix
 from tallyhouse.llm.ship import ship
 from tallyhouse.llm.sharding import shard_rows
@@ -45,6 +46,12 @@ def op2_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), "row_number")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_files(docs, tokenizer_path()).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -53,7 +60,26 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_feistel_shards": op2_feistel_shards,
+    "op4_decontamination": op4_decontamination,
     "op9_token_files": op9_token_files,
 }
 
-ORACLE: dict[str, str] = {}
+# The letters to lower, and what separates words.
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = f"regexp_extract_all(translate(coalesce(text,''),'{_UPPER}','{_LOWER}'),'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+ORACLE: dict[str, str] = {
+    "op4_decontamination": f"""
+with d as (select row_number() over () rn, doc_id, {_WORDS} w from documents),
+ b as (select coalesce(cast(item_id as varchar),'') item, {_WORDS} w from benchmark),
+ win as (select distinct item, least(10,len(w)) n, list_slice(w,p0,p0+least(10,len(w))-1) ws
+  from (select item, w, unnest(range(1,len(w)-least(10,len(w))+2)) p0 from b where len(w)>0)),
+ sizes as (select distinct n from win),
+ grams as (select rn, p0, n, list_slice(w,p0,p0+n-1) ws from (select rn, w, n, unnest(range(1,len(w)-n+2)) p0 from d, sizes where len(w)>=n)),
+ hits as (select g.rn, g.p0, g.n, win.item from grams g join win on win.n=g.n and win.ws=g.ws),
+ cover as (select rn, count(distinct p) n_hit from (select rn, unnest(range(p0,p0+n)) p from hits) group by rn),
+ found as (select rn, count(distinct item) n_items, sha256(string_agg(distinct item, ',' order by item)) h from hits group by rn)
+select doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit,0) n_hit, coalesce(n_items,0) n_items, coalesce(h,sha256('')) items_sha256,
+ n_hit is not null contaminated
+from d left join cover using(rn) left join found using(rn)""",
+}
