@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.columns import plain_words
-from tallyhouse.session import stage
+from tallyhouse.llm.scratch import stage
 
 WINDOW = 10
 # Most bytes of window table that are sent to every executor.

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.columns import SPACED_WORD, text_or_empty, uniform
-from tallyhouse.session import stage
+from tallyhouse.llm.scratch import stage
 
 BUCKETS = 4096
 ADDED = ["size", "source_size", "target", "copies", "taken"]

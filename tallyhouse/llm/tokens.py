@@ -7,127 +7,188 @@ tokens share a control byte. The vocabulary table beside the blocks maps rank to
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.ship import ship
-from tallyhouse.session import new_path, stage
+from tallyhouse.llm.scratch import stage
+from tallyhouse.session import new_path
 
-CACHE_ENTRIES = 400_000
-BATCH_CHARS = 4_000_000
-BLOCK_IDS = 1 << 19
+# Pieces of text whose ids a worker remembers, in each of two generations.
+CACHE_ENTRIES = 300_000
+# Rows of an Arrow batch, and so the documents of a block at most.
+ARROW_ROWS = 512
 
-_tokenizers: dict = {}
+_encoders: dict = {}
+
+
+def byte_letters() -> dict[int, str]:
+    """The character that a byte-level vocabulary writes for each byte: itself if it is visible, else one from 256 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(256 + i) for i, b in enumerate(hidden)} | {b: chr(b) for b in visible}
+
+
+class Pieces(dict):
+    """Ids (as bytes) by piece of text: what a space and the piece behind it encode to.
+
+    Two generations of at most CACHE_ENTRIES pieces are kept; pieces that are used stay.
+    """
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder, self.old, self.bare = encoder, {}, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self._encode(piece)
+        if len(self) >= CACHE_ENTRIES:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+    def _encode(self, piece: str) -> bytes:
+        encoder = self.encoder
+        if not SIMPLE.fullmatch(piece):
+            return encoder.whole(" " + piece)
+        if piece.isalpha():
+            return encoder.word(" " + piece)
+        out = b""
+        for part in encoder.pattern.findall(" " + piece):
+            if part[0] == " " and part[1:].isalpha():
+                out += self[part[1:]]
+            else:
+                ids = self.bare.get(part)
+                if ids is None:
+                    if len(self.bare) >= CACHE_ENTRIES // 4:
+                        self.bare.clear()
+                    ids = self.bare[part] = encoder.word(part)
+                out += ids
+        return out
+
+
+# Characters that every Unicode version puts in the same class: visible ASCII, line feed, Latin letters.
+SIMPLE = re.compile("[!-~\n\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+# A space before a blank or an unusual character, where a text is not cut.
+HARD = re.compile(r" (?![!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])")
 
 
 class Encoder:
-    """Encodes texts piece by piece with one tokenizer, and remembers the pieces.
+    """Encodes texts piece by piece with one tokenizer file, and remembers the pieces.
 
     A byte-level tokenizer with the usual word pattern always starts a new word at a space that
-    has a visible character behind it, so a text may be cut before each such space and
-    the pieces encoded alone. Their ids are kept as bytes in a table of bounded size.
+    has a visible character behind it, so a text may be cut at each such space and its
+    pieces encoded alone; a piece is cut into words by the same pattern, and words
+    go to the tokenizer's model. Other tokenizers, and texts with a special token, are encoded whole.
     """
 
-    CUT = re.compile(r" (?=[^\s\x1c-\x1f\x85])")
-
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        known = self.known
-        first, later = [], []
-        for text in texts:
-            head, *rest = self.CUT.split(text) if self._needs_care(text) else text.split(" ")
-            first.append(head)
-            later.append(rest)
-        new = {w for rest in later for w in rest if w not in known}
-        fresh = list(new)
-        heads = list(dict.fromkeys(first))
-        if len(known) + len(fresh) > CACHE_ENTRIES:
-            known.clear()
-            fresh = list({w for rest in later for w in rest})
-        for some, prefix, into in ((fresh, " ", known), (heads, "", head_ids := {})):
-            for at in range(0, len(some), 20_000):
-                part = some[at:at + 20_000]
-                for w, code in zip(part, self.tokenizer.encode_batch([prefix + w for w in part], add_special_tokens=False)):
-                    into[w] = np.array(code.ids, dtype="<u4").tobytes()
-        return [head_ids[head] + b"".join(map(known.__getitem__, rest)) for head, rest in zip(first, later)]
-
-    @staticmethod
-    def _needs_care(text: str) -> bool:
-        """Whether some space is not followed by a visible character."""
-        return text.endswith(" ") or _HARD.search(text) is not None
-
-
-_HARD = re.compile(r" [\s\x1c-\x1f\x85]")
+        self.model = self.tokenizer.model
+        made = json.loads(self.tokenizer.to_str())
+        first = made["pre_tokenizer"] or {}
+        self.by_piece = (
+            made["normalizer"] is None and made["post_processor"] is None and made["model"]["type"] == "BPE"
+            and first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space")
+            and not any(made["model"].get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix")))
+        # Fixed value: the word pattern of byte-level pre-tokenization.
+        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+        self.special = [x["content"] for x in made["added_tokens"]]
+        self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.code = "H" if self.width == "<u2" else "I"
+        self.letters = byte_letters()
+        self.pieces = Pieces(self)
+
+    def whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def word(self, word: str) -> bytes:
+        """The ids of one word of the pattern."""
+        spelled = word.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [x.id for x in self.model.tokenize(spelled)]).tobytes()
+
+    def text(self, text: str) -> bytes:
+        if not self.by_piece or any(x in text for x in self.special):
+            return self.whole(text)
+        if HARD.search(text) is None:
+            head, *rest = text.split(" ")
+        else:
+            head, *rest = CUT.split(text)
+        return self.whole(head) + b"".join(map(self.pieces.__getitem__, rest))
+
+
+CUT = re.compile(r" (?=[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])")
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _tokenizers:
-        _tokenizers[path] = Encoder(path)
-    return _tokenizers[path]
-
-
-def _slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows whose texts have about `most` bytes together, one row at least."""
-    lengths = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
-    start, total = 0, 0
-    for i, n in enumerate(lengths):
-        if total and total + n > most:
-            yield batch.slice(start, i - start)
-            start, total = i, 0
-        total += int(n) + 1
-    if batch.num_rows > start:
-        yield batch.slice(start)
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
-    """`doc_id`, the token ids of `text` with `end_id` appended (unsigned little-endian, 4 bytes each), and a tie-breaker.
+    """The token ids of each `text`, with `end_id` appended: little-endian unsigned, 2 bytes each if the vocabulary allows, else 4.
 
-    `path` is a tokenizer file that every machine has. A NULL text is empty.
+    One row per document (`doc_id`, `ids`), in the order of each input partition, and as
+    the last of each partition one with `counts`: how often its documents have each id.
+    `part` and `place` tell the order. `path` is a tokenizer file that every machine has. A NULL text is empty.
     """
-    end = np.array([end_id], dtype="<u4").tobytes()
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(path)
+        from pyspark import TaskContext
+        code, part, place, total = encoder(path), TaskContext.get().partitionId(), 0, np.zeros(1, dtype=np.int64)
+        end, names = array(code.code, [end_id]).tobytes(), ["part", "place", "doc_id", "ids", "counts"]
+        id_type = None
+
+        def row(ids: list, docs: pa.Array, counts: list) -> pa.RecordBatch:
+            places = pa.array(range(place, place + len(ids)), pa.int64())
+            return pa.RecordBatch.from_arrays([
+                pa.array([part] * len(ids), pa.int32()), places, docs, pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names)
+
         for batch in batches:
-            for part in _slices(batch, "text", BATCH_CHARS):
-                ids = [x + end for x in code.texts(part["text"].to_pylist())]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["tie"], pa.array(ids, pa.binary())], ["doc_id", "tie", "ids"])
+            id_type = batch["doc_id"].type
+            ids = [code.text(x.as_py()) + end for x in batch["text"]]
+            counts = np.bincount(np.frombuffer(b"".join(ids), dtype=code.width))
+            if len(counts) > len(total):
+                total = np.pad(total, (0, len(counts) - len(total)))
+            total[:len(counts)] += counts
+            yield row(ids, batch["doc_id"], [None] * len(ids))
+            place += len(ids)
+        if id_type is not None:
+            yield row([None], pa.nulls(1, id_type), [total.astype("<i8").tobytes()])
 
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.xxhash64("text").alias("tie"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, tie long, ids binary")
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, f"part int, place long, doc_id {kind}, ids binary, counts binary")
 
 
-def rank_ids(ids: DataFrame) -> DataFrame:
-    """`id`, `n` and `rank` of every token id in `ids`: 0 for the most frequent, ties by id.
+def rank_ids(tokenized: DataFrame) -> DataFrame:
+    """`id`, `n` and `rank` of every token id: 0 for the most frequent, ties by id.
 
-    Each task counts its own tokens with numpy; the sums have one row per id of the vocabulary.
+    The tasks' counts are summed; the result has one row per id of the vocabulary.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1, dtype=np.int64)
         for batch in batches:
-            for raw in batch["ids"]:
-                counts = np.bincount(np.frombuffer(raw.as_buffer(), dtype="<u4"))
-                if len(counts) > len(total):
-                    total = np.pad(total, (0, len(counts) - len(total)))
-                total[:len(counts)] += counts
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
+            for raw in batch["counts"]:
+                counts = np.frombuffer(raw.as_py(), dtype="<i8")
+                used = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], ["id", "n"])
 
-    counts = ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    return counts.withColumn("rank", (F.row_number().over(Window.orderBy(F.col("n").desc(), "id")) - 1).cast("long"))
+    counts = tokenized.filter("counts is not null").select("counts").mapInArrow(run, "id long, n long")
+    return counts.groupBy("id").agg(F.sum("n").alias("n")).withColumn(
+        "rank", (F.row_number().over(Window.orderBy(F.col("n").desc(), "id")) - 1).cast("long"))
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -163,47 +224,41 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
     """Write the token files of `docs` under `path`: `blocks` and `vocabulary`, both Parquet.
 
-    Documents come in ascending `doc_id` (NULL first, ties by a hash of the text): each task writes a range of ids,
-    and its blocks are numbered. Tokens are made once and written; ranks come from
+    Documents come in ascending `doc_id` (NULL first, ties by a hash of the text): each task tokenizes a range of ids, and
+    its blocks are numbered. Tokens are made once and written; ranks come from
     counts over all documents, and are sent to the tasks as an array of one entry per id
     of the vocabulary, whatever the number of documents. An empty table gives empty files.
     """
     spark = ship(docs.sparkSession)
-    ids = stage(tokenize(docs, tokenizer, end_id), "token-ids")
-    rank_ids(ids).write.mode("overwrite").parquet(f"{path}/vocabulary")
-    ranks = _vocabulary(spark, path, by="id")
-    sent = spark.sparkContext.broadcast(ranks)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).repartitionByRange("doc_id", "tie")
+    tokenized = stage(tokenize(ordered.sortWithinPartitions("doc_id", "tie"), tokenizer, end_id), "token-ids")
+    rank_ids(tokenized).write.mode("overwrite").parquet(f"{path}/vocabulary")
+    sent = spark.sparkContext.broadcast(_vocabulary(spark, path, by="id"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"part int, block int, doc_ids array<{kind}>, lengths array<long>, control binary, data binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-        part, block, held, raws, waiting = TaskContext.get().partitionId(), 0, [], [], 0
+        width = encoder(tokenizer).width
 
-        def row() -> pa.RecordBatch:
-            lengths = [len(x) // 4 for x in raws]
-            control, data = pack(sent.value[np.frombuffer(b"".join(raws), dtype="<u4")])
+        def block(rows: pa.RecordBatch) -> pa.RecordBatch:
+            ids = rows["ids"].to_pylist()
+            control, data = pack(sent.value[np.frombuffer(b"".join(ids), dtype=width)])
+            lengths = [len(x) // int(width[2]) for x in ids]
             return pa.RecordBatch.from_arrays([
-                pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([held], pa.list_(kinds)),
+                rows["part"][:1], rows["place"][:1], pa.ListArray.from_arrays([0, rows.num_rows], rows["doc_id"]),
                 pa.array([lengths], pa.list_(pa.int64())), pa.array([control], pa.binary()), pa.array([data], pa.binary())],
-                ["part", "block", "doc_ids", "lengths", "control", "data"])
+                ["part", "place", "doc_ids", "lengths", "control", "data"])
 
         for batch in batches:
-            kinds = batch.schema.field("doc_id").type
-            for doc_id, raw in zip(batch["doc_id"].to_pylist(), batch["ids"]):
-                raw = raw.as_py()
-                if raws and waiting + len(raw) // 4 > BLOCK_IDS:
-                    yield row()
-                    block, held, raws, waiting = block + 1, [], [], 0
-                held.append(doc_id)
-                raws.append(raw)
-                waiting += len(raw) // 4
-        if raws:
-            yield row()
-
-    (ids.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-        .select("doc_id", "ids").mapInArrow(run, schema)
-        .write.mode("overwrite").option("compression", "none").parquet(f"{path}/blocks"))
+            parts = batch["part"].to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), batch.num_rows]
+            for start, stop in zip(edges, edges[1:]):
+                if stop > start:
+                    yield block(batch.slice(start, stop - start))
+
+    (tokenized.filter("counts is null").drop("counts").mapInArrow(
+        run, f"part int, place long, doc_ids array<{kind}>, lengths array<long>, control binary, data binary")
+        .write.mode("overwrite").parquet(f"{path}/blocks"))
     sent.unpersist()
 
 
@@ -228,33 +283,33 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, block, docs, lengths, control, data in zip(*(batch[c] for c in ("part", "block", "doc_ids", "lengths", "control", "data"))):
+            for part, place, docs, lengths, control, data in zip(*(batch[c] for c in ("part", "place", "doc_ids", "lengths", "control", "data"))):
                 n = lengths.values.to_numpy()
                 raw = ids.value[unpack(control.as_py(), data.as_py(), int(n.sum()))].astype("<u4").tobytes()
                 ends = np.cumsum(n)
                 own = [raw[4 * (e - k):4 * e] for e, k in zip(ends.tolist(), n.tolist())]
                 many = len(own)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([part.as_py()] * many, pa.int32()), pa.array([block.as_py()] * many, pa.int32()), docs.values,
+                    pa.array([part.as_py()] * many, pa.int32()), pa.array([place.as_py()] * many, pa.int64()), docs.values,
                     pa.array(ends - n, pa.int64()), pa.array(n, pa.int64()), pa.array(own, pa.binary()),
                     pa.array([zlib.crc32(x) for x in own], pa.int64())],
-                    ["part", "block", "doc_id", "inside", "n_tokens", "ids", "ids_crc32"])
+                    ["part", "place", "doc_id", "inside", "n_tokens", "ids", "ids_crc32"])
 
-    rows = blocks.mapInArrow(run, f"part int, block int, doc_id {kind}, inside long, n_tokens long, ids binary, ids_crc32 long")
+    rows = blocks.mapInArrow(run, f"part int, place long, doc_id {kind}, inside long, n_tokens long, ids binary, ids_crc32 long")
     starts = _block_starts(blocks)
-    return rows.join(starts, ["part", "block"]).select(
+    return rows.join(starts, ["part", "place"]).select(
         "doc_id", (F.col("_before") + F.col("inside")).alias("start"), "n_tokens", "ids", "ids_crc32")
 
 
 def _block_starts(blocks: DataFrame) -> DataFrame:
     """Tokens before each block: blocks are summed by part first, so one task sees a row per part, and another a part's blocks."""
-    sizes = blocks.select("part", "block", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("_n"))
+    sizes = blocks.select("part", "place", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("_n"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     parts = sizes.groupBy("part").agg(F.sum("_n").alias("_n")).select(
         "part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_part_start"))
     return sizes.join(parts, "part").select(
-        "part", "block", (F.col("_part_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("_before"))
+        "part", "place", (F.col("_part_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("_before"))
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | None = None) -> DataFrame:
