@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyhouse.llm.columns import text_or_empty
 from tallyhouse.llm.decontamination import contamination
 from tallyhouse.llm.mixing import pareto_mix
+from tallyhouse.llm.near_duplicates import near_duplicates
 from tallyhouse.llm.ship import ship
 from tallyhouse.llm.sharding import shard_rows
 from tallyhouse.llm.tokens import token_files
@@ -52,6 +53,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_files(docs, tokenizer_path()).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -61,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_feistel_shards": op2_feistel_shards,
     "op4_decontamination": op4_decontamination,
+    "op6_near_duplicates": op6_near_duplicates,
     "op9_token_files": op9_token_files,
 }
 
@@ -82,4 +88,17 @@ with d as (select row_number() over () rn, doc_id, {_WORDS} w from documents),
 select doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit,0) n_hit, coalesce(n_items,0) n_items, coalesce(h,sha256('')) items_sha256,
  n_hit is not null contaminated
 from d left join cover using(rn) left join found using(rn)""",
+    "op6_near_duplicates": f"""
+with recursive d as (select row_number() over () rn, doc_id, regexp_extract_all(translate(coalesce(text,''),'{_UPPER}','{_LOWER}'),
+  '[^\\x20\\x09-\\x0D]+') w from documents),
+ s as (select rn, doc_id, unnest(list_distinct([list_slice(w,p0,p0+least(5,len(w))-1) for p0 in range(1,len(w)-least(5,len(w))+2)])) g
+  from d where len(w)>0),
+ n as (select rn, count(*) n from s group by rn),
+ common as (select a.rn x, b.rn y, count(*) c from s a join s b on a.g=b.g and a.rn<b.rn group by a.rn,b.rn),
+ links as (select x, y from common join n nx on nx.rn=x join n ny on ny.rn=y where 100*c>=75*(nx.n+ny.n-c)),
+ both_ways as (select x, y from links union all select y, x from links),
+ reach as (select rn, rn other from d union select r.rn, l.y from reach r join both_ways l on l.x=r.other),
+ least_id as (select r.rn, min(d.doc_id) component_id from reach r join d on d.rn=r.other group by r.rn)
+select d.doc_id, coalesce(n.n,0) n_shingles, component_id, d.doc_id is not distinct from component_id kept
+from d join least_id using(rn) left join n on n.rn=d.rn""",
 }
