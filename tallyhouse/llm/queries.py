@@ -14,6 +14,7 @@ from tallyhouse.llm.near_duplicates import near_duplicates
 from tallyhouse.llm.ship import ship
 from tallyhouse.llm.sharding import shard_rows
 from tallyhouse.llm.tokens import token_files
+from tallyhouse.llm.toxicity import fit, in_training, toxicity
 from tallyhouse.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +58,12 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (~in_training("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_files(docs, tokenizer_path()).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -67,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op2_feistel_shards": op2_feistel_shards,
     "op4_decontamination": op4_decontamination,
     "op6_near_duplicates": op6_near_duplicates,
+    "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
 }
 

@@ -23,7 +23,7 @@ from tallyhouse.llm.scratch import stage
 from tallyhouse.session import new_path
 
 # Pieces of text whose ids a worker remembers, in each of two generations.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 600_000
 # Rows of an Arrow batch, and so the documents of a block at most.
 ARROW_ROWS = 512
 
