@@ -11,6 +11,7 @@ from tallyhouse.llm.columns import text_or_empty
 from tallyhouse.llm.decontamination import contamination
 from tallyhouse.llm.mixing import pareto_mix
 from tallyhouse.llm.near_duplicates import near_duplicates
+from tallyhouse.llm.secrets import KINDS, scan_secrets, spelled
 from tallyhouse.llm.ship import ship
 from tallyhouse.llm.sharding import shard_rows
 from tallyhouse.llm.tokens import token_files
@@ -54,6 +55,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    counts = [F.size(F.filter("base", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    return found.select("doc_id", *counts, F.sha2(spelled("base"), 256).alias("base_sha256"), spelled("spans").alias("spans"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -66,13 +73,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_files(docs, tokenizer_path()).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_files(docs, tokenizer_path(), with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 QUERIES: dict[str, Query] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_feistel_shards": op2_feistel_shards,
     "op4_decontamination": op4_decontamination,
+    "op5_secrets": op5_secrets,
     "op6_near_duplicates": op6_near_duplicates,
     "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
@@ -96,6 +104,7 @@ with d as (select row_number() over () rn, doc_id, {_WORDS} w from documents),
 select doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit,0) n_hit, coalesce(n_items,0) n_items, coalesce(h,sha256('')) items_sha256,
  n_hit is not null contaminated
 from d left join cover using(rn) left join found using(rn)""",
+    "op5_secrets": op5_secrets,
     "op6_near_duplicates": f"""
 with recursive d as (select row_number() over () rn, doc_id, regexp_extract_all(translate(coalesce(text,''),'{_UPPER}','{_LOWER}'),
   '[^\\x20\\x09-\\x0D]+') w from documents),

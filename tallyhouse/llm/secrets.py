@@ -1,0 +1,283 @@
+"""Secret scans: a worklist of decoded layers, each scanned again, with spans mapped back to the text."""
+
+from __future__ import annotations
+
+import base64
+import binascii
+import bz2
+import lzma
+import re
+import zlib
+from bisect import bisect_right
+from collections.abc import Iterator
+from hashlib import blake2b
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tallyhouse.llm.ship import ship
+
+# The kinds of secrets, in order, with their patterns and least lengths.
+KINDS = ["assign", "access", "hex"]
+ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+HEX = re.compile(r"[0-9a-f]{24,}")
+LEAST_VALUE, LEAST_ACCESS = 6, 20
+
+PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|%u([0-9A-Fa-f]{4})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});|\\U([0-9A-Fa-f]{8})")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+HEX_BYTES = re.compile(r"[0-9A-Fa-f]{16,}")
+MAGIC = {b"\x1f\x8b": "gzip", b"x\x01": "zlib", b"x^": "zlib", b"x\x9c": "zlib", b"x\xda": "zlib", b"BZh": "bz2",
+         b"\xfd7zXZ\x00": "xz", b"\x28\xb5\x2f\xfd": "zstd"}
+# A compressed layer is unpacked and scanned in pieces of this size, each with the end of the piece before.
+PIECE, OVERLAP = 1 << 22, 1 << 12
+ARROW_ROWS = 512
+
+Span = tuple[str, int, int]
+
+
+def base_spans(text: str) -> list[Span]:
+    """The matches in `text` itself: leftmost and non-overlapping per kind, failing ones dropped."""
+    out: list[Span] = []
+    if "=" in text or ":" in text:
+        out += [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m.group(2)) >= LEAST_VALUE]
+    if "AKIA" in text:
+        out += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
+    out += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
+    return out
+
+
+class Layer:
+    """A decoded text and where it comes from: runs of (start, start in the root, root characters per character or None).
+
+    A run without a fixed ratio maps each of its characters to the run's whole root range.
+    """
+
+    def __init__(self, text: str, runs: list[tuple[int, int, int, bool]]):
+        # (start here, root start, root end, one root character each)
+        self.text, self.runs = text, runs
+        self.starts = [r[0] for r in runs]
+
+    def root(self, start: int, end: int) -> tuple[int, int]:
+        return self._place(start)[0], self._place(end - 1)[1]
+
+    def _place(self, at: int) -> tuple[int, int]:
+        here, a, b, exact = self.runs[bisect_right(self.starts, at) - 1]
+        return (a + at - here, a + at - here + 1) if exact else (a, b)
+
+
+def _rewritten(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
+    """The layer with every match of `pattern` decoded; None if nothing changes."""
+    parts, runs, at, here, changed = [], [], 0, 0, False
+
+    def keep(a: int, b: int) -> None:
+        nonlocal here
+        while a < b:
+            k = bisect_right(layer.starts, a) - 1
+            stop = min(b, layer.starts[k + 1] if k + 1 < len(layer.starts) else b)
+            lo, exact = layer._place(a)[0], layer.runs[k][3]
+            runs.append((here, lo, lo + stop - a if exact else layer.runs[k][2], exact))
+            parts.append(layer.text[a:stop])
+            here += stop - a
+            a = stop
+
+    for m in pattern.finditer(layer.text):
+        for text, a, b in decode(m):
+            if text is None:
+                continue
+            keep(at, a)
+            runs.append((here, *layer.root(a, b), False))
+            parts.append(text)
+            here += len(text)
+            at, changed = b, True
+    if not changed:
+        return None
+    keep(at, len(layer.text))
+    return Layer("".join(parts), runs)
+
+
+def _percent(m: re.Match) -> Iterator[tuple[str | None, int, int]]:
+    """The characters of a run of %XX: UTF-8 where it is valid."""
+    raw, at, i = bytes.fromhex(m.group().replace("%", "")), m.start(), 0
+    while i < len(raw):
+        size = 1 if raw[i] < 0x80 else 2 if 0xC2 <= raw[i] < 0xE0 else 3 if 0xE0 <= raw[i] < 0xF0 else 4
+        try:
+            char = raw[i:i + size].decode()
+        except UnicodeDecodeError:
+            char, size = None, 1
+        yield char, at + 3 * i, at + 3 * (i + size)
+        i += size
+
+
+def _escape(m: re.Match) -> Iterator[tuple[str | None, int, int]]:
+    groups = m.groups()
+    digits = next(g for g in groups if g is not None)
+    code = int(digits, 10 if groups[3] is not None else 16)
+    valid = code < 0x110000 and not 0xD800 <= code < 0xE000
+    yield chr(code) if valid else None, m.start(), m.end()
+
+
+def _unpack(raw: bytes) -> Iterator[bytes]:
+    """The unpacked bytes, in pieces; what is broken ends the stream."""
+    kind = next((k for sign, k in MAGIC.items() if raw.startswith(sign)), None)
+    try:
+        if kind in ("gzip", "zlib"):
+            stream = zlib.decompressobj(47 if kind == "gzip" else 15)
+            rest = raw
+            while rest and not stream.eof:
+                piece = stream.decompress(rest, PIECE)
+                rest = stream.unconsumed_tail
+                if not piece:
+                    break
+                yield piece
+        elif kind in ("bz2", "xz"):
+            stream = bz2.BZ2Decompressor() if kind == "bz2" else lzma.LZMADecompressor(memlimit=1 << 27)
+            data = raw
+            while not stream.eof:
+                piece = stream.decompress(data, PIECE)
+                data = b""
+                if not piece and stream.needs_input:
+                    break
+                yield piece
+        elif kind == "zstd":
+            import zstandard
+            with zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(raw) as stream:
+                while piece := stream.read(PIECE):
+                    yield piece
+    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+        return
+    except Exception as error:  # zstandard's own error class exists only where it is installed
+        if kind != "zstd" or type(error).__name__ != "ZstdError":
+            raise
+
+
+def _readable(raw: bytes) -> str | None:
+    """The bytes as text, if they are UTF-8 without control characters but blanks."""
+    try:
+        text = raw.decode()
+    except UnicodeDecodeError:
+        return None
+    return text if text.isprintable() or not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else None
+
+
+def _from_bytes(raw: bytes, place, whole: tuple[int, int]) -> Iterator[Layer]:
+    """The layers that decoded bytes hold: text as it is, or unpacked. `place(i, j)` maps a byte range to the root."""
+    if any(raw.startswith(sign) for sign in MAGIC):
+        tail, found = b"", False
+        for piece in _unpack(raw):
+            found = True
+            data = tail + piece
+            text = data.decode("utf-8", "replace")
+            if text:
+                yield Layer(text, [(0, *whole, False)])
+            nested = data if any(data.startswith(sign) for sign in MAGIC) and not tail else None
+            if nested:
+                yield from _from_bytes(nested, lambda i, j: whole, whole)
+            tail = data[-OVERLAP:]
+        if found:
+            return
+    text = _readable(raw)
+    if text:
+        runs, at = [], 0
+        for k, char in enumerate(text):
+            size = len(char.encode())
+            runs.append((k, *place(at, at + size), False))
+            at += size
+        yield Layer(text, runs)
+
+
+def _blobs(layer: Layer) -> Iterator[Layer]:
+    """The layers behind base64 and hex runs of a layer."""
+    for m in BASE64.finditer(layer.text):
+        run = m.group().rstrip("=")
+        run = run[:len(run) - (len(run) % 4 == 1)]
+        if run.isalpha() and (run.islower() or run[1:].islower()):
+            continue  # a long word; no text or archive of 12 bytes encodes to one case
+        try:
+            raw = base64.b64decode(run.translate(_STANDARD) + "=" * (-len(run) % 4))
+        except (binascii.Error, ValueError):
+            continue
+        at = m.start()
+        yield from _from_bytes(raw, lambda i, j, at=at, n=len(run): layer.root(at + i * 8 // 6, at + min(n, -(-j * 8 // 6))),
+                               layer.root(at, m.end()))
+    for m in HEX_BYTES.finditer(layer.text):
+        run = m.group()[:len(m.group()) // 2 * 2]
+        at = m.start()
+        yield from _from_bytes(bytes.fromhex(run), lambda i, j, at=at: layer.root(at + 2 * i, at + 2 * j), layer.root(at, at + len(run)))
+
+
+_STANDARD = str.maketrans("-_", "+/")
+
+
+def layers(text: str) -> Iterator[Layer]:
+    """Every layer below `text`, until nothing new is found. A layer that was seen at the same place is not opened again."""
+    work = [Layer(text, [(0, 0, len(text), True)])] if text else []
+    seen: set[bytes] = set()
+    while work:
+        layer = work.pop()
+        found: list[Layer] = []
+        if "%" in layer.text:
+            found += filter(None, [_rewritten(layer, PERCENT, _percent)])
+        if "\\" in layer.text or "&#" in layer.text or "%u" in layer.text:
+            found += filter(None, [_rewritten(layer, ESCAPE, _escape)])
+        found += _blobs(layer)
+        for new in found:
+            mark = blake2b(new.text.encode("utf-8", "surrogatepass"), digest_size=16)
+            mark.update(repr(new.root(0, len(new.text))).encode())
+            if mark.digest() not in seen:
+                seen.add(mark.digest())
+                work.append(new)
+                yield new
+
+
+def secret_spans(text: str) -> tuple[list[Span], list[Span]]:
+    """The base spans, and all spans with those of decoded layers; by start, kind and end."""
+    def order(span: Span) -> tuple[int, int, int]:
+        return span[1], KINDS.index(span[0]), span[2]
+
+    base = base_spans(text)
+    everything = set(base)
+    for layer in layers(text):
+        for kind, start, end in base_spans(layer.text):
+            everything.add((kind, *layer.root(start, end)))
+    return sorted(base, key=order), sorted(everything, key=order)
+
+
+SPANS = T.ArrayType(T.StructType([
+    T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+
+
+def scan_secrets(docs: DataFrame, keep_text: bool = True) -> DataFrame:
+    """`docs` with `base` (secrets of the text itself) and `spans` (those and the ones in decoded layers).
+
+    A span is (kind, start, end) in code points of the text, end exclusive. A worklist unwraps percent-encoding, Unicode escapes,
+    character references, base64, hex and compressed data, nested as they come, until no new layer is found; each
+    layer is scanned as the text is. A span in a layer is mapped to the characters that encode it, and to the whole run for
+    compressed data. Layers are remembered by content and place, so cycles end.
+
+    NULL and empty texts have none. Repeated rows come out alike. An empty table gives none. Columns named as an added one are replaced.
+    """
+    spark = ship(docs.sparkSession)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    read = docs.drop("base", "spans")
+    names = read.columns
+    kept = [c for c in names if keep_text or c != "text"]
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [secret_spans(t or "") for t in batch.column(names.index("text")).to_pylist()]
+            base, spans = ([[dict(zip(("kind", "start", "end"), s)) for s in f[i]] for f in found] for i in (0, 1))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(names.index(c)) for c in kept), pa.array(base, kind), pa.array(spans, kind)], [*kept, "base", "spans"])
+
+    fields = [read.schema[names.index(c)] for c in kept]
+    return read.mapInArrow(run, T.StructType([*fields, T.StructField("base", SPANS), T.StructField("spans", SPANS)]))
+
+
+def spelled(spans: str) -> Column:
+    """The spans of a column as kind:start:end, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
