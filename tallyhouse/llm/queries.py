@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.llm.columns import text_or_empty
 from tallyhouse.llm.decontamination import contamination
+from tallyhouse.llm.extraction import extract_text
 from tallyhouse.llm.mixing import pareto_mix
 from tallyhouse.llm.near_duplicates import near_duplicates
 from tallyhouse.llm.secrets import KINDS, scan_secrets, spelled
@@ -65,6 +66,11 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).withColumn(
+        "n_chars", F.length("text").cast("long"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
@@ -82,6 +88,7 @@ QUERIES: dict[str, Query] = {
     "op4_decontamination": op4_decontamination,
     "op5_secrets": op5_secrets,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_main_text": op7_main_text,
     "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
 }
