@@ -1,7 +1,7 @@
 """The corpus pipeline: the stages that turn `documents` into token files.
 
 Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and
-read again as the next one's `docs`.
+read again as the next one's `docs`. All but the last return the columns of `documents`.
 """
 
 from __future__ import annotations
@@ -9,12 +9,64 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyhouse.llm.decontamination import decontaminate
+from tallyhouse.llm.mixing import pareto_mix
+from tallyhouse.llm.near_duplicates import drop_near_duplicates
+from tallyhouse.llm.queries import table, tokenizer_path
+from tallyhouse.llm.scratch import freed_shuffles
+from tallyhouse.llm.tokens import token_files
+from tallyhouse.llm.toxicity import fit, toxicity
+from tallyhouse.session import new_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = []
-# Model scores, Unicode word rules of a tokenizer and minhash candidates have no SQL form; tests compare with brute force.
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the toxicity score does not reject."""
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity(docs, model).filter("predicted = 0").select(docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-copies."""
+    return drop_near_duplicates(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that hold no window of a benchmark item."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources: each document as often as it is taken."""
+    mixed = pareto_mix(docs)
+    copies = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_copy")
+    return mixed.select("*", copies).select(docs.columns)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the token files of the mix hold, read back from them: one row per document, by its place."""
+    return token_files(docs, tokenizer_path(), with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_copies),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("token_files", write_tokens),
+]
+# Model scores, a tokenizer's words and minhash candidates have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = new_path(spark, f"pipeline-{name}")
+        with freed_shuffles(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
