@@ -23,15 +23,15 @@ def uniform(*values: Column) -> Column:
     return (bits.cast("double") + 0.5) / F.lit(float(1 << 53))
 
 
-def free_name(df: DataFrame, *names: str) -> list[str]:
-    """Names that no column of `df` has, whatever its letters' case: `names`, with underscores in front as needed."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name = "_" + name
-        taken.add(name.lower())
-        out.append(name)
-    return out
+def pack(docs: DataFrame, *needed: str) -> DataFrame:
+    """`needed`, and all other columns as the one column `_row`: so no name that an operator uses can clash with theirs."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in needed]
+    return docs.select(*needed, (F.struct(*rest) if rest else F.lit(None).cast("boolean")).alias("_row"))
+
+
+def unpack(packed: DataFrame, docs: DataFrame, *needed: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of `docs` out of what `pack` made, and those of `more`."""
+    return packed.select(*(F.col(c) if c in needed else F.col("_row").getField(c).alias(c) for c in docs.columns), *more)
 
 
 def ascii_lower(text: str) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.columns import plain_words
+from tallyhouse.llm.columns import pack, plain_words, unpack
 from tallyhouse.llm.scratch import stage
 
 WINDOW = 10
@@ -121,5 +121,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """The rows of `docs`, with all their columns, in which no window of an item occurs."""
     bad = contamination(docs, benchmark, window).filter("contaminated").select(
         F.col("doc_id").alias("_bad_id"), F.col("_text_hash").alias("_bad_hash")).distinct()
-    return docs.join(
-        bad, F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.xxhash64("text") == F.col("_bad_hash")), "left_anti")
+    needed = ("doc_id", "text")
+    same = F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.xxhash64("text") == F.col("_bad_hash"))
+    return unpack(pack(docs, *needed).join(bad, same, "left_anti"), docs, *needed)

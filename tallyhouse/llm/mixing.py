@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.columns import SPACED_WORD, text_or_empty, uniform
+from tallyhouse.llm.columns import SPACED_WORD, pack, text_or_empty, uniform, unpack
 from tallyhouse.llm.scratch import stage
 
 BUCKETS = 4096
@@ -140,3 +140,11 @@ def pareto_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: flo
     out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("_whole") + chosen.cast("long")).otherwise(F.lit(0)).cast("long"))
     kept = [c for c in docs.columns if c not in ADDED and (keep_text or c != "text")]
     return out.withColumn("taken", F.col("copies") * F.col("size")).select(*kept, *ADDED)
+
+
+def mixed_documents(docs: DataFrame, **params: object) -> DataFrame:
+    """The mix itself: the rows of `docs`, with their columns, each as often as `pareto_mix` takes it."""
+    needed = ("doc_id", "text", "source")
+    mixed = pareto_mix(pack(docs, *needed), **params)
+    times = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
+    return unpack(mixed.select(*needed, "_row", times.alias("_copy")), docs, *needed)

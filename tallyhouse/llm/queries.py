@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyhouse.llm.columns import text_or_empty
 from tallyhouse.llm.decontamination import contamination
 from tallyhouse.llm.extraction import extract_text
+from tallyhouse.llm.line_dedup import drop_repeated_lines
 from tallyhouse.llm.mixing import pareto_mix
 from tallyhouse.llm.near_duplicates import near_duplicates
 from tallyhouse.llm.secrets import KINDS, scan_secrets, spelled
@@ -50,6 +51,12 @@ def op2_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), "row_number")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_deleted", F.length("text").cast("long").alias("n_chars"),
+                       F.sha2("text", 256).alias("text_sha256"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -85,6 +92,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_feistel_shards": op2_feistel_shards,
+    "op3_line_dedup": op3_line_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_secrets": op5_secrets,
     "op6_near_duplicates": op6_near_duplicates,
