@@ -13,7 +13,8 @@ from tallyhouse.llm.extraction import extract_text
 from tallyhouse.llm.line_dedup import drop_repeated_lines
 from tallyhouse.llm.mixing import pareto_mix
 from tallyhouse.llm.near_duplicates import near_duplicates
-from tallyhouse.llm.secrets import KINDS, scan_secrets, spelled
+from tallyhouse.llm.search import every_fiftieth, top_k
+from tallyhouse.llm.secret_scan import KINDS, scan_secrets, spelled
 from tallyhouse.llm.ship import ship
 from tallyhouse.llm.sharding import shard_rows
 from tallyhouse.llm.tokens import token_files
@@ -89,6 +90,11 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(docs, tokenizer_path(), with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op10_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return top_k(docs, docs.filter(every_fiftieth("doc_id"))).select("query_id", "rank", "doc_id", "score")
+
+
 QUERIES: dict[str, Query] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_feistel_shards": op2_feistel_shards,
@@ -99,6 +105,7 @@ QUERIES: dict[str, Query] = {
     "op7_main_text": op7_main_text,
     "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
+    "op10_bm25_top_k": op10_bm25_top_k,
 }
 
 # The letters to lower, and what separates words.

@@ -22,6 +22,8 @@ LOW = np.arange(256, dtype=np.uint8)
 LOW[65:91] += 32
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
+# What separates plain words: all ASCII but digits and letters.
+NOT_PLAIN = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 
 _powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
@@ -42,10 +44,13 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word of every text, and where each text's words start (one entry more than texts)."""
+def word_hashes(texts: list[bytes], separates: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word of every text, and where each text's words start (one entry more than texts).
+
+    Words are runs of bytes that do not separate; A-Z are lower-cased.
+    """
     data = LOW[np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)]
-    blank = BLANK[data]
+    blank = separates[data]
     edges = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).view(np.int8)))
     starts, ends = edges[::2], edges[1::2]
     forth, back = _power_tables(len(data) + 1)
