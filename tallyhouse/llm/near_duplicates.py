@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyhouse.llm.columns import pack, unpack
 from tallyhouse.llm.components import components
 from tallyhouse.llm.scratch import stage
 from tallyhouse.llm.shingles import mix, shingle_sets
@@ -24,6 +26,8 @@ PERCENT = 75
 SMALL_BUCKET = 24
 # Most candidate classes whose keys are sent to all executors to find their texts; beyond, the join shuffles.
 BROADCAST_CLASSES = 1_000_000
+# Words of 64 bits of a set's parity sketch.
+SKETCH = 16
 # Rows of an Arrow batch.
 ARROW_ROWS = 512
 
@@ -38,6 +42,12 @@ def set_key(shingles: np.ndarray) -> bytes:
     return np.array([shingles.sum(dtype=np.uint64), mix(shingles ^ _SECOND).sum(dtype=np.uint64)], dtype=">u8").tobytes()
 
 
+def parity_sketch(shingles: np.ndarray) -> list[int]:
+    """Each shingle flips one of 64 * SKETCH bits. Two sketches differ in no more bits than the sets have shingles of their own."""
+    flips = np.bincount((shingles >> np.uint64(7)) % np.uint64(64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64).tolist()
+
+
 def minhashes(sets: list[np.ndarray]) -> np.ndarray:
     """One row per set (none empty), one column per function."""
     starts = np.cumsum([0, *(len(s) for s in sets)])[:-1]
@@ -62,7 +72,7 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Per document: `doc_id`, `text_hash`, `n_shingles`, `cls` (equal sets have equal ones, NULL if empty), `left`, `right` (group keys)."""
+    """Per document: `doc_id`, `text_hash`, `n_shingles`, `cls` (equal sets have equal ones, NULL if empty), `left`, `right` (group keys), `sketch`."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,11 +84,12 @@ def signatures(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 batch["doc_id"], batch["text_hash"], pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()),
-                pa.array([p[0] for p in pairs], pa.list_(pa.int64())), pa.array([p[1] for p in pairs], pa.list_(pa.int64()))],
-                ["doc_id", "text_hash", "n_shingles", "cls", "left", "right"])
+                pa.array([p[0] for p in pairs], pa.list_(pa.int64())), pa.array([p[1] for p in pairs], pa.list_(pa.int64())),
+                pa.array([parity_sketch(s) if len(s) else None for s in sets], pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "n_shingles", "cls", "left", "right", "sketch"])
 
     return _with_hash(docs).mapInArrow(
-        run, f"doc_id {kind}, text_hash long, n_shingles long, cls binary, left array<long>, right array<long>")
+        run, f"doc_id {kind}, text_hash long, n_shingles long, cls binary, left array<long>, right array<long>, sketch array<long>")
 
 
 def _with_hash(docs: DataFrame) -> DataFrame:
@@ -115,6 +126,22 @@ def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return stage(texts.select("cls", "text").mapInArrow(run, "cls binary, shingles binary").dropDuplicates(["cls"]), "sets")
 
 
+def may_be_similar(n: str, m: str, sketch: str, other: str, percent: int) -> Column:
+    """Whether two sets can reach the similarity, by their sizes and sketches: never false for sets that do.
+
+    Sets of n and m shingles at `percent` have at most (n + m) * (100 - percent) / (100 + percent) of their own.
+    """
+    apart = reduce(lambda a, b: a + b, (F.bit_count(F.get(sketch, i).bitwiseXOR(F.get(other, i))) for i in range(SKETCH)))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (apart * (100 + percent) <= (F.col(n) + F.col(m)) * (100 - percent))
+
+
+def plausible(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs (`a`, `b`) whose sizes and sketches do not rule them out."""
+    left = members.select(F.col("cls").alias("a"), F.col("n").alias("_n"), F.col("sketch").alias("_s"))
+    right = members.select(F.col("cls").alias("b"), F.col("n").alias("_m"), F.col("sketch").alias("_t"))
+    return pairs.join(left, "a").join(right, "b").filter(may_be_similar("_n", "_m", "_s", "_t", percent)).select("a", "b")
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     common = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * common >= percent * (len(a) + len(b) - common)
@@ -136,8 +163,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes that can be similar, found exactly, with their labels still apart.
 
-    `sets` has `cls`, `shingles`, `label`. With each set's shingles in order of rarity among these sets, two similar sets share
-    one of their first n - ceil(percent * n / 100) + 1. Sizes must fit as well.
+    `sets` has `cls`, `shingles`, `label`, `sketch`. With each set's shingles in order of rarity among these sets, two similar
+    sets share one of their first n - ceil(percent * n / 100) + 1, and behind the first that they share both have enough
+    shingles left. Sizes and sketches must fit as well.
     """
     def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,14 +180,15 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     ranked = opened.join(counts, "shingle").groupBy("cls").agg(
         F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("order"))
     most = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    tokens = ranked.join(sets.select("cls", "label"), "cls").select(
-        "cls", "n", "label", F.explode(F.slice("order", F.lit(1), most)["shingle"]).alias("token"))
-    tokens = stage(tokens, "prefixes")
-    other = tokens.select("token", *[F.col(c).alias(f"_{c}") for c in ("cls", "n", "label")])
-    return tokens.join(other, "token").filter(
-        (F.col("cls") < F.col("_cls")) & (F.col("label") != F.col("_label"))
-        & (F.least("n", "_n") * 100 >= F.greatest("n", "_n") * percent)).select(
-        F.col("cls").alias("a"), F.col("_cls").alias("b")).distinct()
+    tokens = ranked.join(sets.select("cls", "label", "sketch"), "cls").select(
+        "cls", "n", "label", "sketch", F.posexplode(F.slice("order", F.lit(1), most)).alias("pos", "token")).filter("token.df > 1")
+    tokens = stage(tokens.select("cls", "n", "label", "sketch", "pos", "token.shingle"), "prefixes")
+    other = tokens.select("shingle", *[F.col(c).alias(f"_{c}") for c in ("cls", "n", "label", "sketch", "pos")])
+    left = F.least(F.col("n") - F.col("pos"), F.col("_n") - F.col("_pos"))
+    enough = left * (100 + percent) >= (F.col("n") + F.col("_n")) * percent
+    return tokens.join(other, (tokens["shingle"] == other["shingle"]) & (F.col("cls") < F.col("_cls"))
+                       & (F.col("label") != F.col("_label")) & enough & may_be_similar("n", "_n", "sketch", "_sketch", percent)
+                       ).select(F.col("cls").alias("a"), F.col("_cls").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -172,7 +201,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     1. every class of a bucket with the bucket's first class (a star, not all pairs);
     2. in buckets whose classes are still apart, pairs that are apart: listed if the bucket is
        small, found by an exact prefix join over the larger buckets' classes otherwise.
-    Every candidate pair is confirmed on the full sets. Pairs already connected need
+    Candidates that sizes or parity sketches rule out are left, every other pair is confirmed on the full sets. Pairs already connected need
     no check, as they cannot change a component.
 
     NULL and empty texts have no shingles and no links. Rows that repeat a doc_id share its component. NULL ids are in the
@@ -184,13 +213,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     signed = stage(signatures(docs), "signatures")
     classes = stage(signed.filter("cls is not null").groupBy("cls").agg(
         F.min(F.struct("doc_id", "text_hash")).alias("member"), F.first("n_shingles").alias("n"),
-        F.first("left").alias("left"), F.first("right").alias("right")), "classes")
+        F.first("left").alias("left"), F.first("right").alias("right"), F.first("sketch").alias("sketch")), "classes")
     full = buckets(classes)
     first = full.groupBy("bucket").agg(F.min("cls").alias("a"))
     star = stage(full.join(first, "bucket").filter("a <> cls").select("a", F.col("cls").alias("b")).distinct(), "pairs")
-    members = classes.select("cls", "n", "member.*")
-    sets = class_sets(docs, members.join(full.select("cls").distinct(), "cls", "left_semi"))
-    links = verified(star, sets, percent)
+    members = classes.select("cls", "n", "sketch", "member.*")
+    sets = class_sets(docs, members.drop("n", "sketch").join(full.select("cls").distinct(), "cls", "left_semi"))
+    links = verified(plausible(star, members, percent), sets, percent)
     labels = components(links)
 
     labelled = full.join(labels, F.col("cls") == F.col("node"), "left").select(
@@ -205,9 +234,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             & (F.least("n", "_n") * 100 >= F.greatest("n", "_n") * percent)).select(F.col("cls").alias("a"), F.col("_cls").alias("b"))
         large = left_over.filter(F.col("size") > SMALL_BUCKET).select("cls", "label").distinct()
         if not large.isEmpty():
-            listed = listed.union(prefix_pairs(sets.join(large, "cls"), percent))
+            listed = listed.union(prefix_pairs(
+                sets.join(large, "cls").join(members.select("cls", "sketch"), "cls"), percent))
         more = stage(listed.distinct().join(star, ["a", "b"], "left_anti"), "pairs")
-        links = links.union(verified(more, sets, percent))
+        links = links.union(verified(plausible(more, members, percent), sets, percent))
         labels = components(links)
     named = labels.join(members, F.col("node") == F.col("cls")).groupBy("label").agg(F.min("doc_id").alias("_least"))
     class_ids = stage(labels.join(named, "label").select(F.col("node").alias("cls"), "_least"), "class-ids")
@@ -227,8 +257,9 @@ def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "kept")
     key = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
     repeated = stage(kept.groupBy("_id", "_hash").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "repeated")
-    out = docs.join(kept.distinct(), key, "left_semi")
-    if repeated.isEmpty():
-        return out
-    once = out.join(repeated, key, "left_semi").withColumn("_hash_", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash_"])
-    return out.join(repeated, key, "left_anti").unionByName(once.drop("_hash_"))
+    needed = ("doc_id", "text")
+    out = pack(docs, *needed).join(kept.distinct(), key, "left_semi")
+    if not repeated.isEmpty():
+        once = out.join(repeated, key, "left_semi").withColumn("_again", F.xxhash64("text")).dropDuplicates(["doc_id", "_again"])
+        out = out.join(repeated, key, "left_anti").unionByName(once.drop("_again"))
+    return unpack(out, docs, *needed)
