@@ -9,15 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from tallyhouse.llm import toxicity
 from tallyhouse.llm.decontamination import decontaminate
-from tallyhouse.llm.mixing import pareto_mix
+from tallyhouse.llm.mixing import mixed_documents
 from tallyhouse.llm.near_duplicates import drop_near_duplicates
 from tallyhouse.llm.queries import table, tokenizer_path
 from tallyhouse.llm.scratch import freed_shuffles
 from tallyhouse.llm.tokens import token_files
-from tallyhouse.llm.toxicity import fit, toxicity
 from tallyhouse.session import new_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -25,8 +24,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the toxicity score does not reject."""
-    model = fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity(docs, model).filter("predicted = 0").select(docs.columns)
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +39,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the sources: each document as often as it is taken."""
-    mixed = pareto_mix(docs)
-    copies = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_copy")
-    return mixed.select("*", copies).select(docs.columns)
+    return mixed_documents(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
