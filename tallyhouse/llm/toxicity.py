@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyhouse.llm.columns import pack, unpack
 from tallyhouse.llm.scratch import stage
 from tallyhouse.llm.ship import ship
 
@@ -25,6 +26,8 @@ LEAST_RATIO, LEAST_GAIN = 12.0, 20.0
 STEM = (3, 8)
 FUZZY_LETTERS = 5
 CONTEXT = 60
+# Words whose verdict a worker remembers.
+VERDICTS = 400_000
 ARROW_ROWS = 512
 
 WORD = re.compile(r"[^\W_]+")
@@ -46,8 +49,8 @@ class Entry:
 class Lexicon:
     """A trie of entries and a Levenshtein automaton of distance 1 that runs along it.
 
-    A state is a set of (trie node, edits). Dead states are known after three letters
-    for most words, and these are remembered.
+    A state is a set of (trie node, edits). States get numbers and their moves are remembered as words meet them, so
+    the product of trie and automaton becomes a deterministic automaton of the part that is used.
     """
 
     def __init__(self, entries: list[Entry], clean: frozenset[str] = frozenset()):
@@ -67,8 +70,29 @@ class Lexicon:
                 node = self.children[node][letter]
                 self.fuzzy[node] |= loose
             self.ends[node] = k
-        self.start = self._closed({0: 0})
-        self.opened: dict[str, tuple] = {}
+        # The automaton, made as far as words have led it: moves by letter, and what each state accepts.
+        self.ids: dict[frozenset, int] = {}
+        self.states: list[dict[int, int]] = []
+        self.moves: list[dict[str, int]] = []
+        self.accepts: list[tuple[int, int] | None] = []
+        self.stems: list[int | None] = []
+        self.start = self._number(self._closed({0: 0}))
+        self.verdicts = Verdicts(self)
+
+    def _number(self, state: dict[int, int]) -> int:
+        """The number of a state; -1 if it is dead."""
+        if not state:
+            return -1
+        key = frozenset(state.items())
+        if key not in self.ids:
+            self.ids[key] = len(self.states)
+            self.states.append(state)
+            self.moves.append({})
+            ends = [(self.ends[n], edits) for n, edits in state.items() if self.ends[n] is not None]
+            whole = [(edits, k) for k, edits in ends if not self.entries[k].stem]
+            self.accepts.append((min(whole)[1], min(whole)[0]) if whole else None)
+            self.stems.append(next((k for k, edits in ends if edits == 0 and self.entries[k].stem), None))
+        return self.ids[key]
 
     def _closed(self, state: dict[int, int]) -> dict[int, int]:
         """With the nodes that leaving out a letter reaches."""
@@ -93,63 +117,46 @@ class Lexicon:
                         out.setdefault(child, 1)
         return self._closed(out)
 
-    def _stem_at(self, state: dict[int, int]) -> int | None:
-        for node, edits in state.items():
-            k = self.ends[node]
-            if edits == 0 and k is not None and self.entries[k].stem:
-                return k
-        return None
-
-    def opening(self, letters: str) -> tuple:
-        """What three letters lead to: (entry of a stem that they hold, or None; the state, or None if dead)."""
-        state, stem = self.start, None
-        for letter in letters:
-            state = self.step(state, letter)
-            stem = stem if stem is not None else self._stem_at(state)
-        found = (stem, state) if stem is not None or state else (None, None)
-        if len(self.opened) < 200_000:
-            self.opened[letters] = found
-        return found
-
     def match(self, word: str) -> tuple[int, int] | None:
         """The entry that `word` is, and its edits (0 or 1)."""
-        found = self.opened.get(word[:3])
-        stem, state = found if found is not None else self.opening(word[:3])
-        if stem is not None:
-            return stem, 0
-        for letter in word[3:]:
-            if not state:
+        at = self.start
+        for letter in word:
+            to = self.moves[at].get(letter)
+            if to is None:
+                to = self.moves[at][letter] = self._number(self.step(self.states[at], letter))
+            if to < 0:
                 return None
-            state = self.step(state, letter)
-            stem = self._stem_at(state)
-            if stem is not None:
-                return stem, 0
-        best = None
-        for node, edits in (state or {}).items():
-            k = self.ends[node]
-            if k is not None and not self.entries[k].stem and (edits == 0 or self.fuzzy[node]):
-                if best is None or edits < best[1]:
-                    best = (k, edits)
-        if best is not None and best[1] and word in self.clean:
-            return None
-        return best
+            if self.stems[to] is not None:
+                return self.stems[to], 0
+            at = to
+        found = self.accepts[at]
+        return None if found is None or found[1] and word in self.clean else found
 
     def hits(self, text: str) -> tuple[list[tuple[int, int, int, int]], int]:
         """(start, end, entry, edits) of every hit in the lower-cased text, and the number of words."""
-        words = WORD.findall(text)
-        opened, look = self.opened, []
-        for i, word in enumerate(words):
-            found = opened.get(word[:3])
-            if (found is None or found[1] is not None) and self.match(word):
-                look.append(i)
-        if not look:
+        words, verdicts = WORD.findall(text), self.verdicts
+        if not any(map(verdicts.__getitem__, words)):
             return [], len(words)
-        out = []
-        for found in WORD.finditer(text):
-            got = self.match(found.group())
-            if got:
-                out.append((found.start(), found.end(), *got))
-        return out, len(words)
+        found = ((m, verdicts[m.group()]) for m in WORD.finditer(text))
+        return [(m.start(), m.end(), *got) for m, got in found if got], len(words)
+
+
+class Verdicts(dict):
+    """What `match` said of a word, for a bounded number of words."""
+
+    def __init__(self, lexicon: Lexicon):
+        super().__init__()
+        self.lexicon = lexicon
+
+    def __missing__(self, word: str) -> tuple[int, int] | None:
+        found = self.lexicon.match(word)
+        if len(self) >= VERDICTS:
+            self.clear()
+        self[word] = found
+        return found
+
+    def __reduce__(self) -> tuple:
+        return Verdicts, (self.lexicon,)
 
 
 def quoted(text: str, start: int, end: int) -> bool:
@@ -335,3 +342,9 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
     schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())])
     return kept.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of `docs`, with their columns, that the score does not reject."""
+    packed = pack(docs, "doc_id", "text")
+    return unpack(toxicity(packed, fit(packed, labels, rows)).filter("predicted = 0"), docs, "doc_id", "text")
