@@ -51,8 +51,10 @@ def _copies_by_class(classes: DataFrame, cap: float, tilt: float) -> DataFrame:
     longest_first = Window.partitionBy("_src").orderBy(F.col("_class").desc())
     filled = longest_first.rowsBetween(Window.unboundedPreceding, -1)
     rest = longest_first.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    factor = (F.col("target") - F.lit(float(cap)) * F.coalesce(F.sum("_words").over(filled), F.lit(0))) / F.sum(
-        F.col("_words") * F.col("_pull")).over(rest)
+    # NULL where only documents without words are left.
+    factor = F.try_divide(
+        F.col("target") - F.lit(float(cap)) * F.coalesce(F.sum("_words").over(filled), F.lit(0)),
+        F.sum(F.col("_words") * F.col("_pull")).over(rest))
     expected = F.least(F.lit(float(cap)), F.coalesce(F.col("_factor") * F.col("_pull"), F.lit(float(cap))))
     return (
         classes.withColumn("_pull", F.pow(F.lit(2.0), F.col("_class") * F.lit(float(tilt))))
@@ -110,7 +112,7 @@ def pareto_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: flo
         "_src", "_class", "source_size", "target", "_words", "_whole", "_chance"), "mix-plan")
 
     def ranked(df: DataFrame) -> DataFrame:
-        rank = F.col("_odds") / (F.col("_chance") / (1 - F.col("_chance")))
+        rank = F.try_divide(F.col("_odds") * (1 - F.col("_chance")), F.col("_chance"))
         return df.join(plan.drop("_words"), ["_src", "_class"]).withColumn("_rank", F.when(
             (F.col("_chance") > 0) & (F.col("size") > 0), rank)).withColumn(
             "_bucket", F.floor(F.col("_rank") / (1 + F.col("_rank")) * BUCKETS).cast("int"))

@@ -212,12 +212,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     signed = stage(signatures(docs), "signatures")
     classes = stage(signed.filter("cls is not null").groupBy("cls").agg(
-        F.min(F.struct("doc_id", "text_hash")).alias("member"), F.first("n_shingles").alias("n"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")).alias("member"), F.first("n_shingles").alias("n"),
         F.first("left").alias("left"), F.first("right").alias("right"), F.first("sketch").alias("sketch")), "classes")
     full = buckets(classes)
     first = full.groupBy("bucket").agg(F.min("cls").alias("a"))
     star = stage(full.join(first, "bucket").filter("a <> cls").select("a", F.col("cls").alias("b")).distinct(), "pairs")
-    members = classes.select("cls", "n", "sketch", "member.*")
+    members = classes.select("cls", "n", "sketch", "member.doc_id", "member.text_hash")
     sets = class_sets(docs, members.drop("n", "sketch").join(full.select("cls").distinct(), "cls", "left_semi"))
     links = verified(plausible(star, members, percent), sets, percent)
     labels = components(links)

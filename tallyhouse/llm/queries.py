@@ -14,7 +14,7 @@ from tallyhouse.llm.line_dedup import drop_repeated_lines
 from tallyhouse.llm.mixing import pareto_mix
 from tallyhouse.llm.near_duplicates import near_duplicates
 from tallyhouse.llm.search import every_fiftieth, top_k
-from tallyhouse.llm.secret_scan import KINDS, scan_secrets, spelled
+from tallyhouse.llm.secret_scan import KINDS, number_of, scan_secrets, spelled
 from tallyhouse.llm.ship import ship
 from tallyhouse.llm.sharding import shard_rows
 from tallyhouse.llm.tokens import token_files
@@ -66,7 +66,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
-    counts = [F.size(F.filter("base", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    counts = [number_of("base", kind).alias(f"n_{kind}") for kind in KINDS]
     return found.select("doc_id", *counts, F.sha2(spelled("base"), 256).alias("base_sha256"), spelled("spans").alias("spans"))
 
 

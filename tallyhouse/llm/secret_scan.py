@@ -281,3 +281,8 @@ def scan_secrets(docs: DataFrame, keep_text: bool = True) -> DataFrame:
 def spelled(spans: str) -> Column:
     """The spans of a column as kind:start:end, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def number_of(spans: str, kind: str) -> Column:
+    """How many spans of a column are of a kind."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")

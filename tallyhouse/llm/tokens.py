@@ -12,6 +12,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ CACHE_ENTRIES = 600_000
 # Rows of an Arrow batch, and so the documents of a block at most.
 ARROW_ROWS = 512
 
+TOKEN_ID = attrgetter("id")
 _encoders: dict = {}
 
 
@@ -116,8 +118,11 @@ class Encoder:
 
     def word(self, word: str) -> bytes:
         """The ids of one word of the pattern."""
-        spelled = word.encode().decode("latin-1").translate(self.letters)
-        return array(self.code, [x.id for x in self.model.tokenize(spelled)]).tobytes()
+        if word[0] == " " and word.isascii() and "\n" not in word:
+            spelled = self.letters[0x20] + word[1:]  # visible ASCII is spelled as it is
+        else:
+            spelled = word.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, map(TOKEN_ID, self.model.tokenize(spelled))).tobytes()
 
     def text(self, text: str) -> bytes:
         if not self.by_piece or any(x in text for x in self.special):
@@ -193,32 +198,28 @@ def rank_ids(tokenized: DataFrame) -> DataFrame:
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of the ranks."""
-    ranks = np.ascontiguousarray(ranks, dtype="<u4")
-    size = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    most = int(ranks.max()) if len(ranks) else 0
+    widest = 2 if most <= 0xFFFF else 4
+    ranks = np.ascontiguousarray(ranks, dtype=f"<u{widest}")
     codes = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)
-    codes[:len(ranks)] = size - 1
+    for limit in (0xFF, 0xFFFF, 0xFFFFFF)[:widest - 1]:
+        codes[:len(ranks)] += ranks > limit
     control = codes.reshape(-1, 4) @ np.array([1, 4, 16, 64], dtype=np.uint8)
-    keep = np.arange(4, dtype=np.uint8) < size[:, None]
-    return control.astype(np.uint8).tobytes(), ranks.view(np.uint8).reshape(-1, 4)[keep].tobytes()
+    keep = np.arange(widest, dtype=np.uint8) <= codes[:len(ranks), None]
+    return control.astype(np.uint8).tobytes(), ranks.view(np.uint8).reshape(-1, widest)[keep].tobytes()
 
 
-# For each control byte, the lengths of its four tokens.
+# For each control byte the lengths of its four tokens, and for each length the bits that count.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
+BITS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
 
 
 def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
-    """The ranks behind `pack`'s bytes: token lengths by table lookup, then one gather per byte place."""
+    """The ranks behind `pack`'s bytes: lengths by table lookup, then four bytes from each token's place, cut to its length."""
     size = LENGTHS[np.frombuffer(control, dtype=np.uint8)].reshape(-1)[:count]
     at = np.cumsum(size, dtype=np.int64) - size
-    raw = np.frombuffer(data, dtype=np.uint8)
-    out = np.zeros(count, dtype=np.uint32)
-    if not count:
-        return out
-    out[:] = raw[at]
-    for place in range(1, int(size.max())):
-        longer = size > place
-        out[longer] |= raw[at[longer] + place].astype(np.uint32) << np.uint32(8 * place)
-    return out
+    fours = np.ndarray(len(data), dtype="<u4", buffer=data + bytes(3), strides=(1,))
+    return fours[at] & BITS[size]
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
@@ -266,13 +267,13 @@ def _vocabulary(spark: SparkSession, path: str, by: str) -> np.ndarray:
     """Rank by id, or id by rank. One entry per id of the tokenizer: bounded by its vocabulary."""
     other = "rank" if by == "id" else "id"
     rows = spark.read.parquet(f"{path}/vocabulary").select(by, other).toPandas()
-    out = np.zeros(int(rows[by].max()) + 1 if len(rows) else 1, dtype=np.uint32)
+    out = np.zeros(int(rows[by].max()) + 1 if len(rows) else 1, dtype="<u4")
     out[rows[by].to_numpy()] = rows[other].to_numpy()
     return out
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """What the files hold, one row per document: `doc_id`, `start`, `n_tokens`, `ids` (4 bytes each) and `ids_crc32`.
+def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """What the files hold, one row per document: `doc_id`, `start`, `n_tokens`, `ids` (4 bytes each, if wanted) and `ids_crc32`.
 
     `start` counts the ids of all earlier documents. It comes from the lengths alone: sums per
     block, of which the window holds one row each.
@@ -285,20 +286,22 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for part, place, docs, lengths, control, data in zip(*(batch[c] for c in ("part", "place", "doc_ids", "lengths", "control", "data"))):
                 n = lengths.values.to_numpy()
-                raw = ids.value[unpack(control.as_py(), data.as_py(), int(n.sum()))].astype("<u4").tobytes()
+                raw = memoryview(ids.value[unpack(control.as_py(), data.as_py(), int(n.sum()))]).cast("B")
                 ends = np.cumsum(n)
                 own = [raw[4 * (e - k):4 * e] for e, k in zip(ends.tolist(), n.tolist())]
                 many = len(own)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([part.as_py()] * many, pa.int32()), pa.array([place.as_py()] * many, pa.int64()), docs.values,
-                    pa.array(ends - n, pa.int64()), pa.array(n, pa.int64()), pa.array(own, pa.binary()),
+                    pa.array(ends - n, pa.int64()), pa.array(n, pa.int64()),
+                    pa.array([bytes(x) for x in own] if with_ids else [None] * many, pa.binary()),
                     pa.array([zlib.crc32(x) for x in own], pa.int64())],
                     ["part", "place", "doc_id", "inside", "n_tokens", "ids", "ids_crc32"])
 
     rows = blocks.mapInArrow(run, f"part int, place long, doc_id {kind}, inside long, n_tokens long, ids binary, ids_crc32 long")
     starts = _block_starts(blocks)
-    return rows.join(starts, ["part", "place"]).select(
+    out = rows.join(starts, ["part", "place"]).select(
         "doc_id", (F.col("_before") + F.col("inside")).alias("start"), "n_tokens", "ids", "ids_crc32")
+    return out if with_ids else out.drop("ids")
 
 
 def _block_starts(blocks: DataFrame) -> DataFrame:
@@ -312,8 +315,8 @@ def _block_starts(blocks: DataFrame) -> DataFrame:
         "part", "place", (F.col("_part_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("_before"))
 
 
-def token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | None = None) -> DataFrame:
+def token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | None = None, with_ids: bool = True) -> DataFrame:
     """Write the token files of `docs` to `path` (a new shared folder by default) and return what they hold."""
     path = path or new_path(docs.sparkSession, "token-files")
     write_token_files(docs, path, tokenizer, end_id)
-    return read_token_files(docs.sparkSession, path)
+    return read_token_files(docs.sparkSession, path, with_ids)
