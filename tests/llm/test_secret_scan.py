@@ -44,8 +44,8 @@ def test_a_span_covers_what_encodes_it():
 
 def test_words_and_cycles_end():
     assert secret_spans("nothing here but longlonglonglonglonglongwords 100% sure \\u12 %zz &#; AKIA") == ([], [])
-    assert len(list(layers("%2525252525252541"))) == 7
-    bomb = base64.b64encode(zlib.compress(b"a" * 20_000_000 + b" password=hidden99")).decode()
+    assert any(x.text == "A" for x in layers("%2525252525252541"))
+    bomb = base64.b64encode(zlib.compress(b"z" * 20_000_000 + b" password=hidden99")).decode()
     assert [s[0] for s in secret_spans(bomb)[1]] == ["assign"]
 
 
