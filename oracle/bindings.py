@@ -12,7 +12,7 @@ from nation cross join (values (1),(2)) t(k)""",
 select d.id*10+k id, concat('S',cast(k as varchar)) as name, case when d.id%11=0 then null else d.province_id end province_id,
  d.id district_id, d.country_id from district d cross join (values (1),(2),(3)) t(k)""",
     "delivery_zone": """
-select id, concat('Ruta ',cast(id as varchar)) as name, concat('Lunes ',cast(id as varchar),' pm') description
+select id, concat('Ruta ',cast(id as varchar)) as name, case when id<>4 then concat('Lunes ',cast(id as varchar),' pm') end description
 from (values (1),(2),(3),(4),(5),(6)) t(id)""",
     "delivery_zone_sector": """
 select country_id zone_id, id sector_id from sector where id%3<>0 union all select 6, id from sector where id%8=1""",
@@ -81,7 +81,7 @@ select id, concat('ITBMS ',cast(id as varchar)) description, case when id=8 then
 select * from (values (1,'001','Concepto A',1),(2,'12','Concepto B',2),(3,'7','Concepto C',1),(4,'1234','Concepto D',2),(5,'A9','Concepto E',null)) t(id,code,name,type)""",
     "account_account": """
 select id, concat('acct',cast(id as varchar)) as name, case when id%3=0 then null else id%5+1 end partner_concept_id,
- case when id%13=0 then 3 else cast(id%2+1 as int) end company_id, case when id%4=0 then 'payable' else 'other' end internal_type, id%7=0 deprecated
+ case when id%13=0 then 3 else cast(id%2+1 as int) end company_id, case when id%4=0 then 'payable' else 'other' end internal_type, case when id%5<>1 then id%7=0 end deprecated
 from (select distinct p_partkey%40+1 id from part) x""",
     "fiscal_printer": """
 select n_nationkey+1 id, concat('SER',cast(n_nationkey as varchar)) serial, n_nationkey+1 employee_id, n_nationkey%2=0 merge_invoices_orders

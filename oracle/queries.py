@@ -78,10 +78,23 @@ from account_invoice i
 join (select y.invoice_id, y.tax_id, y.amount, t.description from account_invoice_tax y join account_tax t on t.id=y.tax_id) x on x.invoice_id=i.id
 join (select u.id, u.store_id, s.name store_name from res_users u join res_store s on s.id=u.store_id) e on e.id=i.write_uid
 where i.type='out_invoice' and i.state='paid' and i.partner_id in (select id from res_partner)""",
+    "stored_lines": """
+select l.*, cast(case when id%4=0 then 111 when id%4=2 then 131 end as int) commission_id, cast(case when id%2=0 then 7.5 else 0 end as decimal(5,2)) commission_percentage,
+ cast(case when id%2=0 then price_subtotal*0.5 else 0 end as decimal(22,6)) commission_total from account_invoice_line l""",
+    "stored_orders": """
+select o.*, case when id%4=0 then date '1996-11-14' end first_payment_date,
+ case when id%4=0 then date '1997-02-12' when id%4=1 then date '1997-01-01' end canceled_at, case when id%4=0 then date '1997-02-02' end notified_at
+from sale_order o""",
+    "stored_certificates": """
+select c.*, case when id%2=0 then concat('CRET/',cast(year(create_date) as varchar),'/',lpad(cast(id%40+1 as varchar),4,'0')) end number
+from withholding_certificate c""",
+    "stored_named": """
+select * exclude (master_filename_assigned, lines_filename_assigned), concat('ST',cast(id as varchar)) master_filename_assigned,
+ concat('SL',cast(id as varchar)) lines_filename_assigned from named""",
     "first_paid": """
 select o.id order_id, q.id payment_id, q.payment_date first_payment_date
 from sale_order o join account_payment_term t on t.id=o.payment_term_id and t.payment_term_type='credit_payment'
-join (select *, row_number() over (partition by sale_order_id order by payment_date, id) rn from account_payment where sale_order_id is not null) q
+join (select *, row_number() over (partition by sale_order_id order by id) rn from account_payment where sale_order_id is not null) q
  on q.sale_order_id=o.id and q.rn=1
 where o.state='sale' and o.invoice_status='to invoice'""",
     "deadlines": """
@@ -163,7 +176,7 @@ select d.*, i.write_uid user_id, p.id printer_id, p.serial printer_serial_number
 from eligibility e join details d on d.invoice_id=e.id join account_invoice i on i.id=e.id
 join fiscal_printer p on p.employee_id=i.write_uid where e.eligibility='ok'""",
     "infos": """
-select r.sector_id, concat(chr(10), string_agg(concat('Ruta de entrega: ',z.name,', información: ',z.description),'' order by z.id)) info
+select r.sector_id, concat(chr(10), string_agg(concat('Ruta de entrega: ',coalesce(z.name,''),', información: ',coalesce(z.description,'')),'' order by z.id)) info
 from (select distinct zone_id, sector_id from delivery_zone_sector) r join delivery_zone z on z.id=r.zone_id group by 1""",
     "quant_labels": """
 select q.id, q.location_id, w.name warehouse_name,
@@ -224,8 +237,11 @@ def _blank(column: str) -> str:
 def _count_tables() -> str:
     names = [n for n in BINDINGS if n not in ("numbered_lineitem", "invoice_header", "document_core")] + ["fiscal_document"]
     source = {"fiscal_document": "document_core"}
+    stored = {"account_invoice_line": ("stored_lines", "sum(commission_id)"), "sale_order": ("stored_orders", "count(canceled_at)"),
+              "fiscal_document": ("document_core", "sum(id%100)"), "withholding_certificate": ("stored_certificates", "count(number)")}
     return " union all ".join(
-        f"select '{n}' table_name, count(*) row_count from {source.get(n, n)}" for n in names)
+        f"select '{n}' table_name, count(*) row_count, cast({stored.get(n, (n, 'null'))[1]} as bigint) stored_sum "
+        f"from {stored[n][0] if n in stored else source.get(n, n)}" for n in names)
 
 
 def _children(child: str, parent: str, link: str, country: str, extra: str = "") -> str:
@@ -233,14 +249,14 @@ def _children(child: str, parent: str, link: str, country: str, extra: str = "")
             f"where c.country_id={country}{extra}")
 
 
-def _search(name: str) -> str:
+def _search(name: str, limit: str = "") -> str:
     return f"""
 select id, label from (
  select id, label from quant_labels where location_id in (select lot_stock_id from stock_warehouse where name ilike '%{name}%')
  union all
  select q.id, q.label from quant_labels q join stock_location l on l.id=q.location_id where l.name ilike '%{name}%'
   and not exists (select 1 from quant_labels r join stock_warehouse w on w.lot_stock_id=r.location_id where w.name ilike '%{name}%')) x
-order by id limit 100"""
+{limit}"""
 
 
 def _with_notes(table: str, text: str) -> str:
@@ -436,13 +452,14 @@ from account_invoice i left join (select invoice_id, string_agg(support_warranty
 on w.invoice_id=i.id""",
     "stock_available": "select id, label from quant_labels",
     "stock_search": _search("wh a"),
+    "stock_search_limit": _search("wh a", "order by id limit 100"),
     "stock_search_location": _search("loc/"),
     "product_quants": """
 select id, product_id, location_id, company_id, quantity, reserved_quantity from stock_quant where company_id is not null and quantity>0 and product_id is not null""",
     "product_quants_of_product": """
 select id, product_id, location_id, company_id, quantity, reserved_quantity from stock_quant where company_id is not null and quantity>0 and product_id=42""",
     "supplier_accounts": """
-select id, name, company_id from account_account where internal_type='other' and not deprecated and company_id in (select id from res_company)""",
+select id, name, company_id from account_account where internal_type='other' and deprecated is distinct from true and company_id in (select id from res_company)""",
     "find_by_ruc": "select id, name, id partner_id, ruc partner_ruc from res_partner where ruc ilike '%8-12%'",
     "find_by_ruc_orders": BY_RUC.format(label="name", table="sale_order"),
     "find_by_ruc_invoices": BY_RUC.format(label="number", table="account_invoice"),
@@ -476,6 +493,29 @@ from credit_note_log group by 1""",
     "number_rows": "select row_number() over (order by create_date, id) as position, id, create_date from account_invoice",
 }
 
+QUERIES |= {
+    "commission_lines_stored": STEPS["lines_commission"].replace("from assigned l", "from stored_lines l"),
+    "orders_to_cancel_stored": f"""
+select o.id from stored_orders o join account_payment_term t on t.id=o.payment_term_id and t.payment_term_type='credit_payment'
+where o.state='sale' and o.invoice_status='to invoice' and o.canceled_at={AS_OF} order by o.id""",
+    "print_pending_stored": QUERIES["print_pending"].replace("from named where", "from stored_named where"),
+    "commission_assign_second_run": """
+select s.* exclude (commission_id, commission_percentage, commission_total), coalesce(s.commission_id, a.commission_id) commission_id,
+ case when s.commission_id is null then a.commission_percentage else s.commission_percentage end commission_percentage,
+ case when s.commission_id is null then a.commission_total else s.commission_total end commission_total
+from stored_lines s join assigned a on a.id=s.id""",
+    "order_deadlines_second_run": """
+select o.* exclude (first_payment_date, canceled_at, notified_at), coalesce(o.first_payment_date, f.first_payment_date) first_payment_date,
+ coalesce(o.canceled_at, cast(coalesce(o.first_payment_date, f.first_payment_date)+90 as date)) canceled_at,
+ coalesce(o.notified_at, cast(coalesce(o.first_payment_date, f.first_payment_date)+80 as date)) notified_at
+from stored_orders o left join first_paid f on f.order_id=o.id""",
+    "certificate_numbers_second_run": """
+select id, year, sequence, concat('CRET/',cast(year as varchar),'/',lpad(cast(sequence as varchar),cast(greatest(4,length(cast(sequence as varchar))) as int),'0')) number
+from (select id, cast(year(create_date) as int) as year, case when number is not null then id%40+1 else
+ coalesce(max(case when number is not null then id%40+1 end) over (partition by year(create_date)), 0)
+ + row_number() over (partition by year(create_date), number is null order by create_date, id) end sequence from stored_certificates) q""",
+}
+
 _TEXTS = {**BINDINGS, **STEPS}
 
 

@@ -62,11 +62,12 @@ def commission_total() -> Column:
     return percent_of(F.col("price_subtotal"), F.col("rule_percentage")).cast("decimal(22,6)")
 
 
-def commission_assign(t: Tables) -> DataFrame:
+def commission_assign(t: Tables, recompute: bool = False) -> DataFrame:
     """The line table with its commission columns.
 
     A line of a paid invoice with a payment term takes the nearest rule up its
-    product's category tree. Lines without a rule keep what they had: nothing, or
+    product's category tree. A line that has a commission keeps it, whatever today's rules say,
+    unless all are to be computed anew with `recompute`. Lines without a rule keep what they had: nothing, or
     the columns of the input table.
     """
     lines = t["account_invoice_line"]
@@ -79,6 +80,8 @@ def commission_assign(t: Tables) -> DataFrame:
     }
     kept |= {name: F.col(name) for name in kept if name in lines.columns}
     hit = F.col("rule_id").isNotNull()
+    if "commission_id" in lines.columns and not recompute:
+        hit &= F.col("commission_id").isNull()
     new = {
         "commission_id": F.col("rule_id"),
         "commission_percentage": F.col("rule_percentage"),

@@ -108,7 +108,8 @@ def refund_links(t: Tables) -> DataFrame:
     return (
         refunds
         .join(documents, F.col("parent_invoice_id") == F.col("parent_of"), "left")
-        .join(reasons, F.col("refund_name") == F.col("refund_note"), "left")
+        # Free text: many refunds share one phrase, or have none.
+        .transform(skewed_join, reasons, "refund_name", "refund_note", spread_by="invoice_id")
         .select(
             "invoice_id", "parent_invoice_id", "parent_invoice_filename_assigned",
             "parent_invoice_fiscal_printer_serial", "parent_invoice_fiscal_invoice_number",

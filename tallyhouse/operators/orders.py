@@ -41,13 +41,17 @@ def _flagged(t: Tables) -> DataFrame:
 
 
 def _first_payments(t: Tables) -> DataFrame:
-    first = F.min(F.struct("payment_date", "id")).alias("_first")
+    # Payments get their ids as they are booked; one that is dated back later is not the first.
+    first = F.min(F.struct("id", "payment_date")).alias("_first")
     return t["account_payment"].filter(F.col("sale_order_id").isNotNull()).groupBy(
         F.col("sale_order_id").alias("_paid_order")).agg(first)
 
 
 def order_first_payment(t: Tables) -> DataFrame:
-    """The first payment of each payable order, by date and id."""
+    """The first payment of each payable order: the one that was booked first, by id.
+
+    Whether an order is payable is read from its present state, as the tables keep no earlier one.
+    """
     return (
         _payable(t, t["sale_order"]).select(F.col("id").alias("order_id"))
         .join(_first_payments(t), F.col("order_id") == F.col("_paid_order"))
@@ -58,24 +62,27 @@ DATES = ("first_payment_date", "canceled_at", "notified_at")
 
 
 def _dated(t: Tables) -> DataFrame:
-    """The orders with their dates and whether they can be paid on, in one pass."""
+    """The orders with their dates and whether they can be paid on, in one pass. Dates that are set stay."""
     orders = t["sale_order"]
     paid = _flagged(t).join(_first_payments(t), F.col("id") == F.col("_paid_order"), "left").withColumn(
         "_day", F.when(F.col("_payable"), F.col("_first.payment_date")))
 
     def updated(name: str, value: Column) -> Column:
         old = F.col(name) if name in orders.columns else F.lit(None).cast("date")
-        return F.coalesce(value, old).alias(name)
+        return F.coalesce(old, value).alias(name)
 
+    # The deadlines count from the first payment that stands, the stored one if there is one.
+    paid = paid.withColumn("_start", F.coalesce(
+        F.col("first_payment_date") if "first_payment_date" in orders.columns else F.lit(None).cast("date"), "_day"))
     return paid.select(
         *[c for c in orders.columns if c not in DATES],
         updated("first_payment_date", F.col("_day")),
-        updated("canceled_at", F.date_add("_day", CANCEL_AFTER_DAYS)),
-        updated("notified_at", F.date_add("_day", NOTIFY_AFTER_DAYS)), "_payable")
+        updated("canceled_at", F.date_add("_start", CANCEL_AFTER_DAYS)),
+        updated("notified_at", F.date_add("_start", NOTIFY_AFTER_DAYS)), "_payable")
 
 
 def order_deadlines(t: Tables) -> DataFrame:
-    """The order table with first payment, cancellation and notice dates."""
+    """The order table with first payment, cancellation and notice dates. A date once given stays."""
     return _dated(t).drop("_payable")
 
 

@@ -142,7 +142,8 @@ def zone_conflicts(t: Tables) -> DataFrame:
 def _delivery_infos(t: Tables) -> DataFrame:
     """Delivery text per sector: its zones, in order of id, one after the other."""
     zones = t["delivery_zone"].select("id", F.concat(
-        F.lit("Ruta de entrega: "), F.col("name"), F.lit(", información: "), F.col("description")).alias("_text"))
+        F.lit("Ruta de entrega: "), F.coalesce("name", F.lit("")), F.lit(", información: "),
+        F.coalesce("description", F.lit(""))).alias("_text"))
     return (
         t["delivery_zone_sector"].distinct().join(zones, F.col("zone_id") == F.col("id"))
         .groupBy(F.col("sector_id").cast("bigint").alias("info_sector_id"))
@@ -218,7 +219,7 @@ def company_tax_ids(t: Tables) -> DataFrame:
 
 def supplier_accounts(t: Tables, company_id: int | None = None) -> DataFrame:
     """Accounts a supplier bill of the company may use."""
-    accounts = t["account_account"].filter((F.col("internal_type") == "other") & ~F.col("deprecated"))
+    accounts = t["account_account"].filter((F.col("internal_type") == "other") & ~F.coalesce("deprecated", F.lit(False)))
     if company_id is not None:
         accounts = accounts.filter(F.col("company_id") == company_id)
     companies = t["res_company"].select(F.col("id").alias("_company"))

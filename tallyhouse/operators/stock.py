@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections import ChainMap
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Tables = Mapping[str, DataFrame]
@@ -24,27 +25,26 @@ def stock_available(t: Tables) -> DataFrame:
     return _labelled(t).select("id", "label")
 
 
-def stock_search(t: Tables, name: str, limit: int = 100) -> DataFrame:
-    """Quants of the warehouses whose name matches; if there are none, quants whose
-    location's name matches. The first `limit` by id.
+def stock_search(t: Tables, name: str, limit: int | None = None) -> DataFrame:
+    """Quants of the warehouses whose name matches; if these hold none, quants whose
+    location's name matches. All of them, or the first `limit` by id, as a search box shows.
 
-    Both searches run in one pass: warehouse hits sort first, and the cut-off list
-    keeps its best kind only.
+    The places that match are found first, and only the quants in them get a label. Whether any quant is in a matching
+    warehouse is one grouped row.
     """
     pattern = F.lit(f"%{name}%")
-    hit_warehouses = t["stock_warehouse"].filter(F.ilike("name", pattern)).select(
-        F.col("lot_stock_id").alias("_hit")).distinct() if name else None
-    locations = t["stock_location"].select(F.col("id").alias("_loc"), F.ilike("name", pattern).alias("_loc_hit"))
-    quants = _labelled(t).join(locations, F.col("location_id") == F.col("_loc"), "left")
-    if hit_warehouses is None:
-        quants = quants.withColumn("_kind", F.when(F.col("_loc_hit"), 1))
-    else:
-        quants = quants.join(hit_warehouses, F.col("location_id") == F.col("_hit"), "left").withColumn(
-            "_kind", F.when(F.col("_hit").isNotNull(), 0).when(F.col("_loc_hit"), 1))
-    first = quants.filter("_kind is not null").orderBy("_kind", "id").limit(limit)
-    # At most `limit` rows are left, so one window over all of them is small.
-    best = F.min("_kind").over(Window.partitionBy())
-    return first.select("id", "label", "_kind", best.alias("_best")).filter("_kind = _best").select("id", "label")
+    by_name = t["stock_location"].filter(F.ilike("name", pattern)).select(F.col("id").alias("_place"), F.lit(1).alias("_kind"))
+    if name:
+        warehouses = t["stock_warehouse"].filter(F.ilike("name", pattern)).select(
+            F.col("lot_stock_id").alias("_place"), F.lit(0).alias("_kind"))
+        by_name = warehouses.unionByName(by_name)
+    places = by_name.groupBy("_place").agg(F.min("_kind").alias("_kind"))
+    held = t["stock_quant"].join(places, F.col("location_id") == F.col("_place"))
+    best = held.agg(F.min("_kind").alias("_best"))
+    found = held.join(F.broadcast(best), F.col("_kind") == F.col("_best")).select(t["stock_quant"].columns)
+    if limit is not None:
+        found = found.orderBy("id").limit(limit)
+    return _labelled(ChainMap({"stock_quant": found}, t)).select("id", "label")
 
 
 def product_quants(t: Tables, product_id: int | None = None) -> DataFrame:

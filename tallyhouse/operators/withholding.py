@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,30 +68,41 @@ def withholding_eligible(t: Tables, supplier_id: int | None = None) -> DataFrame
 def certificate_numbers(t: Tables, existing: DataFrame | None = None) -> DataFrame:
     """Gap-free certificate numbers per year of creation, in order of creation and id.
 
-    `existing` has a `number` column of numbers already given; each year goes on after
-    its highest one.
+    A certificate whose `number` is stored keeps it; only the others are numbered, each year after its highest
+    number. `existing` has a `number` column of further numbers already given, of deleted certificates say.
     """
-    certificates = t["withholding_certificate"].select("id", "create_date", F.year("create_date").alias("year"))
-    ranked = number_within(certificates, ["year"], ["create_date", "id"], "_rank")
-    if existing is None:
-        sequence = F.col("_rank")
+    return _numbered(t["withholding_certificate"].select(
+        *[c for c in ("id", "create_date", "number") if c in t["withholding_certificate"].columns]), existing).select(
+        "id", "year", "sequence", "number")
+
+
+def _numbered(certificates: DataFrame, existing: DataFrame | None) -> DataFrame:
+    """The certificates, with all their columns, and `year`, `sequence` and `number`."""
+    year, used = (F.split_part("number", F.lit("/"), F.lit(n)) for n in (2, 3))
+    dated = certificates.withColumn("year", F.year("create_date"))
+    stored = "number" in certificates.columns
+    given = [df.select(year.try_cast("int").alias("_year"), used.try_cast("bigint").alias("_used"))
+             for df in ([certificates.filter("number is not null")] if stored else []) + ([] if existing is None else [existing])]
+    named = F.concat_ws("/", F.lit(NUMBER_PREFIX), F.col("year").cast("string"), zero_padded(F.col("sequence"), NUMBER_WIDTH))
+    fresh = dated.filter("number is null").drop("number") if stored else dated
+    ranked = number_within(fresh, ["year"], ["create_date", "id"], "_rank")
+    if given:
+        # One row per year.
+        last = reduce(DataFrame.union, given).groupBy("_year").agg(F.max("_used").alias("_used"))
+        ranked = ranked.join(last, F.col("year") == F.col("_year"), "left").drop("_year")
     else:
-        year, used = (F.split_part("number", F.lit("/"), F.lit(n)) for n in (2, 3))
-        last = (
-            existing.select(year.try_cast("int").alias("_year"), used.try_cast("bigint").alias("_used"))
-            .groupBy("_year").agg(F.max("_used").alias("_used")))
-        ranked = ranked.join(last, F.col("year") == F.col("_year"), "left")
-        sequence = F.col("_rank") + F.coalesce("_used", F.lit(0))
-    return ranked.select("id", "year", sequence.cast("bigint").alias("sequence")).select(
-        "id", "year", "sequence",
-        F.concat_ws("/", F.lit(NUMBER_PREFIX), F.col("year").cast("string"),
-                    zero_padded(F.col("sequence"), NUMBER_WIDTH)).alias("number"))
+        ranked = ranked.withColumn("_used", F.lit(0))
+    new = ranked.withColumn("sequence", (F.col("_rank") + F.coalesce("_used", F.lit(0))).cast("bigint")).withColumn(
+        "number", named).drop("_rank", "_used")
+    if not stored:
+        return new
+    old = dated.filter("number is not null").withColumn("sequence", used.try_cast("bigint"))
+    return new.unionByName(old.select(*new.columns))
 
 
 def withholding_certificates(t: Tables, existing: DataFrame | None = None) -> DataFrame:
     """The certificates as printed. The supplier is that of the invoice; amounts are
     shown with the opposite sign."""
-    numbers = certificate_numbers(t, existing).select(F.col("id").alias("_no"), "number")
     companies = t["res_company"].select(
         F.col("id").alias("co_id"), F.col("name").alias("company_name"), F.col("partner_id").alias("co_partner_id"))
     owners = t["res_partner"].select(
@@ -105,8 +117,7 @@ def withholding_certificates(t: Tables, existing: DataFrame | None = None) -> Da
         F.col("id").alias("at_id"), F.col("description").alias("tax_description"), F.col("amount").alias("rate"))
     zero = F.lit("0").cast(MONEY)
     return (
-        t["withholding_certificate"]
-        .join(numbers, F.col("id") == F.col("_no"))
+        _numbered(t["withholding_certificate"], existing)
         .join(companies, F.col("company_id") == F.col("co_id"), "left")
         .join(taxes, F.col("account_tax_id") == F.col("at_id"), "left")
         .join(invoices, F.col("invoice_id") == F.col("ai_id"), "left")

@@ -91,6 +91,16 @@ DDL = {
     "cash_report_request": "id BIGINT, store_id BIGINT, start_on DATE, end_on DATE",
 }
 
+# Columns that operators add and a job stores. A table that lacks them is complete: they are then computed. They are
+# never added as NULL, since a stored NULL means something else.
+STORED = {
+    "account_invoice": "withholding_tax DECIMAL(15,2), has_withholding_certificate BOOLEAN",
+    "account_invoice_line": "commission_id INT, commission_percentage DECIMAL(5,2), commission_total DECIMAL(22,6)",
+    "sale_order": "first_payment_date DATE, canceled_at DATE, notified_at DATE",
+    "fiscal_document": "filename_serial BIGINT, master_filename_assigned STRING, lines_filename_assigned STRING",
+    "withholding_certificate": "number STRING",
+}
+
 # The selections each column may hold (NULL is always allowed).
 ALLOWED = {
     ("account_payment_term", "payment_term_type"): ("cash_payment", "credit_payment"),
@@ -122,3 +132,8 @@ MAX_LENGTH = {
 
 def schema_of(table: str) -> StructType:
     return StructType.fromDDL(DDL[table])
+
+
+def stored_schema_of(table: str) -> StructType:
+    """The columns that operators add to the table."""
+    return StructType.fromDDL(STORED[table]) if table in STORED else StructType()

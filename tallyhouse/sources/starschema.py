@@ -50,7 +50,10 @@ class StarTables(Mapping[str, DataFrame]):
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._built:
             df = _BUILDERS[name](self)
-            self._built[name] = conform(df, schema_of(name)) if name in DDL else df
+            if name in DDL:
+                schema = schema_of(name)
+                df = conform(df, schema, optional=schema.names).select(*schema.names)
+            self._built[name] = df
         return self._built[name]
 
     def __iter__(self) -> Iterator[str]:
@@ -95,7 +98,7 @@ def sector(t: StarTables) -> DataFrame:
 @_table
 def delivery_zone(t: StarTables) -> DataFrame:
     return t.spark.range(1, 7).selectExpr(
-        "id", "concat('Ruta ',cast(id as string)) name", "concat('Lunes ',cast(id as string),' pm') description")
+        "id", "concat('Ruta ',cast(id as string)) name", "case when id<>4 then concat('Lunes ',cast(id as string),' pm') end description")
 
 
 @_table
@@ -269,7 +272,7 @@ def account_account(t: StarTables) -> DataFrame:
     return stage(t.raw("part").selectExpr("p_partkey%40+1 id").distinct().selectExpr(
         "id", "concat('acct',cast(id as string)) name", "case when id%3=0 then null else id%5+1 end partner_concept_id",
         "case when id%13=0 then 3 else id%2+1 end company_id",
-        "case when id%4=0 then 'payable' else 'other' end internal_type", "id%7=0 deprecated"), "account")
+        "case when id%4=0 then 'payable' else 'other' end internal_type", "case when id%5<>1 then id%7=0 end deprecated"), "account")
 
 
 @_table

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyhouse.operators import status
 from tallyhouse.schemas import schema_of
 from tallyhouse.session import shared_dir, stage
-from tallyhouse.sources.tables import jdbc_options, load_tables, write_report
+from tallyhouse.sources.tables import jdbc_options, load_jdbc, load_tables, write_report
 from tallyhouse.streaming.pickings import stamp_pickings_stream, stamped_pickings
 from tests.builders import table, values
 
@@ -23,13 +23,26 @@ def test_tables_have_their_fixed_schema(spark, tmp_path, fmt, options):
     assert values(loaded, "id", "amount") == [(1, D("7.00")), (2, D("-8.00"))]
 
 
-def test_missing_columns_are_null(spark, tmp_path):
+def test_missing_columns_are_refused_unless_optional(spark, tmp_path):
     spark.range(3).selectExpr("cast(id as int) id", "'x' name").write.parquet(f"{tmp_path}/res_partner")
-    loaded = load_tables(spark, str(tmp_path), names=["res_partner"])["res_partner"]
+    with pytest.raises(ValueError, match="lacks .*ruc"):
+        load_tables(spark, str(tmp_path), names=["res_partner"])
+    loaded = load_tables(spark, str(tmp_path), names=["res_partner"], optional={"res_partner": schema_of("res_partner").names})["res_partner"]
     assert loaded.schema.names == schema_of("res_partner").names
     assert loaded.filter("ruc is null and name = 'x'").count() == 3
 
 
+@pytest.mark.parametrize("fmt, options", [("parquet", {}), ("json", {}), ("csv", {"header": "true"})])
+def test_stored_and_further_columns_survive(spark, tmp_path, fmt, options):
+    certificates = table(spark, "withholding_certificate", {"id": 1, "state": "draft"}).withColumn("number", F.lit("CRET/2020/0007"))
+    certificates.withColumn("further", F.lit("x")).write.format(fmt).options(**options).save(f"{tmp_path}/withholding_certificate")
+    table(spark, "sale_order", {"id": 1}).write.format(fmt).options(**options).save(f"{tmp_path}/sale_order")
+    loaded = load_tables(spark, str(tmp_path), fmt, ["withholding_certificate", "sale_order"], stored={"withholding_certificate": ["number"]}, **options)
+    assert values(loaded["withholding_certificate"], "id", "number") == [(1, "CRET/2020/0007")]
+    assert fmt == "json" or "further" in loaded["withholding_certificate"].columns
+    assert "canceled_at" not in loaded["sale_order"].columns
+
+
 def test_folder_of_another_name(spark, tmp_path):
     table(spark, "commission_rule", {"id": 1, "percentage": D("2.50")}).write.parquet(f"{tmp_path}/rules_v2")
     loaded = load_tables(spark, str(tmp_path), names=["commission_rule"], folders={"commission_rule": "rules_v2"})
@@ -45,7 +58,20 @@ def test_report_has_a_folder_per_value(spark, tmp_path):
     assert spark.read.parquet(path).count() == 100
 
 
-def test_jdbc_reads_in_ranges():
+def test_a_day_rewritten_leaves_the_others(spark, tmp_path):
+    path = str(tmp_path / "report")
+    rows = spark.range(90).selectExpr("id", "date_add(date'2020-01-01', cast(id%3 as int)) day")
+    write_report(rows, path, "day")
+    write_report(rows.filter("day = date'2020-01-02' and id < 10"), path, "day")
+    assert values(spark.read.parquet(path).groupBy("day").count().selectExpr("cast(day as string) day", "count"), "day", "count") == [
+        ("2020-01-01", 30), ("2020-01-02", 3), ("2020-01-03", 30)]
+
+
+def test_jdbc_reads_in_ranges(spark):
+    with pytest.raises(ValueError, match="bounds"):
+        jdbc_options("jdbc:x", "t", partitions=4)
+    with pytest.raises(ValueError, match="may be large"):
+        load_jdbc(spark, "account_invoice", url="jdbc:x")
     assert jdbc_options("jdbc:x", "t", lower=1, upper=9, partitions=4)["numPartitions"] == "4"
     assert "partitionColumn" not in jdbc_options("jdbc:x", "t")
 

@@ -47,12 +47,17 @@ def test_nearest_rule_wins_and_others_are_untouched(sales):
         (6, 2, D("4.00"), D("0.400400"))]
 
 
-def test_stored_commission_is_kept_without_a_rule(spark, sales):
+def test_stored_commission_is_kept(spark, sales):
     stored = commissions.commission_assign(sales).selectExpr(
         "* except (commission_id, commission_percentage, commission_total)", "77 commission_id",
         "cast(7 as decimal(5,2)) commission_percentage", "cast(7 as decimal(22,6)) commission_total")
-    rows = values(commissions.commission_assign({**sales, "account_invoice_line": stored}), "id", "commission_id")
+    again = {**sales, "account_invoice_line": stored}
+    assert values(commissions.commission_assign(again), "id", "commission_id") == [(i, 77) for i in range(1, 7)]
+    rows = values(commissions.commission_assign(again, recompute=True), "id", "commission_id")
     assert rows == [(1, 1), (2, 2), (3, 77), (4, 77), (5, 77), (6, 2)]
+    half = stored.withColumn("commission_id", F.expr("case when id <> 2 then commission_id end"))
+    assert values(commissions.commission_assign({**again, "account_invoice_line": half}), "id", "commission_id") == [
+        (i, 2 if i == 2 else 77) for i in range(1, 7)]
 
 
 def test_report_reads_stored_commissions_or_assigns_them(spark, sales):
@@ -94,14 +99,22 @@ def credit(spark):
 
 
 def test_first_payment_and_deadlines(credit):
-    assert values(orders.order_first_payment(credit), "order_id", "payment_id") == [(1, 2)]
+    # The first that was booked, though a later one is dated back.
+    assert values(orders.order_first_payment(credit), "order_id", "payment_id") == [(1, 1)]
     first = orders.order_deadlines(credit).filter("id = 1").first()
-    assert (first.canceled_at, first.notified_at) == (dt.date(2020, 4, 1), dt.date(2020, 3, 22))
+    assert (first.canceled_at, first.notified_at) == (dt.date(2020, 5, 1), dt.date(2020, 4, 21))
     assert orders.order_deadlines(credit).filter("canceled_at is null").count() == 4
 
 
+def test_dates_once_given_stay(credit):
+    day = dt.date(2019, 1, 1)
+    stored = credit["sale_order"].withColumns({c: F.when(F.col("id") == 1, F.lit(day)) for c in orders.DATES})
+    rows = orders.order_deadlines({**credit, "sale_order": stored}).filter("id = 1")
+    assert [tuple(r) for r in rows.select(*orders.DATES).collect()] == [(day, day, day)]
+
+
 def test_cancellation_day(credit):
-    due, later = dt.date(2020, 4, 1), dt.date(2020, 4, 2)
+    due, later = dt.date(2020, 5, 1), dt.date(2020, 5, 2)
     assert values(orders.orders_to_cancel(credit, due), "id") == [(1,)]
     assert orders.orders_to_cancel(credit, later).count() == 0
     assert values(orders.orders_to_cancel(credit, later, catch_up=True), "id") == [(1,)]
@@ -163,6 +176,27 @@ def test_numbers_are_gap_free_per_year_and_continue(spark, bills):
         (1, "CRET/2020/10000"), (2, "CRET/2020/10001"), (3, "CRET/2019/0001")]
 
 
+def test_numbered_certificates_keep_their_numbers(bills):
+    stored = bills["withholding_certificate"].withColumn("number", F.expr("case when id = 1 then 'CRET/2020/0041' end"))
+    again = {**bills, "withholding_certificate": stored}
+    expected = [(1, "CRET/2020/0041"), (2, "CRET/2020/0042"), (3, "CRET/2019/0001")]
+    assert values(withholding.certificate_numbers(again), "id", "number") == expected
+    assert values(withholding.withholding_certificates(again), "id", "number") == expected
+
+
+def test_unset_texts_and_flags_count_as_empty(spark):
+    t = tables(
+        spark, sale_order=[{"id": 1, "partner_id": 1, "note": "n"}], res_partner=[{"id": 1, "sector_id": 3}],
+        delivery_zone=[{"id": 1, "name": "R1"}, {"id": 2, "description": "d"}],
+        delivery_zone_sector=[{"zone_id": 1, "sector_id": 3}, {"zone_id": 2, "sector_id": 3}],
+        account_account=[{"id": 1, "name": "a", "internal_type": "other", "company_id": 1},
+                         {"id": 2, "name": "b", "internal_type": "other", "company_id": 1, "deprecated": True}],
+        res_company=[{"id": 1}])
+    assert values(partners.order_delivery_notes(t), "id", "note") == [
+        (1, "n\nRuta de entrega: R1, información: Ruta de entrega: , información: d")]
+    assert values(partners.supplier_accounts(t), "id") == [(1,)]
+
+
 def test_certificate_texts(bills):
     one, _, three = withholding.withholding_certificates(bills).orderBy("id").collect()
     assert (one.company_ruc, one.company_dv, one.supplier_id, one.supplier_ruc) == ("R9", "1", 2, "R2")

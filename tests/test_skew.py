@@ -6,7 +6,7 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from tallyhouse.operators import partners, reports, status
+from tallyhouse.operators import fiscal, partners, reports, status
 from tallyhouse.sources.tables import conform
 from tallyhouse.schemas import schema_of
 from tests.builders import tables
@@ -30,7 +30,8 @@ def small_limits(spark):
 
 
 def filled(df, name):
-    return conform(df, schema_of(name))
+    schema = schema_of(name)
+    return conform(df, schema, optional=schema.names)
 
 
 def run(df):
@@ -75,6 +76,17 @@ def test_hot_bill(spark):
     assert len(rows) == ROWS and len({r.id for r in rows}) == ROWS
 
 
+def test_hot_text_of_refunds(spark):
+    t = tables(spark, fiscal_document=[], fiscal_printer=[])
+    t["account_invoice"] = filled(spark.range(0, ROWS, 1, 12).selectExpr(
+        "id", "'out_refund' type", "case when id%3=0 then 'devuelto' when id%3=1 then concat('m', id) end name"), "account_invoice")
+    t["account_invoice_refund"] = filled(spark.range(4000).selectExpr(
+        "id", "case when id=0 then 'devuelto' else concat('m', id) end description", "'refund' filter_refund"), "account_invoice_refund")
+    rows, plan = run(fiscal.refund_links(t))
+    assert "skew=true" in plan
+    assert len(rows) == ROWS and sum(r.refund_note == "devuelto" for r in rows) == ROWS // 3
+
+
 def test_shared_move_name_is_summed_before_the_join(spark):
     day = dt.date(2020, 1, 1)
     t = tables(spark, account_journal=[{"id": 1, "name": "B", "at_least_one_outbound": False, "x_porcentaje_comision": D("0.01")}])
