@@ -16,13 +16,13 @@ from tallyhouse.llm.ship import ship
 
 K1, B = 1.2, 0.75
 # A shard is closed at so many postings, and has fewer documents than a 16-bit number can tell.
-SHARD_POSTINGS, SHARD_DOCS = 3_000_000, 60_000
+SHARD_POSTINGS, SHARD_DOCS = 1_500_000, 60_000
 # Documents of a block that has one maximum per term.
 BLOCK = 128
 # Terms in at least this share of a shard's documents are scored for candidates only.
 DENSE = 1 / 16
 # Queries that a task scores against a shard at once, and most query terms that are sent to all executors.
-PIECE, BROADCAST_TERMS = 2048, 4_000_000
+PIECE, BROADCAST_TERMS = 1024, 4_000_000
 ARROW_ROWS = 512
 
 
@@ -240,8 +240,11 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                     table["doc_id"].combine_chunks().take(kept), table["score"].combine_chunks().take(kept)],
                     ["query_id", "query_hash", "doc_id", "score"])
 
-    best = joined.select("shard", "doc_ids", "lengths", "terms", "ends", "places", "counts", "queries").mapInArrow(
-        run, f"query_id {query_kind}, query_hash long, doc_id {id_kind}, score double")
+    # A row holds a whole shard and a piece of the queries: one at a time goes to Python.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    best = stage(joined.select("shard", "doc_ids", "lengths", "terms", "ends", "places", "counts", "queries").mapInArrow(
+        run, f"query_id {query_kind}, query_hash long, doc_id {id_kind}, score double"), "shard-best")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     by_score = Window.partitionBy("query_id", "query_hash").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
     return best.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k).select(
         "query_id", "query_hash", "rank", "doc_id", "score")
