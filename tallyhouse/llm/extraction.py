@@ -26,6 +26,8 @@ CONTAINERS = set((
 BREAKS = CONTAINERS | set("p h1 h2 h3 h4 h5 h6 br hr li dt dd pre address legend caption label input img".split())
 BOILERPLATE = set("nav header footer aside form menu dialog fieldset".split())
 MAIN = set("article main".split())
+# Elements that hold the page or its article: words in their names tell of a state, not of what they are.
+HOLDERS = set("html body main".split())
 # Words in class, id, role or label attributes that mark what is not the article, and what is.
 BAD_NAMES = set((
     "ad ads adv advert adverts advertisement advertisements advertising adsense adslot sponsor sponsored promo promoted promotion banner "
@@ -34,13 +36,16 @@ BAD_NAMES = set((
     "sharing social related recommended recommendations newsletter subscribe subscription signup login search searchbox form widget "
     "pagination pager toolbar skip copyright legal disclaimer tags meta byline contentinfo complementary").split())
 GOOD_NAMES = set("article articlebody content main story post entry text body hentry".split())
+# A class that begins with one of these tells what an element has, not what it is.
+HAVING = set("has with without no".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(?P<raw>script|style|noscript|template|svg|textarea|title|select|iframe|object|canvas)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
     r".*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[/!?a-zA-Z][^>]*>", re.S | re.I)
 NAMES = re.compile(r"\b(?:class|id|role|aria-label|itemprop|data-role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 # Weights of the classifier, in nats, and of the smoothness edges.
@@ -57,6 +62,9 @@ class Element:
     boilerplate: bool
     names: float
     hidden: bool
+    inside: bool = False
+    articles: int = 0
+    h1: bool = False
 
 
 @dataclass
@@ -72,18 +80,46 @@ def _names(rest: str) -> float:
     """What the attributes' words say: BAD, GOOD or nothing."""
     good = False
     for m in NAMES.finditer(rest):
-        words = [w.lower() for w in PART.findall(m.group(1))]
-        if any(w in BAD_NAMES for w in words):
-            return BAD
-        good |= any(w in GOOD_NAMES for w in words)
+        for name in m.group(1).split():
+            words = [w.lower() for w in PART.findall(name)]
+            if words and words[0] not in HAVING and any(w in BAD_NAMES for w in words):
+                return BAD
+            good |= any(w in GOOD_NAMES for w in words)
     return GOOD if good else 0.0
 
 
+def _hidden(rest: str) -> bool:
+    """Whether an attribute hides the element: `hidden`, `aria-hidden`, or a style that does not show it."""
+    for m in ATTRIBUTE.finditer(rest):
+        name, value = m.group(1).lower(), (m.group(2) or "").strip("\"'").strip()
+        if (name == "hidden" and value.lower() != "false" or name == "aria-hidden" and value.lower() == "true"
+                or name == "style" and UNSEEN.search(value)):
+            return True
+    return False
+
+
+def _name(elements: list[Element]) -> None:
+    """Let bad names count for what stands below, but not those of an element that holds the page's article.
+
+    That is one with all articles of the page below it, and either there is one only or a first heading is among them.
+    """
+    total = sum(e.tag == "article" and not e.inside for e in elements)
+    for e in reversed(elements):
+        e.parent.articles += e.articles + (e.tag == "article" and not e.inside)
+        e.parent.h1 |= e.h1
+    for e in elements:
+        if e.names == BAD and total and e.articles == total and (total == 1 or e.h1):
+            e.names = 0.0
+        if e.parent.names == BAD and e.tag != "main":
+            e.names = BAD
+
+
 def blocks_of(html: str) -> list[Block]:
     """The blocks of text in page order, each with the container it stands in."""
     root = Element("", None, 0, False, False, 0.0, False)
     here, out, links, unshown, at = root, [], 0, None, 0
     block = Block(root, False)
+    elements: list[Element] = []
 
     def flush(heading: bool = False) -> Block:
         nonlocal block
@@ -135,13 +171,16 @@ def blocks_of(html: str) -> list[Block]:
                 here = Element(
                     tag, here, here.depth + 1, inside,
                     here.boilerplate or (tag in BOILERPLATE and not (tag == "header" and here.main)),
-                    min(here.names, 0.0) + _names(rest) if here.names > BAD else BAD,
-                    here.hidden or bool(HIDDEN.search(rest)))
+                    _names(rest), here.hidden or _hidden(rest), here.inside or here.tag == "article")
+                if tag in HOLDERS or tag == "article" and not here.inside:
+                    here.names = max(here.names, 0.0)
+                elements.append(here)
                 links = 0
             flush()
         elif tag in BREAKS:
             if tag[0] == "h" and len(tag) == 2 and tag[1].isdigit():
                 links = 0
+                here.h1 |= tag == "h1"
                 flush(not end)
             else:
                 flush(block.heading and tag == "br")
@@ -149,6 +188,7 @@ def blocks_of(html: str) -> list[Block]:
                 block.parent = Element(tag, here, here.depth + 1, here.main, here.boilerplate, BAD, here.hidden)
     add(html[at:])
     flush()
+    _name(elements)
     return [b for b in out if not b.parent.hidden]
 
 

@@ -25,6 +25,28 @@ def test_main_text(html):
     assert main_text(html) == PAGES[html]
 
 
+WRAPPERS = [
+    "<body style='overflow:hidden'><article>{}</article>", "<body class=overflow-hidden><div class='overflow-hidden'><article>{}</article></div>",
+    "<article style='overflow-x: hidden; display: block' data-hidden-by=x>{}</article>", "<body class='home has-sidebar menu-fixed'><article>{}</article>",
+    "<html class=no-cookies><article class='post comments-open'>{}</article>", "<main class=tags-x><article class='post tags-x'>{}</article></main>",
+    "<div class='with-sidebar'><article>{}</article></div>", "<div class=sticky-header><article>{}</article></div>",
+    "<div class=sticky-header><article><h1>T</h1>{}</article><aside><article><p>a card</p></article></aside></div>",
+    "<div id=header-fixed><main><p>{}</p></main></div>"]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS, ids=range(len(WRAPPERS)))
+def test_names_and_styles_of_what_holds_the_article(wrapper):
+    assert main_text(wrapper.format(f"<p>{P}</p>")).removeprefix("T ") == P
+
+
+@pytest.mark.parametrize("rest", ["hidden", "hidden=''", "class=a hidden", "style='color:red; display : none'", "style=visibility:hidden",
+                                  "aria-hidden=true", "class=comments", "class='related posts'"])
+def test_what_is_hidden_or_named_otherwise_stays_out(rest):
+    assert main_text(f"<article><p>{P}</p><div {rest}><article class=comment-body><p>no {P}</p></article></div></article>") == P
+    cards = "<article><p>no {0}</p></article><article><p>no {0}</p></article>".format(P)
+    assert main_text(f"<body class=has-sidebar><article><h1>T</h1><p>{P}</p></article><section {rest}>{cards}</section>") == "T " + P
+
+
 def test_cut_is_minimal():
     rng = random.Random(4)
     for _ in range(60):
