@@ -1,6 +1,9 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
+import random
 import re
 import zlib
 from urllib.parse import quote
@@ -8,6 +11,7 @@ from urllib.parse import quote
 import pytest
 from pyspark.sql import functions as F
 
+from tallyhouse.llm import secret_scan
 from tallyhouse.llm.secret_scan import layers, number_of, scan_secrets, secret_spans, spelled
 from tests.llm.cases import SCHEMA, documents
 
@@ -42,6 +46,42 @@ def test_a_span_covers_what_encodes_it():
     assert a == 2 + at * 8 // 6 and 2 + (at + len("password = qwertyuiop")) * 8 // 6 <= b <= 2 + len(BLOB)
 
 
+def noise(n):
+    return random.Random(n).randbytes(n)
+
+
+ZIPPED = zlib.compress(noise(300).hex().encode() + PLAIN.encode())
+LONG = base64.b64encode(b"some words " * 9 + PLAIN.encode() + b" and more words" * 9).decode()
+OPENED = {
+    "wrapped at 64": "\n".join(re.findall(".{1,64}", LONG)),
+    "wrapped at 76, archive": base64.encodebytes(ZIPPED).decode(),
+    "wrapped, CRLF and blanks": "\r\n   ".join(re.findall(".{1,76}", LONG)),
+    "wrapped in JSON": "\\n".join(re.findall(".{1,64}", LONG)),
+    "short lines": "\n".join(re.findall(".{1,10}", LONG)),
+    "wrapped hex": "\n".join(re.findall(".{1,60}", ZIPPED.hex())),
+    "path": "/api/" + BLOB, "one letter": "x" + BLOB, "two": "-_" + BLOB, "archive in a path": "/v1/" + base64.b64encode(ZIPPED).decode() + "/next",
+    "glued hex": "a" + PLAIN.encode().hex(),
+    "percent": quote(ZIPPED, safe=""), "all percent": "".join(f"%{c:02X}" for c in ZIPPED), "in a query": "https://a.b/c?d=" + quote(ZIPPED),
+    "plus": quote(ZIPPED, safe="").replace("%20", "+"), "bytes literal": repr(ZIPPED), "backslash x": "".join(f"\\x{c:02x}" for c in ZIPPED),
+    "backslash u": "".join(f"\\u{c:04x}" for c in gzip.compress(PLAIN.encode(), mtime=0)),
+    "among other bytes": base64.b64encode(b"\x00\x01" + PLAIN.encode() + b"\xff").decode(),
+}
+
+
+@pytest.mark.parametrize("form", OPENED)
+def test_every_form_is_opened(form):
+    coded = OPENED[form]
+    text = f"été {coded} fin"
+    found = {s for s in secret_spans(text)[1] if s[0] == "assign"}
+    assert found and all(4 <= a < b <= 4 + len(coded) for _, a, b in found)
+
+
+def test_a_span_over_a_line_end_covers_both_lines():
+    at = LONG[:96] + "\n" + LONG[96:]
+    start, end = (len("some words " * 9)) * 8 // 6, -(-(len("some words " * 9) + len(PLAIN)) * 8 // 6)
+    assert start < 150 and any(k == "assign" and a >= 96 and b <= end + 3 for k, a, b in secret_spans(at)[1])
+
+
 def test_words_and_cycles_end():
     assert secret_spans("nothing here but longlonglonglonglonglongwords 100% sure \\u12 %zz &#; AKIA") == ([], [])
     assert any(x.text == "A" for x in layers("%2525252525252541"))
@@ -49,6 +89,27 @@ def test_words_and_cycles_end():
     assert [s[0] for s in secret_spans(bomb)[1]] == ["assign"]
 
 
+BIG = noise(30_000)
+SECRET = " " + PLAIN + " "
+PACKED = {
+    "large archive in an archive": gzip.compress(gzip.compress(BIG + BIG[::-1] + SECRET.encode(), 1), 1),
+    "run over an edge": zlib.compress(base64.b64encode(BIG + SECRET.encode() + BIG) + b" end", 1),
+    "hex over an edge": zlib.compress(b"- " + (BIG[:25_000] + SECRET.encode()).hex().upper().encode(), 1),
+    "archive behind other bytes": gzip.compress(noise(100) + b"name" + gzip.compress(SECRET.encode())),
+    **{f"members of {m.__name__}": m.compress(b"first") + m.compress(b"second") + m.compress(SECRET.encode()) for m in (gzip, bz2, lzma, zlib)},
+    "padded members": gzip.compress(b"first") + bytes(500) + gzip.compress(SECRET.encode()),
+    "archive of another kind behind": bz2.compress(b"first") + lzma.compress(SECRET.encode()),
+}
+
+
+@pytest.mark.parametrize("form", PACKED)
+def test_archives_are_read_to_their_end(monkeypatch, form):
+    monkeypatch.setattr(secret_scan, "PIECE", 1 << 14)
+    coded = base64.b64encode(PACKED[form]).decode()
+    assert ("assign", 2, 2 + len(coded)) in secret_spans(f"x {coded} y")[1] or form == "archive of another kind behind" and [
+        s[0] for s in secret_spans(f"x {coded} y")[1]] == ["assign"]
+
+
 def brute(text):
     text, out = text or "", []
     words = "password passwd secret token api_key apikey".split()
