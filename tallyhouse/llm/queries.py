@@ -126,7 +126,6 @@ with d as (select row_number() over () rn, doc_id, {_WORDS} w from documents),
 select doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit,0) n_hit, coalesce(n_items,0) n_items, coalesce(h,sha256('')) items_sha256,
  n_hit is not null contaminated
 from d left join cover using(rn) left join found using(rn)""",
-    "op5_secrets": op5_secrets,
     "op6_near_duplicates": f"""
 with recursive d as (select row_number() over () rn, doc_id, regexp_extract_all(translate(coalesce(text,''),'{_UPPER}','{_LOWER}'),
   '[^\\x20\\x09-\\x0D]+') w from documents),

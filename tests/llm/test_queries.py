@@ -1,5 +1,6 @@
 """The registered queries of the subpackage against their SQL, and the pipeline against its stages."""
 
+import hashlib
 import zlib
 from collections import Counter
 
@@ -13,6 +14,7 @@ from tallyhouse.llm.queries import ORACLE, QUERIES, table, tokenizer_path
 from tallyhouse.llm.tokens import Encoder
 from tallyhouse.llm.toxicity import fit, toxicity
 from tests.engines import TESTDATA, duck_kind, open_duckdb, row_counts, spark_kind
+from tests.llm.test_secret_scan import brute
 
 SF = f"{TESTDATA}/sf0.001"
 
@@ -33,6 +35,17 @@ def test_queries_return_a_row_per_document(spark, name):
     assert rows == (whole.filter("doc_id % 50 = 0").count() * 10 if name.startswith("op10") else whole.count())
 
 
+def test_secrets_of_the_whole_table(spark):
+    assert all(isinstance(sql, str) for sql in ORACLE.values())
+    expected = Counter()
+    for r in table(spark, SF, "documents").select("doc_id", "text").collect():
+        own = brute(r["text"])
+        counts = [sum(s[0] == kind for s in own) for kind in ("assign", "access", "hex")]
+        spelled = ",".join(f"{k}:{a}:{b}" for k, a, b in own)
+        expected[r["doc_id"], *counts, hashlib.sha256(spelled.encode()).hexdigest()] += 1
+    assert Counter(tuple(r)[:5] for r in QUERIES["op5_secrets"](spark, SF).collect()) == expected
+
+
 def test_pipeline(spark):
     docs = table(spark, SF, "documents")
     for name, stage in corpus_pipeline.STAGES[:-1]:
