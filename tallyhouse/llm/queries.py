@@ -13,6 +13,7 @@ from tallyhouse.llm.extraction import extract_text
 from tallyhouse.llm.line_dedup import drop_repeated_lines
 from tallyhouse.llm.mixing import pareto_mix
 from tallyhouse.llm.near_duplicates import near_duplicates
+from tallyhouse.llm.packing import pack_documents
 from tallyhouse.llm.search import every_fiftieth, top_k
 from tallyhouse.llm.secret_scan import KINDS, number_of, scan_secrets, spelled
 from tallyhouse.llm.ship import ship
@@ -95,6 +96,12 @@ def op10_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(docs, docs.filter(every_fiftieth("doc_id"))).select("query_id", "rank", "doc_id", "score")
 
 
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack_documents(docs, tokenizer_path(), with_ids=False).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Query] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_feistel_shards": op2_feistel_shards,
@@ -106,6 +113,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
     "op10_bm25_top_k": op10_bm25_top_k,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
 
 # The letters to lower, and what separates words.
