@@ -14,6 +14,7 @@ from tallyhouse.llm.line_dedup import drop_repeated_lines
 from tallyhouse.llm.mixing import pareto_mix
 from tallyhouse.llm.near_duplicates import near_duplicates
 from tallyhouse.llm.packing import pack_documents
+from tallyhouse.llm.prefix_trie import conversation_trie
 from tallyhouse.llm.search import every_fiftieth, top_k
 from tallyhouse.llm.secret_scan import KINDS, number_of, scan_secrets, spelled
 from tallyhouse.llm.ship import ship
@@ -96,6 +97,10 @@ def op10_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(docs, docs.filter(every_fiftieth("doc_id"))).select("query_id", "rank", "doc_id", "score")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pack_documents(docs, tokenizer_path(), with_ids=False).select(
@@ -113,6 +118,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
     "op10_bm25_top_k": op10_bm25_top_k,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_best_fit_packing": op13_best_fit_packing,
 }
 
