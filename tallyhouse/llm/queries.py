@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyhouse.llm.collocations import collocations
 from tallyhouse.llm.columns import text_or_empty
 from tallyhouse.llm.decontamination import contamination
 from tallyhouse.llm.extraction import extract_text
@@ -101,6 +102,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pack_documents(docs, tokenizer_path(), with_ids=False).select(
@@ -119,6 +124,7 @@ QUERIES: dict[str, Query] = {
     "op9_token_files": op9_token_files,
     "op10_bm25_top_k": op10_bm25_top_k,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_collocations": op12_collocations,
     "op13_best_fit_packing": op13_best_fit_packing,
 }
 
@@ -140,6 +146,25 @@ with d as (select row_number() over () rn, doc_id, {_WORDS} w from documents),
 select doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit,0) n_hit, coalesce(n_items,0) n_items, coalesce(h,sha256('')) items_sha256,
  n_hit is not null contaminated
 from d left join cover using(rn) left join found using(rn)""",
+    "op12_collocations": rf"""
+with p as (select coalesce(lang,'und') lang, unnest(regexp_split_to_array(
+  translate(coalesce(text,''),'{_UPPER}','{_LOWER}'),'[.,;:!?\x0A-\x0D]')) p from documents),
+ w as (select lang, regexp_extract_all(p,'[^\x20\x09]+') w from p),
+ f as (select lang, k, list_slice(w,i,i+k-1) ph, count(*) f from (select lang, w, k, unnest(range(1,len(w)-k+2)) i
+  from w, (values (1),(2),(3),(4)) s(k)) group by all),
+ n as (select lang, cast(sum(f) as bigint) n from f where k=1 group by lang),
+ c as (select * from f where k>=2 and f>=30),
+ inner_parts as (select lang, f, list_slice(ph,i,i+m-1) ph from (select lang, f, ph, m, unnest(range(1,k-m+2)) i
+  from c, (values (2),(3)) s(m) where m<k)),
+ longer as (select lang, ph, max(f) m from inner_parts group by all),
+ kept as (select c.* from c left join longer using(lang,ph) where m is null or 100*m<80*f),
+ cuts as (select lang, ph, f a, unnest(range(1,k)) j from kept),
+ scored as (select cuts.lang, cuts.ph, a, j, x.f l, y.f r, cast((2000000::hugeint*a)//(x.f+y.f) as bigint) score
+  from cuts join f x on x.lang=cuts.lang and x.ph=list_slice(cuts.ph,1,j) join f y on y.lang=cuts.lang and y.ph=list_slice(cuts.ph,j+1,len(cuts.ph))),
+ least as (select * from scored qualify row_number() over (partition by lang, ph order by score, j)=1),
+ ranked as (select lang, row_number() over (partition by lang order by score desc, a desc, array_to_string(ph,' ')) rank,
+  array_to_string(ph,' ') phrase, a, l, r, score from least)
+select lang, rank, phrase, a, l, r, n, score from ranked join n using(lang) where rank<=2000""",
     "op6_near_duplicates": f"""
 with recursive d as (select row_number() over () rn, doc_id, regexp_extract_all(translate(coalesce(text,''),'{_UPPER}','{_LOWER}'),
   '[^\\x20\\x09-\\x0D]+') w from documents),
