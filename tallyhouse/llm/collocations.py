@@ -5,6 +5,9 @@ occurs. A run that a piece's end cuts short stands for that end. Tasks count edg
 read in numpy, and send what starts with the same node to the same bucket; there a node's count is the flow out of it plus
 the pieces that end in it. Counts of pairs and words are flows of the same kind, summed per task first.
 Runs of nodes with one way in and one way out are compacted into paths: what lies inside a path is no phrase of its own.
+
+A word that is too rare for any phrase ends a piece, too. Tasks know those by a table of bits of a fixed size, made from
+counts of all words; a rare word that shares its bit with a frequent one only costs room.
 """
 
 from __future__ import annotations
@@ -27,9 +30,11 @@ from tallyhouse.plans.joins import skewed_join
 LONGEST, LEAST, SHARE, TOP = 4, 30, 80, 2000
 SCALE = 2_000_000
 # Bytes of text that a task counts at once, and that a bucket stands for; longer texts are counted alone.
-BLOB_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
+BLOB_BYTES, BUCKET_BYTES = 5 << 20, 24 << 20
 # Bytes that are hashed at once.
 CHUNK = 1 << 20
+# Bits of the table of words, as a power of two: 8 MiB, whatever the corpus.
+TABLE_BITS = 26
 # What ends a piece, and what separates words in it.
 ENDS_PIECE = np.zeros(256, dtype=bool)
 ENDS_PIECE[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -71,6 +76,10 @@ class Words:
         return self.data[self.starts[i]:self.ends[i]].tobytes()
 
 
+def joined(texts: list[bytes]) -> Words:
+    return Words(np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8))
+
+
 _tables: list[np.ndarray] = [np.ones(1, dtype=np.uint64)] * 2
 
 
@@ -83,6 +92,17 @@ def _powers(n: int) -> list[np.ndarray]:
     return _tables
 
 
+def planes(numbers: np.ndarray) -> tuple[int, bytes]:
+    """All first bytes, then all second bytes, and so on: close to what they hold once compressed."""
+    width = numbers.dtype.itemsize
+    return width, np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, width).T).tobytes()
+
+
+def from_planes(width: int, raw: bytes) -> np.ndarray:
+    rows = np.frombuffer(raw, dtype=np.uint8).reshape(width, -1).T
+    return np.ascontiguousarray(rows).view(f"<u{width}").reshape(-1)
+
+
 def bundle(parts: list) -> bytes:
     raw = pickle.dumps(parts, protocol=5)
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
@@ -92,34 +112,56 @@ def unbundle(raw: bytes) -> list:
     return pickle.loads(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True))
 
 
-def local_graph(texts: list[bytes], langs: list[str], buckets: int) -> Iterator[tuple[int, bytes]]:
-    """The graph of some texts, cut into its buckets: for each the edges, the flows of its pairs and words, and the words' texts.
-
-    `langs` salts the words' hashes, so that equal words of two languages are two words.
-    """
-    words = Words(np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8))
+def salted(words: Words, texts: list[bytes], langs: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The words' hashes within their language, the number of that language for each, and the languages."""
     names = sorted(set(langs))
     doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), words.starts, "right")
     lang = np.searchsorted(names, langs)[doc] if len(doc) else np.zeros(0, dtype=int)
     salt = np.array([_salt(x) for x in names], dtype=np.uint64)
-    hashes, first, ids, count = np.unique(
-        np.maximum(mix(words.hashes ^ salt[lang]), 1), return_index=True, return_inverse=True, return_counts=True)
-    n = len(ids)
-    if not n:
+    return np.maximum(mix(words.hashes ^ salt[lang]), 1), lang, names
+
+
+def slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+
+def local_graph(texts: list[bytes], langs: list[str], buckets: int, table: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """The graph of some texts, cut into its buckets: for each the edges, the flows of its pairs and words, and the words' texts.
+
+    `langs` salts the words' hashes, so that equal words of two languages are two words. `table` has the bits of frequent words.
+    """
+    words = joined(texts)
+    hashes, lang, names = salted(words, texts, langs)
+    totals = np.bincount(lang, minlength=len(names))
+    at = slots(hashes)
+    kept = np.flatnonzero(table[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+    piece = (words.piece + np.cumsum(np.bincount(kept, minlength=len(hashes)) == 0))[kept]
+    lang, back = lang[kept], kept
+    hashes, first, ids, count = np.unique(hashes[kept], return_index=True, return_inverse=True, return_counts=True)
+    if not len(ids):
+        yield 0, bundle([np.zeros(1, dtype=np.uint64), names, [(2, b"")] * 4, (8, b""), [(2, b"")] * 2, (8, b""), (2, b""), (8, b""),
+                         np.zeros(0, dtype=np.int32), b"", totals])
         return
-    ids = ids.astype(np.int64) + 1
-    follows = np.append(words.piece[1:] == words.piece[:-1], False)
+    # Frequent words get small numbers, which take little room; 0 is no word.
+    order = np.argsort(-count, kind="stable")
+    hashes, first, count = hashes[order], first[order], count[order]
+    number = np.empty(len(order), dtype=np.int64)
+    number[order] = np.arange(1, len(order) + 1)
+    ids = number[ids]
+    follows = np.append(piece[1:] == piece[:-1], False)
     pair = ids << 32
     pair[:-1] |= np.where(follows[:-1], ids[1:], 0)
     pairs, pair_id, pair_count = np.unique(pair, return_inverse=True, return_counts=True)
     edge = pair_id.astype(np.int64) << 32
     edge[:-2] |= np.where(follows[:-2] & follows[1:-1], pair_id[2:] + 1, 0)
+    del ids, pair, pair_id, follows
     edges, edge_count = np.unique(edge, return_counts=True)
     behind = np.append(0, pairs)  # the third and fourth word, if there are any
     a, b = pairs[edges >> 32], behind[edges & 0xFFFFFFFF]
-    four = [a >> 32, a & 0xFFFFFFFF, b >> 32, b & 0xFFFFFFFF]
+    four = [x.astype(np.uint32) for x in (a >> 32, a & 0xFFFFFFFF, b >> 32, b & 0xFFFFFFFF)]
+    del a, b, edge, edges
     full = pairs[pairs & 0xFFFFFFFF > 0]
-    two, two_count = [full >> 32, full & 0xFFFFFFFF], pair_count[pairs & 0xFFFFFFFF > 0]
+    two, two_count = [x.astype(np.uint32) for x in (full >> 32, full & 0xFFFFFFFF)], pair_count[pairs & 0xFFFFFFFF > 0]
     known = np.append(np.uint64(0), hashes)
 
     def dealt(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +174,7 @@ def local_graph(texts: list[bytes], langs: list[str], buckets: int) -> Iterator[
     used = np.zeros(len(known), dtype=bool)
     for k in range(buckets):
         rows, pair_rows, word_rows = (order[at[k]:at[k + 1]] for order, at in (by_node, by_pair, by_word))
-        if not len(rows) + len(pair_rows) + len(word_rows):
+        if k and not len(rows) + len(pair_rows) + len(word_rows):
             continue
         columns, pair_columns = [c[rows] for c in four], [c[pair_rows] for c in two]
         used[:] = False
@@ -144,8 +186,9 @@ def local_graph(texts: list[bytes], langs: list[str], buckets: int) -> Iterator[
         short[own] = np.arange(len(own))
         at = first[word_rows]
         yield k, bundle([
-            known[own], names, [short[c] for c in columns], edge_count[rows], [short[c] for c in pair_columns], two_count[pair_rows],
-            short[word_rows + 1], count[word_rows], lang[at], b" ".join(words.text(i) for i in at.tolist())])
+            known[own], names, [planes(short[c]) for c in columns], planes(edge_count[rows]), [planes(short[c]) for c in pair_columns],
+            planes(two_count[pair_rows]), planes(short[word_rows + 1]), planes(count[word_rows]), lang[at].astype(np.int32),
+            b" ".join(words.text(i) for i in back[at].tolist()), totals if k == 0 else np.zeros(len(names), dtype=np.int64)])
 
 
 def _salt(lang: str) -> int:
@@ -170,10 +213,10 @@ def merge(blobs: list[bytes], least: int) -> dict[str, list]:
     ids = [np.searchsorted(known, p[0]).astype(np.uint64) for p in parts]  # 0 is no word: it is the smallest
 
     def column(i: int, j: int | None = None) -> np.ndarray:
-        return np.concatenate([own[p[i] if j is None else p[i][j]] for own, p in zip(ids, parts)])
+        return np.concatenate([own[from_planes(*(p[i] if j is None else p[i][j]))] for own, p in zip(ids, parts)])
 
     def counts(i: int) -> np.ndarray:
-        return np.concatenate([p[i] for p in parts]).astype(np.int64)
+        return np.concatenate([from_planes(*p[i]) for p in parts]).astype(np.int64)
 
     out: dict[str, list] = {name.split()[0]: [] for name in COUNTS.split(", ")}
 
@@ -185,64 +228,103 @@ def merge(blobs: list[bytes], least: int) -> dict[str, list]:
         out["lang"] += lang
         out["word"] += word
 
-    def heavy(k: int, columns: list[np.ndarray], f: np.ndarray) -> None:
-        keep = (f >= least) & (columns[-1] > 0)
-        give(k, [c[keep] for c in columns], f[keep], *([[None] * int(keep.sum())] * 2))
-
-    edges, weight = summed([column(2, j) for j in range(LONGEST)], counts(3))
-    heavy(4, edges, weight)
+    def heavy(k: int, *halves: np.ndarray, weight: np.ndarray) -> None:
+        rows = np.flatnonzero(weight >= least)
+        columns = [c for x in halves for c in (x[rows] >> half, x[rows] & low)][:k]
+        keep = columns[-1] > 0
+        give(k, [c[keep] for c in columns], weight[rows[keep]], *([[None] * int(keep.sum())] * 2))
+
+    low = np.uint64(0xFFFFFFFF)
+    half = np.uint64(32)
+    # Two words to a number.
+    (front, back), weight = summed([(column(2, 0) << half) | column(2, 1), (column(2, 2) << half) | column(2, 3)], counts(3))
+    heavy(4, front, back, weight=weight)
     # A node's count: the flow out of it, with the pieces that end in it, which have no fourth word.
-    heavy(3, *summed(edges[:3], weight))
-    heavy(2, *summed([column(4, j) for j in range(2)], counts(5)))
+    heavy(3, *(nodes := summed([front, back & ~low], weight))[0], weight=nodes[1])
+    heavy(2, *(pairs := summed([(column(4, 0) << half) | column(4, 1)], counts(5)))[0], weight=pairs[1])
     names = sorted({x for p in parts for x in p[1]})
     lang = np.concatenate([np.searchsorted(names, p[1]).astype(np.int64)[p[8]] for p in parts])
     word, f = column(6), counts(7)
     texts = [t for p in parts for t in p[9].split(b" ")[:len(p[8])]]
-    kinds, first, back = np.unique(word, return_index=True, return_inverse=True)
+    kinds, first, which = np.unique(word, return_index=True, return_inverse=True)
     total = np.zeros(len(kinds), dtype=np.int64)
-    np.add.at(total, back, f)
+    np.add.at(total, which, f)
     keep = np.flatnonzero(total >= least)
     give(1, [kinds[keep]], total[keep], [names[lang[i]] for i in first[keep]], [texts[i].decode() for i in first[keep]])
     every = np.zeros(len(names), dtype=np.int64)
-    np.add.at(every, lang, f)
+    for p in parts:
+        np.add.at(every, np.searchsorted(names, p[1]), p[10])
     give(0, [], every, names, [None] * len(names))
     return out
 
 
+def buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[str]]]:
+    """The texts and languages of about BLOB_BYTES at a time."""
+    texts: list[bytes] = []
+    langs: list[str] = []
+    held = 0
+    for batch in batches:
+        for text, lang in zip(batch["text"], batch["lang"].to_pylist()):
+            raw = text.as_buffer().to_pybytes()
+            if texts and held + len(raw) > BLOB_BYTES:
+                yield texts, langs
+                texts, langs, held = [], [], 0
+            texts.append(raw), langs.append(lang)
+            held += len(raw)
+    if texts:
+        yield texts, langs
+
+
+def frequent_words(rows: DataFrame, buckets: int, least: int) -> np.ndarray:
+    """A table of bits: set for the hash of every word with `least` occurrences. `rows`: `text` and `lang`, both set.
+
+    Each bucket counts the words of a range of bits and returns that range: 8 MiB come to the driver, whatever the corpus.
+    """
+    shift = max(0, min(16, (buckets - 1).bit_length()))
+    own = 1 << (TABLE_BITS - shift)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts, langs in buffers(batches):
+            hashes, count = np.unique(salted(joined(texts), texts, langs)[0], return_counts=True)  # in the order of their bits
+            cuts = np.searchsorted(slots(hashes) // own, np.arange((1 << shift) + 1))
+            for k in np.flatnonzero(np.diff(cuts)).tolist():
+                part = slice(cuts[k], cuts[k + 1])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k], pa.int32()), pa.array([bundle([hashes[part], planes(count[part])])], pa.binary())], ["bucket", "words"])
+
+    def summed_bits(table: pa.Table) -> pa.Table:
+        parts = [unbundle(raw) for raw in table["words"].to_pylist()]
+        (hashes,), count = summed([np.concatenate([p[0] for p in parts])], np.concatenate([from_planes(*p[1]) for p in parts]).astype(np.int64))
+        bits = np.zeros(own, dtype=bool)
+        bits[slots(hashes[count >= least]) % own] = True
+        return pa.table({"bucket": table["bucket"][:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros(1 << (TABLE_BITS - 3), dtype=np.uint8)
+    found = rows.mapInArrow(run, "bucket int, words binary").groupBy("bucket").applyInArrow(summed_bits, "bucket int, bits binary")
+    for row in found.toLocalIterator():
+        out[row["bucket"] * own // 8:(row["bucket"] + 1) * own // 8] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return out
+
+
 def count_phrases(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """Phrases of 1 to 4 words with at least `least` occurrences (`k`, the words' hashes `h1`.., `f`), and all words of each `lang` (`k` = 0).
 
     Words come with `lang` and `word`. Buckets grow in number with the text, and each holds what
-    starts with its nodes, pairs and words: a bundle from each 8 MiB of text, in which equal rows are summed.
+    starts with its nodes, pairs and words: a bundle from each 5 MiB of text, in which equal rows are summed.
     """
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_words(rows, buckets, least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts: list[bytes] = []
-        langs: list[str] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for k, raw in local_graph(texts, langs, buckets):
+        for texts, langs in buffers(batches):
+            for k, raw in local_graph(texts, langs, buckets, frequent.value):
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([raw], pa.binary())], ["bucket", "graph"])
-            texts.clear(), langs.clear()
-
-        held = 0
-        for batch in batches:
-            for text, lang in zip(batch["text"], batch["lang"].to_pylist()):
-                raw = text.as_buffer().to_pybytes()
-                if texts and held + len(raw) > BLOB_BYTES:
-                    yield from flush()
-                    held = 0
-                texts.append(raw), langs.append(lang)
-                held += len(raw)
-        if texts:
-            yield from flush()
 
     def merged(table: pa.Table) -> pa.Table:
         return pa.table(merge(table["graph"].to_pylist(), least), schema=_schema())
 
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
     return rows.mapInArrow(run, "bucket int, graph binary").groupBy("bucket").applyInArrow(merged, COUNTS)
 
 

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tallyhouse.llm.collocations import _cut, collocations, compact_paths, count_phrases, local_graph, merge, words_of
@@ -77,10 +78,11 @@ def test_counts_of_the_graph():
     for f in phrase_counts(rows).values():
         for p, c in f.items():
             expected[len(p)] += c
+    every = np.full(1 << 23, 255, dtype=np.uint8)
     for buckets in (1, 5):
         blobs = defaultdict(list)
         for part in (rows[:20], rows[20:]):
-            for k, raw in local_graph([(t or "").encode() for t, _ in part], ["und" if x is None else x for _, x in part], buckets):
+            for k, raw in local_graph([(t or "").encode() for t, _ in part], ["und" if x is None else x for _, x in part], buckets, every):
                 blobs[k].append(raw)
         seen = Counter()
         for raw in blobs.values():
@@ -88,7 +90,7 @@ def test_counts_of_the_graph():
             for k, f in zip(made["k"], made["f"]):
                 seen[k] += f
         assert {k: seen[k] for k in range(1, 5)} == {k: expected[k] for k in range(1, 5)} and seen[0] == expected[1]
-    assert list(local_graph([b"", b" .\t"], ["a", "b"], 3)) == []
+    assert list(local_graph([b"", b" .\t"], ["a", "b"], 3, every)) != []
 
 
 def test_large_scores_are_exact(spark):
