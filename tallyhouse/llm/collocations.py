@@ -30,7 +30,7 @@ from tallyhouse.plans.joins import skewed_join
 LONGEST, LEAST, SHARE, TOP = 4, 30, 80, 2000
 SCALE = 2_000_000
 # Bytes of text that a task counts at once, and that a bucket stands for; longer texts are counted alone.
-BLOB_BYTES, BUCKET_BYTES = 5 << 20, 24 << 20
+BLOB_BYTES, BUCKET_BYTES = 3 << 20, 24 << 20
 # Bytes that are hashed at once.
 CHUNK = 1 << 20
 # Bits of the table of words, as a power of two: 8 MiB, whatever the corpus.
@@ -135,8 +135,11 @@ def local_graph(texts: list[bytes], langs: list[str], buckets: int, table: np.nd
     totals = np.bincount(lang, minlength=len(names))
     at = slots(hashes)
     kept = np.flatnonzero(table[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-    piece = (words.piece + np.cumsum(np.bincount(kept, minlength=len(hashes)) == 0))[kept]
+    rare = np.ones(len(hashes), dtype=bool)
+    rare[kept] = False
+    piece = (words.piece + np.cumsum(rare))[kept]
     lang, back = lang[kept], kept
+    del at, rare
     hashes, first, ids, count = np.unique(hashes[kept], return_index=True, return_inverse=True, return_counts=True)
     if not len(ids):
         yield 0, bundle([np.zeros(1, dtype=np.uint64), names, [(2, b"")] * 4, (8, b""), [(2, b"")] * 2, (8, b""), (2, b""), (8, b""),
@@ -149,6 +152,7 @@ def local_graph(texts: list[bytes], langs: list[str], buckets: int, table: np.nd
     number[order] = np.arange(1, len(order) + 1)
     ids = number[ids]
     follows = np.append(piece[1:] == piece[:-1], False)
+    del piece, order, number
     pair = ids << 32
     pair[:-1] |= np.where(follows[:-1], ids[1:], 0)
     pairs, pair_id, pair_count = np.unique(pair, return_inverse=True, return_counts=True)
@@ -310,7 +314,7 @@ def count_phrases(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """Phrases of 1 to 4 words with at least `least` occurrences (`k`, the words' hashes `h1`.., `f`), and all words of each `lang` (`k` = 0).
 
     Words come with `lang` and `word`. Buckets grow in number with the text, and each holds what
-    starts with its nodes, pairs and words: a bundle from each 5 MiB of text, in which equal rows are summed.
+    starts with its nodes, pairs and words: a bundle from each 3 MiB of text, in which equal rows are summed.
     """
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
