@@ -13,7 +13,7 @@ counts of all words; a rare word that shares its bit with a frequent one only co
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from hashlib import blake2b
 
@@ -30,9 +30,11 @@ from tallyhouse.plans.joins import skewed_join
 LONGEST, LEAST, SHARE, TOP = 4, 30, 80, 2000
 SCALE = 2_000_000
 # Bytes of text that a task counts at once, and that a bucket stands for; longer texts are counted alone.
-BLOB_BYTES, BUCKET_BYTES = 3 << 20, 24 << 20
+BLOB_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
 # Bytes that are hashed at once.
 CHUNK = 1 << 20
+# Rows of an Arrow batch: a bundle takes some 200 KB.
+ARROW_ROWS = 64
 # Bits of the table of words, as a power of two: 8 MiB, whatever the corpus.
 TABLE_BITS = 26
 # What ends a piece, and what separates words in it.
@@ -279,6 +281,23 @@ def buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], li
         yield texts, langs
 
 
+def by_bucket(bundles: DataFrame, column: str, make: Callable[[int, list[bytes]], pa.RecordBatch], kind: str) -> DataFrame:
+    """What `make` returns for each bucket's bundles. They reach the task in small batches, one bucket after the other."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+        for batch in batches:
+            for k, raw in zip(batch["bucket"].to_pylist(), batch[column].to_pylist()):
+                if held and k != bucket:
+                    yield make(bucket, held)
+                    held = []
+                bucket = k
+                held.append(raw)
+        if held:
+            yield make(bucket, held)
+
+    return bundles.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, kind)
+
+
 def frequent_words(rows: DataFrame, buckets: int, least: int) -> np.ndarray:
     """A table of bits: set for the hash of every word with `least` occurrences. `rows`: `text` and `lang`, both set.
 
@@ -296,15 +315,16 @@ def frequent_words(rows: DataFrame, buckets: int, least: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k], pa.int32()), pa.array([bundle([hashes[part], planes(count[part])])], pa.binary())], ["bucket", "words"])
 
-    def summed_bits(table: pa.Table) -> pa.Table:
-        parts = [unbundle(raw) for raw in table["words"].to_pylist()]
+    def bits_of(bucket: int, bundles: list[bytes]) -> pa.RecordBatch:
+        parts = [unbundle(raw) for raw in bundles]
         (hashes,), count = summed([np.concatenate([p[0] for p in parts])], np.concatenate([from_planes(*p[1]) for p in parts]).astype(np.int64))
         bits = np.zeros(own, dtype=bool)
         bits[slots(hashes[count >= least]) % own] = True
-        return pa.table({"bucket": table["bucket"][:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+        return pa.RecordBatch.from_arrays(
+            [pa.array([bucket], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["bucket", "bits"])
 
     out = np.zeros(1 << (TABLE_BITS - 3), dtype=np.uint8)
-    found = rows.mapInArrow(run, "bucket int, words binary").groupBy("bucket").applyInArrow(summed_bits, "bucket int, bits binary")
+    found = by_bucket(rows.mapInArrow(run, "bucket int, words binary"), "words", bits_of, "bucket int, bits binary")
     for row in found.toLocalIterator():
         out[row["bucket"] * own // 8:(row["bucket"] + 1) * own // 8] = np.frombuffer(row["bits"], dtype=np.uint8)
     return out
@@ -314,7 +334,7 @@ def count_phrases(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """Phrases of 1 to 4 words with at least `least` occurrences (`k`, the words' hashes `h1`.., `f`), and all words of each `lang` (`k` = 0).
 
     Words come with `lang` and `word`. Buckets grow in number with the text, and each holds what
-    starts with its nodes, pairs and words: a bundle from each 3 MiB of text, in which equal rows are summed.
+    starts with its nodes, pairs and words: a bundle from each 8 MiB of text, in which equal rows are summed.
     """
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
@@ -326,10 +346,10 @@ def count_phrases(docs: DataFrame, least: int = LEAST) -> DataFrame:
             for k, raw in local_graph(texts, langs, buckets, frequent.value):
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([raw], pa.binary())], ["bucket", "graph"])
 
-    def merged(table: pa.Table) -> pa.Table:
-        return pa.table(merge(table["graph"].to_pylist(), least), schema=_schema())
+    def merged(bucket: int, bundles: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict(merge(bundles, least), schema=_schema())
 
-    return rows.mapInArrow(run, "bucket int, graph binary").groupBy("bucket").applyInArrow(merged, COUNTS)
+    return by_bucket(rows.mapInArrow(run, "bucket int, graph binary"), "graph", merged, COUNTS)
 
 
 def _schema() -> pa.Schema:
@@ -374,7 +394,7 @@ def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, top: i
     the language) and `score`. A phrase inside a longer one goes if the longer one has `share` percent of its occurrences.
     Words are told apart by hashes of 64 bits, within their language.
     """
-    ship(docs.sparkSession).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    ship(docs.sparkSession).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     counts = stage(count_phrases(docs, least), "phrases")
     paths = compact_paths(counts)
     # A node inside a path occurs as often as the edges at it, so it is no phrase of its own.
