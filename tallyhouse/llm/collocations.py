@@ -7,7 +7,8 @@ the pieces that end in it. Counts of pairs and words are flows of the same kind,
 Runs of nodes with one way in and one way out are compacted into paths: what lies inside a path is no phrase of its own.
 
 A word that is too rare for any phrase ends a piece, too. Tasks know those by a table of bits of a fixed size, made from
-counts of all words; a rare word that shares its bit with a frequent one only costs room.
+counts of all words; a rare word that shares its bit with a frequent one only costs room. The most frequent words, up
+to a fixed number, travel as their ranks, all others as their hashes.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ CHUNK = 1 << 20
 ARROW_ROWS = 64
 # Bits of the table of words, as a power of two: 8 MiB, whatever the corpus.
 TABLE_BITS = 26
+# Words that travel as ranks: their hashes are sent to the tasks, 8 MiB at most.
+RANKED = 1 << 20
 # What ends a piece, and what separates words in it.
 ENDS_PIECE = np.zeros(256, dtype=bool)
 ENDS_PIECE[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -127,10 +130,11 @@ def slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
-def local_graph(texts: list[bytes], langs: list[str], buckets: int, table: np.ndarray) -> Iterator[tuple[int, bytes]]:
+def local_graph(texts: list[bytes], langs: list[str], buckets: int, table: np.ndarray, ranked: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """The graph of some texts, cut into its buckets: for each the edges, the flows of its pairs and words, and the words' texts.
 
-    `langs` salts the words' hashes, so that equal words of two languages are two words. `table` has the bits of frequent words.
+    `langs` salts the words' hashes, so that equal words of two languages are two words. `table` has the bits of frequent words,
+    `ranked` the hashes of the most frequent ones. In the rows, 0 is no word, then come the ranked ones, then the bundle's own.
     """
     words = joined(texts)
     hashes, lang, names = salted(words, texts, langs)
@@ -144,17 +148,18 @@ def local_graph(texts: list[bytes], langs: list[str], buckets: int, table: np.nd
     del at, rare
     hashes, first, ids, count = np.unique(hashes[kept], return_index=True, return_inverse=True, return_counts=True)
     if not len(ids):
-        yield 0, bundle([np.zeros(1, dtype=np.uint64), names, [(2, b"")] * 4, (8, b""), [(2, b"")] * 2, (8, b""), (2, b""), (8, b""),
+        yield 0, bundle([np.zeros(0, dtype=np.uint64), names, [(4, b"")] * 4, (8, b""), [(4, b"")] * 2, (8, b""), (4, b""), (8, b""),
                          np.zeros(0, dtype=np.int32), b"", totals])
         return
-    # Frequent words get small numbers, which take little room; 0 is no word.
-    order = np.argsort(-count, kind="stable")
-    hashes, first, count = hashes[order], first[order], count[order]
-    number = np.empty(len(order), dtype=np.int64)
-    number[order] = np.arange(1, len(order) + 1)
-    ids = number[ids]
+    by_hash = np.argsort(ranked)
+    near = by_hash[np.minimum(np.searchsorted(ranked, hashes, sorter=by_hash), len(ranked) - 1)] if len(ranked) else np.zeros(len(hashes), dtype=int)
+    other = ranked[near] != hashes if len(ranked) else np.ones(len(hashes), dtype=bool)
+    code = near + 1
+    code[other] = len(ranked) + np.arange(1, int(other.sum()) + 1)
+    known = np.concatenate((np.zeros(1, dtype=np.uint64), ranked, hashes[other]))
+    ids = code[ids]
     follows = np.append(piece[1:] == piece[:-1], False)
-    del piece, order, number
+    del piece, near, other
     pair = ids << 32
     pair[:-1] |= np.where(follows[:-1], ids[1:], 0)
     pairs, pair_id, pair_count = np.unique(pair, return_inverse=True, return_counts=True)
@@ -168,7 +173,6 @@ def local_graph(texts: list[bytes], langs: list[str], buckets: int, table: np.nd
     del a, b, edge, edges
     full = pairs[pairs & 0xFFFFFFFF > 0]
     two, two_count = [x.astype(np.uint32) for x in (full >> 32, full & 0xFFFFFFFF)], pair_count[pairs & 0xFFFFFFFF > 0]
-    known = np.append(np.uint64(0), hashes)
 
     def dealt(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """The rows by bucket, and where each bucket's start. A key's bucket follows from its hashes alone."""
@@ -176,24 +180,23 @@ def local_graph(texts: list[bytes], langs: list[str], buckets: int, table: np.nd
         order = np.argsort(to, kind="stable")
         return order, np.searchsorted(to[order], np.arange(buckets + 1))
 
-    by_node, by_pair, by_word = dealt(four[:3]), dealt(two), dealt([np.arange(1, len(hashes) + 1)])
+    by_node, by_pair, by_word = dealt(four[:3]), dealt(two), dealt([code])
     used = np.zeros(len(known), dtype=bool)
+    short = np.arange(len(known), dtype="<u4")
     for k in range(buckets):
         rows, pair_rows, word_rows = (order[at[k]:at[k + 1]] for order, at in (by_node, by_pair, by_word))
         if k and not len(rows) + len(pair_rows) + len(word_rows):
             continue
         columns, pair_columns = [c[rows] for c in four], [c[pair_rows] for c in two]
         used[:] = False
-        used[0] = True
-        for c in (*columns, *pair_columns, word_rows + 1):
+        for c in (*columns, *pair_columns, code[word_rows]):
             used[c] = True
-        own = np.flatnonzero(used)
-        short = np.zeros(len(known), dtype="<u2" if len(own) <= 1 << 16 else "<u4")
-        short[own] = np.arange(len(own))
+        own = len(ranked) + 1 + np.flatnonzero(used[len(ranked) + 1:])
+        short[own] = len(ranked) + 1 + np.arange(len(own))
         at = first[word_rows]
         yield k, bundle([
             known[own], names, [planes(short[c]) for c in columns], planes(edge_count[rows]), [planes(short[c]) for c in pair_columns],
-            planes(two_count[pair_rows]), planes(short[word_rows + 1]), planes(count[word_rows]), lang[at].astype(np.int32),
+            planes(two_count[pair_rows]), planes(short[code[word_rows]]), planes(count[word_rows]), lang[at].astype(np.int32),
             b" ".join(words.text(i) for i in back[at].tolist()), totals if k == 0 else np.zeros(len(names), dtype=np.int64)])
 
 
@@ -212,14 +215,20 @@ def summed(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarr
     return [c[at] for c in columns], np.add.reduceat(counts[order], at)
 
 
-def merge(blobs: list[bytes], least: int) -> dict[str, list]:
+def merge(blobs: list[bytes], least: int, ranked: np.ndarray) -> dict[str, list]:
     """The counts of a bucket, out of the graphs of all tasks: phrases of `least` occurrences and more, and the words of each language."""
     parts = [unbundle(raw) for raw in blobs]
-    known = np.unique(np.concatenate([p[0] for p in parts]))
-    ids = [np.searchsorted(known, p[0]).astype(np.uint64) for p in parts]  # 0 is no word: it is the smallest
+    first = len(ranked) + 1
+    others = np.unique(np.concatenate([p[0] for p in parts]))
+    known = np.concatenate((np.zeros(1, dtype=np.uint64), ranked, others))
+    ids = [np.append(0, np.searchsorted(others, p[0])) for p in parts]
 
     def column(i: int, j: int | None = None) -> np.ndarray:
-        return np.concatenate([own[from_planes(*(p[i] if j is None else p[i][j]))] for own, p in zip(ids, parts)])
+        out = []
+        for own, p in zip(ids, parts):
+            codes = from_planes(*(p[i] if j is None else p[i][j])).astype(np.int64)
+            out.append(np.where(codes < first, codes, first + own[np.maximum(codes - first + 1, 0)]).astype(np.uint64))
+        return np.concatenate(out)
 
     def counts(i: int) -> np.ndarray:
         return np.concatenate([from_planes(*p[i]) for p in parts]).astype(np.int64)
@@ -252,11 +261,11 @@ def merge(blobs: list[bytes], least: int) -> dict[str, list]:
     lang = np.concatenate([np.searchsorted(names, p[1]).astype(np.int64)[p[8]] for p in parts])
     word, f = column(6), counts(7)
     texts = [t for p in parts for t in p[9].split(b" ")[:len(p[8])]]
-    kinds, first, which = np.unique(word, return_index=True, return_inverse=True)
+    kinds, seen, which = np.unique(word, return_index=True, return_inverse=True)
     total = np.zeros(len(kinds), dtype=np.int64)
     np.add.at(total, which, f)
     keep = np.flatnonzero(total >= least)
-    give(1, [kinds[keep]], total[keep], [names[lang[i]] for i in first[keep]], [texts[i].decode() for i in first[keep]])
+    give(1, [kinds[keep]], total[keep], [names[lang[i]] for i in seen[keep]], [texts[i].decode() for i in seen[keep]])
     every = np.zeros(len(names), dtype=np.int64)
     for p in parts:
         np.add.at(every, np.searchsorted(names, p[1]), p[10])
@@ -298,10 +307,11 @@ def by_bucket(bundles: DataFrame, column: str, make: Callable[[int, list[bytes]]
     return bundles.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, kind)
 
 
-def frequent_words(rows: DataFrame, buckets: int, least: int) -> np.ndarray:
-    """A table of bits: set for the hash of every word with `least` occurrences. `rows`: `text` and `lang`, both set.
+def frequent_words(rows: DataFrame, buckets: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """A table of bits, set for the hash of every word with `least` occurrences, and the hashes of the `most` frequent of them.
 
-    Each bucket counts the words of a range of bits and returns that range: 8 MiB come to the driver, whatever the corpus.
+    Each bucket counts the words of a range of bits and returns that range: 8 MiB come to the driver, whatever the corpus,
+    and as much for the words. `rows`: `text` and `lang`, both set.
     """
     shift = max(0, min(16, (buckets - 1).bit_length()))
     own = 1 << (TABLE_BITS - shift)
@@ -320,17 +330,21 @@ def frequent_words(rows: DataFrame, buckets: int, least: int) -> np.ndarray:
         (hashes,), count = summed([np.concatenate([p[0] for p in parts])], np.concatenate([from_planes(*p[1]) for p in parts]).astype(np.int64))
         bits = np.zeros(own, dtype=bool)
         bits[slots(hashes[count >= least]) % own] = True
-        return pa.RecordBatch.from_arrays(
-            [pa.array([bucket], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["bucket", "bits"])
+        heavy = count >= least
+        return pa.RecordBatch.from_pydict(
+            {"bucket": [bucket], "bits": [np.packbits(bits, bitorder="little").tobytes()], "words": [hashes[heavy].view(np.int64)], "n": [count[heavy]]},
+            pa.schema([("bucket", pa.int32()), ("bits", pa.binary()), ("words", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))]))
 
     out = np.zeros(1 << (TABLE_BITS - 3), dtype=np.uint8)
-    found = by_bucket(rows.mapInArrow(run, "bucket int, words binary"), "words", bits_of, "bucket int, bits binary")
-    for row in found.toLocalIterator():
+    bundles = rows.mapInArrow(run, "bucket int, words binary")
+    found = stage(by_bucket(bundles, "words", bits_of, "bucket int, bits binary, words array<bigint>, n array<bigint>"), "words")
+    for row in found.select("bucket", "bits").toLocalIterator():
         out[row["bucket"] * own // 8:(row["bucket"] + 1) * own // 8] = np.frombuffer(row["bits"], dtype=np.uint8)
-    return out
+    first = found.select(F.explode(F.arrays_zip("n", "words")).alias("w")).select("w.*").orderBy(F.col("n").desc(), "words").limit(most)
+    return out, np.array([r["words"] for r in first.select("words").collect()], dtype=np.int64).view(np.uint64)
 
 
-def count_phrases(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def count_phrases(docs: DataFrame, least: int = LEAST, ranked: int = RANKED) -> DataFrame:
     """Phrases of 1 to 4 words with at least `least` occurrences (`k`, the words' hashes `h1`.., `f`), and all words of each `lang` (`k` = 0).
 
     Words come with `lang` and `word`. Buckets grow in number with the text, and each holds what
@@ -339,15 +353,15 @@ def count_phrases(docs: DataFrame, least: int = LEAST) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_words(rows, buckets, least))
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_words(rows, buckets, least, ranked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts, langs in buffers(batches):
-            for k, raw in local_graph(texts, langs, buckets, frequent.value):
+            for k, raw in local_graph(texts, langs, buckets, *frequent.value):
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([raw], pa.binary())], ["bucket", "graph"])
 
     def merged(bucket: int, bundles: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict(merge(bundles, least), schema=_schema())
+        return pa.RecordBatch.from_pydict(merge(bundles, least, frequent.value[1]), schema=_schema())
 
     return by_bucket(rows.mapInArrow(run, "bucket int, graph binary"), "graph", merged, COUNTS)
 

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tallyhouse.llm.collocations import _cut, collocations, compact_paths, count_phrases, local_graph, merge, words_of
+from tallyhouse.llm.collocations import _cut, collocations, compact_paths, count_phrases, joined, local_graph, merge, salted, words_of
 from tests.llm.cases import ASCII, prose
 
 KIND = "text string, lang string"
@@ -66,12 +66,14 @@ def test_passages_that_repeat(spark):
     frame = spark.createDataFrame([(t, x, 1, "k", 5) for t, x in rows], KIND + ", k int, key string, h1 int")
     expected = brute(rows)
     assert found(collocations(frame)) == expected
-    counts = count_phrases(frame)
+    counts = count_phrases(frame, ranked=7)
+    assert Counter(map(tuple, counts.collect())) == Counter(map(tuple, count_phrases(frame).collect()))
     paths = [tuple(r) for r in compact_paths(counts).select("path", "place", "f").collect()]
     assert max(p for _, p, _ in paths) >= 50 and len(set(paths)) == len(paths) == counts.filter("k = 4").count()
 
 
-def test_counts_of_the_graph():
+@pytest.mark.parametrize("ranked", [0, 2])
+def test_counts_of_the_graph(ranked):
     """Node flows are the counts of runs, whatever the buckets and the buffers."""
     rows = random_rows(4, 60, ["a", "b", "C", "dd"])
     expected = Counter()
@@ -79,18 +81,20 @@ def test_counts_of_the_graph():
         for p, c in f.items():
             expected[len(p)] += c
     every = np.full(1 << 23, 255, dtype=np.uint8)
+    texts = ["a", "b", "dd"][:ranked]
+    first = np.unique(salted(joined([x.encode() for x in texts]), texts, ["en"] * ranked)[0])[::-1] if ranked else np.zeros(0, dtype=np.uint64)
     for buckets in (1, 5):
         blobs = defaultdict(list)
         for part in (rows[:20], rows[20:]):
-            for k, raw in local_graph([(t or "").encode() for t, _ in part], ["und" if x is None else x for _, x in part], buckets, every):
+            for k, raw in local_graph([(t or "").encode() for t, _ in part], ["und" if x is None else x for _, x in part], buckets, every, first):
                 blobs[k].append(raw)
         seen = Counter()
         for raw in blobs.values():
-            made = merge(raw, 1)
+            made = merge(raw, 1, first)
             for k, f in zip(made["k"], made["f"]):
                 seen[k] += f
         assert {k: seen[k] for k in range(1, 5)} == {k: expected[k] for k in range(1, 5)} and seen[0] == expected[1]
-    assert list(local_graph([b"", b" .\t"], ["a", "b"], 3, every)) != []
+    assert list(local_graph([b"", b" .\t"], ["a", "b"], 3, every, first)) != []
 
 
 def test_large_scores_are_exact(spark):
