@@ -105,6 +105,11 @@ def _numbers_after_existing(t: StarTables) -> DataFrame:
     return withholding.certificate_numbers(t, given)
 
 
+def _effects_of_attempts(t: StarTables) -> DataFrame:
+    """The records that all attempts leave behind, once those that are refused are out."""
+    return status.credit_note_effects({"credit_note_log": status.accepted_actions(t)})
+
+
 def _stamp_stream(t: StarTables) -> DataFrame:
     """The invoices arrive as files, the pickings are stamped batch by batch."""
     changes, pickings, out, checkpoint = (
@@ -157,6 +162,8 @@ def queries() -> dict[str, Query]:
         # credit orders and payments
         "order_first_payment": _on(orders.order_first_payment),
         "order_deadlines": _on(orders.order_deadlines),
+        "order_first_payment_as_of": _on(orders.order_first_payment, as_of_payment=True),
+        "order_deadlines_as_of": _on(orders.order_deadlines, as_of_payment=True),
         "cancel_orders": _on(orders.cancel_orders, as_of=CANCEL_DAY),
         "payable_orders": _on(orders.payable_orders),
         "payable_orders_of_partner": _on(orders.payable_orders, partner_id=12),
@@ -215,7 +222,9 @@ def queries() -> dict[str, Query]:
         # status changes over time
         "credit_note_open_conflicts": _on(status.credit_note_open_conflicts),
         "credit_note_current": _on(status.credit_note_current),
+        "credit_note_decisions": _on(status.credit_note_decisions),
         "credit_note_effects": _on(status.credit_note_effects),
+        "credit_note_effects_of_attempts": _on(_effects_of_attempts),
         "credit_note_invoice_state": _on(status.credit_note_invoice_state),
         "stamp_pickings": _on(status.stamp_pickings),
         "stamp_pickings_stream": _on(_stamp_stream),

@@ -164,6 +164,17 @@ from (select o_orderkey*10+k id, o_orderkey invoice_id,
    when k=4 then case when o_orderkey%4<2 then 'request' else 'reject' end else 'approve' end as action,
   o_orderdate+to_days(k) happened_on
  from orders cross join (values (1),(2),(3),(4),(5)) t(k) where k<=o_orderkey%5+1) b""",
+    "credit_note_attempt": """
+select id, invoice_id, action, happened_on, case when action='request' then concat('motivo ',cast(id as varchar)) end reason,
+ case when action='reject' then concat('rechazo ',cast(id as varchar)) end reject_reason
+from (select o_orderkey*10+k id, case when o_orderkey%3=0 then 3 when o_orderkey%101=0 then null else o_orderkey end invoice_id,
+  case (o_orderkey//3+k*k*(o_orderkey%7+1))%5 when 2 then 'approve' when 3 then 'reject' else 'request' end as action, o_orderdate+to_days(k) happened_on
+ from orders cross join (values (1),(2),(3),(4),(5),(6)) t(k)) b""",
+    "sale_order_log": """
+select o_orderkey*10+k id, o_orderkey order_id, o_orderdate+to_days(case k when 1 then 0 when 2 then cast(o_orderkey%25 as int) else 40 end) changed_on,
+ case k when 1 then 'draft' else 'sale' end state, case k when 1 then 'no' when 2 then 'to invoice' else 'invoiced' end invoice_status,
+ case when k=2 and o_orderkey%11=0 then 2 else cast(substr(o_orderpriority,1,1) as int) end payment_term_id
+from orders cross join (values (1),(2),(3)) t(k) where k=1 or (k=2 and o_orderkey%7<>0) or (k=3 and o_orderkey%5=0)""",
     "withholding_certificate": """
 select i.id, i.id invoice_id, t.tax_id account_tax_id, i.date_invoice+15 certificated_on, i.create_date,
  case when i.id%4=0 then 'draft' else 'approved' end state, i.id%2+1 company_id, case when i.id%5=0 then 'Contabilidad' end comments

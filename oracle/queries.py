@@ -97,6 +97,23 @@ from sale_order o join account_payment_term t on t.id=o.payment_term_id and t.pa
 join (select *, row_number() over (partition by sale_order_id order by id) rn from account_payment where sale_order_id is not null) q
  on q.sale_order_id=o.id and q.rn=1
 where o.state='sale' and o.invoice_status='to invoice'""",
+    "decided": """
+with w as (select *, max(case when action in ('request','reject') then id end) over p last_id, max(case when action='approve' then id end) over p last_ok
+ from credit_note_attempt window p as (partition by invoice_id order by id rows between unbounded preceding and 1 preceding))
+select w.*, case when w.action='request' and (b.action='request' or w.last_ok>w.last_id) then 'open_request'
+ when w.action='approve' and w.last_id is null then 'no_request' end refusal
+from w left join credit_note_attempt b on b.id=w.last_id""",
+    "accepted_rows": """
+select l.*, count(case when action in ('request','reject') then 1 end) over w record_no, count(case when action='request' then 1 end) over w request_no
+from (select * from decided where refusal is null) l window w as (partition by invoice_id order by id)""",
+    "first_paid_then": """
+select q.sale_order_id order_id, q.id payment_id, q.payment_date first_payment_date
+from (select *, row_number() over (partition by sale_order_id order by id) rn from account_payment where sale_order_id is not null) q
+join sale_order o on o.id=q.sale_order_id
+join (select l.*, p.id pid, row_number() over (partition by p.id order by l.changed_on desc, l.id desc) n
+ from account_payment p join sale_order_log l on l.order_id=p.sale_order_id and l.changed_on<=p.payment_date) s on s.pid=q.id and s.n=1
+join account_payment_term t on t.id=s.payment_term_id and t.payment_term_type='credit_payment'
+where q.rn=1 and s.state='sale' and s.invoice_status='to invoice'""",
     "deadlines": """
 select o.*, f.first_payment_date, cast(f.first_payment_date+90 as date) canceled_at, cast(f.first_payment_date+80 as date) notified_at
 from sale_order o left join first_paid f on f.order_id=o.id""",
@@ -352,6 +369,10 @@ select r.id, r.category_id, r.payment_term_id, r.percentage, count(*) line_count
 from commission_rule r join assigned l on l.commission_id=r.id group by all""",
     "order_first_payment": "select * from first_paid",
     "order_deadlines": "select * from deadlines",
+    "order_first_payment_as_of": "select * from first_paid_then",
+    "order_deadlines_as_of": """
+select o.*, f.first_payment_date, cast(f.first_payment_date+90 as date) canceled_at, cast(f.first_payment_date+80 as date) notified_at
+from sale_order o left join first_paid_then f on f.order_id=o.id""",
     "cancel_orders": f"""
 select id, name, partner_id, payment_term_id, case when id in (select id from due where canceled_at={AS_OF}) then 'cancel' else state end state,
  invoice_status, note from sale_order""",
@@ -485,6 +506,18 @@ left join (select * from log_rows where action='reject') n on n.invoice_id=r.inv
 left join (select invoice_id, record_no, arg_max(happened_on,id) approved_on from log_rows where action='approve' group by 1,2) a
  on a.invoice_id=r.invoice_id and a.record_no=r.record_no
 left join (select * from log_rows where action='request') q on q.invoice_id=r.invoice_id and q.request_no=r.request_no""",
+    "credit_note_effects_of_attempts": """
+select r.id, r.invoice_id,
+ case when n.id is not null then 'rejected' when a.approved_on is not null then 'approved' when r.action='reject' then 'rejected' else 'pending' end state,
+ q.reason, coalesce(n.reject_reason, r.reject_reason) reject_reason, q.happened_on requested_on, a.approved_on,
+ coalesce(n.happened_on, case when r.action='reject' then r.happened_on end) rejected_on
+from (select * from accepted_rows where action in ('request','reject')) r
+left join (select * from accepted_rows where action='reject') n on n.invoice_id is not distinct from r.invoice_id and n.record_no=r.record_no+1
+left join (select invoice_id, record_no, arg_max(happened_on,id) approved_on from accepted_rows where action='approve' group by 1,2) a
+ on a.invoice_id is not distinct from r.invoice_id and a.record_no=r.record_no
+left join (select * from accepted_rows where action='request') q on q.invoice_id is not distinct from r.invoice_id and q.request_no=r.request_no""",
+    "credit_note_decisions": """
+select id, invoice_id, action, happened_on, reason, reject_reason, refusal is null accepted, refusal from decided""",
     "credit_note_invoice_state": """
 select invoice_id, case arg_max(action,id) when 'request' then 'pending' when 'approve' then 'approved' else 'draft' end credit_note_state
 from credit_note_log group by 1""",

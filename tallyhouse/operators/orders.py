@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions.columns import MONEY, as_date, percent_of
 from tallyhouse.operators.products import product_attributes
+from tallyhouse.plans.asof import asof_join
 
 Tables = Mapping[str, DataFrame]
 
@@ -47,25 +48,41 @@ def _first_payments(t: Tables) -> DataFrame:
         F.col("sale_order_id").alias("_paid_order")).agg(first)
 
 
-def order_first_payment(t: Tables) -> DataFrame:
+def _paid_while_payable(t: Tables) -> DataFrame:
+    """The first payment of each order that could be paid on when it was booked, by the log of what the order went through.
+
+    Later payments do not count, so an order that was a draft at its first payment never gets a date.
+    """
+    first = _first_payments(t).select("_paid_order", "_first", F.col("_first.payment_date").alias("_day"))
+    log = t["sale_order_log"].select("id", F.col("order_id").alias("_paid_order"), "changed_on", "state", "invoice_status", "payment_term_id")
+    met = asof_join(first, log, "_paid_order", "_day", "changed_on", ["state", "invoice_status", "payment_term_id"], "_then")
+    then = met.select("_paid_order", "_first", "_then.*")
+    return _payable(t, then).select("_paid_order", "_first")
+
+
+def order_first_payment(t: Tables, as_of_payment: bool = False) -> DataFrame:
     """The first payment of each payable order: the one that was booked first, by id.
 
-    Whether an order is payable is read from its present state, as the tables keep no earlier one.
+    Whether an order is payable is read from its present state. With `as_of_payment` it is read from `sale_order_log`
+    as it stood at the payment's day; orders without an entry by then were not payable.
     """
-    return (
-        _payable(t, t["sale_order"]).select(F.col("id").alias("order_id"))
-        .join(_first_payments(t), F.col("order_id") == F.col("_paid_order"))
-        .select("order_id", F.col("_first.id").alias("payment_id"), F.col("_first.payment_date").alias("first_payment_date")))
+    orders = t["sale_order"].select(F.col("id").alias("order_id")) if as_of_payment else (
+        _payable(t, t["sale_order"]).select(F.col("id").alias("order_id")))
+    payments = _paid_while_payable(t) if as_of_payment else _first_payments(t)
+    return orders.join(payments, F.col("order_id") == F.col("_paid_order")).select(
+        "order_id", F.col("_first.id").alias("payment_id"), F.col("_first.payment_date").alias("first_payment_date"))
 
 
 DATES = ("first_payment_date", "canceled_at", "notified_at")
 
 
-def _dated(t: Tables) -> DataFrame:
+def _dated(t: Tables, as_of_payment: bool = False) -> DataFrame:
     """The orders with their dates and whether they can be paid on, in one pass. Dates that are set stay."""
     orders = t["sale_order"]
-    paid = _flagged(t).join(_first_payments(t), F.col("id") == F.col("_paid_order"), "left").withColumn(
-        "_day", F.when(F.col("_payable"), F.col("_first.payment_date")))
+    payments = _paid_while_payable(t) if as_of_payment else _first_payments(t)
+    counts = F.lit(True) if as_of_payment else F.col("_payable")
+    paid = _flagged(t).join(payments, F.col("id") == F.col("_paid_order"), "left").withColumn(
+        "_day", F.when(counts, F.col("_first.payment_date")))
 
     def updated(name: str, value: Column) -> Column:
         old = F.col(name) if name in orders.columns else F.lit(None).cast("date")
@@ -81,9 +98,12 @@ def _dated(t: Tables) -> DataFrame:
         updated("notified_at", F.date_add("_start", NOTIFY_AFTER_DAYS)), "_payable")
 
 
-def order_deadlines(t: Tables) -> DataFrame:
-    """The order table with first payment, cancellation and notice dates. A date once given stays."""
-    return _dated(t).drop("_payable")
+def order_deadlines(t: Tables, as_of_payment: bool = False) -> DataFrame:
+    """The order table with first payment, cancellation and notice dates. A date once given stays.
+
+    `as_of_payment` as in `order_first_payment`.
+    """
+    return _dated(t, as_of_payment).drop("_payable")
 
 
 def _due(as_of: dt.date, catch_up: bool) -> Column:

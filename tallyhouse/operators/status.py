@@ -7,9 +7,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyhouse.plans.automaton import states_before
 from tallyhouse.plans.joins import skewed_join
 from tallyhouse.plans.numbering import carry_forward
-from tallyhouse.session import stage
 
 Tables = Mapping[str, DataFrame]
 
@@ -29,10 +29,39 @@ def credit_note_current(t: Tables) -> DataFrame:
         F.col("_last.reason").alias("current_reason"), F.col("_last.requested_on").alias("current_requested_on"))
 
 
+# The states an invoice's requests can be in, and where each action leads from them. An open request is pending or approved.
+NO_REQUEST, OPEN, CLOSED = range(3)
+MOVES = {"request": (OPEN, OPEN, OPEN), "approve": (NO_REQUEST, OPEN, OPEN), "reject": (CLOSED, CLOSED, CLOSED)}
+
+
+def credit_note_decisions(t: Tables) -> DataFrame:
+    """The actions that were tried, each with whether it stood and why not.
+
+    While a request is pending or approved there can be no other: it is refused as `open_request`. An approval
+    needs a record to stamp, else it is refused as `no_request`; it opens a rejected record
+    again. A rejection always stands. Other actions are refused as `unknown_action` and change nothing. Whether a
+    request stands depends on all that was tried before, by id; a hot invoice is folded in pieces.
+    """
+    attempts = t["credit_note_attempt"]
+    same = F.array(*(F.lit(s) for s in range(3)))
+    moves = F.coalesce(*(F.when(F.col("action") == a, F.array(*(F.lit(s) for s in to))) for a, to in MOVES.items()), same)
+    found = states_before(attempts, ["invoice_id"], ["id"], moves, states=3, start=NO_REQUEST, name="_state")
+    refusal = (
+        F.when((F.col("action") == "request") & (F.col("_state") == OPEN), "open_request")
+        .when((F.col("action") == "approve") & (F.col("_state") == NO_REQUEST), "no_request")
+        .when(~F.coalesce(F.col("action").isin(*MOVES), F.lit(False)), "unknown_action"))
+    return found.select(*attempts.columns, refusal.isNull().alias("accepted"), refusal.alias("refusal"))
+
+
+def accepted_actions(t: Tables) -> DataFrame:
+    """The log that the accepted actions make."""
+    return credit_note_decisions(t).filter("accepted").drop("accepted", "refusal")
+
+
 def credit_note_effects(t: Tables) -> DataFrame:
     """The request records that a log of actions leaves behind.
 
-    `credit_note_log` holds the accepted actions of each invoice in order of id. A
+    `credit_note_log` holds the accepted actions of each invoice in order of id (see `accepted_actions`). A
     `request` opens a record as pending. An `approve` stamps the latest record. A
     `reject` closes the latest record as rejected and adds one of its own, with the
     reason and time of the last request. The fields the original names for this do not
@@ -41,31 +70,35 @@ def credit_note_effects(t: Tables) -> DataFrame:
     log = t["credit_note_log"]
     opens = F.col("action").isin("request", "reject")
     request = F.when(F.col("action") == "request", F.struct("reason", "happened_on"))
-    # Written out: the records, their approvals and their closings all read it.
-    steps = stage(carry_forward(log, ["invoice_id"], ["id"], {
+    steps = carry_forward(log, ["invoice_id"], ["id"], {
         "record_id": F.when(opens, F.col("id")),
         "_request": request,
         "_earlier": F.when(opens, F.col("id")),
-    }, exclusive=("_earlier",)), "steps")
-    approvals = (
-        steps.filter((F.col("action") == "approve") & F.col("record_id").isNotNull())
-        .groupBy(F.col("record_id").alias("_approved")).agg(F.max_by("happened_on", "id").alias("approved_on")))
-    closings = steps.filter((F.col("action") == "reject") & F.col("_earlier").isNotNull()).select(
-        F.col("_earlier").alias("_closed"), F.col("happened_on").alias("closed_on"),
-        F.col("reject_reason").alias("close_reason"))
-    own_reject = F.col("action") == "reject"
+    }, exclusive=("_earlier",))
+
+    # Each action says which records it opens, approves and closes; a record gathers what is said of it.
+    def said(when: Column, record: str, **marks: Column) -> Column:
+        kinds = {"own": "struct<invoice_id:bigint,action:string,reject_reason:string,happened_on:timestamp_ntz,"
+                        "request:struct<reason:string,happened_on:timestamp_ntz>>",
+                 "approval": "struct<id:bigint,happened_on:timestamp_ntz>", "closing": "struct<happened_on:timestamp_ntz,reject_reason:string>"}
+        fields = (marks.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in kinds.items())
+        return F.when(when & F.col(record).isNotNull(), F.struct(F.col(record).alias("id"), *fields))
+
+    marks = F.array_compact(F.array(
+        said(opens, "id", own=F.struct("invoice_id", "action", "reject_reason", "happened_on", F.col("_request").alias("request"))),
+        said(F.col("action") == "approve", "record_id", approval=F.struct("id", "happened_on")),
+        said(F.col("action") == "reject", "_earlier", closing=F.struct("happened_on", "reject_reason"))))
+    records = steps.select(F.explode(marks).alias("m")).select("m.*").groupBy("id").agg(
+        *(F.max(c).alias(c) for c in ("own", "approval", "closing")))
+    own_reject = F.col("own.action") == "reject"
     state = (
-        F.when(F.col("_closed").isNotNull(), "rejected").when(F.col("_approved").isNotNull(), "approved")
+        F.when(F.col("closing").isNotNull(), "rejected").when(F.col("approval").isNotNull(), "approved")
         .when(own_reject, "rejected").otherwise("pending"))
-    return (
-        steps.filter(opens)
-        .join(approvals, F.col("id") == F.col("_approved"), "left")
-        .join(closings, F.col("id") == F.col("_closed"), "left")
-        .select(
-            "id", "invoice_id", state.alias("state"), F.col("_request.reason").alias("reason"),
-            F.coalesce("close_reason", F.when(own_reject, F.col("reject_reason"))).alias("reject_reason"),
-            F.col("_request.happened_on").alias("requested_on"), "approved_on",
-            F.coalesce("closed_on", F.when(own_reject, F.col("happened_on"))).alias("rejected_on")))
+    return records.select(
+        "id", "own.invoice_id", state.alias("state"), F.col("own.request.reason").alias("reason"),
+        F.coalesce("closing.reject_reason", F.when(own_reject, F.col("own.reject_reason"))).alias("reject_reason"),
+        F.col("own.request.happened_on").alias("requested_on"), F.col("approval.happened_on").alias("approved_on"),
+        F.coalesce("closing.happened_on", F.when(own_reject, F.col("own.happened_on"))).alias("rejected_on"))
 
 
 def credit_note_invoice_state(t: Tables) -> DataFrame:

@@ -85,6 +85,10 @@ DDL = {
         "id BIGINT, invoice_id BIGINT, state STRING, reason STRING, requested_on TIMESTAMP_NTZ"),
     "credit_note_log": (
         "id BIGINT, invoice_id BIGINT, action STRING, happened_on TIMESTAMP_NTZ, reason STRING, reject_reason STRING"),
+    "credit_note_attempt": (
+        "id BIGINT, invoice_id BIGINT, action STRING, happened_on TIMESTAMP_NTZ, reason STRING, reject_reason STRING"),
+    "sale_order_log": (
+        "id BIGINT, order_id BIGINT, changed_on TIMESTAMP_NTZ, state STRING, invoice_status STRING, payment_term_id INT"),
     "withholding_certificate": (
         "id BIGINT, invoice_id BIGINT, account_tax_id INT, certificated_on DATE, create_date TIMESTAMP_NTZ, "
         "state STRING, company_id BIGINT, comments STRING"),

@@ -475,6 +475,30 @@ def credit_note_log(t: StarTables) -> DataFrame:
         "case when action='reject' then concat('rechazo ',cast(id as string)) end reject_reason")
 
 
+@_table
+def credit_note_attempt(t: StarTables) -> DataFrame:
+    """What was tried on the requests of each order, in an order that refuses some; a third of all on one invoice."""
+    return t.raw("orders").selectExpr("*", "explode(array(1,2,3,4,5,6)) k").selectExpr(
+        "o_orderkey*10+k id", "case when o_orderkey%3=0 then 3 when o_orderkey%101=0 then null else o_orderkey end invoice_id",
+        "case (o_orderkey div 3+k*k*(o_orderkey%7+1))%5 when 2 then 'approve' when 3 then 'reject' else 'request' end action",
+        "o_orderdate + make_interval(0,0,0,k) happened_on").selectExpr(
+        "id", "invoice_id", "action", "happened_on",
+        "case when action='request' then concat('motivo ',cast(id as string)) end reason",
+        "case when action='reject' then concat('rechazo ',cast(id as string)) end reject_reason")
+
+
+@_table
+def sale_order_log(t: StarTables) -> DataFrame:
+    """The states of each order: a draft on its day, later confirmed, at last invoiced; some never get that far."""
+    return t.raw("orders").selectExpr("*", "explode(array(1,2,3)) k").filter(
+        "k=1 or (k=2 and o_orderkey%7<>0) or (k=3 and o_orderkey%5=0)").selectExpr(
+        "o_orderkey*10+k id", "o_orderkey order_id",
+        "o_orderdate + make_interval(0,0,0,case k when 1 then 0 when 2 then cast(o_orderkey%25 as int) else 40 end) changed_on",
+        "case k when 1 then 'draft' else 'sale' end state",
+        "case k when 1 then 'no' when 2 then 'to invoice' else 'invoiced' end invoice_status",
+        "case when k=2 and o_orderkey%11=0 then 2 else cast(substr(o_orderpriority,1,1) as int) end payment_term_id")
+
+
 @_table
 def withholding_certificate(t: StarTables) -> DataFrame:
     invoices = t["invoice_header"].filter("type='in_invoice' and id%3=0")
