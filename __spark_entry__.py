@@ -19,7 +19,8 @@ from tallyhouse.plans.numbering import number_rows
 from tallyhouse.session import new_path, tune
 from tallyhouse.sources.starschema import StarTables, star_tables
 from tallyhouse.sources.tables import load_tables, write_report
-from tallyhouse.streaming.pickings import stamp_pickings_stream, stamped_pickings
+from tallyhouse.streaming.pickings import (
+    PARTS, compact_stamps, partition_pickings, stamp_pickings_stream, stamp_streams, stamped_by_streams, stamped_pickings)
 
 try:  # a subpackage of its own, which may be absent
     import corpus_pipeline
@@ -111,15 +112,32 @@ def _effects_of_attempts(t: StarTables) -> DataFrame:
 
 
 def _stamp_stream(t: StarTables) -> DataFrame:
-    """The invoices arrive as files, the pickings are stamped batch by batch."""
+    """The invoices arrive as files, the pickings are stamped batch by batch, and the batches put together."""
     changes, pickings, out, checkpoint = (
         new_path(t.spark, label) for label in ("changes", "pickings", "stamps", "progress"))
     t["account_invoice"].write.parquet(changes)
-    t["stock_picking"].write.parquet(pickings)
-    stamp_pickings_stream(t.spark, changes, pickings, out, checkpoint)
+    partition_pickings(t["stock_picking"], pickings)
+    stamp_pickings_stream(t.spark, changes, pickings, out, checkpoint, parts=PARTS)
+    compact_stamps(t.spark, out)
     return stamped_pickings(t.spark, pickings, out)
 
 
+# When the pickings of the test data came: some before the updates of their invoices, some after.
+PICKED_ON = "timestamp_ntz'1992-01-01' + make_interval(0,0,0,cast(id%2500 as int))"
+
+
+def _stamp_streams(t: StarTables) -> DataFrame:
+    """Both tables arrive as files, in two runs each: pickings and changes that come late meet what is there."""
+    changes, pickings, out, checkpoint = (
+        new_path(t.spark, label) for label in ("changes", "pickings", "stamps", "progress"))
+    picked = t["stock_picking"].withColumn("create_date", F.expr(PICKED_ON))
+    for half in ("id%2=0", "id%2=1"):
+        picked.filter(f"id%4<>1 and {half} or id%4=1 and not ({half})").write.mode("append").parquet(pickings)
+        t["account_invoice"].filter(half).write.mode("append").parquet(changes)
+        stamp_streams(t.spark, changes, pickings, out, checkpoint)
+    return stamped_by_streams(t.spark, out)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship query: the supplier-bill lines of the tax annex."""
     return queries()["annex72_lines"](spark, "/root/testdata/sf0.001")
@@ -228,6 +246,7 @@ def queries() -> dict[str, Query]:
         "credit_note_invoice_state": _on(status.credit_note_invoice_state),
         "stamp_pickings": _on(status.stamp_pickings),
         "stamp_pickings_stream": _on(_stamp_stream),
+        "stamp_streams": _on(_stamp_streams),
         "number_rows": _on(_number_rows),
         # sources and sinks
         "load_tables": _on(_load_tables),

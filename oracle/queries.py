@@ -523,6 +523,10 @@ select invoice_id, case arg_max(action,id) when 'request' then 'pending' when 'a
 from credit_note_log group by 1""",
     "stamp_pickings": STAMPED,
     "stamp_pickings_stream": STAMPED,
+    "stamp_streams": """
+select p.id, p.origin, case when s.write_date>=timestamp '1992-01-01'+to_days(cast(p.id%2500 as int)) then s.number else p.factura end factura
+from stock_picking p left join (select origin, arg_max(number, (write_date, id)) number, max(write_date) write_date
+ from account_invoice where state='open' and origin is not null group by 1) s on s.origin=p.origin""",
     "number_rows": "select row_number() over (order by create_date, id) as position, id, create_date from account_invoice",
 }
 

@@ -1,6 +1,7 @@
 """What depends on an earlier state: decisions on requests, payments as of their day, stamps of both streams."""
 
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -9,6 +10,9 @@ from pyspark.sql import functions as F
 from tallyhouse.operators import orders, status
 from tallyhouse.plans.asof import asof_join
 from tallyhouse.plans.automaton import states_before
+from tallyhouse.schemas import schema_of
+from tallyhouse.streaming.pickings import (
+    PART, compact_stamps, origin_part, partition_pickings, stamp_pickings_stream, stamp_streams, stamped_by_streams, stamped_pickings)
 from tests.builders import table, tables, values
 
 NEXT = {"a": (1, 1, 0), "b": (2, 0, 2), "c": (0, 2, 1)}
@@ -82,3 +86,56 @@ def test_first_payment_as_of_its_day(spark):
     assert values(orders.order_first_payment(t, as_of_payment=True), "order_id", "payment_id") == [(1, 1), (6, 6)]
     dated = orders.order_deadlines(t, as_of_payment=True).filter("canceled_at is not null")
     assert values(dated, "id", "canceled_at") == [(1, dt.date(2020, 4, 4)), (6, dt.date(2020, 4, 6))]
+
+
+def invoice(i, origin, day, state="open"):
+    return {"id": i, "origin": origin, "state": state, "number": f"N{i}", "write_date": dt.datetime(2020, 1, day)}
+
+
+def test_a_batch_reads_only_the_folders_of_its_origins(spark, tmp_path):
+    """All other folders hold files that cannot be read."""
+    changes, base, out, progress = (str(tmp_path / n) for n in ("changes", "base", "out", "progress"))
+    rows = [{"id": i, "origin": f"S{i}", "factura": "old"} for i in range(40)] + [{"id": 99}]
+    partition_pickings(table(spark, "stock_picking", *rows), base, parts=8)
+    own = spark.createDataFrame([("S3",)], "o string").select(origin_part("o", 8)).first()[0]
+    for folder in os.listdir(base):
+        if folder.startswith(PART) and folder != f"{PART}={own}":
+            for name in os.listdir(f"{base}/{folder}"):
+                if name.endswith(".parquet"):
+                    (tmp_path / "base" / folder / f".{name}.crc").unlink(missing_ok=True)
+                    (tmp_path / "base" / folder / name).write_bytes(b"no parquet file at all")
+    table(spark, "account_invoice", invoice(1, "S3", 2), invoice(2, "S3", 1), invoice(3, None, 1), invoice(4, "S4", 1, "paid")).write.parquet(changes)
+    stamp_pickings_stream(spark, changes, base, out, progress, parts=8)
+    assert [tuple(r)[:2] for r in spark.read.parquet(out).collect()] == [(3, "N1")]
+    partition_pickings(table(spark, "stock_picking", *rows), base, parts=8)
+    before = values(stamped_pickings(spark, base, out), "id", "origin", "factura")
+    assert (3, "S3", "N1") in before and (99, None, None) in before and len(before) == 41
+    for _ in range(2):
+        compact_stamps(spark, out)
+        assert values(stamped_pickings(spark, base, out), "id", "origin", "factura") == before
+        assert len([d for d in os.listdir(out) if d.startswith("batch_id")]) == 1
+    table(spark, "account_invoice", invoice(5, "S4", 3)).write.mode("append").parquet(changes)
+    stamp_pickings_stream(spark, changes, base, out, progress, parts=8)
+    assert [b for a, b in zip(before, values(stamped_pickings(spark, base, out), "id", "origin", "factura")) if a != b] == [(4, "S4", "N5")]
+
+
+def test_both_streams_in_any_order(spark, tmp_path):
+    """Equal to replaying the trigger: each update stamps the pickings that were there by then."""
+    rng = random.Random(8)
+    pickings = [(i, rng.choice(["A", "B", "C", "D", None]), f"f{i}", rng.choice([*range(1, 29), None])) for i in range(60)]
+    updates = [(i, rng.choice(["A", "B", "C", None]), rng.randint(1, 28), rng.choice(["open", "open", "draft"])) for i in range(40)]
+    expected = {i: factura for i, _, factura, _ in pickings}
+    for i, origin, day, state in sorted(updates, key=lambda u: (u[2], u[0])):
+        for p, own, _, since in pickings:
+            if state == "open" and own is not None and own == origin and (since is None or since <= day):
+                expected[p] = f"N{i}"
+    changes, arriving, out, progress = (str(tmp_path / n) for n in ("changes", "arriving", "out", "progress"))
+    kind = schema_of("stock_picking").add("create_date", "timestamp_ntz")
+    rng.shuffle(pickings), rng.shuffle(updates)
+    for k in range(3):
+        new = [(i, o, f, d and dt.datetime(2020, 1, d)) for i, o, f, d in pickings[k::3]]
+        spark.createDataFrame(new, kind).coalesce(1).write.mode("append").parquet(arriving)
+        table(spark, "account_invoice", *(invoice(i, o, d, s) for i, o, d, s in updates[(k + 1) % 3::3])).coalesce(1).write.mode("append").parquet(changes)
+        stamp_streams(spark, changes, arriving, out, progress, parts=3)
+    compact_stamps(spark, f"{out}/stamps")
+    assert {r["id"]: r["factura"] for r in stamped_by_streams(spark, out).collect()} == expected
