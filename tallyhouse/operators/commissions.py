@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyhouse.functions.columns import percent_of
 from tallyhouse.operators.products import product_attributes
 from tallyhouse.plans.closure import ancestor_closure
-from tallyhouse.session import stage
+from tallyhouse.session import stage_once
 
 Tables = Mapping[str, DataFrame]
 
@@ -48,13 +48,13 @@ def _valid_rules(t: Tables) -> DataFrame:
 
 def nearest_rules(t: Tables) -> DataFrame:
     """The rule of each category and term: its own, or that of the nearest ancestor.
-    Written out so that its real size decides how the lines meet it."""
+    Written out, once for the same tables, so that its real size decides how the lines meet it."""
     rules = _valid_rules(t).withColumnRenamed("category_id", "ancestor_id")
-    return stage(
-        category_ancestors(t).join(rules, "ancestor_id")
+    return stage_once(
+        [t["commission_rule"], t["product_category"]], "rules",
+        lambda: category_ancestors(t).join(rules, "ancestor_id")
         .groupBy(F.col("category_id").alias("rule_category_id"), F.col("payment_term_id").alias("rule_term_id"))
-        .agg(F.min_by("rule_id", "depth").alias("rule_id"), F.min_by("percentage", "depth").alias("rule_percentage")),
-        "rules")
+        .agg(F.min_by("rule_id", "depth").alias("rule_id"), F.min_by("percentage", "depth").alias("rule_percentage")))
 
 
 def commission_total() -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import ChainMap
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions.columns import MONEY_SUM, is_blank, percent_of, zero_padded
 from tallyhouse.plans.joins import skewed_join
+from tallyhouse.session import stage
 
 Tables = Mapping[str, DataFrame]
 
@@ -60,12 +62,19 @@ def fiscal_eligibility(t: Tables) -> DataFrame:
     return joined.select("id", "type", status.alias("eligibility"))
 
 
-def payment_class_totals(t: Tables) -> DataFrame:
-    """Payments per invoice: all, and by class of journal, told by its code."""
+def _of(rows: DataFrame, key: str, only: DataFrame | None) -> DataFrame:
+    """The rows whose `key` is an `id` of `only`, before anything is grouped; all rows without `only`."""
+    if only is None:
+        return rows
+    return rows.join(only.select(F.col("id").alias("_only")), F.col(key) == F.col("_only"), "left_semi")
+
+
+def payment_class_totals(t: Tables, only: DataFrame | None = None) -> DataFrame:
+    """Payments per invoice: all, and by class of journal, told by its code. With `only`, of the invoices with those ids."""
     payments = t["account_payment"].select(F.col("id").alias("ap_id"), "amount", "journal_id")
     journals = t["account_journal"].select(F.col("id").alias("aj_id"), "code")
     paid = (
-        t["account_invoice_payment_rel"]
+        _of(t["account_invoice_payment_rel"], "invoice_id", only)
         .join(payments, F.col("payment_id") == F.col("ap_id"))
         .join(journals, F.col("journal_id") == F.col("aj_id"), "left"))
     # The codes that make a class.
@@ -80,22 +89,24 @@ def payment_class_totals(t: Tables) -> DataFrame:
         *[F.sum(F.when(test, F.col("amount")).otherwise(0)).cast(MONEY_SUM).alias(name) for name, test in classes.items()])
 
 
-def invoice_discount_total(t: Tables) -> DataFrame:
+def invoice_discount_total(t: Tables, only: DataFrame | None = None) -> DataFrame:
     """Discount per invoice: unit price x discount percent of each line. The quantity
-    is not part of it."""
-    return t["account_invoice_line"].groupBy("invoice_id").agg(
+    is not part of it. With `only`, of the invoices with those ids."""
+    return _of(t["account_invoice_line"], "invoice_id", only).groupBy("invoice_id").agg(
         F.sum(percent_of(F.col("price_unit"), F.col("discount"))).cast(DISCOUNT).alias("discount_total"))
 
 
-def refund_links(t: Tables) -> DataFrame:
-    """Refunds with the printed document of the invoice they refund and their reason."""
-    refunds = t["account_invoice"].filter(F.col("type") == "out_refund").select(
+def refund_links(t: Tables, only: DataFrame | None = None) -> DataFrame:
+    """Refunds with the printed document of the invoice they refund and their reason. `only` is a part of the invoices, with their columns."""
+    refunds = (t["account_invoice"] if only is None else only).filter(F.col("type") == "out_refund").select(
         F.col("id").alias("invoice_id"), F.col("refund_invoice_id").alias("parent_invoice_id"),
         F.col("name").alias("refund_name"))
     printers = t["fiscal_printer"].select(F.col("id").alias("fp_id"), F.col("serial").alias("fp_serial"))
     # The last document of each invoice, like `_last_document`.
+    parents = None if only is None else refunds.filter("parent_invoice_id is not null").select(F.col("parent_invoice_id").alias("id"))
+    printed = ChainMap({"fiscal_document": _of(t["fiscal_document"], "invoice_id", parents)}, t)
     documents = (
-        fiscal_filenames(t, keep_all=True).filter(F.col("invoice_id").isNotNull())
+        fiscal_filenames(printed, keep_all=True).filter(F.col("invoice_id").isNotNull())
         .join(printers, F.col("printer_id") == F.col("fp_id"), "left")
         .groupBy(F.col("invoice_id").alias("parent_of"))
         .agg(F.max_by("master_filename_assigned", "id").alias("parent_invoice_filename_assigned"),
@@ -139,7 +150,7 @@ def _partner_address(t: Tables) -> DataFrame:
 
 def document_details(t: Tables, discount: str = "lines", only: DataFrame | None = None) -> DataFrame:
     """What is printed for each invoice, one row per invoice, or for the invoices in
-    `only`.
+    `only`, a small part of the table: lines, taxes, payments and refunds of others are left out before they are grouped.
 
     `discount='lines'` takes the sum over the lines, `'invoice'` the amount stored on
     the invoice. An invoice with several taxes shows the lowest tax id and their number.
@@ -150,18 +161,18 @@ def document_details(t: Tables, discount: str = "lines", only: DataFrame | None
         F.col("id").alias("invoice_id"), F.col("type").alias("invoice_type"), "partner_id", "amount_total",
         "amount_untaxed", "amount_tax", "amount_discount", "number", F.col("write_uid").alias("user_id"))
     if discount == "lines":
-        totals = invoice_discount_total(t).select(
+        totals = invoice_discount_total(t, only).select(
             F.col("invoice_id").alias("dt_invoice"), F.col("discount_total").alias("_discount"))
         invoices = invoices.join(totals, F.col("invoice_id") == F.col("dt_invoice"), "left")
     else:
         invoices = invoices.withColumn("_discount", F.col("amount_discount"))
     taxes = t["account_tax"].select(F.col("id").alias("at_id"), F.col("amount").alias("rate"))
     tax_of = (
-        t["account_invoice_tax"].join(taxes, F.col("tax_id") == F.col("at_id"))
+        _of(t["account_invoice_tax"], "invoice_id", only).join(taxes, F.col("tax_id") == F.col("at_id"))
         .groupBy(F.col("invoice_id").alias("tx_invoice"))
         .agg(F.min_by("rate", "tax_id").alias("_rate"), F.count("*").alias("_taxes")))
-    payments = payment_class_totals(t).withColumnRenamed("invoice_id", "py_invoice")
-    links = refund_links(t).drop("parent_invoice_id").withColumnRenamed("invoice_id", "rf_invoice")
+    payments = payment_class_totals(t, only).withColumnRenamed("invoice_id", "py_invoice")
+    links = refund_links(t, only).drop("parent_invoice_id").withColumnRenamed("invoice_id", "rf_invoice")
     payment_names = ("payments_total", "cash_payment_total", "bank_payment_total", "credit_card_payment_total",
                      "debit_card_payment_total")
     zero = F.lit(0)
@@ -188,7 +199,10 @@ def document_details(t: Tables, discount: str = "lines", only: DataFrame | None
 def fiscal_documents(t: Tables, discount: str = "lines") -> DataFrame:
     """The new documents: one per eligible invoice, pending, with its file names."""
     eligible = fiscal_eligibility(t).filter(F.col("eligibility") == "ok").select(F.col("id").alias("_ok"))
-    invoices = t["account_invoice"].join(eligible, F.col("id") == F.col("_ok"), "left_semi")
+    # Written out: five inputs are cut down to these few invoices, by their real size.
+    invoices = stage(t["account_invoice"].join(eligible, F.col("id") == F.col("_ok"), "left_semi").select(
+        "id", "type", "name", "partner_id", "amount_total", "amount_untaxed", "amount_tax", "amount_discount", "number", "write_uid",
+        "refund_invoice_id"), "eligible")
     details = document_details(t, discount, invoices)
     assembled = (
         details.join(_user_printers(t), F.col("user_id") == F.col("printer_user_id"))
@@ -197,7 +211,7 @@ def fiscal_documents(t: Tables, discount: str = "lines") -> DataFrame:
             F.col("user_printer_serial").alias("printer_serial_number"),
             F.lit("account_invoice").alias("documents_type_printed"), F.lit("pending").alias("print_status"),
             F.lit(0).cast("bigint").alias("fiscal_invoice_number")))
-    return fiscal_filenames({**t, "fiscal_document": assembled}, keep_all=True)
+    return fiscal_filenames(ChainMap({"fiscal_document": assembled}, t), keep_all=True)
 
 
 def fiscal_filenames(t: Tables, keep_all: bool = False) -> DataFrame:

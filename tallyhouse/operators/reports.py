@@ -16,7 +16,7 @@ from tallyhouse.operators.commissions import commission_total, nearest_rules
 from tallyhouse.operators.fiscal import fiscal_filenames
 from tallyhouse.operators.products import product_attributes
 from tallyhouse.plans.numbering import number_rows
-from tallyhouse.session import stage
+from tallyhouse.session import stage_once
 
 Tables = Mapping[str, DataFrame]
 
@@ -97,7 +97,8 @@ def commission_lines(t: Tables) -> DataFrame:
     users = t["res_users"].select(F.col("id").alias("ru_id"), F.col("partner_id").alias("ru_partner_id"))
     partners = t["res_partner"].select(F.col("id").alias("rp_id"), F.col("name").alias("vendor_name"))
     # Written out so that its real size decides how the lines meet it.
-    vendors = stage(users.join(partners, F.col("ru_partner_id") == F.col("rp_id")), "vendors")
+    vendors = stage_once([t["res_users"], t["res_partner"]], "vendors", lambda: users.join(
+        partners, F.col("ru_partner_id") == F.col("rp_id")))
     terms = t["account_payment_term"].select(F.col("id").alias("apt_id"), F.col("name").alias("payment_term_name"))
     return (
         sold

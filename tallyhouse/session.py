@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from weakref import WeakKeyDictionary, ref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -82,3 +84,20 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_STAGED: WeakKeyDictionary[DataFrame, dict[object, tuple[list[ref], DataFrame]]] = WeakKeyDictionary()
+
+
+def stage_once(inputs: Sequence[DataFrame], label: str, build: Callable[[], DataFrame], **params: str) -> DataFrame:
+    """`stage(build(), label)`, written at the first call for these very `inputs` and `params` and read at later ones.
+
+    A DataFrame lists its files once, so the same object stands for the same rows; a table that is loaded
+    again is another object, and its result is written anew.
+    """
+    first, *others = inputs
+    known = _STAGED.setdefault(first, {})
+    key = (first.sparkSession.sparkContext.applicationId, label, tuple(sorted(params.items())), tuple(map(id, others)))
+    if key not in known or any(seen() is not now for seen, now in zip(known[key][0], others)):
+        known[key] = ([ref(x) for x in others], stage(build(), label))
+    return known[key][1]

@@ -139,3 +139,40 @@ def test_both_streams_in_any_order(spark, tmp_path):
         stamp_streams(spark, changes, arriving, out, progress, parts=3)
     compact_stamps(spark, f"{out}/stamps")
     assert {r["id"]: r["factura"] for r in stamped_by_streams(spark, out).collect()} == expected
+
+
+def test_a_second_call_writes_nothing(spark, tmp_path):
+    """Products, rules and vendors are written once for the same tables, anew for tables that were loaded again."""
+    from tallyhouse.operators import commissions, reports
+    from tallyhouse.session import shared_dir
+    from tallyhouse.sources.starschema import StarTables
+    from tests.engines import TESTDATA
+
+    def folders():
+        return set(os.listdir(f"{shared_dir(spark)}/stage"))
+
+    t = StarTables(spark, f"{TESTDATA}/sf0.001")
+    first = reports.commission_lines(t)
+    before = folders()
+    second = reports.commission_lines(t)
+    commissions.commission_rules_in_use(t)
+    assert folders() - before <= {d for d in folders() if d.startswith("products-")} and first.count() == second.count() > 0
+    reports.commission_lines(t), commissions.commission_rules_in_use(t)
+    before = folders()
+    reports.commission_lines(t), commissions.commission_rules_in_use(t)
+    assert folders() == before
+    reports.commission_lines(StarTables(spark, f"{TESTDATA}/sf0.001"))
+    assert folders() > before
+
+
+def test_new_documents_leave_other_invoices_out_early(spark):
+    """No grouping reads lines, taxes or payments of invoices that get no document."""
+    from tallyhouse.operators import fiscal
+    from tallyhouse.sources.starschema import StarTables
+    from tests.engines import TESTDATA
+    t = StarTables(spark, f"{TESTDATA}/sf0.001")
+    made = fiscal.fiscal_documents(t)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert made.count() > 0 and plan.count("LeftSemi") >= 4
+    whole = fiscal.document_details(t).join(made.select("invoice_id").distinct(), "invoice_id", "left_semi")
+    assert whole.select(*sorted(whole.columns)).exceptAll(made.select(*sorted(whole.columns))).count() == 0
