@@ -42,6 +42,10 @@ def _on(operator: Callable[..., DataFrame], **params: object) -> Query:
 
 # What a job has stored, with values that differ from those that would be computed: columns by table.
 STORED_VALUES = {
+    "account_invoice": {
+        "credit_note_state": "case id%9 when 0 then 'approved' when 1 then 'rejected' when 2 then 'draft' end",
+        "print_status": "case id%11 when 0 then 'incomplete' when 1 then 'printed' when 2 then 'failed' end"},
+    "res_partner": {"sex": "case id%7 when 0 then 'Femenino' when 1 then 'F' when 2 then 'Masculino' end"},
     "account_invoice_line": {
         "commission_id": "case when id%4=0 then 111 when id%4=2 then 131 end",
         "commission_percentage": "cast(case when id%2=0 then 7.5 else 0 end as decimal(5,2))",
@@ -237,6 +241,7 @@ def queries() -> dict[str, Query]:
         "find_by_ruc_invoices": _on(partners.find_by_ruc, entity="invoices", text="8-12"),
         "company_tax_ids": _on(partners.company_tax_ids),
         "declaration_violations": _on(quality.declaration_violations),
+        "declaration_violations_stored": _on_stored(quality.declaration_violations, "account_invoice", "res_partner"),
         # status changes over time
         "credit_note_open_conflicts": _on(status.credit_note_open_conflicts),
         "credit_note_current": _on(status.credit_note_current),

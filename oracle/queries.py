@@ -491,6 +491,15 @@ union all select 'res_partner', 'ruc', id, ruc, 'too_long' from res_partner wher
 union all select 'res_partner', 'partner_nationality', id, partner_nationality, 'not_allowed' from res_partner where partner_nationality not in ('local','extranjero')
 union all select 'res_partner', 'partner_type', id, partner_type, 'not_allowed' from res_partner where partner_type not in ('natural','juridica','extranjero')
 union all select 'sale_order', 'state', id, state, 'not_allowed' from sale_order where state not in ('draft','approved','pending','sent','sale','done','cancel')""",
+    "declaration_violations_stored": """
+select 'res_partner' table_name, 'dv' column_name, id, dv as value, 'too_long' reason from res_partner where length(dv)>2
+union all select 'res_partner', 'ruc', id, ruc, 'too_long' from res_partner where length(ruc)>20
+union all select 'res_partner', 'partner_nationality', id, partner_nationality, 'not_allowed' from res_partner where partner_nationality not in ('local','extranjero')
+union all select 'res_partner', 'partner_type', id, partner_type, 'not_allowed' from res_partner where partner_type not in ('natural','juridica','extranjero')
+union all select 'sale_order', 'state', id, state, 'not_allowed' from sale_order where state not in ('draft','approved','pending','sent','sale','done','cancel')
+union all select 'res_partner', 'sex', id, 'F', 'not_allowed' from res_partner where id%7=1
+union all select 'account_invoice', 'credit_note_state', id, 'rejected', 'not_allowed' from account_invoice where id%9=1
+union all select 'account_invoice', 'print_status', id, 'printed', 'not_allowed' from account_invoice where id%11=1""",
     "credit_note_open_conflicts": """
 select invoice_id, count(*) open_requests from credit_note_request where state in ('pending','approved') group by 1 having count(*)>1""",
     "credit_note_current": """

@@ -98,7 +98,8 @@ DDL = {
 # Columns that operators add and a job stores. A table that lacks them is complete: they are then computed. They are
 # never added as NULL, since a stored NULL means something else.
 STORED = {
-    "account_invoice": "withholding_tax DECIMAL(15,2), has_withholding_certificate BOOLEAN",
+    "account_invoice": "withholding_tax DECIMAL(15,2), has_withholding_certificate BOOLEAN, credit_note_state STRING, print_status STRING",
+    "res_partner": "sex STRING",
     "account_invoice_line": "commission_id INT, commission_percentage DECIMAL(5,2), commission_total DECIMAL(22,6)",
     "sale_order": "first_payment_date DATE, canceled_at DATE, notified_at DATE",
     "fiscal_document": "filename_serial BIGINT, master_filename_assigned STRING, lines_filename_assigned STRING",
@@ -117,6 +118,9 @@ ALLOWED = {
     ("fiscal_document", "invoice_type"): ("out_invoice", "out_refund"),
     ("res_partner", "partner_type"): ("natural", "juridica", "extranjero"),
     ("res_partner", "partner_nationality"): ("local", "extranjero"),
+    ("res_partner", "sex"): ("Masculino", "Femenino"),
+    ("account_invoice", "credit_note_state"): ("draft", "pending", "approved"),
+    ("account_invoice", "print_status"): ("incomplete", "pending", "in_progress", "completed", "failed"),
 }
 
 # The longest text each column may hold.

@@ -81,6 +81,33 @@ def jdbc_options(url: str, table: str, key: str = "id", lower: int = 0, upper: i
     return options
 
 
+def even_ranges(keys: DataFrame, partitions: int, key: str = "id", accuracy: int = 10_000) -> list[str]:
+    """Conditions that cut a relation into up to `partitions` ranges of `key` with about equal numbers of rows.
+
+    `keys` is a sample of the keys, such as a query with the database's own sampling. The cuts are its quantiles, so
+    ranges are even where the keys are not: after deleted ranges, or ids that jump. A value that fills
+    several ranges is one range. Every key, those outside the sample too, and NULL, is in exactly one range.
+    """
+    if partitions < 1:
+        raise ValueError("partitions must be positive")
+    wanted = [i / partitions for i in range(1, partitions)]
+    row = keys.agg(F.percentile_approx(key, wanted, accuracy).alias("q")).first() if wanted else None
+    cuts = sorted(set((row and row["q"]) or []))
+    lows, highs = [None, *cuts], [*cuts, None]
+    if not cuts:
+        return ["1 = 1"]
+    return [
+        f"{key} < {high} or {key} is null" if low is None else f"{key} >= {low}" if high is None else f"{key} >= {low} and {key} < {high}"
+        for low, high in zip(lows, highs)]
+
+
+def load_jdbc_evenly(spark: SparkSession, name: str, url: str, keys: DataFrame, partitions: int, key: str = "id",
+                     source: str | None = None, fetch_size: int = 10_000) -> DataFrame:
+    """One business table of a database, read in the `even_ranges` of a sample of its `keys`, one task each."""
+    rows = spark.read.jdbc(url, source or name, predicates=even_ranges(keys, partitions, key), properties={"fetchsize": str(fetch_size)})
+    return conform(rows, schema_of(name), stored_schema_of(name))
+
+
 def load_jdbc(spark: SparkSession, name: str, source: str | None = None, **jdbc: str | int) -> DataFrame:
     """One business table from the relation `source` of a database; by default that of
     its own name. Needs the driver's jar. Tables that grow with the business need `partitions` and the key's bounds."""

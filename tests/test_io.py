@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyhouse.operators import status
 from tallyhouse.schemas import schema_of
 from tallyhouse.session import shared_dir, stage
-from tallyhouse.sources.tables import jdbc_options, load_jdbc, load_tables, write_report
+from tallyhouse.sources.tables import even_ranges, jdbc_options, load_jdbc, load_tables, write_report
 from tallyhouse.streaming.pickings import stamp_pickings_stream, stamped_pickings
 from tests.builders import table, values
 
@@ -106,3 +106,17 @@ def test_stream_equals_batch_and_repeats_without_change(spark, tmp_path):
     invoices.filter("id < 100").write.mode("append").parquet(source)
     assert run() == expected
     assert run() == expected
+
+
+@pytest.mark.parametrize("keys, partitions", [
+    ([*range(1000), *range(10**9, 10**9 + 50)], 8), ([5] * 500 + [*range(100)], 4), ([7], 3), ([], 5), ([1, 2, None, None], 1), ([-3, 0, None, 9], 2)])
+def test_ranges_of_skewed_keys(spark, keys, partitions):
+    """Each key lies in one range, and no range of distinct keys is much larger than its share."""
+    frame = spark.createDataFrame([(k,) for k in keys], "id long")
+    ranges = even_ranges(frame, partitions)
+    rows = spark.createDataFrame([(k,) for k in [*keys, None, -(10**12), 10**12]], "id long")
+    counts = [rows.filter(r).count() for r in ranges]
+    assert len(ranges) <= max(partitions, 1) and sum(counts) == rows.count()
+    assert rows.filter(" or ".join(f"({r})" for r in ranges)).count() == rows.count()
+    if len(set(keys)) > 500:
+        assert max(counts) <= 1.2 * len(keys) / partitions + 3
