@@ -146,37 +146,28 @@ def encoder(path: str) -> Encoder:
 def tokenize(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     """The token ids of each `text`, with `end_id` appended: little-endian unsigned, 2 bytes each if the vocabulary allows, else 4.
 
-    One row per document (`doc_id`, `ids`), in the order of each input partition, and as
-    the last of each partition one with `counts`: how often its documents have each id.
-    `part` and `place` tell the order. `path` is a tokenizer file that every machine has. A NULL text is empty.
+    One row per document (`doc_id`, `tie`, `ids`), and as the last of each input partition one with `counts`: how often
+    its documents have each id. `path` is a tokenizer file that every machine has. A NULL text is empty.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-        code, part, place, total = encoder(path), TaskContext.get().partitionId(), 0, np.zeros(1, dtype=np.int64)
-        end, names = array(code.code, [end_id]).tobytes(), ["part", "place", "doc_id", "ids", "counts"]
-        id_type = None
-
-        def row(ids: list, docs: pa.Array, counts: list) -> pa.RecordBatch:
-            places = pa.array(range(place, place + len(ids)), pa.int64())
-            return pa.RecordBatch.from_arrays([
-                pa.array([part] * len(ids), pa.int32()), places, docs, pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names)
-
+        code, total, id_type = encoder(path), np.zeros(1, dtype=np.int64), None
+        end, names = array(code.code, [end_id]).tobytes(), ["doc_id", "tie", "ids", "counts"]
         for batch in batches:
             id_type = batch["doc_id"].type
-            ids = [code.text(x.as_py()) + end for x in batch["text"]]
+            ids = [code.text(x) + end for x in batch["text"].to_pylist()]
             counts = np.bincount(np.frombuffer(b"".join(ids), dtype=code.width))
             if len(counts) > len(total):
                 total = np.pad(total, (0, len(counts) - len(total)))
             total[:len(counts)] += counts
-            yield row(ids, batch["doc_id"], [None] * len(ids))
-            place += len(ids)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["tie"], pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names)
         if id_type is not None:
-            yield row([None], pa.nulls(1, id_type), [total.astype("<i8").tobytes()])
+            last = pa.array([total.astype("<i8").tobytes()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), last], names)
 
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"part int, place long, doc_id {kind}, ids binary, counts binary")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, tie long, ids binary, counts binary")
 
 
 def rank_ids(tokenized: DataFrame) -> DataFrame:
@@ -225,39 +216,33 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
     """Write the token files of `docs` under `path`: `blocks` and `vocabulary`, both Parquet.
 
-    Documents come in ascending `doc_id` (NULL first, ties by a hash of the text): each task tokenizes a range of ids, and
-    its blocks are numbered. Tokens are made once and written; ranks come from
+    Texts are tokenized where they are read, and only their ids are sorted, by `doc_id` (NULL first, ties by a hash of the
+    text): each task writes a range, and its blocks are numbered. Tokens are made once and written; ranks come from
     counts over all documents, and are sent to the tasks as an array of one entry per id
     of the vocabulary, whatever the number of documents. An empty table gives empty files.
     """
     spark = ship(docs.sparkSession)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).repartitionByRange("doc_id", "tie")
-    tokenized = stage(tokenize(ordered.sortWithinPartitions("doc_id", "tie"), tokenizer, end_id), "token-ids")
+    tokenized = stage(tokenize(docs, tokenizer, end_id), "token-ids")
     rank_ids(tokenized).write.mode("overwrite").parquet(f"{path}/vocabulary")
     sent = spark.sparkContext.broadcast(_vocabulary(spark, path, by="id"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = encoder(tokenizer).width
-
-        def block(rows: pa.RecordBatch) -> pa.RecordBatch:
+        from pyspark import TaskContext
+        width, part, place = encoder(tokenizer).width, TaskContext.get().partitionId(), 0
+        for rows in batches:
             ids = rows["ids"].to_pylist()
             control, data = pack(sent.value[np.frombuffer(b"".join(ids), dtype=width)])
             lengths = [len(x) // int(width[2]) for x in ids]
-            return pa.RecordBatch.from_arrays([
-                rows["part"][:1], rows["place"][:1], pa.ListArray.from_arrays([0, rows.num_rows], rows["doc_id"]),
+            yield pa.RecordBatch.from_arrays([
+                pa.array([part], pa.int32()), pa.array([place], pa.int64()), pa.ListArray.from_arrays([0, rows.num_rows], rows["doc_id"]),
                 pa.array([lengths], pa.list_(pa.int64())), pa.array([control], pa.binary()), pa.array([data], pa.binary())],
                 ["part", "place", "doc_ids", "lengths", "control", "data"])
+            place += rows.num_rows
 
-        for batch in batches:
-            parts = batch["part"].to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), batch.num_rows]
-            for start, stop in zip(edges, edges[1:]):
-                if stop > start:
-                    yield block(batch.slice(start, stop - start))
-
-    (tokenized.filter("counts is null").drop("counts").mapInArrow(
+    ordered = tokenized.filter("counts is null").drop("counts").repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    (ordered.select("doc_id", "ids").mapInArrow(
         run, f"part int, place long, doc_ids array<{kind}>, lengths array<long>, control binary, data binary")
         .write.mode("overwrite").parquet(f"{path}/blocks"))
     sent.unpersist()
