@@ -17,6 +17,7 @@ from oracle.queries import build_oracle
 from tallyhouse.operators import commissions, fiscal, orders, partners, quality, reports, status, stock, summaries, withholding
 from tallyhouse.plans.numbering import number_rows
 from tallyhouse.session import new_path, tune
+from tallyhouse.sources.search_index import write_index
 from tallyhouse.sources.starschema import StarTables, star_tables
 from tallyhouse.sources.tables import load_tables, write_report
 from tallyhouse.streaming.pickings import (
@@ -110,6 +111,16 @@ def _numbers_after_existing(t: StarTables) -> DataFrame:
     return withholding.certificate_numbers(t, given)
 
 
+def _indexed(operator: Callable[..., DataFrame], columns: dict[str, str], **params: object) -> Query:
+    """A search through indexes that are written first."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t, folder = star_tables(tune(spark), sf_dir), new_path(spark, "index")
+        for name, column in columns.items():
+            write_index(t[name], f"{folder}/{name}", column)
+        return operator(t, index=folder, **params)
+    return run
+
+
 def _effects_of_attempts(t: StarTables) -> DataFrame:
     """The records that all attempts leave behind, once those that are refused are out."""
     return status.credit_note_effects({"credit_note_log": status.accepted_actions(t)})
@@ -239,6 +250,8 @@ def queries() -> dict[str, Query]:
         "find_by_ruc": _on(partners.find_by_ruc, entity="partners", text="8-12"),
         "find_by_ruc_orders": _on(partners.find_by_ruc, entity="orders", text="8-12"),
         "find_by_ruc_invoices": _on(partners.find_by_ruc, entity="invoices", text="8-12"),
+        "find_by_ruc_indexed": _indexed(partners.find_by_ruc, {"res_partner": "ruc"}, entity="orders", text="8-12"),
+        "stock_search_indexed": _indexed(stock.stock_search, {"stock_location": "name", "stock_warehouse": "name"}, name="wh a"),
         "company_tax_ids": _on(partners.company_tax_ids),
         "declaration_violations": _on(quality.declaration_violations),
         "declaration_violations_stored": _on_stored(quality.declaration_violations, "account_invoice", "res_partner"),

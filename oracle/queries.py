@@ -482,6 +482,8 @@ select id, product_id, location_id, company_id, quantity, reserved_quantity from
     "supplier_accounts": """
 select id, name, company_id from account_account where internal_type='other' and deprecated is distinct from true and company_id in (select id from res_company)""",
     "find_by_ruc": "select id, name, id partner_id, ruc partner_ruc from res_partner where ruc ilike '%8-12%'",
+    "find_by_ruc_indexed": BY_RUC.format(label="name", table="sale_order"),
+    "stock_search_indexed": _search("wh a"),
     "find_by_ruc_orders": BY_RUC.format(label="name", table="sale_order"),
     "find_by_ruc_invoices": BY_RUC.format(label="number", table="account_invoice"),
     "company_tax_ids": "select c.id, p.ruc, p.dv from res_company c left join res_partner p on p.id=c.partner_id",

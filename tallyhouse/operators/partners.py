@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyhouse.functions.columns import EMAIL_PATTERN, as_date, is_blank, plain_ruc, whole_years
 from tallyhouse.operators.products import product_attributes
 from tallyhouse.plans.joins import skewed_join
+from tallyhouse.sources.search_index import find_in
 
 Tables = Mapping[str, DataFrame]
 
@@ -193,14 +194,9 @@ def invoice_warranty_notes(t: Tables) -> DataFrame:
         "id", new.otherwise(F.col("comment")).alias("comment"))
 
 
-def _matches(column: str, text: str) -> Column:
-    """The search box: contains, in any case."""
-    return F.ilike(F.col(column), F.lit(f"%{text}%"))
-
-
-def find_by_ruc(t: Tables, entity: str, text: str) -> DataFrame:
-    """Orders, invoices or partners by the RUC of their partner."""
-    partners = t["res_partner"].filter(_matches("ruc", text))
+def find_by_ruc(t: Tables, entity: str, text: str, index: str | None = None) -> DataFrame:
+    """Orders, invoices or partners by the RUC of their partner. `index`: a folder with an index of `res_partner`, to search in that."""
+    partners = find_in(t, "res_partner", "ruc", text, index)
     if entity == "partners":
         return partners.select("id", "name", F.col("id").alias("partner_id"), F.col("ruc").alias("partner_ruc"))
     if entity not in ("orders", "invoices"):

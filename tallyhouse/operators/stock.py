@@ -8,6 +8,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyhouse.sources.search_index import find_in
+
 Tables = Mapping[str, DataFrame]
 
 
@@ -25,17 +27,16 @@ def stock_available(t: Tables) -> DataFrame:
     return _labelled(t).select("id", "label")
 
 
-def stock_search(t: Tables, name: str, limit: int | None = None) -> DataFrame:
+def stock_search(t: Tables, name: str, limit: int | None = None, index: str | None = None) -> DataFrame:
     """Quants of the warehouses whose name matches; if these hold none, quants whose
     location's name matches. All of them, or the first `limit` by id, as a search box shows.
 
     The places that match are found first, and only the quants in them get a label. Whether any quant is in a matching
-    warehouse is one grouped row.
+    warehouse is one grouped row. `index`: a folder with indexes of `stock_location` and `stock_warehouse`, to search in those.
     """
-    pattern = F.lit(f"%{name}%")
-    by_name = t["stock_location"].filter(F.ilike("name", pattern)).select(F.col("id").alias("_place"), F.lit(1).alias("_kind"))
+    by_name = find_in(t, "stock_location", "name", name, index).select(F.col("id").alias("_place"), F.lit(1).alias("_kind"))
     if name:
-        warehouses = t["stock_warehouse"].filter(F.ilike("name", pattern)).select(
+        warehouses = find_in(t, "stock_warehouse", "name", name, index).select(
             F.col("lot_stock_id").alias("_place"), F.lit(0).alias("_kind"))
         by_name = warehouses.unionByName(by_name)
     places = by_name.groupBy("_place").agg(F.min("_kind").alias("_kind"))
