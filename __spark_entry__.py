@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 
 from oracle.queries import build_oracle
 from tallyhouse.operators import commissions, fiscal, orders, partners, quality, reports, status, stock, summaries, withholding
+from tallyhouse.plans.closure import ancestor_closure, updated_closure
 from tallyhouse.plans.numbering import number_rows
-from tallyhouse.session import new_path, tune
+from tallyhouse.session import new_path, stage, tune
 from tallyhouse.sources.search_index import write_index
 from tallyhouse.sources.starschema import StarTables, star_tables
 from tallyhouse.sources.tables import load_tables, write_report
+from tallyhouse.sources.versions import changed_rows
 from tallyhouse.streaming.pickings import (
     PARTS, compact_stamps, partition_pickings, stamp_pickings_stream, stamp_streams, stamped_by_streams, stamped_pickings)
 
@@ -121,6 +123,20 @@ def _indexed(operator: Callable[..., DataFrame], columns: dict[str, str], **para
     return run
 
 
+def _ancestors_updated(t: StarTables) -> DataFrame:
+    """The closure of an earlier tree, in which some categories lay elsewhere, were missing, or had not gone yet, brought up to date."""
+    now = t["product_category"].select("id", "parent_id")
+    parents = now.select(F.col("parent_id").alias("_p")).distinct()
+    leaves = now.join(parents, F.col("id") == F.col("_p"), "left_anti").filter("id%3=0").select(F.col("id").alias("_leaf"))
+    before = now.join(leaves, F.col("id") == F.col("_leaf"), "left_anti").withColumn(
+        "parent_id", F.expr("case when id%4=1 then null else parent_id end")).unionByName(
+        now.select((F.col("id") + 1_000_000).alias("id"), F.col("id").alias("parent_id")))
+    known = stage(ancestor_closure(before), "closure")
+    edits = changed_rows(before, now)
+    return updated_closure(known, edits, before.filter("id >= 1000000").select("id")).select(
+        F.col("node").alias("category_id"), F.col("ancestor").alias("ancestor_id"), "depth")
+
+
 def _effects_of_attempts(t: StarTables) -> DataFrame:
     """The records that all attempts leave behind, once those that are refused are out."""
     return status.credit_note_effects({"credit_note_log": status.accepted_actions(t)})
@@ -189,6 +205,7 @@ def queries() -> dict[str, Query]:
         "cash_range_check": _on(summaries.cash_range_check),
         # commissions
         "category_ancestors": _on(commissions.category_ancestors),
+        "category_ancestors_updated": _on(_ancestors_updated),
         "commission_assign": _on(commissions.commission_assign),
         "commission_rule_conflicts": _on(commissions.commission_rule_conflicts),
         "commission_rules_in_use": _on(commissions.commission_rules_in_use),

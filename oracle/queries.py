@@ -359,6 +359,7 @@ from movements where {_report_filter()}
 union all select null, null, null, null, null, cast(coalesce(sum(amount_total),0) as decimal(28,2)), true from movements where {_report_filter()}""",
     "cash_range_check": "select *, 'end_before_start' reason from cash_report_request where end_on<start_on",
     "category_ancestors": "select * from tree",
+    "category_ancestors_updated": "select * from tree",
     "commission_assign": "select * from assigned",
     "commission_rule_conflicts": """
 select * from (select r.id, r.category_id, r.payment_term_id, r.percentage, concat_ws(',',

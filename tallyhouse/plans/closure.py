@@ -33,3 +33,34 @@ def ancestor_closure(nodes: DataFrame, id_col: str = "id", parent_col: str = "pa
         jump = stage(jump.join(again, F.col("_to") == F.col("_middle")).select("_from", F.col("_end").alias("_to")), "jump")
         step *= 2
     return pairs
+
+
+def updated_closure(closure: DataFrame, changes: DataFrame, removed: DataFrame | None = None, id_col: str = "id",
+                    parent_col: str = "parent_id") -> DataFrame:
+    """The closure after some nodes got another parent, were added (`changes`: id and parent) or removed with all below them.
+
+    Only what hangs below a changed node is worked out anew: its paths up to the first node that nothing happened to, and from
+    there the paths that are known. All other rows stay as they are. Moves come before removals, so what moves
+    out of a removed subtree at the same time stays. A move below a node's own subtree is a cycle and is reported.
+    """
+    edited = stage(changes.select(F.col(id_col).alias("_id"), F.col(parent_col).alias("_parent")), "edits")
+    gone = edited.select("_id").limit(0) if removed is None else removed.select(F.col(id_col).alias("_id"))
+    named = edited.select("_id").unionByName(gone).distinct()
+    below = closure.join(named, F.col("ancestor") == F.col("_id"), "left_semi").select("node")
+    touched = stage(below.unionByName(edited.select(F.col("_id").alias("node"))).distinct(), "touched")
+    kept = closure.join(touched, "node", "left_anti")
+    old = closure.filter("depth = 1").join(touched, "node", "left_semi").select("node", F.col("ancestor").alias("_old"))
+    links = touched.join(old, "node", "left").join(edited, F.col("node") == F.col("_id"), "left").select(
+        "node", F.when(F.col("_id").isNotNull(), F.col("_parent")).otherwise(F.col("_old")).alias("parent"))
+    inner_parents = touched.select(F.col("node").alias("_inner"))
+    marked = stage(links.join(inner_parents, F.col("parent") == F.col("_inner"), "left").select(
+        "node", "parent", F.col("_inner").alias("inside")), "links")
+    inner = stage(ancestor_closure(marked, "node", "inside"), "inner")
+    tops = marked.filter("inside is null and parent is not null").select(F.col("node").alias("_top"), F.col("parent").alias("_above"))
+    outer = kept.select(F.col("node").alias("_from"), F.col("ancestor").alias("_far"), F.col("depth").alias("_more"))
+    above = tops.join(outer, F.col("_above") == F.col("_from"))
+    further = inner.join(above, F.col("ancestor") == F.col("_top")).select(
+        "node", F.col("_far").alias("ancestor"), (F.col("depth") + 1 + F.col("_more")).alias("depth"))
+    new = inner.unionByName(further)
+    dropped = new.join(gone, F.col("ancestor") == F.col("_id"), "left_semi").select("node").distinct()
+    return kept.unionByName(new.join(dropped, "node", "left_anti"))
