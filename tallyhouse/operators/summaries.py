@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections import ChainMap
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.columns import MONEY_SUM, as_date
@@ -30,27 +31,96 @@ def _pivot(df: DataFrame, rows: list[str], measures: list[str]) -> DataFrame:
     return rolled.select(*rows, used.cast("int").alias("level"), *measures)
 
 
+ANNEX_KEYS = ["partner_name", "partner_ruc", "partner_dv"]
+ANNEX_MEASURES = ["account_invoice_line_price", "partner_type", "partner_concept_type", "partner_concept_code", "account_invoice_state"]
+COMMISSION_MEASURES = ["total", "commission_total"]
+
+
+def _annex_pivot(rows: DataFrame) -> DataFrame:
+    pivot = _pivot(rows, ANNEX_KEYS, ANNEX_MEASURES)
+    return pivot.withColumn("account_invoice_line_price", F.col("account_invoice_line_price").cast(MONEY_SUM))
+
+
 def annex72_pivot(t: Tables) -> DataFrame:
     """Annex sums by partner name, RUC and DV, with subtotals at every level."""
-    lines = reports.annex72_lines(t)
-    measures = ["account_invoice_line_price", "partner_type", "partner_concept_type", "partner_concept_code",
-                "account_invoice_state"]
-    pivot = _pivot(lines, ["partner_name", "partner_ruc", "partner_dv"], measures)
-    return pivot.withColumn("account_invoice_line_price", F.col("account_invoice_line_price").cast(MONEY_SUM))
+    return _annex_pivot(reports.annex72_lines(t))
 
 
-def commission_pivot(t: Tables, grain: str = "month") -> DataFrame:
-    """Totals and commissions by invoice date (bucketed by `grain`) and vendor, with
-    subtotals."""
+def _commission_pivot(rows: DataFrame, grain: str) -> DataFrame:
     if grain not in GRAINS:
         raise ValueError(f"grain must be one of {GRAINS}")
     bucket = F.col("invoice_date") if grain == "day" else F.trunc("invoice_date", grain)
-    lines = reports.commission_lines(t).withColumn("invoice_date", bucket)
-    pivot = _pivot(lines, ["invoice_date", "vendor_name"], ["total", "commission_total"])
+    pivot = _pivot(rows.withColumn("invoice_date", bucket), ["invoice_date", "vendor_name"], COMMISSION_MEASURES)
     return pivot.select("invoice_date", "vendor_name", "level", F.col("total").cast(MONEY_SUM).alias("total"),
                         F.col("commission_total").cast("decimal(32,6)").alias("commission_total"))
 
 
+def commission_pivot(t: Tables, grain: str = "month") -> DataFrame:
+    """Totals and commissions by invoice date (bucketed by `grain`) and vendor, with
+    subtotals."""
+    return _commission_pivot(reports.commission_lines(t), grain)
+
+
+# --- pivots kept up to date ---------------------------------------------------
+
+def _sums(lines: DataFrame, keys: list[str], measures: list[str], sign: int = 1) -> DataFrame:
+    """Per key the rows, and of each measure the sum and how many rows have one, all times `sign`."""
+    def signed(c: Column) -> Column:
+        return c if sign > 0 else -c
+
+    return lines.groupBy(*keys).agg(
+        signed(F.count("*")).alias("n_rows"), *(signed(F.coalesce(F.sum(m), F.lit(0))).cast("decimal(38,6)").alias(m) for m in measures),
+        *(signed(F.count(m)).alias(f"n_{m}") for m in measures))
+
+
+def _annex_sums(t: Tables, sign: int = 1) -> DataFrame:
+    return _sums(reports.annex72_lines(t), ["account_invoice_date", *ANNEX_KEYS], ANNEX_MEASURES, sign)
+
+
+def _commission_sums(t: Tables, sign: int = 1) -> DataFrame:
+    return _sums(reports.commission_lines(t), ["invoice_date", "vendor_name"], COMMISSION_MEASURES, sign)
+
+
+SUMS = {"annex72": _annex_sums, "commission": _commission_sums}
+
+
+def pivot_sums(t: Tables, pivot: str) -> DataFrame:
+    """What a pivot (`annex72` or `commission`) keeps in store: sums per day and key, with the numbers of rows behind them."""
+    return SUMS[pivot](t)
+
+
+def _of_invoices(t: Tables, invoices: DataFrame) -> Tables:
+    """The tables with the invoices of those ids, and their lines, alone."""
+    ids = invoices.select(F.col("id").alias("_only"))
+    cut = {"account_invoice": "id", "account_invoice_line": "invoice_id"}
+    return ChainMap({name: t[name].join(ids, F.col(key) == F.col("_only"), "left_semi") for name, key in cut.items()}, t)
+
+
+def merged_sums(sums: DataFrame, before: Tables, after: Tables, invoices: DataFrame, pivot: str) -> DataFrame:
+    """The stored `sums` after the `invoices` (`id`) changed, came or went: what they gave before is taken off, what they give now is added.
+
+    `before` are the tables that the sums were made of. Only the changed invoices and their lines are looked at, so
+    the other tables (partners, accounts, rules, categories) must be the same in both. Keys without a row left go.
+    """
+    was, now = (SUMS[pivot](_of_invoices(t, invoices), sign) for t, sign in ((before, -1), (after, 1)))
+    counts = [c for c in sums.columns if c.startswith("n_")]
+    measures = [c[2:] for c in counts if c != "n_rows"]
+    keys = [c for c in sums.columns if c not in (*counts, *measures)]
+    every = sums.unionByName(was).unionByName(now).groupBy(*keys).agg(
+        *(F.sum(c).cast(sums.schema[c].dataType).alias(c) for c in [*counts, *measures]))
+    return every.filter("n_rows > 0").select(sums.columns)
+
+
+def pivot_of_sums(sums: DataFrame, pivot: str, grain: str = "month") -> DataFrame:
+    """The pivot out of its stored sums."""
+    measures = ANNEX_MEASURES if pivot == "annex72" else COMMISSION_MEASURES
+    rows = sums.withColumns({m: F.when(F.col(f"n_{m}") > 0, F.col(m)) for m in measures})
+    if pivot != "annex72":
+        return _commission_pivot(rows, grain)
+    whole = _annex_pivot(rows)
+    return whole.withColumns({m: F.col(m).cast("bigint") for m in ANNEX_MEASURES[1:]})
+
+
 def check_range(start_on: dt.date, end_on: dt.date) -> None:
     """The range check of one report."""
     if end_on < start_on:
