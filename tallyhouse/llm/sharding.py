@@ -59,20 +59,21 @@ def shard_rows(df: DataFrame, order_by: Sequence[str | Column], shards: int, key
     the row number alone, and `row_of` goes back. The rows are range-sorted once;
     no task sees more than its range and no row is looked at to place another.
 
-    Rows that tie on `order_by` are numbered in any order: make it tell unequal rows apart.
+    Rows that tie on `order_by` (plain expressions, ascending) are numbered in any order: make it tell unequal rows apart.
     NULL sorts first. An empty table gives none. Columns of the result's names are
-    replaced.
+    replaced; all others come back as they were, whatever their names.
     """
     added = ["row_number", "shard", "slot"]
-    numbered = number_rows(df.drop(*added), order_by, "row_number")
+    kept = [c for c in df.columns if c not in added]
+    keys = [(F.col(c) if isinstance(c, str) else c).alias(f"_key{i}") for i, c in enumerate(order_by)]
+    packed = df.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_row"), *keys)
+    numbered = number_rows(packed, [f"_key{i}" for i in range(len(keys))], "row_number")
     rows = numbered.count()
-    place = permute(F.col("row_number") - 1, rows, key)
-    return (
-        numbered.withColumn("_place", place)
-        .withColumn("row_number", F.col("row_number") - 1)
-        .withColumn("shard", F.pmod("_place", F.lit(shards)).cast("int"))
-        .withColumn("slot", F.floor(F.col("_place") / F.lit(shards)).cast("long"))
-        .drop("_place"))
+    placed = numbered.withColumn("_place", permute(F.col("row_number") - 1, rows, key))
+    return placed.select(
+        (F.col("row_number") - 1).alias("row_number"), *(F.col("_row").getField(c).alias(c) for c in kept),
+        F.pmod("_place", F.lit(shards)).cast("int").alias("shard"),
+        F.floor(F.col("_place") / F.lit(shards)).cast("long").alias("slot"))
 
 
 def row_of(shard: Column, slot: Column, shards: int, rows: int, key: int = 20_240_229) -> Column:

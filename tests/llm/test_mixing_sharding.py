@@ -94,3 +94,33 @@ def test_shards_are_even_gapless_and_computable(spark):
     again = shard_rows(docs.repartition(3), ["doc_id", F.xxhash64("text")], 4)
     assert sorted(map(str, rows)) == sorted(map(str, again.collect()))
     assert shard_rows(docs.filter("false"), ["doc_id"], 4).count() == 0
+
+
+def test_shards_of_a_table_with_clashing_names(spark):
+    """Names that the numbering uses itself come back as they were; those of the result are replaced."""
+    rows = [(i % 7 if i % 5 else None, f"t{i}", i, -i, i * 2, f"r{i}", 9, 8, 7) for i in range(60)]
+    names = ["doc_id", "text", "_before", "_sort_part", "_place", "_row", "_key0", "a.b", "slot"]
+    docs = spark.createDataFrame(rows, names)
+    out = shard_rows(docs, ["doc_id", F.xxhash64("text")], 8)
+    assert set(out.columns) == {*names, "row_number", "shard"}
+    back = sorted(tuple(r[c] for c in names[:-1]) for r in out.collect() if r["doc_id"] is not None)
+    assert back == sorted(r[:-1] for r in rows if r[0] is not None)
+    places = sorted((r["shard"], r["slot"]) for r in out.collect())
+    assert places == [(s, k) for s in range(8) for k in range(8 if s < 4 else 7)]
+
+
+def test_shard_query_over_the_whole_table(spark):
+    import zlib
+
+    from tallyhouse.llm.queries import QUERIES, table
+    from tests.engines import TESTDATA
+    sf = f"{TESTDATA}/sf0.001"
+    out = QUERIES["op2_feistel_shards"](spark, sf).collect()
+    raw = [(r["doc_id"], (r["text"] or "").encode()) for r in table(spark, sf, "documents").select("doc_id", "text").collect()]
+    assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == sorted((i, len(t) + 1, zlib.crc32(t)) for i, t in raw)
+    slots = {}
+    for r in out:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+        assert r["law"] == "rows" and r["grown_shard"] is None
+    assert sorted(slots) == list(range(16)) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
