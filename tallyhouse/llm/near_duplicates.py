@@ -24,10 +24,14 @@ ROWS = 2
 PERCENT = 75
 # Largest bucket whose pairs are listed; larger ones go through the exact prefix join.
 SMALL_BUCKET = 24
-# Most candidate classes whose keys are sent to all executors to find their texts; beyond, the join shuffles.
-BROADCAST_CLASSES = 1_000_000
+# Most bytes of candidate classes' keys that are sent to all executors to find their texts; beyond, the join shuffles.
+BROADCAST_BYTES = 48 << 20
 # Words of 64 bits of a set's parity sketch.
 SKETCH = 16
+# Binary logarithm of the number of counters that order shingles by rarity: a table of 8 MiB, whatever the data.
+SLOT_BITS = 20
+# Tokens of a set's order that a prefix token carries along.
+BEFORE = 8
 # Rows of an Arrow batch.
 ARROW_ROWS = 512
 
@@ -118,7 +122,8 @@ def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             sets = shingle_sets(_texts(batch["text"]))
             yield pa.RecordBatch.from_arrays([batch["cls"], pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "shingles"])
 
-    few = wanted.count() <= BROADCAST_CLASSES
+    width = F.coalesce(F.length(F.col("doc_id").cast("string")), F.lit(0)) + F.lit(48)
+    few = wanted.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0] <= BROADCAST_BYTES
     keys = wanted.select("cls", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
     texts = _with_hash(docs).join(
         F.broadcast(keys) if few else keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
@@ -160,34 +165,67 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stage(with_b.select("a", "b", "left", "right").mapInArrow(run, "a binary, b binary"), "links")
 
 
-def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+def slot_counts(sets: DataFrame, bits: int) -> np.ndarray:
+    """How many shingles of `sets` (`cls`, `shingles`) fall into each of 2**bits slots, by their highest bits: as many rows at most."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << bits, dtype=np.int64)
+        for batch in batches:
+            for raw in batch["shingles"]:
+                np.add.at(seen, _slots(np.frombuffer(raw.as_buffer(), dtype=np.uint64), bits), 1)
+        used = np.flatnonzero(seen)
+        for at in range(0, len(used), 65_536):
+            some = used[at:at + 65_536]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(seen[some])], ["slot", "n"])
+
+    counted = sets.select("shingles").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << bits, dtype=np.int64)
+    out[counted["slot"].to_numpy()] = counted["n"].to_numpy()
+    return out
+
+
+def _slots(shingles: np.ndarray, bits: int) -> np.ndarray:
+    return (shingles >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def prefix_pairs(sets: DataFrame, percent: int, slot_bits: int = SLOT_BITS) -> DataFrame:
     """Pairs of classes that can be similar, found exactly, with their labels still apart.
 
-    `sets` has `cls`, `shingles`, `label`, `sketch`. With each set's shingles in order of rarity among these sets, two similar
+    `sets` has `cls`, `shingles`, `label`, `sketch`. With each set's shingles in one order of all shingles, two similar
     sets share one of their first n - ceil(percent * n / 100) + 1, and behind the first that they share both have enough
-    shingles left. Sizes and sketches must fit as well.
+    shingles left. Any order is right; shingles of rare slots come first, so that few sets share a token. Sizes and sketches must fit
+    as well. A token carries the BEFORE tokens ahead of it: sets that share one of those met there already.
     """
-    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = sets.sparkSession.sparkContext.broadcast(slot_counts(sets, slot_bits))
+
+    def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = counts.value
         for batch in batches:
-            for cls, raw in zip(batch["cls"], batch["shingles"]):
-                own = np.frombuffer(raw.as_buffer(), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([cls.as_py()] * len(own), pa.binary()), pa.array(own), pa.array([len(own)] * len(own), pa.int64())],
-                    ["cls", "shingle", "n"])
-
-    opened = sets.select("cls", "shingles").mapInArrow(all_of, "cls binary, shingle long, n long")
-    counts = opened.groupBy("shingle").agg(F.count("*").alias("df"))
-    ranked = opened.join(counts, "shingle").groupBy("cls").agg(
-        F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("order"))
-    most = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    tokens = ranked.join(sets.select("cls", "label", "sketch"), "cls").select(
-        "cls", "n", "label", "sketch", F.posexplode(F.slice("order", F.lit(1), most)).alias("pos", "token")).filter("token.df > 1")
-    tokens = stage(tokens.select("cls", "n", "label", "sketch", "pos", "token.shingle"), "prefixes")
-    other = tokens.select("shingle", *[F.col(c).alias(f"_{c}") for c in ("cls", "n", "label", "sketch", "pos")])
+            for k, raw in enumerate(batch["shingles"]):
+                own = np.frombuffer(raw.as_buffer(), dtype=np.uint64)
+                rarity = often[_slots(own, slot_bits)]
+                order = np.lexsort((own, rarity))[:len(own) - -(-len(own) * percent // 100) + 1]
+                places = np.flatnonzero(rarity[order] > 1)
+                if not len(places):
+                    continue
+                ordered = own[order].view(np.int64)
+                firsts = np.maximum(places - BEFORE, 0)
+                ends = np.cumsum(places - firsts)
+                ahead = np.arange(ends[-1]) - np.repeat(ends - (places - firsts), places - firsts) + np.repeat(firsts, places - firsts)
+                row = pa.array(np.full(len(places), k))
+                yield pa.RecordBatch.from_arrays([
+                    batch["cls"].take(row), batch["label"].take(row), batch["sketch"].take(row), pa.array(np.full(len(places), len(own))),
+                    pa.array(places), pa.array(ordered[places]),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ordered[ahead]))], names)
+
+    names = ["cls", "label", "sketch", "n", "pos", "shingle", "ahead"]
+    tokens = stage(sets.select("cls", "shingles", "label", "sketch").mapInArrow(
+        tokens_of, "cls binary, label binary, sketch array<long>, n long, pos long, shingle long, ahead array<long>"), "prefixes")
+    other = tokens.select(*[F.col(c).alias(f"_{c}") for c in names])
     left = F.least(F.col("n") - F.col("pos"), F.col("_n") - F.col("_pos"))
     enough = left * (100 + percent) >= (F.col("n") + F.col("_n")) * percent
-    return tokens.join(other, (tokens["shingle"] == other["shingle"]) & (F.col("cls") < F.col("_cls"))
+    return tokens.join(other, (F.col("shingle") == F.col("_shingle")) & (F.col("cls") < F.col("_cls"))
                        & (F.col("label") != F.col("_label")) & enough & may_be_similar("n", "_n", "sketch", "_sketch", percent)
+                       & ~F.arrays_overlap("ahead", "_ahead")
                        ).select(F.col("cls").alias("a"), F.col("_cls").alias("b")).distinct()
 
 
@@ -208,6 +246,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     component of their links but never name one; alone, their component is NULL. `kept` is true where id and component
     are the same, two NULLs included. An empty table gives none. Other columns are left out.
     """
+    return _grouped(docs, percent).select("doc_id", "text_hash", "n_shingles", "component_id").withColumn(
+        "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """`doc_id`, `text_hash`, `n_shingles`, `component_id` and `label` (of the component; NULL without shingles) of every document."""
     spark = ship(docs.sparkSession)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     signed = stage(signatures(docs), "signatures")
@@ -240,25 +284,29 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         links = links.union(verified(plausible(more, members, percent), sets, percent))
         labels = components(links)
     named = labels.join(members, F.col("node") == F.col("cls")).groupBy("label").agg(F.min("doc_id").alias("_least"))
-    class_ids = stage(labels.join(named, "label").select(F.col("node").alias("cls"), "_least"), "class-ids")
+    class_ids = stage(labels.join(named, "label").select(F.col("node").alias("cls"), "label", "_least"), "class-ids")
     return (
         signed.select("doc_id", "text_hash", "n_shingles", "cls")
         .join(class_ids, "cls", "left").join(members.select("cls", F.col("doc_id").alias("_own")), "cls", "left")
-        .select("doc_id", "text_hash", "n_shingles", F.coalesce("_least", "_own", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+        .select("doc_id", "text_hash", "n_shingles", F.coalesce("_least", "_own", "doc_id").alias("component_id"),
+                F.coalesce("label", "cls").alias("label")))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of `docs`, with all their columns, that are kept: one of each group of near-copies.
 
-    A kept row that is repeated, with the same id and text, stays once.
+    Of a group the row with the smallest doc_id stays (NULL only if all are), and of several with that id the one whose text has the
+    smallest hash. Rows that repeat id and text are one: it stays once. Texts without words are groups of their own.
     """
-    kept = stage(near_duplicates(docs, percent).filter("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "kept")
+    rows = _grouped(docs, percent).groupBy("label", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    rows = rows.select(F.col("label").isNull().alias("alone"), "label", F.struct(
+        F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash", "n").alias("row"))
+    kept = stage(rows.filter("not alone").groupBy("label").agg(F.min("row").alias("row")).select("row.*").union(
+        rows.filter("alone").select("row.*")), "kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "n")
     key = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    repeated = stage(kept.groupBy("_id", "_hash").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "repeated")
+    repeated = kept.filter("n > 1").drop("n")
     needed = ("doc_id", "text")
-    out = pack(docs, *needed).join(kept.distinct(), key, "left_semi")
+    out = pack(docs, *needed).join(kept.drop("n"), key, "left_semi")
     if not repeated.isEmpty():
         once = out.join(repeated, key, "left_semi").withColumn("_again", F.xxhash64("text")).dropDuplicates(["doc_id", "_again"])
         out = out.join(repeated, key, "left_anti").unionByName(once.drop("_again"))

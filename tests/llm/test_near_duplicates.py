@@ -98,3 +98,22 @@ def test_components(spark):
             label[a] = label[b] = min(label[a], label[b])
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame([*links, (None, 3)], "a long, b long")).collect()}
     assert got == label
+
+
+def test_one_row_stays_of_groups_without_ids_or_with_one_id(spark):
+    base = prose(41, 90)
+    texts = [(None, base, "a"), (None, base + " one", "b"), (None, base + " two", "a"), (7, prose(42, 80), "a"), (7, prose(42, 80) + " more", "a"),
+             (7, prose(42, 80) + " more", "b"), (8, prose(43, 70), "a"), (None, prose(43, 70) + " end", "a"), (9, "", "a"), (9, None, "a"), (10, "", "b")]
+    kept = drop_near_duplicates(documents(spark, texts)).collect()
+    assert Counter(r["doc_id"] for r in kept) == {None: 1, 7: 1, 8: 1, 9: 2, 10: 1}
+    assert next(r["text"] for r in kept if r["doc_id"] is None).startswith(base)
+
+
+def test_prefix_join_loses_no_pair_in_any_order(spark):
+    """Counters that many shingles share give another order, and the same links."""
+    sets = {N.set_key(s): s for s in shingle_sets([t.encode() for _, t, _ in copies()])}
+    rows = [(k, s.tobytes(), k, parity_sketch(s)) for k, s in sets.items()]
+    frame = spark.createDataFrame(rows, "cls binary, shingles binary, label binary, sketch array<long>")
+    wanted = {frozenset((a, b)) for a in sets for b in sets if a < b and similar(sets[a], sets[b], 75)}
+    for bits in (4, 20):
+        assert wanted <= {frozenset((bytes(r["a"]), bytes(r["b"]))) for r in prefix_pairs(frame, 75, bits).collect()}
