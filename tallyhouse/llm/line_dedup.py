@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from hashlib import md5
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyhouse.llm.columns import SPACED_WORD, pack, unpack
+from tallyhouse.llm.columns import pack, unpack
 from tallyhouse.llm.scratch import stage
+from tallyhouse.llm.shingles import BLANK
 from tallyhouse.llm.ship import ship
 from tallyhouse.plans.joins import skewed_join
 from tallyhouse.plans.numbering import IDX, PART, ordered_stage
@@ -20,7 +23,7 @@ MIN_WORDS = 5
 # Most rows of a side that is sent to all executors: two numbers each.
 BROADCAST_ROWS = 1_000_000
 ARROW_ROWS = 512
-_BLANKS = " \t\r\x0b\x0c"
+_BLANKS = b" \t\r\x0b\x0c"
 
 
 def _document(docs: DataFrame) -> Column:
@@ -30,11 +33,45 @@ def _document(docs: DataFrame) -> Column:
                     F.xxhash64("text").alias("hash"))
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """`doc`, `pos`, `line` (md5 of the trimmed line) and `words` of every line of every text."""
-    lines = docs.filter("text is not null").select(_document(docs).alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    return lines.select("doc", F.col("pos").cast("long").alias("pos"), F.unhex(F.md5(F.btrim("raw", F.lit(_BLANKS)))).alias("line"),
-                        F.regexp_count("raw", F.lit(SPACED_WORD)).cast("long").alias("words"))
+def word_counts(text: bytes) -> np.ndarray:
+    """The number of words of each line."""
+    data = np.frombuffer(text, dtype=np.uint8)
+    blank = BLANK[data]
+    starts = np.flatnonzero(~blank & np.concatenate(([True], blank))[:-1])
+    return np.bincount(np.searchsorted(np.flatnonzero(data == 10), starts), minlength=int((data == 10).sum()) + 1)
+
+
+def shortest_windows(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths, over one line, of the windows that have `least` words and lose them without their last or without their first line.
+
+    Every run with `least` words is the union of such windows and of single lines: a line of it with too few words
+    to its right and to its left in the run lies in the shortest window from the run's start.
+    """
+    sums = np.concatenate(([0], np.cumsum(words)))
+    places = np.arange(len(sums))
+    ends = np.maximum(np.searchsorted(sums, sums + least), places + 1)
+    starts = np.minimum(np.searchsorted(sums, sums - least, side="right") - 1, places - 1)
+    both = np.concatenate((np.stack((places, ends), 1)[ends < len(sums)], np.stack((starts, places), 1)[starts >= 0]))
+    both = np.unique(both[both[:, 1] - both[:, 0] > 1], axis=0)
+    return both[:, 0], both[:, 1] - both[:, 0]
+
+
+def line_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """`doc`, `pos`, `line` (md5 of the trimmed line), `words`, and `lens` (of the shortest windows from there) of every line of every text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, text in enumerate(batch["text"].cast(pa.binary()).to_pylist()):
+                lines, words = text.split(b"\n"), word_counts(text)
+                starts, lens = shortest_windows(words, min_words)
+                ends = np.searchsorted(starts, np.arange(len(lines) + 1))
+                yield pa.RecordBatch.from_arrays([
+                    batch["doc"].take(pa.array(np.full(len(lines), k))), pa.array(np.arange(len(lines))),
+                    pa.array([md5(line.strip(_BLANKS)).digest() for line in lines], pa.binary()), pa.array(words, pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(lens, pa.int64()))], ["doc", "pos", "line", "words", "lens"])
+
+    keyed = docs.filter("text is not null").select(_document(docs).alias("doc"), "text")
+    return keyed.mapInArrow(run, T.StructType([keyed.schema["doc"], *T.StructType.fromDDL(
+        "pos long, line binary, words long, lens array<long>").fields]))
 
 
 def _ranked(groups: DataFrame, order: list[str]) -> DataFrame:
@@ -58,64 +95,77 @@ def _classed(positions: DataFrame, keys: list[str]) -> DataFrame:
     if they are few; else through a join whose hot keys Spark can split.
     """
     groups = positions.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos")).alias("lead")).filter("n > 1")
-    ranked = stage(_ranked(groups, keys), "classes").select(
+    return stage(_with_class(positions, stage(_ranked(groups, keys), "classes"), keys).select(
+        "doc", "pos", "rank", "words", "lens", "first"), "ranks")
+
+
+def _with_class(positions: DataFrame, classes: DataFrame, keys: list[str]) -> DataFrame:
+    ranked = classes.select(
         F.concat_ws(":", *(F.col(k).cast("string") if k != "line" else F.hex(k) for k in keys)).alias("_key"), "rank", "lead")
     keyed = positions.withColumn("_own", F.concat_ws(":", *(F.col(k).cast("string") if k != "line" else F.hex(k) for k in keys)))
     if ranked.count() <= BROADCAST_ROWS:
         joined = keyed.join(F.broadcast(ranked), F.col("_own") == F.col("_key"))
     else:
         joined = skewed_join(keyed, ranked, "_own", "_key", "pos", how="inner")
-    return stage(joined.select("doc", "pos", "rank", "words", "spare", (F.struct("doc", "pos") == F.col("lead")).alias("first")), "ranks")
+    return joined.withColumn("first", F.struct("doc", "pos") == F.col("lead"))
 
 
-def repeated_blocks(docs: DataFrame) -> Iterator[tuple[int, DataFrame]]:
+def repeated_blocks(docs: DataFrame, min_words: int = MIN_WORDS) -> Iterator[tuple[int, DataFrame]]:
     """The suffix array of all line sequences, level by level: (block length, positions).
 
     After round k, `rank` orders positions by their first 2**k lines, and equal ranks are an interval of the suffix array with a
     common prefix of 2**k lines at least. Positions alone with their prefix are settled and leave; a block never
     runs over a document's end. A round joins each position with the one 2**k further on, sorts the
     distinct pairs of ranks, and counts. Rounds end when no interval has two members: after the binary logarithm of the longest
-    repeated run. Each level has `doc`, `pos`, `rank`, `words` of the block, `first`, and `spare` (whether a half has few words).
+    repeated run. Each level has `doc`, `pos`, `rank`, `words` of the first line, `lens` of the windows from there, and `first`.
     """
-    lines = line_table(docs).withColumn("spare", F.lit(True)).dropDuplicates(["doc", "pos"])
+    lines = line_table(docs, min_words).dropDuplicates(["doc", "pos"])
     level, size = _classed(lines, ["line"]), 1
     while not level.isEmpty():
         yield size, level
-        further = level.select("doc", (F.col("pos") - size).alias("pos"), F.col("rank").alias("second"), F.col("words").alias("_more"))
+        further = level.select("doc", (F.col("pos") - size).alias("pos"), F.col("rank").alias("second"))
         pairs = level.withColumnRenamed("rank", "lead_rank").join(further, ["doc", "pos"]).select(
-            "doc", "pos", "lead_rank", "second", (F.col("words") + F.col("_more")).alias("words"),
-            (F.least("words", "_more") < F.lit(MIN_WORDS)).alias("spare"))
+            "doc", "pos", "lead_rank", "second", "words", "lens")
         level, size = _classed(pairs, ["lead_rank", "second"]), 2 * size
 
 
 def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """`doc` and `deleted`: for each document that loses lines, their places.
+    """`doc` and `deleted`: for each document that loses lines, runs of them (`pos`, `len`), which may overlap.
 
-    A line goes if it lies in a block of 2**k lines that occurred before, in corpus order, and has `min_words` words at least. A block
-    both of whose halves have enough words is left out: its halves say the same.
+    A line goes if it lies in a run of lines, of any length, that occurred before in corpus order and has `min_words` words at least.
+    Such runs are unions of repeated lines with enough words and of repeated shortest windows. A window of L lines, 2**k <= L < 2**(k+1),
+    is told by the ranks of its first and its last 2**k lines: those that agree in both are members of one
+    interval of the suffix array with a common prefix of L lines.
     """
     parts = []
-    for size, level in repeated_blocks(docs):
-        later = level.filter(~F.col("first") & (F.col("words") >= min_words))
-        if size > 1:
-            later = later.filter("spare")
-        parts.append(later.select("doc", F.explode(F.sequence("pos", F.col("pos") + (size - 1))).alias("pos")))
+    for size, level in repeated_blocks(docs, min_words):
+        if size == 1:
+            parts.append(level.filter(~F.col("first") & (F.col("words") >= min_words)).select("doc", "pos", F.lit(1).cast("long").alias("len")))
+        fit = F.filter("lens", lambda n: (n >= size) & (n < 2 * size))
+        windows = level.filter(F.size(fit) > 0).select("doc", "pos", "rank", F.explode(fit).alias("len")).withColumn(
+            "at", F.col("pos") + F.col("len") - size)
+        ends = level.select("doc", F.col("pos").alias("at"), F.col("rank").alias("last"))
+        whole = stage(windows.join(ends, ["doc", "at"]).select("doc", "pos", "len", F.col("rank").alias("start"), "last"), "windows")
+        keys = ["len", "start", "last"]
+        groups = whole.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos")).alias("lead")).filter("n > 1")
+        again = _with_class(whole, stage(groups.withColumn("rank", F.lit(0)), "classes"), keys)
+        parts.append(again.filter(~F.col("first")).select("doc", "pos", "len"))
     if not parts:
-        return line_table(docs).filter("false").groupBy("doc").agg(F.collect_list("pos").alias("deleted"))
-    return stage(reduce(DataFrame.union, parts).distinct().groupBy("doc").agg(F.collect_list("pos").alias("deleted")), "deleted")
+        parts.append(line_table(docs, min_words).filter("false").select("doc", "pos", F.lit(1).cast("long").alias("len")))
+    return stage(reduce(DataFrame.union, parts).groupBy("doc").agg(F.collect_list(F.struct("pos", "len")).alias("deleted")), "deleted")
 
 
 def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """`docs` with `text` without later copies of repeated line runs, `n_lines` (before) and `n_deleted`.
 
-    Lines are compared without blanks at their ends. The first copy in corpus order (by doc_id, NULL first, then by a hash of the text)
+    A run goes if it has `min_words` words at least, however short its lines are. Lines are compared without blanks at their ends. The first copy in corpus order (by doc_id, NULL first, then by a hash of the text)
     stays. Rows that repeat id and text count as one document and come out alike. An empty text has one empty
     line; a NULL text stays NULL, with no lines. An empty table gives none. Columns named as an added one are replaced.
     """
     spark = ship(docs.sparkSession)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     gone = deleted_lines(docs.select("doc_id", "text"), min_words)
-    size = gone.agg(F.coalesce(F.sum(F.size("deleted") + 8), F.lit(0))).first()[0]
+    size = gone.agg(F.coalesce(F.sum(2 * F.size("deleted") + 8), F.lit(0))).first()[0]
     few = F.broadcast(gone) if size <= 8 * BROADCAST_ROWS else gone
     base = docs.drop("n_lines", "n_deleted")
     packed = pack(base, "doc_id", "text")
@@ -128,10 +178,14 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFram
             texts, n_lines, n_deleted = [], [], []
             for text, deleted in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
                 lines = [] if text is None else text.split("\n")
-                out = set(deleted or ())
-                texts.append(text if not out else "\n".join(line for i, line in enumerate(lines) if i not in out))
+                edges = np.zeros(len(lines) + 1, dtype=np.int64)
+                for cut in deleted or ():
+                    edges[cut["pos"]] += 1
+                    edges[cut["pos"] + cut["len"]] -= 1
+                gone = np.cumsum(edges)[:-1] > 0
+                texts.append(text if not gone.any() else "\n".join(line for line, out in zip(lines, gone.tolist()) if not out))
                 n_lines.append(len(lines))
-                n_deleted.append(len(out))
+                n_deleted.append(int(gone.sum()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(texts, pa.string()), batch.column(2), pa.array(n_lines, pa.int64()), pa.array(n_deleted, pa.int64())],
                 [*names[:3], "n_lines", "n_deleted"])

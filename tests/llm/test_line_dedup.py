@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -12,23 +13,40 @@ MORE = [(1, RUN, "a"), (2, "x\n" + RUN + "\ny", "a"), (3, RUN.split("\n", 3)[3]
 
 
 def brute(texts, min_words=5):
+    """Runs of any length that were seen before."""
     keyed = sorted({(i is not None, i or 0, t) for i, t, _ in texts if t is not None}, key=lambda d: d[:2])
     lines = [[x.strip(" \t\r\x0b\x0c") for x in t.split("\n")] for _, _, t in keyed]
-    gone, size, any_left = [set() for _ in keyed], 1, True
-    while any_left:
-        seen, any_left = set(), False
-        for own, out in zip(lines, gone):
-            for at in range(len(own) - size + 1):
-                block = tuple(own[at:at + size])
-                if block in seen:
-                    any_left = True
-                    if sum(len(spaced(x)) for x in block) >= min_words:
-                        out |= set(range(at, at + size))
-                seen.add(block)
-        size *= 2
+    gone, seen = [set() for _ in keyed], set()
+    for own, out in zip(lines, gone):
+        for at in range(len(own)):
+            for end in range(len(own), at, -1):
+                if tuple(own[at:end]) in seen and sum(len(spaced(x)) for x in own[at:end]) >= min_words:
+                    out |= set(range(at, end))
+            seen |= {tuple(own[at:end]) for end in range(at + 1, len(own) + 1)}
     return {(i if given else None, t): out for (given, i, t), out in zip(keyed, gone)}
 
 
+SHORT = [(1, "u v\nw x\ny z\n" + prose(1, 3), "a"), (2, "k\nu v\nw x\ny z\nl", "a"), (3, "\n".join("abcdefg") + "\nend", "a"),
+         (4, "start\n" + "\n".join("abcdefg"), "a"), (5, "c d\n\n\n\n\ne f g\n\n\n", "a"), (6, "x\nc d\n\n\n\n\ne f g\n\n\n\nq", "a"),
+         (7, "one two\nthree", "a"), (8, "one two\nthree", "a"), (9, "p q\n" * 12, "a"), (10, "w x\ny z\nc d\n\n", "a")]
+
+
+@pytest.mark.parametrize("min_words", [1, 4, 5, 9])
+def test_runs_of_short_lines(spark, min_words):
+    out = drop_repeated_lines(documents(spark, SHORT), min_words).collect()
+    gone = brute(SHORT, min_words)
+    assert {r["doc_id"]: (r["text"], r["n_deleted"]) for r in out} == {
+        i: ("\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i, t]), len(gone[i, t])) for i, t, _ in SHORT}
+    assert min_words > 5 or {len(gone[SHORT[1][:2]]), len(gone[SHORT[3][:2]])} == {3, 7}
+
+
+def test_random_runs_of_few_lines(spark):
+    rng = random.Random(8)
+    texts = [(k, "\n".join(rng.choice(["", "a", "b c", "d e f", "g h i j k"]) for _ in range(rng.randint(1, 14))), "a") for k in range(60)]
+    gone = brute(texts)
+    assert {r["doc_id"]: r["n_deleted"] for r in drop_repeated_lines(documents(spark, texts)).collect()} == {i: len(gone[i, t]) for i, t, _ in texts}
+
+
 @pytest.mark.parametrize("most", [1_000_000, 0], ids=["few classes", "many classes"])
 @pytest.mark.parametrize("texts", [MORE, TEXTS], ids=["runs", "odd rows"])
 def test_same_as_brute_force(spark, monkeypatch, texts, most):
