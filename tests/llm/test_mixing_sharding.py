@@ -124,3 +124,30 @@ def test_shard_query_over_the_whole_table(spark):
         assert r["law"] == "rows" and r["grown_shard"] is None
     assert sorted(slots) == list(range(16)) and all(sorted(x) == list(range(len(x))) for x in slots.values())
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
+def test_equal_rows_are_divided_at_the_cut(spark, monkeypatch):
+    """A source of 1,000 equal rows comes within half a row of its target, whatever the range that is cut again."""
+    from tallyhouse.llm import mixing
+    ten = "one two three four five six seven eight nine ten"
+    texts = [(5, ten, "a")] * 1000 + [(100 + i, prose(i, 10), "b") for i in range(1000)] + [(3000 + i, prose(i, 10), "c") for i in range(500)]
+    docs = documents(spark, texts)
+    seen = []
+    for most in (50_000, 1):
+        monkeypatch.setattr(mixing, "CUT_ROWS", most)
+        rows = pareto_mix(docs.select("doc_id", "text", "source")).collect()
+        seen.append(Counter((r["doc_id"], r["taken"]) for r in rows))
+        for source in "abc":
+            own = [r for r in rows if r["source"] == source]
+            assert len(own) == (500 if source == "c" else 1000)
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 5
+    assert seen[0] == seen[1]
+    assert sum(r["size"] == "sz" for r in mixed_documents(docs).collect()) == sum(n * t // 10 for (_, t), n in seen[0].items())
+
+
+def test_other_columns_come_back_whatever_their_names(spark):
+    names = ["doc_id", "text", "source", "_src", "_odds", "_tie", "_class", "_rank", "_cut", "_n", "_row", "a.b"]
+    docs = spark.createDataFrame([(i, prose(i, 6), "ab"[i % 2], i, "o", 2, 3, 4, "c", 6, 7, i) for i in range(40)], names)
+    out = pareto_mix(docs)
+    assert out.columns == [*names, "size", "source_size", "target", "copies", "taken"]
+    assert sorted(tuple(r)[:len(names)] for r in out.collect()) == sorted(tuple(r) for r in docs.collect())
