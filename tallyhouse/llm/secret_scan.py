@@ -30,6 +30,12 @@ LEAST_VALUE, LEAST_ACCESS = 6, 20
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|%u([0-9A-Fa-f]{4})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});|\\U([0-9A-Fa-f]{8})")
+# An escape of any form at the end of a text, what it can end in, and its greatest length.
+ESCAPED_TOP = re.compile(r"(?:&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});|%([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})"
+                         r"|%u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8}))\Z")
+ESCAPE_END, LONGEST_ESCAPE = frozenset("0123456789abcdefABCDEF;"), 10
+# Rounds that rewrite escapes layer by layer; what is nested deeper is decoded to its fixpoint at once.
+ROUNDS = 12
 # A line end inside a run, also where it is spelled out.
 _LINE_END = r"[\x20\t]*(?:\r?\n|(?:\\r)?\\n)[\x20\t]*"
 _SIX, _FOUR = "[A-Za-z0-9+/_-]", "[0-9A-Fa-f]"
@@ -83,10 +89,11 @@ class Layer:
     A run without a fixed ratio maps each of its characters to the run's whole root range.
     """
 
-    def __init__(self, text: str, runs: list[tuple[int, int, int, bool]], kinds: Iterable[str] = ()):
+    def __init__(self, text: str, runs: list[tuple[int, int, int, bool]], kinds: Iterable[str] = (), depth: int = 0):
         # (start here, root start, root end, one root character each)
+        # `depth` is the number of rounds in a row that rewrote escapes.
         # `kinds` of secrets are in an archive: they have the whole range of the archive, and no text here.
-        self.text, self.runs, self.kinds = text, runs, frozenset(kinds)
+        self.text, self.runs, self.kinds, self.depth = text, runs, frozenset(kinds), depth
         self.starts = [r[0] for r in runs]
 
     def root(self, start: int, end: int) -> tuple[int, int]:
@@ -124,7 +131,7 @@ def _rewritten(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     if not changed:
         return None
     keep(at, len(layer.text))
-    return Layer("".join(parts), runs)
+    return Layer("".join(parts), runs, depth=layer.depth + 1)
 
 
 def _percent(m: re.Match) -> Iterator[tuple[str | None, int, int]]:
@@ -148,6 +155,41 @@ def _escape(m: re.Match) -> Iterator[tuple[str | None, int, int]]:
     yield chr(code) if valid else None, m.start(), m.end()
 
 
+def _settled(layer: Layer) -> Layer | None:
+    """The layer with all escapes of ASCII characters decoded to their fixpoint, in one pass; None if nothing changes.
+
+    Characters go onto a stack. Where its top is an escape, the character that it stands for replaces it and may end
+    the next one, so every step shortens the stack: the time is linear, however deep escapes are nested.
+    """
+    chars: list[str] = []
+    places: list[tuple[int, int, bool]] = []
+    changed = False
+    for at, char in enumerate(layer.text):
+        here, a, b, exact = layer.runs[bisect_right(layer.starts, at) - 1]
+        chars.append(char)
+        places.append((a + at - here, a + at - here + 1, True) if exact else (a, b, False))
+        while chars[-1] in ESCAPE_END and (m := ESCAPED_TOP.search("".join(chars[-LONGEST_ESCAPE:]))):
+            digits = next(k for k, g in enumerate(m.groups()) if g is not None)
+            code = int(m.group(digits + 1), 10 if digits == 0 else 16)
+            if code >= 0x80:
+                break
+            size = len(m.group())
+            start, end = places[-size][0], places[-1][1]
+            del chars[-size:], places[-size:]
+            chars.append(chr(code))
+            places.append((start, end, False))
+            changed = True
+    if not changed:
+        return None
+    runs: list[tuple[int, int, int, bool]] = []
+    for k, (a, b, exact) in enumerate(places):
+        if exact and runs and runs[-1][3] and runs[-1][2] == a:
+            runs[-1] = (*runs[-1][:2], b, True)
+        else:
+            runs.append((k, a, b, exact))
+    return Layer("".join(chars), runs, depth=1)
+
+
 class _Spool:
     """Bytes that are written once: in memory, or in a file of the worker's temp folder from a size of PIECE on."""
 
@@ -438,10 +480,14 @@ def layers(text: str) -> Iterator[Layer]:
     while work:
         layer = work.pop()
         found: list[Layer] = []
-        if "%" in layer.text:
-            found += filter(None, [_rewritten(layer, PERCENT, _percent)])
-        if "\\" in layer.text or "&#" in layer.text or "%u" in layer.text:
-            found += filter(None, [_rewritten(layer, ESCAPE, _escape)])
+        settled = _settled(layer) if layer.depth >= ROUNDS else None
+        if settled:
+            found.append(settled)
+        else:
+            if "%" in layer.text:
+                found += filter(None, [_rewritten(layer, PERCENT, _percent)])
+            if "\\" in layer.text or "&#" in layer.text or "%u" in layer.text:
+                found += filter(None, [_rewritten(layer, ESCAPE, _escape)])
         found += _blobs(layer)
         found += _escaped_archives(layer)
         for new in found:
@@ -479,7 +525,8 @@ def scan_secrets(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     layer is scanned as the text is. Base64 and hex runs are read alone and joined over line ends, and from each digit that can be
     the first; archives are followed wherever they begin, to their last member, and what they hold is looked at whole (from 4 MiB on
     in a file of the worker's temp folder). A span in a layer is mapped to the characters that encode it, and to the whole run for
-    compressed data. Layers are remembered by content and place, so cycles end.
+    compressed data. Layers are remembered by content and place, so cycles end. Escapes nested over ROUNDS deep are decoded to
+    their fixpoint in one pass, without the layers between.
 
     NULL and empty texts have none. Repeated rows come out alike. An empty table gives none. Columns named as an added one are replaced.
     """

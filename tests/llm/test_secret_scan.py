@@ -5,6 +5,7 @@ import hashlib
 import lzma
 import random
 import re
+import time
 import zlib
 from urllib.parse import quote
 
@@ -142,3 +143,22 @@ def test_columns_and_empty_tables(spark):
     assert scan_secrets(documents(spark, TEXTS), keep_text=False).columns == [c for c in SCHEMA.names if c != "text"] + ["base", "spans"]
     assert scan_secrets(spark.createDataFrame([], SCHEMA)).select(F.sha2(spelled("base"), 256)).count() == 0
     assert hashlib.sha256(b"").hexdigest() == documents(spark, TEXTS[2:3]).transform(scan_secrets).select(F.sha2(spelled("base"), 256)).first()[0]
+
+
+def test_escapes_nested_very_deep_take_linear_time():
+    secret = "".join(f"%{ord(c):02x}" for c in "password")
+    for sign, inner in (("%", "25"), ("\\", "u005c"), ("&", "#38;")):
+        deep = {"%": "%" + inner * 20_000 + "70", "\\": "\\" + inner * 20_000 + "u0070", "&": "&" + inner * 20_000 + "#112;"}[sign]
+        started = time.process_time()
+        base, spans = secret_spans(f"{deep}assword=abcdefgh " + secret + "=ijklmnop")
+        assert time.process_time() - started < 30
+        assert ("assign", 0, len(deep) + len("assword=abcdefgh")) in spans
+        assert ("assign", len(deep) + len("assword=abcdefgh "), len(deep) + len("assword=abcdefgh ") + len(secret) + 9) in spans
+    assert secret_spans("%3" * 3_000 + "1")[1] == []
+
+
+@pytest.mark.parametrize("depth", [1, 5, 11, 12, 13, 14, 40])
+def test_depth_of_escapes_does_not_matter(depth):
+    text = "x %" + "25" * depth + "41KIA" + "Q" * 20 + " caf%" + "25" * depth + "c3%" + "25" * depth + "a9"
+    assert ("access", 2, 2 + 3 + 2 * depth + 23) in secret_spans(text)[1]
+    assert any("café" in layer.text for layer in layers(text))
