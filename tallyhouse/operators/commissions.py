@@ -11,6 +11,8 @@ from tallyhouse.functions.columns import percent_of
 from tallyhouse.operators.products import product_attributes
 from tallyhouse.plans.closure import ancestor_closure
 from tallyhouse.session import stage_once
+from tallyhouse.sources.key_index import with_stored
+from tallyhouse.sources.key_index import with_stored
 
 Tables = Mapping[str, DataFrame]
 
@@ -38,6 +40,18 @@ def commission_rule_conflicts(t: Tables) -> DataFrame:
         .select("id", "category_id", "payment_term_id", "percentage", "reason"))
 
 
+def rule_key() -> list[Column]:
+    """What no two rules share."""
+    return [F.col("category_id"), F.col("payment_term_id")]
+
+
+def new_rule_conflicts(t: Tables, stored: str) -> DataFrame:
+    """`commission_rule_conflicts` for new or changed rules (`t`) against those that `write_keys` stored by `rule_key`."""
+    new = t["commission_rule"]
+    found = commission_rule_conflicts({"commission_rule": with_stored(new, stored, rule_key())})
+    return found.join(new.select(F.col("id").alias("_new")), F.col("id") == F.col("_new"), "left_semi")
+
+
 def _valid_rules(t: Tables) -> DataFrame:
     """One rule per category and term: the lowest id among those with a positive
     percentage, since the later ones could not have been stored."""

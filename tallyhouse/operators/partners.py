@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyhouse.functions.columns import EMAIL_PATTERN, as_date, is_blank, plain_ruc, whole_years
 from tallyhouse.operators.products import product_attributes
 from tallyhouse.plans.joins import skewed_join
+from tallyhouse.sources.key_index import with_stored
 from tallyhouse.sources.search_index import find_in
 
 Tables = Mapping[str, DataFrame]
@@ -29,6 +30,23 @@ def ruc_duplicates(t: Tables) -> DataFrame:
         "id", "ruc", "ruc_normalized", "holders")
 
 
+def ruc_key() -> list[Column]:
+    """What no two partners share."""
+    return [plain_ruc(F.col("ruc"))]
+
+
+def zone_key() -> list[Column]:
+    """What no two zones share."""
+    return [F.col("sector_id")]
+
+
+def new_ruc_duplicates(t: Tables, stored: str) -> DataFrame:
+    """`ruc_duplicates` for new or changed partners (`t`) against those that `write_keys` stored by `ruc_key`."""
+    new = t["res_partner"]
+    found = ruc_duplicates({"res_partner": with_stored(new, stored, ruc_key())})
+    return found.join(new.select(F.col("id").alias("_new")), F.col("id") == F.col("_new"), "left_semi")
+
+
 def email_invalid(t: Tables) -> DataFrame:
     """Partners with an e-mail address that does not have the expected form."""
     return t["res_partner"].filter(~is_blank(F.col("email")) & ~F.rlike("email", F.lit(EMAIL_PATTERN))).select(
@@ -140,6 +158,12 @@ def zone_conflicts(t: Tables) -> DataFrame:
     return shared.join(names, F.col("sector_id") == F.col("id")).select("sector_id", "name", "zones")
 
 
+def new_zone_conflicts(t: Tables, stored: str) -> DataFrame:
+    """`zone_conflicts` of the sectors that new links (`t`) name, against the links that `write_keys` stored by `zone_key`."""
+    links = with_stored(t["delivery_zone_sector"], stored, zone_key(), row_id=None)
+    return zone_conflicts({**t, "delivery_zone_sector": links})
+
+
 def _delivery_infos(t: Tables) -> DataFrame:
     """Delivery text per sector: its zones, in order of id, one after the other."""
     zones = t["delivery_zone"].select("id", F.concat(
