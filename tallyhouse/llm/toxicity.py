@@ -231,7 +231,7 @@ def _terms(total: dict) -> pa.RecordBatch:
 
 
 def learn_lexicon(sample: DataFrame) -> Lexicon:
-    """Words and stems that are much more frequent in toxic rows.
+    """Words and stems that are much more frequent in toxic rows: at most LEXICON_ENTRIES, the ones with the most evidence.
 
     Of a chain of stems that contain each other, the one with the most evidence
     stays, and of equally frequent ones the longest; a word that a stem covers is left to it.
@@ -269,7 +269,8 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
             yield pa.RecordBatch.from_arrays([pa.array(
                 [w for w in batch["term"].to_pylist() if (got := lexicon.match(w)) and got[1]], pa.string())], ["term"])
 
-    own = near.filter(F.length("term").isin(sorted(short))).mapInArrow(similar, "term string").limit(100 * LEXICON_ENTRIES).collect()
+    # All words of the fitted rows within one edit of an entry: for each entry, its letters times the alphabet at most.
+    own = near.filter(F.length("term").isin(sorted(short))).mapInArrow(similar, "term string").collect()
     return Lexicon(chosen, frozenset(r[0] for r in own))
 
 
