@@ -119,7 +119,7 @@ def repeated_blocks(docs: DataFrame, min_words: int = MIN_WORDS) -> Iterator[tup
     distinct pairs of ranks, and counts. Rounds end when no interval has two members: after the binary logarithm of the longest
     repeated run. Each level has `doc`, `pos`, `rank`, `words` of the first line, `lens` of the windows from there, and `first`.
     """
-    lines = line_table(docs, min_words).dropDuplicates(["doc", "pos"])
+    lines = stage(line_table(docs, min_words).dropDuplicates(["doc", "pos"]), "lines")
     level, size = _classed(lines, ["line"]), 1
     while not level.isEmpty():
         yield size, level
