@@ -21,6 +21,8 @@ RUNTIME_CONF = {
 }
 
 SPARK_DEFAULT_PARTITIONS = "200"
+# Rows that a task sorts or groups without writing some of them to disk meanwhile.
+ROWS_A_TASK = 500_000
 INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 
@@ -52,6 +54,13 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def widen(spark: SparkSession, rows: int) -> None:
+    """Start shuffles wide enough for tables of `rows` rows. It only ever adds partitions; AQE merges those that turn out small."""
+    wide = -(-rows // ROWS_A_TASK)
+    if wide > int(spark.conf.get(INITIAL_PARTITIONS, None) or spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set(INITIAL_PARTITIONS, str(wide))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can read: `spark.checkpoint.dir` of the session.
 

@@ -12,13 +12,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.operators import fiscal
-from tallyhouse.plans.numbering import number_within
 from tallyhouse.schemas import DDL, schema_of
-from tallyhouse.session import stage
+from tallyhouse.session import stage, widen
 from tallyhouse.sources.tables import conform
 
 _BUILDERS: dict[str, Callable[[StarTables], DataFrame]] = {}
@@ -34,7 +33,8 @@ def star_tables(spark: SparkSession, directory: str) -> StarTables:
     """The tables over `directory`, shared by all callers in one application."""
     key = (spark.sparkContext.applicationId, directory)
     if key not in _OPEN:
-        _OPEN[key] = StarTables(spark, directory)
+        _OPEN[key] = tables = StarTables(spark, directory)
+        widen(spark, tables.raw("lineitem").count())
     return _OPEN[key]
 
 
@@ -286,31 +286,50 @@ def fiscal_printer(t: StarTables) -> DataFrame:
 
 @_table
 def numbered_lineitem(t: StarTables) -> DataFrame:
-    """lineitem with a line id: its rank over all columns within the order."""
-    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax",
-             "l_shipdate", "l_returnflag", "l_linestatus"]
-    # Copies of one line are equal on every column; their place in the file parts them.
-    located = t.raw("lineitem").selectExpr(
-        "l_orderkey", *order, "_metadata.file_path _file", "_metadata.row_index _row")
-    ranked = number_within(located, ["l_orderkey"], [*order, "_file", "_row"], "_rank")
-    return stage(ranked.withColumn("line_id", F.col("l_orderkey") * 1000 + F.col("_rank"))
-                 .drop("_file", "_row", "_rank"), "lineitem")
+    """lineitem with a line id: its rank over all columns within the order.
 
+    An order's lines meet in one task, once. Lines that are equal on every column are told apart by their rank only, so any order of those will do.
+    """
+    within = Window.partitionBy("l_orderkey").orderBy(
+        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate", "l_returnflag",
+        "l_linestatus")
+    ranked = t.raw("lineitem").withColumn("line_id", F.col("l_orderkey") * 1000 + F.row_number().over(within))
+    return stage(ranked, "lineitem")
 
-@_table
-def account_invoice_line(t: StarTables) -> DataFrame:
-    lines = t["numbered_lineitem"].selectExpr(
-        "line_id id", "l_orderkey invoice_id", "concat('Item',chr(10),cast(l_partkey as string)) name",
+
+def _lines(rows: DataFrame, line_id: str) -> DataFrame:
+    return rows.selectExpr(
+        f"{line_id} id", "l_orderkey invoice_id", "concat('Item',chr(10),cast(l_partkey as string)) name",
         "l_partkey product_id", "l_partkey%40+1 account_id", "l_orderkey%2+1 company_id",
         "cast(l_quantity as decimal(15,2)) quantity", "cast(l_extendedprice as decimal(15,2)) price_unit",
         "cast(l_discount*100 as decimal(6,2)) discount",
         "cast(round(cast(l_extendedprice as decimal(15,2))*(1-cast(l_discount as decimal(6,4))),2) as decimal(15,2)) "
         "price_subtotal",
-        "cast(round(l_tax*100) as int) tax_id")
-    return lines.selectExpr(
+        "cast(round(l_tax*100) as int) tax_id").selectExpr(
         "*", "price_subtotal+round(price_subtotal*(case when tax_id=8 then -8 else tax_id end)*0.01,2) price_total")
 
 
+@_table
+def account_invoice_line(t: StarTables) -> DataFrame:
+    return _lines(t["numbered_lineitem"], "line_id")
+
+
+@_table
+def line_without_id(t: StarTables) -> DataFrame:
+    """The invoice lines for sums that do not ask for their ids, so that no line has to be numbered. The id is NULL."""
+    schema = schema_of("account_invoice_line")
+    return conform(_lines(t.raw("lineitem"), "cast(null as bigint)"), schema).select(*schema.names)
+
+
+@_table
+def line_totals(t: StarTables) -> DataFrame:
+    """Sums of the lines of each invoice and tax; the rows of an invoice lie together."""
+    lines = t["line_without_id"].select("invoice_id", "tax_id", "price_unit", "price_subtotal").repartition("invoice_id")
+    return stage(lines.groupBy("invoice_id", "tax_id").agg(
+        F.sum("price_subtotal").alias("untaxed"), F.sum(F.expr("price_unit-price_subtotal")).alias("discount"),
+        F.sum(F.expr("round(price_subtotal*tax_id*0.01,2)")).alias("total")), "line_totals")
+
+
 @_table
 def account_invoice_line_tax(t: StarTables) -> DataFrame:
     lines = t["account_invoice_line"]
@@ -320,17 +339,13 @@ def account_invoice_line_tax(t: StarTables) -> DataFrame:
 
 @_table
 def account_invoice_tax(t: StarTables) -> DataFrame:
-    return stage(
-        t["account_invoice_line"].filter("tax_id>0").groupBy("invoice_id", "tax_id")
-        .agg(F.sum(F.expr("round(price_subtotal*tax_id*0.01,2)")).alias("total"))
-        .selectExpr("invoice_id", "tax_id",
-                    "cast(case when tax_id=8 then -total else total end as decimal(15,2)) amount"), "invoice_tax")
+    return t["line_totals"].filter("tax_id>0").selectExpr(
+        "invoice_id", "tax_id", "cast(case when tax_id=8 then -total else total end as decimal(15,2)) amount")
 
 
-@_table
-def invoice_header(t: StarTables) -> DataFrame:
+def _headers(t: StarTables, orders: DataFrame, *more: str) -> DataFrame:
     suppliers = t.raw("supplier").groupBy().agg(F.count("*").alias("n")).first().n
-    return t.raw("orders").selectExpr(
+    return orders.selectExpr(
         "o_orderkey id",
         "case when o_orderkey%10<5 then 'out_invoice' when o_orderkey%10<9 then 'in_invoice' else 'out_refund' end type",
         "case o_orderstatus when 'F' then 'paid' when 'O' then 'open' else 'draft' end state",
@@ -343,21 +358,24 @@ def invoice_header(t: StarTables) -> DataFrame:
         "o_orderdate + make_interval(0,0,0,cast(o_orderkey%30 as int)) write_date",
         "cast(o_totalprice as decimal(15,2)) amount_total", "concat('SO',cast(o_orderkey as string)) origin",
         "case when o_orderkey%10=9 then o_orderkey-9 end refund_invoice_id",
-        "concat('ref',cast(o_orderkey as string)) name", "case when o_orderkey%3=0 then 'nota' end comment")
+        "concat('ref',cast(o_orderkey as string)) name", "case when o_orderkey%3=0 then 'nota' end comment", *more)
+
+
+@_table
+def invoice_header(t: StarTables) -> DataFrame:
+    return _headers(t, t.raw("orders"))
 
 
 @_table
 def account_invoice(t: StarTables) -> DataFrame:
-    lines = t["account_invoice_line"].groupBy(F.col("invoice_id").alias("_line_of")).agg(
-        F.sum("price_subtotal").alias("untaxed"), F.sum(F.expr("price_unit-price_subtotal")).alias("discount"))
-    taxes = t["account_invoice_tax"].groupBy(F.col("invoice_id").alias("_tax_of")).agg(F.sum("amount").alias("tax"))
-    header = t["invoice_header"]
-    return stage(
-        header.join(lines, header.id == lines._line_of, "left").join(taxes, header.id == taxes._tax_of, "left")
-        .select(header["*"], *[
-            F.coalesce(F.col(source), F.lit(0)).cast("decimal(15,2)").alias(name)
-            for source, name in (("untaxed", "amount_untaxed"), ("tax", "amount_tax"), ("discount", "amount_discount"))]),
-        "invoice")
+    """The headers with sums of their lines. The narrow orders meet the sums before they become headers."""
+    held = t["account_invoice_tax"].withColumnRenamed("invoice_id", "_of").select("_of", F.col("amount").alias("_tax"))
+    sums = t["line_totals"].selectExpr("invoice_id _of", "untaxed", "discount").unionByName(held, allowMissingColumns=True).groupBy("_of").agg(
+        *[F.sum(c).alias(c) for c in ("untaxed", "_tax", "discount")])
+    met = t.raw("orders").join(sums, F.col("o_orderkey") == F.col("_of"), "left")
+    return stage(_headers(t, met, *[
+        f"cast(coalesce({source},0) as decimal(15,2)) {name}"
+        for source, name in (("untaxed", "amount_untaxed"), ("_tax", "amount_tax"), ("discount", "amount_discount"))]), "invoice")
 
 
 @_table
@@ -387,7 +405,10 @@ def document_core(t: StarTables) -> DataFrame:
 @_table
 def fiscal_document(t: StarTables) -> DataFrame:
     core = t["document_core"]
-    details = fiscal.document_details({**_needed(t, fiscal.DETAIL_TABLES), "fiscal_document": core})
+    # Details are of single invoices, and none of these is a supplier's. No detail asks for a line's id.
+    details = fiscal.document_details({
+        **_needed(t, tuple(n for n in fiscal.DETAIL_TABLES if n != "account_invoice_line")), "fiscal_document": core,
+        "account_invoice": t["account_invoice"].filter("type<>'in_invoice'"), "account_invoice_line": t["line_without_id"]})
     return stage(core.join(details.drop("number", "invoice_type", "tax_count", "user_id"), "invoice_id"), "document")
 
 
