@@ -36,12 +36,16 @@ def states_before(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
 
     A NULL group is a group. The last order column should make a row unique.
     """
-    staged = ordered_stage(df.withColumn("_move", moves.cast("array<int>")), [*group_cols, *order_cols])
+    staged = ordered_stage(df, [*group_cols, *order_cols])
     group = F.struct(*(F.col(c) for c in group_cols))
-    rows = F.struct(F.col(IDX).alias("i"), F.col("_move").alias("move"), F.struct(*df.columns).alias("row"))
+    rows = F.struct(F.col(IDX).alias("i"), moves.cast("array<int>").alias("move"), F.struct(*df.columns).alias("row"))
     blocks = stage(staged.select(group.alias("_g"), PART, F.floor(F.col(IDX) / block_rows).cast("long").alias("_b"), rows.alias("_r")).groupBy(
         "_g", PART, "_b").agg(F.array_sort(F.collect_list("_r"), lambda a, b: (a["i"] - b["i"]).cast("int")).alias("_rows")), "blocks")
-    small = blocks.select("_g", PART, "_b", _composed(F.col("_rows.move"), states).alias("m"))
+    # What begins inside a block begins its group, so only what opens a block, one piece each, can have something before it.
+    opens = F.col("_rows")[0]["i"] % block_rows == 0
+    openers = blocks.filter(opens).select(F.col("_g").alias("_o")).distinct()
+    small = blocks.join(openers, F.col("_g").eqNullSafe(F.col("_o")), "left_semi").select(
+        "_g", PART, "_b", _composed(F.col("_rows.move"), states).alias("m"))
     parts = small.groupBy("_g", PART).agg(F.sort_array(F.collect_list(F.struct("_b", "m"))).alias("_blocks")).withColumn(
         "m", _composed(F.col("_blocks.m"), states))
     groups = parts.groupBy("_g").agg(F.sort_array(F.collect_list(F.struct(PART, "m", "_blocks"))).alias("_parts"))
@@ -50,6 +54,7 @@ def states_before(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
     by_block = by_part.select("_g", F.col(f"z.p.{PART}").alias("_p"), F.explode(F.arrays_zip(
         F.col("z.p._blocks").alias("b"), _started(F.col("z.p._blocks.m"), F.col("z.s")).alias("s"))).alias("z")).filter("z.b is not null").select(
         F.col("_g").alias("_h"), "_p", F.col("z.b._b").alias("_c"), F.col("z.s").alias("_s"))
-    met = blocks.join(by_block, F.col("_g").eqNullSafe(F.col("_h")) & (F.col(PART) == F.col("_p")) & (F.col("_b") == F.col("_c")))
-    each = met.select(F.explode(F.arrays_zip(F.col("_rows").alias("r"), _started(F.col("_rows.move"), F.col("_s")).alias("s"))).alias("z"))
+    met = blocks.filter(opens).join(by_block, F.col("_g").eqNullSafe(F.col("_h")) & (F.col(PART) == F.col("_p")) & (F.col("_b") == F.col("_c")))
+    begun = met.select("_rows", "_s").unionByName(blocks.filter(~opens).select("_rows", F.lit(start).alias("_s")))
+    each = begun.select(F.explode(F.arrays_zip(F.col("_rows").alias("r"), _started(F.col("_rows.move"), F.col("_s")).alias("s"))).alias("z"))
     return each.filter("z.r is not null").select("z.r.row.*", F.col("z.s").alias(name))

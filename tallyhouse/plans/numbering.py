@@ -93,19 +93,19 @@ def carry_forward(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
     `last(value, ignoreNulls)` over a window per group, but a hot group is worked on
     in as many pieces as it has sort partitions.
     """
-    raw = {f"_raw_{n}": v for n, v in values.items()}
-    staged = ordered_stage(df.withColumns(raw), [*group_cols, *order_cols])
+    # The entries are worked out where they are looked at: neither the sort nor the files carry them.
+    staged = ordered_stage(df, [*group_cols, *order_cols])
     running = Window.partitionBy(*group_cols, PART).orderBy(IDX)
     upto = {n: -1 if n in exclusive else 0 for n in values}
     pieces = _edge_groups(staged, group_cols).groupBy(*group_cols, PART).agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(IDX))).alias(c) for c in raw])
+        *[F.max_by(v, F.when(v.isNotNull(), F.col(IDX))).alias(f"_raw_{n}") for n, v in values.items()])
     earlier = Window.partitionBy(*group_cols).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     carried = pieces.select(
         *[F.col(c).alias(f"_g_{c}") for c in group_cols], F.col(PART).alias("_g_part"),
-        *[F.last(c, ignorenulls=True).over(earlier).alias(f"_g{c}") for c in raw])
+        *[F.last(f"_raw_{n}", ignorenulls=True).over(earlier).alias(f"_g_raw_{n}") for n in values])
     seen = staged.withColumns({
-        f"_l_raw_{n}": F.last(f"_raw_{n}", ignorenulls=True).over(
-            running.rowsBetween(Window.unboundedPreceding, upto[n])) for n in values})
+        f"_l_raw_{n}": F.last(v, ignorenulls=True).over(
+            running.rowsBetween(Window.unboundedPreceding, upto[n])) for n, v in values.items()})
     return (
         seen.join(F.broadcast(carried), (F.col(PART) == F.col("_g_part")) & same_group(group_cols, "_g_"), "left")
         .select(*df.columns,
