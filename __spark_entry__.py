@@ -19,7 +19,7 @@ from tallyhouse.plans.closure import ancestor_closure, updated_closure
 from tallyhouse.plans.numbering import number_rows
 from tallyhouse.session import new_path, stage, tune
 from tallyhouse.sources.search_index import write_index
-from tallyhouse.sources.starschema import StarTables, star_tables
+from tallyhouse.sources.starschema import TABLE_CODEC, StarTables, star_tables
 from tallyhouse.sources.tables import load_tables, write_report
 from tallyhouse.sources.versions import changed_rows
 from tallyhouse.streaming.pickings import (
@@ -72,7 +72,7 @@ def _stored(t: StarTables, *names: str) -> Mapping[str, DataFrame]:
     """The tables, of which those of `names` were written with their stored columns and read by `load_tables`."""
     folder = new_path(t.spark, "erp")
     for name in names:
-        t[name].withColumns({c: F.expr(e) for c, e in STORED_VALUES.get(name, {}).items()}).write.parquet(f"{folder}/{name}")
+        t[name].withColumns({c: F.expr(e) for c, e in STORED_VALUES.get(name, {}).items()}).write.option("compression", TABLE_CODEC).parquet(f"{folder}/{name}")
     return ChainMap(load_tables(t.spark, folder, names=names), t)
 
 

@@ -20,6 +20,9 @@ from tallyhouse.schemas import DDL, schema_of
 from tallyhouse.session import stage, widen
 from tallyhouse.sources.tables import conform
 
+# Large tables are written once and read often.
+TABLE_CODEC = "zstd"
+
 _BUILDERS: dict[str, Callable[[StarTables], DataFrame]] = {}
 _OPEN: dict[tuple[str, str], StarTables] = {}
 
@@ -294,7 +297,7 @@ def numbered_lineitem(t: StarTables) -> DataFrame:
         "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate", "l_returnflag",
         "l_linestatus")
     ranked = t.raw("lineitem").withColumn("line_id", F.col("l_orderkey") * 1000 + F.row_number().over(within))
-    return stage(ranked, "lineitem")
+    return stage(ranked, "lineitem", TABLE_CODEC)
 
 
 def _lines(rows: DataFrame, line_id: str) -> DataFrame:
@@ -327,7 +330,7 @@ def line_totals(t: StarTables) -> DataFrame:
     lines = t["line_without_id"].select("invoice_id", "tax_id", "price_unit", "price_subtotal").repartition("invoice_id")
     return stage(lines.groupBy("invoice_id", "tax_id").agg(
         F.sum("price_subtotal").alias("untaxed"), F.sum(F.expr("price_unit-price_subtotal")).alias("discount"),
-        F.sum(F.expr("round(price_subtotal*tax_id*0.01,2)")).alias("total")), "line_totals")
+        F.sum(F.expr("round(price_subtotal*tax_id*0.01,2)")).alias("total")), "line_totals", TABLE_CODEC)
 
 
 @_table
@@ -375,7 +378,7 @@ def account_invoice(t: StarTables) -> DataFrame:
     met = t.raw("orders").join(sums, F.col("o_orderkey") == F.col("_of"), "left")
     return stage(_headers(t, met, *[
         f"cast(coalesce({source},0) as decimal(15,2)) {name}"
-        for source, name in (("untaxed", "amount_untaxed"), ("_tax", "amount_tax"), ("discount", "amount_discount"))]), "invoice")
+        for source, name in (("untaxed", "amount_untaxed"), ("_tax", "amount_tax"), ("discount", "amount_discount"))]), "invoice", TABLE_CODEC)
 
 
 @_table
@@ -409,7 +412,7 @@ def fiscal_document(t: StarTables) -> DataFrame:
     details = fiscal.document_details({
         **_needed(t, tuple(n for n in fiscal.DETAIL_TABLES if n != "account_invoice_line")), "fiscal_document": core,
         "account_invoice": t["account_invoice"].filter("type<>'in_invoice'"), "account_invoice_line": t["line_without_id"]})
-    return stage(core.join(details.drop("number", "invoice_type", "tax_count", "user_id"), "invoice_id"), "document")
+    return stage(core.join(details.drop("number", "invoice_type", "tax_count", "user_id"), "invoice_id"), "document", TABLE_CODEC)
 
 
 def _needed(t: StarTables, names: tuple[str, ...]) -> dict[str, DataFrame]:

@@ -37,9 +37,9 @@ def _watched(monkeypatch, *modules):
     """The labels and columns of what is written, as it is written."""
     written = []
 
-    def watched(df, label):
+    def watched(df, label, *codec):
         written.append((label, df.columns))
-        return session.stage(df, label)
+        return session.stage(df, label, *codec)
 
     for module in modules:
         monkeypatch.setattr(module, "stage", watched)
@@ -62,6 +62,14 @@ def test_lines_are_numbered_in_one_pass(star, monkeypatch):
     assert [label for label, _ in written] == ["lineitem"]
 
 
+def test_tables_are_written_small(spark, star):
+    """What is written of the tables, here and by a query that stores them, is compressed well."""
+    from __spark_entry__ import _stored
+    loaded = _stored(star, "account_invoice")["account_invoice"]
+    for df in (star["numbered_lineitem"], star["account_invoice"], loaded):
+        assert df.count() and all(f.endswith(".zstd.parquet") for f in df.inputFiles())
+
+
 def test_sorted_files_hold_the_rows_only(spark, monkeypatch):
     """What is worked out from a row is neither sorted nor written with it."""
     written = _watched(monkeypatch, numbering)
