@@ -83,15 +83,15 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/stage/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
-    """Write `df` once as parquet in the shared folder and read it back.
+def stage(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
+    """Write `df` once as parquet in the shared folder, with the session's codec or `codec`, and read it back.
 
     Cuts the lineage like a reliable checkpoint (it survives lost executors), but
     stays columnar, so later steps prune columns and push filters into it.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.option("compression", codec).parquet(path)
+    df.write.options(**({"compression": codec} if codec else {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
