@@ -526,7 +526,8 @@ def sale_order_log(t: StarTables) -> DataFrame:
 @_table
 def withholding_certificate(t: StarTables) -> DataFrame:
     invoices = t["invoice_header"].filter("type='in_invoice' and id%3=0")
-    held = t["account_invoice_tax"].filter("tax_id=8").select(F.col("invoice_id").alias("of"), "tax_id")
+    # Whether an invoice has the tax, not how much: only the lines with that tax are grouped, by their keys.
+    held = t["line_without_id"].filter("tax_id=8").select(F.col("invoice_id").alias("of"), "tax_id").distinct()
     return invoices.join(held, invoices.id == held.of).selectExpr(
         "id", "id invoice_id", "tax_id account_tax_id", "date_invoice+15 certificated_on", "create_date",
         "case when id%4=0 then 'draft' else 'approved' end state", "id%2+1 company_id",

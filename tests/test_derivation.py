@@ -55,6 +55,13 @@ def test_sums_of_lines_need_no_line_ids(star):
     assert "numbered_lineitem" not in star._built
 
 
+def test_certificates_sum_no_lines(star, monkeypatch):
+    """Certificates ask whether an invoice has the tax: nothing is summed up or written for them."""
+    written = _watched(monkeypatch, starschema)
+    assert [tuple(r) for r in star["withholding_certificate"].select("id", "account_tax_id").collect()] == [(6, 8)]
+    assert not written and "line_totals" not in star._built
+
+
 def test_lines_are_numbered_in_one_pass(star, monkeypatch):
     written = _watched(monkeypatch, starschema, numbering)
     ids = sorted(r["id"] for r in star["account_invoice_line"].collect())
