@@ -19,7 +19,7 @@ from tallyhouse.plans.closure import ancestor_closure, updated_closure
 from tallyhouse.plans.numbering import number_rows
 from tallyhouse.session import new_path, stage, tune
 from tallyhouse.sources.search_index import write_index
-from tallyhouse.sources.starschema import TABLE_CODEC, StarTables, star_tables
+from tallyhouse.sources.starschema import TABLE_CODEC, StarTables, star_tables, without_sums
 from tallyhouse.sources.tables import load_tables, write_report
 from tallyhouse.sources.versions import changed_rows
 from tallyhouse.streaming.pickings import (
@@ -43,6 +43,11 @@ def _on(operator: Callable[..., DataFrame], **params: object) -> Query:
     return lambda spark, sf_dir: operator(star_tables(tune(spark), sf_dir), **params)
 
 
+def _on_own_columns(operator: Callable[..., DataFrame], **params: object) -> Query:
+    """The same for operators that ask invoices and documents for nothing that is summed up for them."""
+    return lambda spark, sf_dir: operator(without_sums(star_tables(tune(spark), sf_dir)), **params)
+
+
 # What a job has stored, with values that differ from those that would be computed: columns by table.
 STORED_VALUES = {
     "account_invoice": {
@@ -101,7 +106,7 @@ def _number_rows(t: StarTables) -> DataFrame:
     return number_rows(t["account_invoice"].select("id", "create_date"), ["create_date", "id"])
 
 
-def _links_after_delete(t: StarTables) -> DataFrame:
+def _links_after_delete(t: Mapping[str, DataFrame]) -> DataFrame:
     return fiscal.document_links_after_delete(t, fiscal.documents_deletable(t).filter("print_status = 'failed'"))
 
 
@@ -243,18 +248,18 @@ def queries() -> dict[str, Query]:
         "certificate_flags": _on(withholding.certificate_flags),
         "certificates_deletable": _on(withholding.certificates_deletable),
         # fiscal documents
-        "fiscal_eligibility": _on(fiscal.fiscal_eligibility),
+        "fiscal_eligibility": _on_own_columns(fiscal.fiscal_eligibility),
         "payment_class_totals": _on(fiscal.payment_class_totals),
         "invoice_discount_total": _on(fiscal.invoice_discount_total),
-        "refund_links": _on(fiscal.refund_links),
+        "refund_links": _on_own_columns(fiscal.refund_links),
         "fiscal_documents": _on(fiscal.fiscal_documents),
         "fiscal_documents_invoice_discount": _on(fiscal.fiscal_documents, discount="invoice"),
-        "fiscal_filenames": _on(fiscal.fiscal_filenames),
-        "print_queue_by_user": _on(fiscal.print_queue_by_user, user_id=7),
-        "print_queue_by_user_invoices": _on(fiscal.print_queue_by_user, user_id=7, invoices_only=True),
-        "documents_deletable": _on(fiscal.documents_deletable),
-        "document_links_after_delete": _on(_links_after_delete),
-        "printers_deletable": _on(fiscal.printers_deletable),
+        "fiscal_filenames": _on_own_columns(fiscal.fiscal_filenames),
+        "print_queue_by_user": _on_own_columns(fiscal.print_queue_by_user, user_id=7),
+        "print_queue_by_user_invoices": _on_own_columns(fiscal.print_queue_by_user, user_id=7, invoices_only=True),
+        "documents_deletable": _on_own_columns(fiscal.documents_deletable),
+        "document_links_after_delete": _on_own_columns(_links_after_delete),
+        "printers_deletable": _on_own_columns(fiscal.printers_deletable),
         # partners, addresses, delivery, stock
         "ruc_normalized": _on(partners.ruc_normalized),
         "ruc_duplicates": _on(partners.ruc_duplicates),

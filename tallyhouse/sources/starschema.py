@@ -10,6 +10,7 @@ whose size the optimizer could not tell otherwise.
 
 from __future__ import annotations
 
+from collections import ChainMap
 from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,6 +23,8 @@ from tallyhouse.sources.tables import conform
 
 # Large tables are written once and read often.
 TABLE_CODEC = "zstd"
+# Columns of an invoice that are sums of its lines.
+INVOICE_SUMS = ("amount_untaxed", "amount_tax", "amount_discount")
 
 _BUILDERS: dict[str, Callable[[StarTables], DataFrame]] = {}
 _OPEN: dict[tuple[str, str], StarTables] = {}
@@ -324,13 +327,17 @@ def line_without_id(t: StarTables) -> DataFrame:
     return conform(_lines(t.raw("lineitem"), "cast(null as bigint)"), schema).select(*schema.names)
 
 
+def _totals(t: StarTables) -> DataFrame:
+    lines = t["line_without_id"].select("invoice_id", "tax_id", "price_unit", "price_subtotal").repartition("invoice_id")
+    return lines.groupBy("invoice_id", "tax_id").agg(
+        F.sum("price_subtotal").alias("untaxed"), F.sum(F.expr("price_unit-price_subtotal")).alias("discount"),
+        F.sum(F.expr("round(price_subtotal*tax_id*0.01,2)")).alias("total"))
+
+
 @_table
 def line_totals(t: StarTables) -> DataFrame:
     """Sums of the lines of each invoice and tax; the rows of an invoice lie together."""
-    lines = t["line_without_id"].select("invoice_id", "tax_id", "price_unit", "price_subtotal").repartition("invoice_id")
-    return stage(lines.groupBy("invoice_id", "tax_id").agg(
-        F.sum("price_subtotal").alias("untaxed"), F.sum(F.expr("price_unit-price_subtotal")).alias("discount"),
-        F.sum(F.expr("round(price_subtotal*tax_id*0.01,2)")).alias("total")), "line_totals", TABLE_CODEC)
+    return stage(_totals(t), "line_totals", TABLE_CODEC)
 
 
 @_table
@@ -340,10 +347,20 @@ def account_invoice_line_tax(t: StarTables) -> DataFrame:
         lines.filter("invoice_id%7=0 and tax_id>0").selectExpr("id invoice_line_id", "(tax_id+3)%8 tax_id"))
 
 
+def _taxes(totals: DataFrame) -> DataFrame:
+    return totals.filter("tax_id>0").selectExpr(
+        "invoice_id", "tax_id", "cast(case when tax_id=8 then -total else total end as decimal(15,2)) amount")
+
+
 @_table
 def account_invoice_tax(t: StarTables) -> DataFrame:
-    return t["line_totals"].filter("tax_id>0").selectExpr(
-        "invoice_id", "tax_id", "cast(case when tax_id=8 then -total else total end as decimal(15,2)) amount")
+    return _taxes(t["line_totals"])
+
+
+@_table
+def unwritten_tax(t: StarTables) -> DataFrame:
+    """`account_invoice_tax` for plans that end up not reading it: nothing is written for them."""
+    return _taxes(_totals(t))
 
 
 def _headers(t: StarTables, orders: DataFrame, *more: str) -> DataFrame:
@@ -415,6 +432,34 @@ def fiscal_document(t: StarTables) -> DataFrame:
     return stage(core.join(details.drop("number", "invoice_type", "tax_count", "user_id"), "invoice_id"), "document", TABLE_CODEC)
 
 
+@_table
+def invoice_without_sums(t: StarTables) -> DataFrame:
+    """`account_invoice` without the columns that are sums of lines: the same rows, and no line is read."""
+    schema = schema_of("account_invoice")
+    return conform(t["invoice_header"], schema, optional=INVOICE_SUMS).select(*[c for c in schema.names if c not in INVOICE_SUMS])
+
+
+@_table
+def document_without_details(t: StarTables) -> DataFrame:
+    """`fiscal_document` without what is printed of the invoice: the same rows, of which nothing is summed up or written.
+
+    The rows come from the same joins, so keys that repeat give as many. Sums that no column asks for drop out of the plan.
+    """
+    core = t["document_core"]
+    unsummed = conform(t["invoice_header"].filter("type<>'in_invoice'"), schema_of("account_invoice"), optional=INVOICE_SUMS)
+    details = fiscal.document_details({
+        **_needed(t, tuple(n for n in fiscal.DETAIL_TABLES if n not in ("account_invoice", "account_invoice_line", "account_invoice_tax"))),
+        "fiscal_document": core, "account_invoice": unsummed, "account_invoice_line": t["line_without_id"], "account_invoice_tax": t["unwritten_tax"]})
+    schema = schema_of("fiscal_document")
+    return conform(core.join(details.select("invoice_id"), "invoice_id"), schema, optional=schema.names).select(
+        *[c for c in schema.names if c in core.columns])
+
+
+def without_sums(t: StarTables) -> Mapping[str, DataFrame]:
+    """The tables for operators that ask an invoice or a document for its own columns only."""
+    return ChainMap({"account_invoice": t["invoice_without_sums"], "fiscal_document": t["document_without_details"]}, t)
+
+
 def _needed(t: StarTables, names: tuple[str, ...]) -> dict[str, DataFrame]:
     return {name: t[name] for name in names}
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyhouse import session
+from tallyhouse.operators import fiscal
 from tallyhouse.plans import automaton, numbering
 from tallyhouse.plans.numbering import IDX, PART
 from tallyhouse.session import INITIAL_PARTITIONS, ROWS_A_TASK
@@ -62,6 +63,29 @@ def test_certificates_sum_no_lines(star, monkeypatch):
     assert not written and "line_totals" not in star._built
 
 
+def test_documents_without_details_are_the_same_rows(spark, star, monkeypatch):
+    """Documents and invoices that are asked for their own columns: as many rows, also for keys that repeat, without a sum or a file."""
+    more = {
+        "customer": ([(1, "c", 3), (1, "c", 3), (2, "d", 4)], "c_custkey long, c_name string, c_nationkey int"),
+        "nation": ([(3, "N", 0), (4, "M", 0), (4, "M", 0)], "n_nationkey int, n_name string, n_regionkey int"),
+        "region": ([(0, "R")], "r_regionkey int, r_name string"),
+        "orders": ([(k, c, "F", 10.0, DAY, p) for k, c, p in ((9, 0, "1-URGENT"), (18, 1, "2-HIGH"), (18, 1, "2-HIGH"), (3, 1, "5-LOW"), (19, None, None))],
+                   "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"),
+    }
+    for name, (rows, schema) in more.items():
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{star.directory}/{name}.parquet")
+    written = _watched(monkeypatch, starschema)
+    narrow = starschema.without_sums(star)
+    own = {name: sorted(map(tuple, narrow[name].collect()), key=repr) for name in ("account_invoice", "fiscal_document")}
+    deletable = sorted(map(tuple, fiscal.documents_deletable(narrow).collect()))
+    eligibility = sorted(map(tuple, fiscal.fiscal_eligibility(narrow).collect()))
+    assert not written and "line_totals" not in star._built
+    for name, rows in own.items():
+        assert rows == sorted(map(tuple, star[name].select(*narrow[name].columns).collect()), key=repr)
+    assert deletable == sorted(map(tuple, fiscal.documents_deletable(star).collect())) and len(deletable) > 4
+    assert eligibility == sorted(map(tuple, fiscal.fiscal_eligibility(star).collect())) and len(eligibility) == 8
+
+
 def test_lines_are_numbered_in_one_pass(star, monkeypatch):
     written = _watched(monkeypatch, starschema, numbering)
     ids = sorted(r["id"] for r in star["account_invoice_line"].collect())
