@@ -1,4 +1,4 @@
-"""Exact BM25 top-k: inverted indexes by shard, block-max pruning, and an exact merge with global statistics."""
+"""Exact BM25 top-k: inverted indexes by shard, block maxima under a running threshold, and an exact merge with global statistics."""
 
 from __future__ import annotations
 
@@ -23,6 +23,8 @@ BLOCK = 128
 DENSE = 1 / 16
 # Queries that a task scores against a shard at once, and most query terms that are sent to all executors.
 PIECE, BROADCAST_TERMS = 1024, 4_000_000
+# Groups of shards, scores that a task holds at once, and how far sums of the same terms may differ.
+GROUPS, CELLS, SLACK = 16, 400_000, 2e-9
 ARROW_ROWS = 512
 
 
@@ -135,42 +137,45 @@ class Shard:
         has = self.order[at] == terms if len(self.order) else np.zeros(len(terms), dtype=bool)
         return at[has], has
 
-    def top(self, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Candidates' places and scores: all documents that can be among the k best.
+    def scores(self, terms: np.ndarray, idf: np.ndarray, offsets: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """A row per query, a column per document: its score, if that can reach the query's `least`, else something below `least`.
 
-        The lists of rarer terms are added up. What frequent terms can add is bounded block by block; a document
-        is scored with them only if its sum and its block's bound reach the k-th best score
-        known so far. The bound is never below the truth, so no document is lost.
+        The lists of rarer terms are added up. Frequent terms are a product of two matrices, over the blocks of documents in which some
+        query's sums and the block's largest impacts reach its `least`. That bound is never below the truth, so no document is lost.
         """
+        n, width = len(least), self.blocks * BLOCK
         at, has = self.find(terms)
-        weight = idf[has]
-        row = self.dense_of[at]
+        who, weight, row = np.repeat(np.arange(n), np.diff(offsets))[has], idf[has], self.dense_of[at]
         rare, often = row < 0, row >= 0
         starts, sizes = self.starts[at[rare]], (self.ends - self.starts)[at[rare]]
-        total = int(sizes.sum())
-        lists = np.repeat(starts - np.concatenate((np.zeros(1, dtype=np.int64), np.cumsum(sizes)[:-1])), sizes) + np.arange(total) \
-            if total else np.zeros(0, dtype=np.int64)
-        sums = np.bincount(self.places[lists], weights=self.impacts[lists] * np.repeat(weight[rare], sizes), minlength=self.blocks * BLOCK)
-        rows, heavy = row[often], weight[often]
-        if not len(rows):
-            found = np.flatnonzero(sums[:self.docs] > 0)
-            return found, sums[found]
-        most = np.repeat(heavy @ self.block_most[rows], BLOCK)
-        bound = sums + most
-        bound[self.docs:] = -1.0
-
-        def exact(places: np.ndarray) -> np.ndarray:
-            return sums[places] + heavy @ self.dense[np.ix_(rows, places)]
-
-        first = np.argpartition(-bound, min(4 * k, self.docs) - 1)[:min(4 * k, self.docs)] if self.docs > 4 * k else np.arange(self.docs)
-        scores = exact(first)
-        least = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
-        rest = bound >= least - 1e-9
-        rest[first] = False
-        more = np.flatnonzero(rest)
-        places, scores = np.concatenate((first, more)), np.concatenate((scores, exact(more) if len(more) else np.zeros(0)))
-        keep = scores > 1e-12
-        return places[keep], scores[keep]
+        lists = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+        cells = np.repeat(who[rare] * width, sizes) + self.places[lists]
+        sums = np.bincount(cells, weights=self.impacts[lists] * np.repeat(weight[rare], sizes), minlength=n * width).astype(np.float64, copy=False).reshape(n, width)
+        asked = np.zeros((n, len(self.dense)))
+        asked[who[often], row[often]] = weight[often]
+        bound = asked @ self.block_most + sums.reshape(n, self.blocks, BLOCK).max(axis=2)
+        reach = (bound >= least[:, None] - SLACK).any(axis=0)
+        if reach.all():
+            sums += asked @ self.dense
+        elif reach.any():
+            of = np.flatnonzero(np.repeat(reach, BLOCK))
+            sums[:, of] += asked @ self.dense[:, of]
+        return sums[:, :self.docs]
+
+    def top(self, terms: np.ndarray, idf: np.ndarray, offsets: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Candidates as query, place and rounded score: all documents that can be among a query's k best, of which the k-th known scores `least`."""
+        step, found = max(1, CELLS // max(1, self.docs)), []
+        for a in range(0, len(least), step):
+            own = least[a:a + step]
+            part = slice(offsets[a], offsets[a + len(own)])
+            scores = self.scores(terms[part], idf[part], offsets[a:a + len(own) + 1] - offsets[a], own)
+            floor = np.maximum(own - SLACK, 1e-12)
+            many = np.flatnonzero((scores > floor[:, None]).sum(axis=1) > 2 * k)
+            if len(many):
+                floor[many] = np.maximum(floor[many], np.partition(scores[many], -k, axis=1)[:, -k] - SLACK)
+            who, places = np.nonzero(scores > floor[:, None])
+            found.append((who + a, places, np.round(scores[who, places], 9)))
+        return tuple(map(np.concatenate, zip(*found)))
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -180,8 +185,10 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     `queries` has `doc_id` and `text`, as `docs` has; a query is the set of words of its whole text, a word's weight is
     log(1 + (N - df + 0.5) / (df + 0.5)) with N and df over all rows of `docs`. Documents that share no word are never returned.
 
-    Queries are gathered in pieces of at most `PIECE` and meet every shard: sent to all executors if their terms are few
-    enough, else through a shuffle join. Shards return their k best, and the best of those are the best of all.
+    Queries are gathered in pieces of about `PIECE` and meet every shard: sent to all executors if their terms are few
+    enough, else read by each task. A task keeps the k best of its shards, and what a shard adds has to reach the
+    k-th best score of those before it. The shards form at most `GROUPS` groups, so that each query has at most k rows from each; the best of
+    those are the best of all. The work is still that of all queries with all documents.
 
     NULL and empty texts have no words: such documents are never found and count in N, such queries have no result. Rows that repeat
     id and text are documents of their own, but one query. Empty tables give none.
@@ -202,47 +209,42 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     batches = stage(weighted.groupBy("query_id", "query_hash").agg(F.collect_list(F.struct("term", "idf")).alias("t")).select(
         piece.alias("piece"), "query_id", "query_hash", F.col("t.term").alias("terms"), F.col("t.idf").alias("idf"))
         .groupBy("piece").agg(F.collect_list(F.struct("query_id", "query_hash", "terms", "idf")).alias("queries")), "query-pieces")
-    shards = index.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
-    joined = shards.join(F.broadcast(batches) if n_terms <= BROADCAST_TERMS else batches, "piece")
+    # All pairs of a shard and a piece, without a shuffle of either.
+    joined = index.coalesce(GROUPS).crossJoin(F.broadcast(batches) if n_terms <= BROADCAST_TERMS else batches)
     id_kind = docs.schema["doc_id"].dataType.simpleString()
     query_kind = queries.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, shard = None, None
+        known, shard, pieces = None, None, {}
         for batch in batches:
             for r in range(batch.num_rows):
                 if batch["shard"][r].as_py() != known:
                     known = batch["shard"][r].as_py()
                     shard = Shard(batch["lengths"][r].values.to_numpy(), *(batch[c][r].as_py() for c in ("terms", "ends", "places", "counts")), average)
-                ids = batch["doc_ids"][r].values
-                asked = batch["queries"][r].values
+                asked, piece = batch["queries"][r].values, batch["piece"][r].as_py()
                 terms, idf = asked.field("terms"), asked.field("idf")
                 lists, weights, offsets = terms.flatten().to_numpy().view(np.uint64), idf.flatten().to_numpy(), terms.offsets.to_numpy()
-                offsets = offsets - offsets[0]
-                who, places, scores = [], [], []
-                for q in range(len(asked)):
-                    own, weight = lists[offsets[q]:offsets[q + 1]], weights[offsets[q]:offsets[q + 1]]
-                    order = np.argsort(own)
-                    at, found = shard.top(own[order], weight[order], k)
-                    if len(at) > k:
-                        found = np.round(found, 9)
-                        least = np.partition(found, -k)[-k]
-                        at, found = at[found >= least], found[found >= least]
-                    who.append(np.full(len(at), q))
-                    places.append(at)
-                    scores.append(found)
-                who, places, scores = np.concatenate(who), np.concatenate(places), np.round(np.concatenate(scores), 9)
-                table = pa.table({"q": who, "score": scores, "doc_id": ids.take(pa.array(places))})
-                kept = _best(table, k)
-                pick = table["q"].combine_chunks().take(kept)
-                yield pa.RecordBatch.from_arrays([
-                    asked.field("query_id").take(pick), asked.field("query_hash").take(pick),
-                    table["doc_id"].combine_chunks().take(kept), table["score"].combine_chunks().take(kept)],
-                    ["query_id", "query_hash", "doc_id", "score"])
+                if piece not in pieces:
+                    every = pa.array(np.arange(len(asked)))
+                    pieces[piece] = (asked.field("query_id").take(every), asked.field("query_hash").take(every), None, np.zeros(len(asked)))
+                ids, hashes, best, least = pieces[piece]
+                who, places, scores = shard.top(lists, weights, offsets - offsets[0], k, least)
+                table = pa.table({"q": who, "score": scores, "doc_id": batch["doc_ids"][r].values.take(pa.array(places))})
+                table = table if best is None else pa.concat_tables([best, table])
+                best = table.take(_best(table, k)).combine_chunks()
+                # The k-th best score so far of the queries that have as many.
+                q, score = best["q"].to_numpy(), best["score"].to_numpy()
+                full = np.flatnonzero(np.bincount(q, minlength=len(least)) == k)
+                least[full] = score[np.searchsorted(q, full, side="right") - 1]
+                pieces[piece] = (ids, hashes, best, least)
+        for ids, hashes, best, _ in pieces.values():
+            for part in best.to_batches():
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(part["q"]), hashes.take(part["q"]), part["doc_id"], part["score"]], ["query_id", "query_hash", "doc_id", "score"])
 
     # A row holds a whole shard and a piece of the queries: one at a time goes to Python.
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    best = stage(joined.select("shard", "doc_ids", "lengths", "terms", "ends", "places", "counts", "queries").mapInArrow(
+    best = stage(joined.select("shard", "doc_ids", "lengths", "terms", "ends", "places", "counts", "piece", "queries").mapInArrow(
         run, f"query_id {query_kind}, query_hash long, doc_id {id_kind}, score double"), "shard-best")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     by_score = Window.partitionBy("query_id", "query_hash").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
