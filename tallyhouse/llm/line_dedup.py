@@ -51,23 +51,34 @@ def shortest_windows(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndar
     places = np.arange(len(sums))
     ends = np.maximum(np.searchsorted(sums, sums + least), places + 1)
     starts = np.minimum(np.searchsorted(sums, sums - least, side="right") - 1, places - 1)
-    both = np.concatenate((np.stack((places, ends), 1)[ends < len(sums)], np.stack((starts, places), 1)[starts >= 0]))
-    both = np.unique(both[both[:, 1] - both[:, 0] > 1], axis=0)
-    return both[:, 0], both[:, 1] - both[:, 0]
+    # A window as one number, by start and then by end.
+    base = len(sums)
+    coded = np.concatenate(((places * base + ends)[(ends < base) & (ends - places > 1)],
+                            (starts * base + places)[(starts >= 0) & (places - starts > 1)]))
+    first, last = np.divmod(np.unique(coded), base)
+    return first, last - first
 
 
 def line_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """`doc`, `pos`, `line` (md5 of the trimmed line), `words`, and `lens` (of the shortest windows from there) of every line of every text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, text in enumerate(batch["text"].cast(pa.binary()).to_pylist()):
-                lines, words = text.split(b"\n"), word_counts(text)
-                starts, lens = shortest_windows(words, min_words)
-                ends = np.searchsorted(starts, np.arange(len(lines) + 1))
-                yield pa.RecordBatch.from_arrays([
-                    batch["doc"].take(pa.array(np.full(len(lines), k))), pa.array(np.arange(len(lines))),
-                    pa.array([md5(line.strip(_BLANKS)).digest() for line in lines], pa.binary()), pa.array(words, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(lens, pa.int64()))], ["doc", "pos", "line", "words", "lens"])
+            counts, hashes, words, many, lens = [], [], [], [], []
+            for text in batch["text"].cast(pa.binary()).to_pylist():
+                lines, own = text.split(b"\n"), word_counts(text)
+                starts, sizes = shortest_windows(own, min_words)
+                counts.append(len(lines))
+                hashes.extend(md5(line.strip(_BLANKS)).digest() for line in lines)
+                words.append(own)
+                many.append(np.bincount(starts, minlength=len(lines)))
+                lens.append(sizes)
+            if not counts:
+                continue
+            ends = np.concatenate(([0], np.cumsum(np.concatenate(many))))
+            yield pa.RecordBatch.from_arrays([
+                batch["doc"].take(pa.array(np.repeat(np.arange(len(counts)), counts))), pa.array(np.concatenate([np.arange(n) for n in counts])),
+                pa.array(hashes, pa.binary()), pa.array(np.concatenate(words), pa.int64()),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lens), pa.int64()))], ["doc", "pos", "line", "words", "lens"])
 
     keyed = docs.filter("text is not null").select(_document(docs).alias("doc"), "text")
     return keyed.mapInArrow(run, T.StructType([keyed.schema["doc"], *T.StructType.fromDDL(

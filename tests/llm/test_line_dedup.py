@@ -83,3 +83,19 @@ def test_nothing(spark):
     assert drop_repeated_lines(spark.createDataFrame([], SCHEMA)).count() == 0
     alone = drop_repeated_lines(documents(spark, [(1, prose(1, 9), "a"), (2, None, "a")]))
     assert sorted(r["n_deleted"] for r in alone.collect()) == [0, 0]
+
+
+def test_lines_leave_a_task_in_batches(spark, monkeypatch):
+    """The lines of a batch of documents are one batch, as many as there are; a document has its own positions and windows."""
+    import pyarrow as pa
+    from tallyhouse.llm import line_dedup
+    given, docs = {}, spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, run, schema: given.update(run=run))
+    line_dedup.line_table(docs)
+    batch = pa.RecordBatch.from_pydict({"doc": [7, 8, 9], "text": ["a b c\nd e\nf", "", "x y\nx y z"]})
+    made = list(given["run"](iter([batch, batch.slice(0, 0), batch])))
+    assert len(made) == 2
+    assert made[0].select(["doc", "pos", "words", "lens"]).to_pylist() == made[1].select(["doc", "pos", "words", "lens"]).to_pylist() == [
+        {"doc": 7, "pos": 0, "words": 3, "lens": [2, 3]}, {"doc": 7, "pos": 1, "words": 2, "lens": []}, {"doc": 7, "pos": 2, "words": 1, "lens": []},
+        {"doc": 8, "pos": 0, "words": 0, "lens": []},
+        {"doc": 9, "pos": 0, "words": 2, "lens": [2]}, {"doc": 9, "pos": 1, "words": 3, "lens": []}]
