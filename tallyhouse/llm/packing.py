@@ -51,8 +51,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
         end = np.array([end_id], dtype=code.width).tobytes()
         for batch in batches:
             row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, text in enumerate(batch["text"].to_pylist()):
-                own = np.frombuffer(code.text(text) + end, dtype=code.width).astype("<u4")
+            for i, encoded in enumerate(code.texts(batch["text"])):
+                own = np.frombuffer(encoded + end, dtype=code.width).astype("<u4")
                 for k, (a, n) in enumerate(cut(len(own), capacity)):
                     raw = own[a:a + n].tobytes()
                     row.append(i), piece.append(k), start.append(a), length.append(n), crc.append(zlib.crc32(raw))

@@ -11,11 +11,13 @@ import json
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +25,9 @@ from tallyhouse.llm.ship import ship
 from tallyhouse.llm.scratch import stage
 from tallyhouse.session import new_path
 
-# Pieces of text whose ids a worker remembers, in each of two generations.
-CACHE_ENTRIES = 600_000
+# Pieces of text whose ids a worker remembers, in each of two generations, and the bytes of text that it takes apart at a time.
+CACHE_ENTRIES = 400_000
+SLICE_BYTES = 4 << 20
 # Rows of an Arrow batch, and so the documents of a block at most.
 ARROW_ROWS = 512
 
@@ -39,57 +42,46 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(256 + i) for i, b in enumerate(hidden)} | {b: chr(b) for b in visible}
 
 
-class Pieces(dict):
-    """Ids (as bytes) by piece of text: what a space and the piece behind it encode to.
+class Cache(dict):
+    """What `make` gives for each key. Two generations of at most `entries` keys are kept; keys that are used stay."""
 
-    Two generations of at most CACHE_ENTRIES pieces are kept; pieces that are used stay.
-    """
-
-    def __init__(self, encoder: Encoder):
+    def __init__(self, make: Callable[[str], bytes | None], entries: int):
         super().__init__()
-        self.encoder, self.old, self.bare = encoder, {}, {}
+        self.make, self.entries, self.old = make, entries, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
-        if ids is None:
-            ids = self._encode(piece)
-        if len(self) >= CACHE_ENTRIES:
+    def __missing__(self, key: str) -> bytes | None:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.entries:
             self.old = dict(self)
             self.clear()
-        self[piece] = ids
-        return ids
-
-    def _encode(self, piece: str) -> bytes:
-        encoder = self.encoder
-        if not SIMPLE.fullmatch(piece):
-            return encoder.whole(" " + piece)
-        if piece.isalpha():
-            return encoder.word(" " + piece)
-        out = b""
-        for part in encoder.pattern.findall(" " + piece):
-            if part[0] == " " and part[1:].isalpha():
-                out += self[part[1:]]
-            else:
-                ids = self.bare.get(part)
-                if ids is None:
-                    if len(self.bare) >= CACHE_ENTRIES // 4:
-                        self.bare.clear()
-                    ids = self.bare[part] = encoder.word(part)
-                out += ids
-        return out
-
-
-# Characters that every Unicode version puts in the same class: visible ASCII, line feed, Latin letters.
-SIMPLE = re.compile("[!-~\n\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
-# A space before a blank or an unusual character, where a text is not cut.
-HARD = re.compile(r" (?![!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])")
+        self[key] = value
+        return value
+
+
+# Characters that every Unicode version puts in the same class: letters of ASCII and Latin, other visible ASCII, line feed.
+LETTERS, MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-@\[-`{-~"
+SIMPLE = re.compile(f"[\n{MARKS}{LETTERS}]+")
+WORD = re.compile(f"[{LETTERS}]+")
+# A space before a blank or an unusual character, where a text is not cut, and those where it is.
+HARD = re.compile(f" (?![{MARKS}{LETTERS}])")
+CUT = re.compile(f" (?=[{MARKS}{LETTERS}])")
+# Where a word ends and a mark follows, and what is put before pieces that have no space before them.
+WORD_END, BARE = f"([{LETTERS}])([\n{MARKS}])", "\x01"
+
+
+def id_width(path: str) -> str:
+    """The numpy type of the ids of a tokenizer file: 2 bytes if its vocabulary allows, else 4."""
+    from tokenizers import Tokenizer
+    return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
 
 
 class Encoder:
     """Encodes texts piece by piece with one tokenizer file, and remembers the pieces.
 
     A byte-level tokenizer with the usual word pattern always starts a new word at a space that
-    has a visible character behind it, so a text may be cut at each such space and its
+    has a visible character behind it, and at a mark or digit that follows a letter, so a text may be cut there and its
     pieces encoded alone; a piece is cut into words by the same pattern, and words
     go to the tokenizer's model. Other tokenizers, and texts with a special token, are encoded whole.
     """
@@ -111,7 +103,7 @@ class Encoder:
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.code = "H" if self.width == "<u2" else "I"
         self.letters = byte_letters()
-        self.pieces = Pieces(self)
+        self.pieces = Cache(self._piece, CACHE_ENTRIES)
 
     def whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -124,17 +116,49 @@ class Encoder:
             spelled = word.encode().decode("latin-1").translate(self.letters)
         return array(self.code, map(TOKEN_ID, self.model.tokenize(spelled))).tobytes()
 
+    def _piece(self, piece: str) -> bytes | None:
+        """The ids of a space and the piece behind it, or of what is behind BARE; None if a text is not cut there."""
+        bare = piece[:1] == BARE
+        if not bare and HARD.match(" " + piece):
+            return None
+        text = piece[1:] if bare else " " + piece
+        if WORD.fullmatch(piece, bare):
+            return self.word(text)
+        if not SIMPLE.fullmatch(piece, bare):
+            return self.whole(text)
+        parts = self.pattern.findall(text)
+        return self.word(text) if len(parts) == 1 else b"".join([self.pieces[x[1:] if x[0] == " " else BARE + x] for x in parts])
+
     def text(self, text: str) -> bytes:
         if not self.by_piece or any(x in text for x in self.special):
             return self.whole(text)
-        if HARD.search(text) is None:
-            head, *rest = text.split(" ")
-        else:
-            head, *rest = CUT.split(text)
-        return self.whole(head) + b"".join(map(self.pieces.__getitem__, rest))
-
-
-CUT = re.compile(r" (?=[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])")
+        head, *rest = text.split(" ") if HARD.search(text) is None else CUT.split(text)
+        return self.pieces[BARE + head] + b"".join(map(self.pieces.__getitem__, rest))
+
+    def texts(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text, as `text` gives them; a piece is looked up once for some megabytes of text."""
+        if not self.by_piece:
+            return [self.whole(x) for x in texts.to_pylist()]
+        slices = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // SLICE_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(slices)) + 1).tolist(), len(texts)]
+        return [x for a, b in pairwise(cuts) if a < b for x in self._slice(texts[a:b])]
+
+    def _slice(self, texts: pa.Array) -> list[bytes]:
+        split = pc.split_pattern(pc.replace_substring_regex(texts, WORD_END, rf"\1 {BARE}\2"), " ")
+        starts = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        distinct, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().copy()
+        ids = list(map(self.pieces.__getitem__, distinct))
+        # The first piece of a text has no space before it, so it is an entry of its own.
+        heads = at[starts[:-1]]
+        at[starts[:-1]] = np.arange(len(ids), len(ids) + len(heads))
+        whole = np.add.reduceat(np.array([x is None for x in ids] + [False] * len(heads))[at], starts[:-1], dtype=np.int64) > 0
+        for special in (*self.special, BARE):
+            whole |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
+        taken = pa.array(ids + [self.pieces[BARE + distinct[i]] for i in heads], pa.large_binary()).take(pa.array(at))
+        _, offsets, data = taken.buffers()
+        ends = np.frombuffer(offsets, dtype=np.int64)[starts].tolist()
+        return [self.text(texts[i].as_py()) if hard else data[a:b].to_pybytes() for i, (hard, (a, b)) in enumerate(zip(whole.tolist(), pairwise(ends)))]
 
 
 def encoder(path: str) -> Encoder:
@@ -143,6 +167,11 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def forget_encoders() -> None:
+    """Give back the memory of encoders: a worker that has encoded texts goes on with tasks that don't."""
+    _encoders.clear()
+
+
 def tokenize(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     """The token ids of each `text`, with `end_id` appended: little-endian unsigned, 2 bytes each if the vocabulary allows, else 4.
 
@@ -156,7 +185,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
         end, names = array(code.code, [end_id]).tobytes(), ["doc_id", "tie", "ids", "counts"]
         for batch in batches:
             id_type = batch["doc_id"].type
-            ids = [code.text(x) + end for x in batch["text"].to_pylist()]
+            ids = [x + end for x in code.texts(batch["text"])]
             counts = np.bincount(np.frombuffer(b"".join(ids), dtype=code.width))
             if len(counts) > len(total):
                 total = np.pad(total, (0, len(counts) - len(total)))
@@ -226,11 +255,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     tokenized = stage(tokenize(docs, tokenizer, end_id), "token-ids")
     rank_ids(tokenized).write.mode("overwrite").parquet(f"{path}/vocabulary")
     sent = spark.sparkContext.broadcast(_vocabulary(spark, path, by="id"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind, width = docs.schema["doc_id"].dataType.simpleString(), id_width(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        width, part, place = encoder(tokenizer).width, TaskContext.get().partitionId(), 0
+        forget_encoders()
+        part, place = TaskContext.get().partitionId(), 0
         for rows in batches:
             ids = rows["ids"].to_pylist()
             control, data = pack(sent.value[np.frombuffer(b"".join(ids), dtype=width)])
@@ -268,6 +298,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         for batch in batches:
             for part, place, docs, lengths, control, data in zip(*(batch[c] for c in ("part", "place", "doc_ids", "lengths", "control", "data"))):
                 n = lengths.values.to_numpy()

@@ -2,8 +2,10 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from tallyhouse.llm import tokens
 from tallyhouse.llm.queries import tokenizer_path
 from tallyhouse.llm.tokens import Encoder, pack, read_token_files, token_files, unpack, write_token_files
 from tests.llm.cases import SCHEMA, TEXTS, documents
@@ -49,3 +51,30 @@ def test_files_hold_every_document_in_order(spark, tmp_path):
 
 def test_nothing_to_write(spark):
     assert token_files(spark.createDataFrame([], SCHEMA), tokenizer_path()).count() == 0
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_texts_encode_together_as_each_alone(name, monkeypatch):
+    """Texts are cut together, in several slices; the mark of pieces without a space may occur in a text."""
+    rng, own = random.Random(2), Encoder(tokenizer_path(name))
+    odd = [*ODD, *"ÀȀɏ÷×-\x01", " x", "y ", "a, b", "\n\n", " \x01,"]
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    texts += ["".join(rng.choice("ab éÀ.,'s\n 1") for _ in range(rng.randint(0, 40))) for _ in range(1500)] + ["", " ", *(t or "" for _, t, _ in TEXTS)]
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 5000)
+    for text, ids in zip(texts, own.texts(pa.array(texts)), strict=True):
+        assert np.frombuffer(ids, dtype=own.width).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+    assert own.texts(pa.array([], pa.string())) == []
+
+
+def test_words_are_remembered_without_the_marks_around_them(monkeypatch):
+    """A word takes one entry, whatever follows it, and entries have a bound."""
+    own = Encoder(tokenizer_path())
+    own.texts(pa.array([" ".join(f"x {w}{end}" for w in ("alpha", "beta") for end in (",", ".", "!", ";"))]))
+    assert not any(x[0].isalpha() and not x.isalpha() for x in own.pieces) and {"alpha", "beta"} <= own.pieces.keys()
+    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 100)
+    own = Encoder(tokenizer_path())
+    texts = [" ".join(f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100]}" for i in range(n, 600)) for n in range(0, 600, 50)]
+    for _ in range(2):
+        assert [np.frombuffer(x, dtype=own.width).tolist() for x in own.texts(pa.array(texts))] == [
+            own.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    assert len(own.pieces) <= 100 and len(own.pieces.old) <= 100
