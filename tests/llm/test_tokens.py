@@ -78,3 +78,14 @@ def test_words_are_remembered_without_the_marks_around_them(monkeypatch):
         assert [np.frombuffer(x, dtype=own.width).tolist() for x in own.texts(pa.array(texts))] == [
             own.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
     assert len(own.pieces) <= 100 and len(own.pieces.old) <= 100
+
+
+def test_reading_files_gives_back_the_encoder(spark, tmp_path, monkeypatch):
+    """A worker that has encoded texts does not hold their pieces while it reads files."""
+    write_token_files(documents(spark), str(tmp_path), tokenizer_path())
+    frame, taken = type(spark.range(1)), []
+    plain = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, run, schema: taken.append(run) or plain(self, run, schema))
+    tokens.encoder(tokenizer_path())
+    read_token_files(spark, str(tmp_path))
+    assert list(taken[0](iter([]))) == [] and not tokens._encoders
